@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.lineage import checkpointed, saved, shared_dir  # noqa: F401
+
 #: White space between words: space and the control characters 09 to 0D. Fixed value of the data contract.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,35 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the session names none (a local session, as in tests) a
-    temporary folder of this machine is taken.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if not path:
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not current.isDefined():
-        context.setCheckpointDir(path)
-    return path
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its partitions kept as they are, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once, as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

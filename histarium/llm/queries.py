@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination_table
+from .jaccard import jaccard_classes
 from .mixing import mix_table
 from .quality import quality_table
 from .sharding import assign_shards
 from .substrings import remove_repeats
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op7_decontamination": op7_decontamination,
