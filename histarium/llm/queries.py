@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .common import table
 from .decontaminate import contamination_table
 from .jaccard import jaccard_classes
@@ -42,6 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
