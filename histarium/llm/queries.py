@@ -14,6 +14,7 @@ from .decontaminate import contamination_table
 from .jaccard import jaccard_classes
 from .mixing import mix_table
 from .quality import quality_table
+from .secrets import secrets_table
 from .sharding import assign_shards
 from .substrings import remove_repeats
 
@@ -22,6 +23,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_table(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_secrets": op3_secrets,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op7_decontamination": op7_decontamination,
