@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from .common import table
 from .decontaminate import contamination_table
+from .hmm import score_documents
 from .html import extract_text
 from .jaccard import jaccard_classes
 from .mixing import mix_table
@@ -21,6 +22,10 @@ from .sharding import assign_shards
 from .substrings import remove_repeats
 
 
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
+    "op1_hmm_score": op1_hmm_score,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secrets": op3_secrets,
     "op4_quality_rules": op4_quality_rules,
