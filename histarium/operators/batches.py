@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import BATCH_KEYS
 from ..functions.lineage import saved
-from .neighbours import knn_features
 
 
 def detect_batch(df: DataFrame) -> str | None:
@@ -179,7 +179,7 @@ def harmony(df: DataFrame, batch: str, features: Sequence[str], n_clusters: int
         if last is not None and np.abs(observed - last).sum() <= tolerance * observed.sum():
             break
         last = observed
-    moved = held.mapInPandas(lambda parts: _moved(parts, centres, penalty, shift, sigma), held.schema.add("_n", "array<double>"))
+    moved = held.mapInPandas(lambda parts: _moved(parts, centres, penalty, shift, sigma), T.StructType([*held.schema.fields, T.StructField("_n", T.ArrayType(T.DoubleType()))]))
     return unproject(moved, features, means, axes, "_z", "_n").select(*df.columns)
 
 
@@ -268,5 +268,3 @@ def _knn_into(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str],
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
     return met.withColumn("place", place).filter(F.col("place") <= k).select(F.col("id").alias(key), "other", (1 / (1 + F.col("distance"))).alias("weight"))
 
-
-__all__ = ["bbknn_smooth", "combat", "detect_batch", "harmony", "knn_features", "principal_axes", "project", "usable_features", "validate_batch"]

@@ -25,8 +25,13 @@ def with_labels(edges: DataFrame, cells: DataFrame, column: str, names: tuple[st
     return edges
 
 
+def swapped(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with the names of two columns exchanged."""
+    return df.select(*[F.col(c).alias({a: b, b: a}.get(c, c)) for c in df.columns])
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.withColumnsRenamed({"src": "dst", "dst": "src"}))
+    return edges.unionByName(swapped(edges, "src", "dst"))
 
 
 def _pairs_of(sizes: DataFrame) -> DataFrame:
@@ -94,7 +99,7 @@ def enrichment(cells: DataFrame, edges: DataFrame, cluster: str = "cluster", n_p
 def enrichment_summary(result: DataFrame, alpha: float = 0.05) -> DataFrame:
     """``cluster_a, cluster_b, mean_z, share_significant, n_rois``, both ways round."""
     held = result.groupBy("cluster_a", "cluster_b").agg(F.avg("z_score").alias("mean_z"), F.avg((F.col("p_value") < alpha).cast("double")).alias("share_significant"), F.count("*").alias("n_rois"))
-    return held.unionByName(held.filter("cluster_a != cluster_b").withColumnsRenamed({"cluster_a": "cluster_b", "cluster_b": "cluster_a"}))
+    return held.unionByName(swapped(held.filter("cluster_a != cluster_b"), "cluster_a", "cluster_b"))
 
 
 def edge_distances(cells: DataFrame, edges: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -191,7 +196,7 @@ def nhood_enrichment(cells: DataFrame, edges: DataFrame, cluster: str = "cluster
     mean = F.col("s1") / n_permutations
     sd = F.sqrt(F.greatest(F.col("s2") / n_permutations - mean * mean, F.lit(0.0)))
     one = held.select("roi_id", F.col("a").alias("cluster_a"), F.col("b").alias("cluster_b"), (F.col("o") * twice).alias("count"), F.when(sd > 0, (F.col("o") - mean) / sd).alias("z"))
-    out = one.unionByName(one.filter("cluster_a != cluster_b").withColumnsRenamed({"cluster_a": "cluster_b", "cluster_b": "cluster_a"}))
+    out = one.unionByName(swapped(one.filter("cluster_a != cluster_b"), "cluster_a", "cluster_b"))
     return out if how is None else over_regions(out, ["cluster_a", "cluster_b"], {"z": how, "count": "sum"})
 
 

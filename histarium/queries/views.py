@@ -56,7 +56,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     def one(f) -> Column:
         c = F.col(f"`{f.name}`")
         kind = f.dataType.typeName()
-        return (F.round(c, digits) + F.lit(0.0)).alias(f.name) if kind == "double" else c.cast("long").alias(f.name) if kind in ("integer", "short") else c
+        return (F.round(c, digits) + F.lit(0.0)).alias(f.name) if kind == "double" else c.cast("long").alias(f.name) if kind in ("integer", "short", "byte") else c
 
     return df.select(*[one(f) for f in df.schema.fields])
 
