@@ -49,7 +49,7 @@ def pixel_correlation(pixels: DataFrame, mask: DataFrame | None = None, complete
         pairs = average_rank(average_rank(_pairs(pixels, mask), by, "va", "ra"), by, "vb", "rb")
     r = pairs.groupBy(*by).agg(F.corr("ra", "rb").alias("r"), F.count("*").alias("n")).filter("n >= 3")
     r = r.withColumn("r", F.when(~F.isnan("r"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
-    t = F.abs("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    t = F.abs("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     return r.withColumn("p", F.when(F.abs("r") >= 1, 0.0).when(F.col("r").isNotNull(), t_two_sided(t, (F.col("n") - 2).cast("double"))))
 
 

@@ -241,8 +241,8 @@ def morans_i(cells: DataFrame, edges: DataFrame, markers: Sequence[str], how: st
     moran = cross.groupBy("roi_id", "feature").agg(F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("wzz"))
     held = square.join(moran, ["roi_id", "feature"]).join(sums, "roi_id").join(s2, "roi_id")
     n, s0 = F.col("n"), F.col("s0")
-    i, e = F.when(F.col("zz") > 0, n / s0 * F.col("wzz") / F.col("zz")), -1 / (n - 1)
-    var = (n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - e * e
+    i, e = F.when(F.col("zz") > 0, n / s0 * F.col("wzz") / F.col("zz")), F.try_divide(F.lit(-1), n - 1)
+    var = F.try_divide(n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0, (n * n - 1) * s0 * s0) - e * e
     out = held.select("roi_id", "feature", i.alias("i"), F.when(i.isNotNull() & (var > 0), (i - e) / F.sqrt(var)).alias("z"))
     out = out.withColumn("p", F.when(F.col("z").isNotNull(), normal_upper(F.coalesce("z", F.lit(0.0))))).drop("z")
     return out if how is None else over_regions(out, ["feature"], {"i": how, "p": "mean"})

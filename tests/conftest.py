@@ -1,6 +1,11 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, str(Path(__file__).parent.parent))
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -8,6 +13,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
