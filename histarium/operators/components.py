@@ -16,10 +16,14 @@ from ..functions.lineage import saved
 
 
 def _hung(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: ``u, v`` with v != u. Large: all edges, both ways; small: v < u."""
+    """edges: ``u, v`` with v != u. Large: all edges, both ways; small: v < u.
+
+    The least neighbours are saved, so that both sides of the join that follows
+    are plain exchanges: Spark can then split the key of a node with many edges.
+    """
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = saved(least.withColumn("m", F.least("u", "m")) if large else least)
     if large:
-        least = least.withColumn("m", F.least("u", "m"))
         moved = edges.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
