@@ -128,19 +128,21 @@ def digest(node: Node) -> int:
     return node.digest
 
 
-def _roots(node: Node, tag: str) -> list[Node]:
+def _roots(node: Node, tag: str, named: bool) -> list[Node]:
+    """Outermost elements of a kind; ``named``: also inside elements that only their names tell to skip."""
     found = []
     for c in node.children:
-        if isinstance(c, Node) and (not c.skip or c.tag == tag):
-            found += [c] if c.tag == tag else _roots(c, tag)
+        if isinstance(c, Node) and (c.tag == tag or not c.skip or named and c.tag not in SKIPPED):
+            found += [c] if c.tag == tag else _roots(c, tag, named)
     return found
 
 
 def content(tree: Node) -> tuple[list[Node], bool]:
     """Where the main text is sought, and whether the page marks it as such."""
-    for tag in ROOTS:
-        if found := _roots(tree, tag):
-            return found, True
+    for named in (False, True):
+        for tag in ROOTS:
+            if found := _roots(tree, tag, named):
+                return found, True
     return [tree], False
 
 

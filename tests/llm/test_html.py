@@ -18,6 +18,8 @@ def text(page, templates=()):
         ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table><pre> x  y </pre></article>", "a b 1 2 x y"),
         ("<article>never closed <p>text &eacute;&#233;&#xe9;", "never closed text ééé"),
         ("plain text only", "plain text only"),
+        ("<div class='with-sidebar'><article><p>in</p></article></div>", "in"),
+        ("<article>own</article><section class='comments'><article>no</article></section>", "own"),
         ("<article>a</article> between <article>b<nav>n</nav></article>", "a b"),
         ("<article><div hidden>no</div><p class=\"lead header-less\">x</p></article>", ""),
     ],
