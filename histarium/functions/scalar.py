@@ -69,3 +69,8 @@ def composition_key(file: Column, acq_id: Column) -> Column:
 def finite(value: Column) -> Column:
     """NaN and infinities as null."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(None)).otherwise(value)
+
+
+def to_um(pixels: Column, pixel_size_um: Column | float) -> Column:
+    """A length or place in micrometres."""
+    return pixels * pixel_size_um

@@ -71,6 +71,7 @@ QUERIES = {
     "p20_marker_name": (lambda s, d: v.read(s, d, "part").select("p_partkey", scalar.marker_name(F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("PD1")).otherwise(F.col("p_type")), F.lit("_mean"))).alias("marker")), "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'PDCD1' ELSE p_type END AS marker FROM part"),
     "p21_pixel_size": (lambda s, d: v.read(s, d, "events").select("event_id", scalar.pixel_size(F.create_map(F.when(F.col("event_id") % 2 == 0, F.lit("pixel_size")).otherwise(F.lit("PhysicalSizeX")), F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")))).alias("pixel_size")), "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE value END::DOUBLE AS pixel_size FROM events"),
     "p22_stars": (lambda s, d: v.read(s, d, "lineitem").select(scalar.stars(F.col("l_discount") / 2).alias("stars")).groupBy("stars").agg(F.count("*").alias("n")), "SELECT CASE WHEN l_discount / 2 < 0.001 THEN '***' WHEN l_discount / 2 < 0.01 THEN '**' WHEN l_discount / 2 < 0.05 THEN '*' ELSE 'ns' END AS stars, count(*) AS n FROM lineitem GROUP BY ALL"),
+    "p23_to_um": (lambda s, d: rounded(v.cells(s, d).select("roi_id", "cell_id", scalar.to_um(F.col("x"), 0.5).alias("x_um"), scalar.to_um(F.col("y"), 0.5).alias("y_um"))), f"WITH {CELLS} SELECT roi_id, cell_id, round(x * 0.5, 6) AS x_um, round(y * 0.5, 6) AS y_um FROM cells"),
     "p24_composition_key": (lambda s, d: v.cells(s, d).select(scalar.composition_key(F.col("source_file"), F.col("roi_id")).alias("key")).groupBy("key").agg(F.count("*").alias("n")), f"WITH {CELLS} SELECT source_file || '_' || roi_id AS key, count(*) AS n FROM cells GROUP BY ALL"),
     "u8_cluster_means": (lambda s, d: rounded(statistics.cluster_means(v.cells(s, d), M)), f"WITH {CELLS} SELECT cluster, {', '.join(f'round(avg({m}), 6) AS {m}' for m in M)} FROM cells GROUP BY ALL"),
     "u8_cluster_means_zscored": (lambda s, d: rounded(statistics.cluster_means(v.cells(s, d), M, only=["1-URGENT", "5-LOW"], scale="zscore")), f"WITH {CELLS}, k AS (SELECT * FROM cells WHERE cluster IN ('1-URGENT', '5-LOW')), a AS (SELECT {', '.join(f'avg({m}) AS a{i}, stddev_pop({m}) AS s{i}' for i, m in enumerate(M))} FROM k) SELECT cluster, {', '.join(f'round(avg(CASE WHEN {m} IS NULL THEN NULL ELSE ({m} - a{i}) / s{i} END), 6) AS {m}' for i, m in enumerate(M))} FROM k, a GROUP BY ALL"),

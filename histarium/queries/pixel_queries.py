@@ -89,6 +89,7 @@ SELECT acq_id, channel, round((s - bm) / greatest(bs, abs(bm) * 0.001, 1e-6, (mx
         lambda s, d: rounded(correlation.correlation_matrix(correlation.pixel_correlation(v.grid(s, d), complete=True).groupBy("channel_a", "channel_b").agg(F.avg("r").alias("r")), v.GRID_CHANNELS)),
         f"WITH {GRID}, {RANKS}, c AS (SELECT ca, cb, avg(r) AS r FROM (SELECT a.acq_id, a.channel AS ca, b.channel AS cb, corr(a.v, b.v) AS r FROM r a JOIN r b USING (acq_id, y, x) GROUP BY ALL) GROUP BY ALL) SELECT ca AS channel, " + ", ".join(f"round(max(r) FILTER (cb = 'ch{i}'), 6) AS ch{i}" for i in range(4)) + " FROM c GROUP BY ALL",
     ),
+    "q11_qc_points": (lambda s, d: rounded(qc.qc_points(qc.qc_pixel(v.grid(s, d))), 5), QC_PIXEL + ", z AS (SELECT acq_id, channel, (s - bm) / greatest(bs, abs(bm) * 0.001, 1e-6, (mx - mn) * 0.0001) AS snr, im FROM q) SELECT acq_id, channel, round(log10(snr), 5) AS log_snr, round(log10(im), 5) AS log_intensity FROM z WHERE snr > 0 AND im > 0"),
     "q11_qc_distributions": (
         lambda s, d: rounded(qc.qc_distributions(qc.qc_pixel(v.grid(s, d))), 5),
         QC_PIXEL + ", z AS (SELECT channel, (s - bm) / greatest(bs, abs(bm) * 0.001, 1e-6, (mx - mn) * 0.0001) AS snr, im, f / n AS cov FROM q) SELECT channel, " + ", ".join(f"round(coalesce(quantile_cont({e}, {p / 100}) {w}, 0), 5) AS {n}_q{p}" for n, e, w in (("snr", "snr", "FILTER (snr > 0)"), ("intensity", "im", "FILTER (im > 0)"), ("coverage", "cov", "")) for p in (25, 50, 75)) + " FROM z GROUP BY ALL",

@@ -58,6 +58,7 @@ QUERIES = {
     "g3_enrichment_two_sided": (lambda s, d: rounded(spatial.enrichment(v.cells(s, d), _edges(s, d), n_permutations=50, two_sided=True)), None),
     "g4_enrichment_summary": (lambda s, d: rounded(spatial.enrichment_summary(spatial.enrichment(v.cells(s, d), _edges(s, d), n_permutations=20))), None),
     "g5_edge_distances": (lambda s, d: rounded(spatial.edge_distances(v.cells(s, d), _edges(s, d))), f"WITH {CELLS}, {EDGES}, {LABELLED} SELECT roi_id, cluster_a, cluster_b, count(*) AS n_edges, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std, round(min(distance), 6) AS min, round(max(distance), 6) AS max, round(quantile_cont(distance, 0.25), 6) AS q25, round(median(distance), 6) AS median, round(quantile_cont(distance, 0.75), 6) AS q75 FROM lab GROUP BY ALL"),
+    "j15_edge_distances_over_regions": (lambda s, d: rounded(spatial.over_regions(spatial.edge_distances(v.cells(s, d), _edges(s, d)), ["cluster_a", "cluster_b"], {"mean": "mean", "n_edges": "sum"})), f"WITH {CELLS}, {EDGES}, {LABELLED}, r AS (SELECT roi_id, cluster_a, cluster_b, avg(distance) AS m, count(*) AS n FROM lab GROUP BY ALL) SELECT cluster_a, cluster_b, round(avg(m), 6) AS mean, sum(n)::BIGINT AS n_edges, count(*) AS n_rois FROM r GROUP BY ALL"),
     "g6_nearest_distances": (lambda s, d: rounded(spatial.nearest_distances(v.cells(s, d))), f"WITH {CELLS}, {NEAR} SELECT cluster, target, count(*) AS n, round(avg(distance), 6) AS mean, round(median(distance), 6) AS median, round(min(distance), 6) AS min, round(max(distance), 6) AS max FROM near GROUP BY ALL"),
     "g7_neighborhood_composition": (lambda s, d: rounded(spatial.neighborhood_composition(v.cells(s, d), _edges(s, d), CLUSTERS)), _composition_sql()),
     "g8_ripley_kl": (lambda s, d: rounded(spatial.ripley_kl(v.cells(s, d), RADII, 1e6), 4), f"WITH {CELLS}, {SAME}, {SIZES}, r AS (SELECT unnest([{', '.join(map(str, RADII))}])::DOUBLE AS radius), k AS (SELECT z.roi_id, z.cluster, radius, (SELECT count(*) FROM same WHERE same.roi_id = z.roi_id AND same.cluster = z.cluster AND same.distance <= radius) / z.n / (z.n / 1e6) AS k FROM sizes z, r WHERE z.n >= 2) SELECT roi_id, cluster, radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 4) AS l FROM k"),

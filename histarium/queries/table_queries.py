@@ -76,6 +76,14 @@ QUERIES = {
         f"WITH {GRID}, {NEAREST}, e AS (SELECT acq_id, channel, y, x, value, min(v) AS e FROM n WHERE dy = 0 OR dx = 0 GROUP BY ALL) SELECT a.acq_id, a.channel, a.y::BIGINT AS y, a.x::BIGINT AS x, round(a.value - max(b.e), 6) AS value FROM e a, o, p, e b WHERE (dy = 0 OR dx = 0) AND b.acq_id = a.acq_id AND b.channel = a.channel AND b.y = greatest(least(a.y + dy, 7), 0) AND b.x = greatest(least(a.x + dx, 7), 0) GROUP BY a.acq_id, a.channel, a.y, a.x, a.value",
     ),
     "n4_black_tophat": (lambda s, d: rounded(stencils.black_tophat(v.grid(s, d), 2)), None),
+    "n5_background_opening": (
+        lambda s, d: rounded(stencils.background_opening(v.grid(s, d), 1)),
+        f"WITH {GRID}, {NEAREST}, e AS (SELECT acq_id, channel, y, x, value, min(v) AS e FROM n WHERE dy = 0 OR dx = 0 GROUP BY ALL) SELECT a.acq_id, a.channel, a.y::BIGINT AS y, a.x::BIGINT AS x, round(greatest(a.value - max(b.e), 0), 6) AS value FROM e a, o, p, e b WHERE (dy = 0 OR dx = 0) AND b.acq_id = a.acq_id AND b.channel = a.channel AND b.y = greatest(least(a.y + dy, 7), 0) AND b.x = greatest(least(a.x + dx, 7), 0) GROUP BY a.acq_id, a.channel, a.y, a.x, a.value",
+    ),
+    "n6_rescale_to_max": (
+        lambda s, d: rounded(stencils.rescale_to_max(v.grid(s, d).withColumn("value", F.abs("value")), v.grid(s, d))),
+        f"WITH {GRID}, k AS (SELECT acq_id, channel, min(value) AS a, max(value) AS b, max(abs(value)) AS m FROM grid GROUP BY ALL) SELECT {PLACE}, round(least(greatest(abs(value) * b / m, least(a, 0)), b), 6) AS value FROM grid JOIN k USING (acq_id, channel)",
+    ),
     "n7_denoise": (lambda s, d: rounded(stencils.denoise(v.grid(s, d), {"ch0": {"hot": {"method": "n_sd_local_median", "n_sd": 3.0}, "speckle": {"method": "gaussian", "sigma": 0.8}}, "ch1": {"hot": {"method": "median3"}, "background": {"method": "opening", "radius": 3}}})), None),
     "n8_gradient_sobel": (
         lambda s, d: rounded(stencils.gradient_magnitude(v.grid(s, d))),
