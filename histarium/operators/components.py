@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 from ..functions.lineage import saved
 
 
-def _hung(edges: DataFrame, large: bool) -> DataFrame:
+#: From so many edges on, a node's edges are too many to be sure that one task can hold them.
+SPLIT_EDGES = 1_000_000
+
+
+def _hung(edges: DataFrame, large: bool, split: bool) -> DataFrame:
     """edges: ``u, v`` with v != u. Large: all edges, both ways; small: v < u.
 
-    The least neighbours are saved, so that both sides of the join that follows
-    are plain exchanges: Spark can then split the key of a node with many edges.
+    ``split``: the least neighbours are saved, so that both sides of the join that
+    follows are plain exchanges and Spark can split the key of a node with many
+    edges. It costs a job a round, which small graphs are spared; the result is the same.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = saved(least.withColumn("m", F.least("u", "m")) if large else least)
+    least = least.withColumn("m", F.least("u", "m")) if large else least
+    least = saved(least) if split else least
     if large:
         moved = edges.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -38,10 +44,10 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull() | F.col(b).isNull()).toDF("u", "v", "n")
     e = saved(e.filter("not n and u != v").select("u", "v").distinct())
-    state = None
+    state, split = None, e.count() >= SPLIT_EDGES
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = saved(_hung(_hung(both, True), False))
+        e = saved(_hung(_hung(both, True, split), False, split))
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
