@@ -3,10 +3,10 @@
 Pages become element trees in tasks. The hash of each block element's subtree
 (tags, classes and text) is counted per host in Spark, a page content once, so
 copies of a page count as one. Subtrees that recur across many pages of the host
-are templates. They are deleted, as are elements whose kind or name says that
-they are no main text. Flow text (paragraphs, headings, lists, tables, quotes)
+are templates. They are deleted, as are elements whose kind or whole name says that
+they are no main text (``sidebar``, but not ``no-sidebar`` or ``related-work``). Flow text (paragraphs, headings, lists, tables, quotes)
 inside an ``article`` or ``main`` element is the author's and is no template,
-even when many pages quote the same passage.
+even when many pages quote the same passage, and whatever its id.
 """
 
 from __future__ import annotations
@@ -37,9 +37,16 @@ SKIPPED = frozenset("head nav header footer aside menu form button select option
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 #: Those and other block starts end an open paragraph.
 BLOCK_STARTS = frozenset("article section div main header footer nav aside form address ul ol dl table blockquote pre h1 h2 h3 h4 h5 h6 hr fieldset figure p".split())
-#: Words in class, id or role that name what is no main text.
+#: Flow elements that often hold links; in an article their class or role counts, their id does not.
+LISTS = frozenset("ul ol dl table".split())
+#: Whole names in class, id or role of what is no main text.
 SKIPPED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar header footer masthead comment comments disqus reply replies widget skip complementary contentinfo search".split())
+SKIPPED_WHOLE = SKIPPED_NAMES | frozenset("ad-banner ad-container ad-slot cookie-banner cookie-consent cookie-notice comment-list comment-respond comments-area main-menu main-nav nav-bar nav-menu site-footer site-header site-nav side-bar share-buttons sharing-buttons social-links social-share related-articles related-posts newsletter-signup search-form skip-link".split())
 ROOTS = ("article", "main")
+#: Never skipped by name.
+UNNAMED = frozenset(("html", "body", *ROOTS))
+#: Bits of ``Node.named``: a whole id; a whole class or role; a word in any of them, which only tells where articles are sought first.
+BY_ID, BY_CLASS, BY_WORD = 1, 2, 4
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -47,20 +54,20 @@ PARTS = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "digest", "template", "skip")
+    __slots__ = ("tag", "names", "children", "digest", "template", "skip", "named")
 
-    def __init__(self, tag: str, names: str = "", skip: bool = False) -> None:
-        self.tag, self.names, self.skip = tag, names, skip
+    def __init__(self, tag: str, names: str = "", skip: bool = False, named: int = 0) -> None:
+        self.tag, self.names, self.skip, self.named = tag, names, skip, named
         self.children: list[Node | str] = []
         self.digest = 0
         self.template = False
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """(class and id, whether they name something that is no main text)."""
+def _names(attributes: str) -> tuple[str, bool, int]:
+    """(class and id, whether the element is hidden, bits for names of what is no main text)."""
     if not attributes.strip():
-        return "", False
-    said, skip = [], False
+        return "", False, 0
+    said, skip, named = [], False, 0
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden":
@@ -69,8 +76,23 @@ def _names(attributes: str) -> tuple[str, bool]:
             skip |= value.lower() == "true"
         else:
             said.append(value)
-            skip |= any(w.lower() in SKIPPED_NAMES for w in PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
-    return " ".join(said), skip
+            if any(w in SKIPPED_WHOLE for w in value.lower().split()):
+                named |= BY_ID if name == "id" else BY_CLASS
+            if any(w.lower() in SKIPPED_NAMES for w in PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))):
+                named |= BY_WORD
+    return " ".join(said), skip, named
+
+
+def _skipped(node: Node, marked: bool) -> bool:
+    """Whether an element is no main text; ``marked``: it is inside an ``article`` or ``main``."""
+    whole = node.named & (BY_ID | BY_CLASS)
+    if node.skip or not whole:
+        return node.skip
+    if node.tag in LISTS:
+        return not marked or bool(whole & BY_CLASS)
+    if node.tag in FLOW or node.tag in INLINE:
+        return not marked and bool(whole & BY_CLASS)
+    return True
 
 
 def parse(text: str) -> Node:
@@ -104,8 +126,8 @@ def parse(text: str) -> Node:
                     break
                 if stack[k].tag not in INLINE and stack[k].tag not in FLOW or stack[k].tag in ("ul", "ol", "table", "dl"):
                     break
-        names, skip = _names(m[3])
-        node = Node(tag, names, skip or tag in SKIPPED)
+        names, skip, named = _names(m[3])
+        node = Node(tag, names, skip or tag in SKIPPED, 0 if tag in UNNAMED else named)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(text, at)
@@ -128,20 +150,29 @@ def digest(node: Node) -> int:
     return node.digest
 
 
-def _roots(node: Node, tag: str, named: bool) -> list[Node]:
-    """Outermost elements of a kind; ``named``: also inside elements that only their names tell to skip."""
-    found = []
-    for c in node.children:
-        if isinstance(c, Node) and (c.tag == tag or not c.skip or named and c.tag not in SKIPPED):
-            found += [c] if c.tag == tag else _roots(c, tag, named)
+def _roots(tree: Node, tag: str, avoid: int, closed: bool = True) -> list[Node]:
+    """Outermost elements of a kind outside elements named by a bit of ``avoid`` and, if ``closed``, hidden ones."""
+    found, stack = [], tree.children[::-1]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            continue
+        if c.tag == tag:
+            found.append(c)
+        elif not c.named & avoid and not (c.skip if closed else c.tag in SKIPPED):
+            stack += c.children[::-1]
     return found
 
 
 def content(tree: Node) -> tuple[list[Node], bool]:
     """Where the main text is sought, and whether the page marks it as such."""
-    for named in (False, True):
+    whole = BY_ID | BY_CLASS
+    for tag in ROOTS:  # a main element goes before articles in places such as "related-items"
+        if _roots(tree, tag, whole | BY_WORD):
+            return _roots(tree, tag, whole), True
+    for avoid, closed in ((whole, True), (0, False)):
         for tag in ROOTS:
-            if found := _roots(tree, tag, named):
+            if found := _roots(tree, tag, avoid, closed):
                 return found, True
     return [tree], False
 
@@ -150,17 +181,14 @@ def countable(tree: Node) -> set[int]:
     """Hashes of the subtrees that may be templates."""
     found: set[int] = set()
     tops, marked = content(tree)
-
-    def walk(node: Node, top: bool) -> None:
-        if not top and node.tag not in INLINE and not node.skip and not (marked and node.tag in FLOW):
+    stack = [c for t in tops for c in t.children]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or _skipped(node, marked):
+            continue
+        if node.tag not in INLINE and not (marked and node.tag in FLOW):
             found.add(node.digest)
-        if not node.skip or top:
-            for c in node.children:
-                if isinstance(c, Node):
-                    walk(c, False)
-
-    for t in tops:
-        walk(t, True)
+        stack += node.children
     return found
 
 
@@ -168,25 +196,19 @@ def main_text(tree: Node, templates) -> str:
     """Text blocks of the content in page order; ``templates``: hashes to delete."""
     tops, marked = content(tree)
     out: list[str] = []
-
-    def walk(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(entities.unescape(c))
-                continue
-            if c.skip or (c.tag not in INLINE and not (marked and c.tag in FLOW) and c.digest in templates):
-                out.append(" ")
-                continue
-            edge = c.tag not in INLINE or c.tag == "br"
-            if edge:
-                out.append(" ")
-            walk(c)
-            if edge:
-                out.append(" ")
-
-    for t in tops:
-        walk(t)
-        out.append(" ")
+    stack: list[Node | str] = [x for t in reversed(tops) for x in (" ", *reversed(t.children))]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(entities.unescape(c))
+            continue
+        if _skipped(c, marked) or (c.tag not in INLINE and not (marked and c.tag in FLOW) and c.digest in templates):
+            out.append(" ")
+            continue
+        if c.tag not in INLINE or c.tag == "br":
+            out.append(" ")
+            stack.append(" ")
+        stack += c.children[::-1]
     return " ".join("".join(out).split())
 
 

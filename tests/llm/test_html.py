@@ -54,3 +54,20 @@ def test_templates_go_and_shared_passages_and_copies_stay(spark, monkeypatch, li
 
 def test_empty_table(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><div hidden>no</div><p class=\"lead header-less\">x</p></article>", "x"),
+        ("<article><h2 id='related-work'>Related work</h2><section id='search-and-replace'><p>a</p></section><section id='social-policy'>b</section><h2 class='section-header'>c</h2></article>", "Related work a b c"),
+        ("<article><h2 id=search>Search</h2><p id=notice>n</p><ul id=menu><li>m</ul><ul class='share'><li>no</ul><pre><span class='token comment'># c</span></pre></article>", "Search n m # c"),
+        ("<html class='no-sidebar'><body class='has-header comments-open'><p>x</p></body></html>", "x"),
+        ("<html class=header><body class='home sidebar'><div class='page no-sidebar'><p>x</p><div class='sidebar'>no</div></div></body></html>", "x"),
+        ("<main class='search'><p>m</p></main>", "m"),
+        ("<main><p>long</p><section class='related-items'><article>no root</article></section></main>", "long no root"),
+        ("<div class='has-sidebar'><article>a</article></div><article>b</article>", "a b"),
+    ],
+)
+def test_names_count_as_a_whole_only(page, want):
+    assert text(page) == want
