@@ -129,7 +129,7 @@ def parse(text: str) -> Node:
         names, skip, named = _names(m[3])
         node = Node(tag, names, skip or tag in SKIPPED, 0 if tag in UNNAMED else named)
         stack[-1].children.append(node)
-        if tag in RAW:
+        if tag in RAW and not (tag in ("svg", "math") and m[3].endswith("/")):
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(text, at)
             close = text.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else size
@@ -139,14 +139,20 @@ def parse(text: str) -> Node:
 
 
 def digest(node: Node) -> int:
-    """Sets and returns the hash of a subtree: tag, names and children in order."""
-    h = xxhash.xxh3_64(f"{node.tag} {node.names}\x00".encode("utf-8", "surrogatepass"))
-    for c in node.children:
-        if isinstance(c, str):
-            h.update(" ".join(c.split()).encode("utf-8", "surrogatepass") + b"\x01")
-        else:
-            h.update(digest(c).to_bytes(8, "little"))
-    node.digest = h.intdigest()
+    """Sets and returns the hash of a subtree: tag, names and children in order.
+
+    Trees are walked with stacks of their own, as deep pages exceed Python's.
+    """
+    order, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [c for c in n.children if isinstance(c, Node)]
+    for n in reversed(order):  # children before their parents
+        h = xxhash.xxh3_64(f"{n.tag} {n.names}\x00".encode("utf-8", "surrogatepass"))
+        for c in n.children:
+            h.update(" ".join(c.split()).encode("utf-8", "surrogatepass") + b"\x01" if isinstance(c, str) else c.digest.to_bytes(8, "little"))
+        n.digest = h.intdigest()
     return node.digest
 
 

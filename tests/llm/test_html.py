@@ -71,3 +71,17 @@ def test_empty_table(spark):
 )
 def test_names_count_as_a_whole_only(page, want):
     assert text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["font", "b", "div"])
+def test_deep_pages(spark, tag):
+    deep = f"<{tag}>w " * 3000
+    rows = [(0, "http://d.example/0", deep), (1, "http://d.example/1", f"<div><article>{deep}</article>"), (2, "http://d.example/2", "<p>x")]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: " ".join("w" * 3000), 1: " ".join("w" * 3000), 2: "x"}
+
+
+@pytest.mark.parametrize("tag", ["svg", "math"])
+def test_self_closed_pictures_are_empty(tag):
+    assert text(f"<article>a<{tag} class='i'/> b<{tag} />c<{tag}>no</{tag}>d</article>").replace(" ", "") == "abcd"
+    assert text("<article>a<script src='x'/>no</script>b</article>").replace(" ", "") == "ab"
