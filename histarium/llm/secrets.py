@@ -28,8 +28,12 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make a context sensitive, and how far ahead of the candidate they may stand.
 SENSITIVE = re.compile(r"(?ai)key|secret|token|passw|passwd|pwd|auth|bearer|credential|private|access|signature|session|cookie")
 REACH, AROUND = 48, 1024
-#: Candidates: letters and digits mixed, of this length at least.
-CANDIDATE = re.compile(r"(?a)(?<![\w+/=.-])(?=[\w+/=.-]*[0-9])(?=[\w+/=.-]*[A-Za-z])[\w+/=.-]{16,}(?![\w+/=.-])")
+#: Candidates: letters and digits mixed, of this length at least. "=" may stand before one and pads its end.
+LEAST_CANDIDATE = 16
+BEGIN = re.compile(r"(?a)(?<![\w+/.-])[\w+/.-]{14}")
+RUN = re.compile(r"(?a)[\w+/.-]++(?:={1,2}(?![\w+/=.-]))?")
+IDENTIFIER, BEHIND = re.compile(r"(?a)\w*+"), re.compile(r"[+/.-]++")
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Added bytes for each byte of a candidate from which it counts as incompressible. Random hex adds about 0.55.
 NOVELTY = 0.45
 IDENTIFIERS = """
@@ -58,6 +62,30 @@ class Novelty:
         return (len(self.zip.compress(around + own)) - len(self.zip.compress(around))) / len(own)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of mixed strings, whole: those that begin within ``REACH`` after
+    a sensitive word, and what follows the first and the last sensitive identifier
+    inside a string (``key-...``, ``auth/...``). Strings are read once, so this is linear."""
+    found: dict[int, int] = {}
+    inner: dict[int, tuple[int, int]] = {}  # by the end of the string
+    name = upto = 0  # ends of the last identifier and string
+    for s in SENSITIVE.finditer(text):
+        for m in BEGIN.finditer(text, s.end(), min(len(text), s.end() + REACH + 14)):
+            if m.start() not in found:
+                found[m.start()] = RUN.match(text, m.start(), min(len(text), s.end() + REACH + 4096)).end()
+        if s.end() > name:
+            name = IDENTIFIER.match(text, s.end()).end()
+            if behind := BEHIND.match(text, name):
+                start = behind.end()
+                if start >= upto and (m := RUN.match(text, start)):
+                    upto = m.end()
+                if start < upto:
+                    inner[upto] = (inner.get(upto, (start,))[0], start)
+    for end, starts in inner.items():
+        found |= dict.fromkeys(starts, end)
+    return sorted((a, b) for a, b in found.items() if b - a >= LEAST_CANDIDATE and DIGIT.search(text, a, b) and LETTER.search(text, a, b))
+
+
 def find_secrets(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of each span, in order, by code points."""
     raw = (text or "").encode()
@@ -70,16 +98,14 @@ def find_secrets(text: str | None, novelty: Novelty) -> list[tuple[int, int, int
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text or "")]
     if any(w in low for w in (b"key", b"secret", b"token", b"passw", b"passwd", b"pwd", b"auth", b"bearer", b"credential", b"private", b"access", b"signature", b"session", b"cookie")):
         base = sorted(spans)
-        seen = set()
-        for s in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, s.end(), min(len(text), s.end() + REACH + 4096)):
-                if m.start() - s.end() > REACH:
-                    break
-                if m.start() in seen or any(a < m.end() and m.start() < b for a, _, b in base):
-                    continue
-                seen.add(m.start())
-                if novelty.added(text, m.start(), m.end()) >= NOVELTY:
-                    spans.append((m.start(), 3, m.end()))
+        at = top = until = 0  # base spans so far, the end of these, and of the last novel string
+        for start, end in candidates(text):  # neither starts nor ends descend
+            while at < len(base) and base[at][0] < end:
+                top = max(top, base[at][2])
+                at += 1
+            if start >= max(top, until) and novelty.added(text, start, end) >= NOVELTY:
+                spans.append((start, 3, end))
+                until = end
     return sorted(spans)
 
 

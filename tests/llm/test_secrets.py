@@ -1,7 +1,9 @@
 import re
 from hashlib import sha256
 
-from histarium.llm.secrets import redact_secrets, secrets_table
+import pytest
+
+from histarium.llm.secrets import Novelty, find_secrets, redact_secrets, secrets_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -53,3 +55,20 @@ def test_redaction_keeps_columns_and_clean_texts(spark):
 
 def test_empty_table(spark):
     assert secrets_table(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("aws_secret_access_key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        ("export DB_PWD=Zx81kqP0vNn27LsYw4Tt\nexport HOME=/root", "Zx81kqP0vNn27LsYw4Tt"),
+        ("https://h.example/p?auth=Zx81kqP0vNn27LsYw4Tt&page=2", "Zx81kqP0vNn27LsYw4Tt"),
+        ("db.private.key=Zx81kqP0vNn27A==", "Zx81kqP0vNn27A=="),
+        ("auth:Zx81kqP0vNn27LsYw4Tt", "Zx81kqP0vNn27LsYw4Tt"),
+        ("key-Zx81kqP0vNn27LsYw4Tt", "Zx81kqP0vNn27LsYw4Tt"),
+        ("SESSION_KEY_VERSION_NUMBER_1=on", None),
+    ],
+)
+def test_values_right_behind_their_names(text, value):
+    want = [(text.index(value), 3, text.index(value) + len(value))] if value else []
+    assert find_secrets(text, Novelty()) == want
