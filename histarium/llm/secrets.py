@@ -72,7 +72,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     for s in SENSITIVE.finditer(text):
         for m in BEGIN.finditer(text, s.end(), min(len(text), s.end() + REACH + 14)):
             if m.start() not in found:
-                found[m.start()] = RUN.match(text, m.start(), min(len(text), s.end() + REACH + 4096)).end()
+                found[m.start()] = RUN.match(text, m.start()).end()
         if s.end() > name:
             name = IDENTIFIER.match(text, s.end()).end()
             if behind := BEHIND.match(text, name):

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 from hashlib import sha256
 
 import pytest
@@ -72,3 +74,13 @@ def test_empty_table(spark):
 def test_values_right_behind_their_names(text, value):
     want = [(text.index(value), 3, text.index(value) + len(value))] if value else []
     assert find_secrets(text, Novelty()) == want
+
+
+@pytest.mark.parametrize("size", [4200, 6000, 200_000])
+def test_long_strings_are_whole(spark, size):
+    value = "".join(random.Random(size).choices(string.ascii_letters + string.digits, k=size))
+    text = f'private_key: "{value}" end'
+    a = text.index(value)
+    assert (a, 3, a + size) in find_secrets(text, Novelty())
+    df = spark.createDataFrame([(text,)], "text string")
+    assert redact_secrets(df).first().text == 'private_key: "[secret]" end'
