@@ -13,6 +13,7 @@ from .views import CELLS, GRID, rounded
 OFFSETS = "o AS (SELECT unnest(range(-1, 2)) AS dy), p AS (SELECT unnest(range(-1, 2)) AS dx)"
 NEAREST = f"{OFFSETS}, n AS (SELECT g.acq_id, g.channel, g.y, g.x, g.value, dy, dx, s.value AS v FROM grid g, o, p, grid s WHERE s.acq_id = g.acq_id AND s.channel = g.channel AND s.y = greatest(least(g.y + dy, 7), 0) AND s.x = greatest(least(g.x + dx, 7), 0))"
 E8 = [f"e{i}" for i in range(8)]
+ALL = [f"e{i}" for i in range(v.DIMS)]
 VECTORS = "vec AS (SELECT vec_id, label, vec_id % 3 AS batch, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)) + " FROM embeddings)"
 PLACE = "acq_id, channel, y::BIGINT AS y, x::BIGINT AS x"
 DONORS = "donors AS (SELECT DISTINCT acq_id, 'ch' || (acq_id::INT % 4) AS donor FROM grid)"
@@ -107,16 +108,16 @@ QUERIES = {
     ),
     "j8_knn_features": (lambda s, d: rounded(knn_features(v.vectors(s, d), "vec_id", E8, 6).select("vec_id", "other", "distance", "weight")), _knn_sql("euclidean")),
     "j8_knn_features_manhattan": (lambda s, d: rounded(knn_features(v.vectors(s, d), "vec_id", E8, 6, "manhattan").select("vec_id", "other", "distance", "weight")), _knn_sql("manhattan")),
-    "b3_combat": (lambda s, d: rounded(batches.combat(v.vectors(s, d), "batch", E8, ["label"]), 5), None),
+    "b3_combat": (lambda s, d: rounded(batches.combat(v.vectors(s, d, v.DIMS), "batch", ALL, ["label"]), 5), None),
     "b4_harmony": (lambda s, d: rounded(batches.harmony(v.vectors(s, d), "batch", E8, n_clusters=10, max_iter=3), 4), None),
     "b5_bbknn_smooth": (lambda s, d: rounded(batches.bbknn_smooth(v.vectors(s, d), "vec_id", "batch", E8), 4), None),
-    "u1_pca": (lambda s, d: rounded(clustering.pca(v.vectors(s, d), E8, k=2)[0].select("vec_id", "pc1", "pc2"), 5), None),
-    "u2_kmeans": (lambda s, d: rounded(clustering.kmeans(v.vectors(s, d), E8, 5, n_init=2).select("vec_id", "cluster")), None),
+    "u1_pca": (lambda s, d: rounded(clustering.pca(v.vectors(s, d, v.DIMS), ALL, k=2)[0].select("vec_id", "pc1", "pc2"), 5), None),
+    "u2_kmeans": (lambda s, d: rounded(clustering.kmeans(v.vectors(s, d, v.DIMS), ALL, 5).select("vec_id", "cluster")), None),
     "u3_louvain": (lambda s, d: rounded(clustering.graph_cluster(v.vectors(s, d), "vec_id", E8, "louvain").select("vec_id", "cluster")), None),
     "u4_leiden": (lambda s, d: rounded(clustering.graph_cluster(v.vectors(s, d), "vec_id", E8, "leiden").select("vec_id", "cluster")), None),
     "u5_hierarchical": (lambda s, d: rounded(clustering.hierarchical(v.vectors(s, d), E8, 5, micro=60).select("vec_id", "cluster")), None),
     "u6_density": (lambda s, d: rounded(clustering.density_clusters(v.vectors(s, d), "vec_id", E8, levels=8).select("vec_id", "cluster")), None),
-    "u7_k_search": (lambda s, d: rounded(clustering.k_search(v.vectors(s, d), E8, 2, 5)), None),
+    "u7_k_search": (lambda s, d: rounded(clustering.k_search(v.vectors(s, d, v.DIMS), ALL, 2, 5)), None),
     "g1_spatial_communities": (lambda s, d: rounded(clustering.spatial_communities(_spatial_edges(s, d))), None),
     "s5_acquisitions": (lambda s, d: io.acquisitions(v.grid(s, d)).select("acq_id", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), F.array_join("channels", ",").alias("channels")), f"WITH {GRID} SELECT acq_id, (max(y) + 1)::BIGINT AS height, (max(x) + 1)::BIGINT AS width, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM grid GROUP BY ALL"),
     "s5_image_stack": (lambda s, d: rounded(io.image_stack(v.grid(s, d), v.GRID_CHANNELS)), f"WITH {GRID} SELECT acq_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"round(max(value) FILTER (channel = 'ch{i}'), 6) AS ch{i}" for i in range(4)) + " FROM grid GROUP BY ALL"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 CHANNELS = ["quantity", "extendedprice", "discount", "tax"]
 GRID_CHANNELS = ["ch0", "ch1", "ch2", "ch3"]
 CLUSTERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+DIMS = 64  # components of embeddings
 MARKERS = ["quantity_mean", "price_mean", "discount_mean", "tax_mean"]
 
 
