@@ -1,4 +1,8 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""Cutting lineage through the folder that driver and executors share.
+
+Tables saved there live as long as they are needed: ``discard`` drops one whose
+successor is written, and what is left goes when the application ends.
+"""
 
 from __future__ import annotations
 
@@ -11,19 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (a local session, as in tests) a
-    temporary folder of this machine is taken.
+    Only a session on this machine alone (``local``, as in tests) that names
+    none gets a temporary folder; on a cluster that would be a different folder
+    on each machine, so it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
     if not path:
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not current.isDefined():
         context.setCheckpointDir(path)
+        _delete_at_end(spark, context._jsc.sc().getCheckpointDir().get())
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) on the JVM's side, so that any store Spark knows will do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, its partitions kept as they are, in the shared folder."""
     shared_dir(df.sparkSession)
@@ -32,6 +51,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once, as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables made by ``saved`` that no table still to be computed reads."""
+    for table in tables:
+        if path := getattr(table, "_saved_at", None):
+            files, at = _files(table.sparkSession, path)
+            files.delete(at, True)

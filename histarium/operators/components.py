@@ -12,27 +12,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import saved
+from ..functions.lineage import discard, saved
 
 
-#: From so many edges on, a node's edges are too many to be sure that one task can hold them.
-SPLIT_EDGES = 1_000_000
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``u, v, m``: the edges with the least neighbour of ``u``.
 
+    The key is wrapped, so that the aggregate's own dealing by ``u`` does not
+    serve the join: both sides are then plain exchanges, of which Spark splits
+    the one that holds a node with very many edges.
+    """
+    a, b = edges.select(F.struct("u").alias("k"), "u", "v"), least.select(F.struct("u").alias("k"), "m")
+    return a.join(b, "k").select("u", "v", "m")
 
-def _hung(edges: DataFrame, large: bool, split: bool) -> DataFrame:
-    """edges: ``u, v`` with v != u. Large: all edges, both ways; small: v < u.
 
-    ``split``: the least neighbours are saved, so that both sides of the join that
-    follows are plain exchanges and Spark can split the key of a node with many
-    edges. It costs a job a round, which small graphs are spared; the result is the same.
-    """
+def _hung(edges: DataFrame, large: bool) -> DataFrame:
+    """edges: ``u, v`` with v != u. Large: all edges, both ways; small: v < u."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.withColumn("m", F.least("u", "m")) if large else least
-    least = saved(least) if split else least
     if large:
-        moved = edges.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _met(edges.filter("v > u"), least.withColumn("m", F.least("u", "m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        moved = _met(edges, least).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.filter("u != v").distinct()
 
 
@@ -43,11 +43,11 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     with a null end is dropped; nodes without edges to others do not occur.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull() | F.col(b).isNull()).toDF("u", "v", "n")
-    e = saved(e.filter("not n and u != v").select("u", "v").distinct())
-    state, split = None, e.count() >= SPLIT_EDGES
+    e, state = saved(e.filter("not n and u != v").select("u", "v").distinct()), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = saved(_hung(_hung(both, True, split), False, split))
+        before, e = e, saved(_hung(_hung(both, True), False))
+        discard(before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
