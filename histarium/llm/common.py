@@ -1,18 +1,15 @@
-"""Shared pieces: reading tables, cutting lineage, prefix sums over a global order."""
+"""Shared pieces: reading tables, names, ids, numbers of tasks; lineage and prefix sums come from the core."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.lineage import checkpointed, saved, shared_dir  # noqa: F401
+from ..functions.lineage import checkpointed, discard, saved, shared_dir  # noqa: F401
+from ..functions.prefix import running_sums  # noqa: F401
 
 #: White space between words: space and the control characters 09 to 0D. Fixed value of the data contract.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,6 +32,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text for which a shuffle gets another task, whatever the session's number of them.
+TASK_BYTES = 64 << 20
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+
+
+def tasks(spark: SparkSession, size: int) -> int:
+    """Tasks of a shuffle of what ``size`` bytes of text become."""
+    return max(partitions(spark), size // TASK_BYTES)
+
+
+def whole_id(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long; an error at once where the column is not of whole numbers."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(f"`{id_col}`").cast("long")
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -46,69 +64,5 @@ def row_hash(df: DataFrame, seed: str = "") -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def runs(batch: pa.RecordBatch, column: str | None) -> list[tuple[object, int, int]]:
-    """(value, first row, row after the last) of each stretch of equal values."""
-    n = batch.num_rows
-    if column is None or n == 0:
-        return [(None, 0, n)] if n else []
-    values = batch.column(column)
-    codes = values.dictionary_encode(null_encoding="encode").indices.to_numpy()
-    starts = np.r_[0, np.flatnonzero(np.diff(codes)) + 1]
-    return [(values[int(a)].as_py(), int(a), int(b)) for a, b in zip(starts, [*starts[1:], n], strict=True)]
-
-
 def with_columns(batch: pa.RecordBatch, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns.values())], names=[*batch.schema.names, *columns])
-
-
-def running_sums(df: DataFrame, order: Sequence[str], size: str, group: str | None = None) -> DataFrame:
-    """Adds ``_before`` and ``_index``: sum of ``size`` and number of rows ahead
-    of a row in the global ``order``; with ``group``, ahead of it in its group.
-
-    A global range sort deals the rows out, a checkpoint fixes the partitions,
-    and their totals, one row for each partition and group that meet, become
-    offsets. So no task holds more than a range of the order, however many rows
-    a group has. With ``group``, ``order`` must begin with it. ``df`` should be
-    narrow: the checkpoint writes it once. The driver gets at most as many rows
-    as there are partitions and groups together.
-    """
-    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    dealt = checkpointed(dealt)
-
-    def totals(batches):
-        pid, found = TaskContext.get().partitionId(), []
-        for batch in batches:
-            sizes = batch.column(size).to_numpy(zero_copy_only=False)
-            for name, a, b in runs(batch, group):
-                if found and found[-1]["name"] == name:
-                    found[-1]["rows"] += b - a
-                    found[-1]["bytes"] += int(sizes[a:b].sum())
-                else:
-                    found.append({"pid": pid, "at": len(found), "name": name, "rows": b - a, "bytes": int(sizes[a:b].sum())})
-        if found:
-            yield pa.RecordBatch.from_pylist(found, schema)
-
-    kind = df.schema[group].dataType if group else T.StringType()
-    shape = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("name", kind), T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType())])
-    schema = to_arrow_schema(shape)
-    offsets: dict[tuple, tuple[int, int]] = {}
-    rows_before, size_before, last = 0, 0, object()
-    for r in sorted(dealt.mapInArrow(totals, shape).collect(), key=lambda r: (r.pid, r.at)):
-        if group and last != r.name:
-            rows_before, size_before, last = 0, 0, r.name
-        offsets[r.pid, r.name] = rows_before, size_before
-        rows_before, size_before = rows_before + r.rows, size_before + r.bytes
-
-    def add(batches):
-        pid, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            before, index = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            sizes = batch.column(size).to_numpy(zero_copy_only=False)
-            for name, a, b in runs(batch, group):
-                at_row, at_size = seen.get(name) or offsets[pid, name]
-                sums = np.cumsum(sizes[a:b])
-                before[a:b], index[a:b] = at_size + sums - sizes[a:b], at_row + np.arange(b - a)
-                seen = {name: (at_row + b - a, at_size + int(sums[-1]))}
-            yield with_columns(batch, _before=before, _index=index)
-
-    return dealt.mapInArrow(add, T.StructType([*dealt.schema.fields, T.StructField("_before", T.LongType()), T.StructField("_index", T.LongType())]))

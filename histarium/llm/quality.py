@@ -43,39 +43,43 @@ def _count_of(text: F.Column, chars: str) -> F.Column:
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the struct ``_q`` with ``COUNTS`` and the counts that the measures need.
 
-    Null and empty texts have zero everywhere.
+    Null and empty texts have zero everywhere. ``docs`` must have no column
+    called ``_q``; all others are carried along.
     """
+    if "_q" in (c.lower() for c in docs.columns):
+        raise ValueError("the column _q is taken")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     spaced = F.translate(text, SPACES, " " * len(SPACES))
-    df = docs.withColumn("_w", F.filter(F.split(spaced, " "), lambda w: w != ""))
-    df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    n = F.size("_h")
+    own = {k: free_name(docs, f"_{k}") for k in ("words", "hashes", "windows", "twice", "sorted", "places", "lines")}
+    w, h, g, twice, s, p, lines = own.values()
+    df = docs.withColumn(w, F.filter(F.split(spaced, " "), lambda x: x != ""))
+    df = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
+    n = F.size(h)
     at = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_g", F.transform(at, lambda i: F.xxhash64(*[F.element_at("_h", i + k) for k in range(WINDOW)])))
+    df = df.withColumn(g, F.transform(at, lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(WINDOW)])))
     # Windows are counted by sorting: only texts with a window that recurs look for its places.
-    df = df.withColumn("_twice", F.size("_g") > F.size(F.array_distinct("_g")))
-    df = df.withColumn("_s", F.when(F.col("_twice"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    pairs = F.zip_with("_s", F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    df = df.withColumn("_p", F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull())))))
+    df = df.withColumn(twice, F.size(g) > F.size(F.array_distinct(g)))
+    df = df.withColumn(s, F.when(F.col(twice), F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    pairs = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    df = df.withColumn(p, F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))))
     covered = F.aggregate(
-        F.zip_with("_p", F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))),
+        F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))),
         F.lit(0),
         lambda total, x: total + x,
     )
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    df = df.withColumn("_l", lines)
+    df = df.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != ""))
     letters = F.length(text)
     counts = {
         "n_words": n,
         "word_chars": letters - _count_of(text, SPACES),
         "n_symbols": _count_of(text, SYMBOLS),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": F.when(F.col("_twice"), covered).otherwise(0),
-        "n_lines": F.size("_l"),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.when(F.col(twice), covered).otherwise(0),
+        "n_lines": F.size(lines),
         "n_shouts": _count_of(text, "!?"),
         "n_upper": letters - F.length(F.regexp_replace(text, r"\p{Lu}", "")),
     }
-    return df.withColumn("_q", F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])).drop("_w", "_h", "_g", "_twice", "_s", "_p", "_l")
+    return df.withColumn("_q", F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])).drop(*own.values())
 
 
 def measures() -> dict[str, F.Column]:
@@ -153,16 +157,18 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     called ``_q`` or ``_v``.
     """
     counted = with_counts(docs, text_col) if counted is None else counted
-    limits = saved(fences(sketches(counted, lang_col, source_col)))
-    limits = limits.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
-    if limits.count() <= BROADCAST_GROUPS:
-        limits = F.broadcast(limits)
-    held = counted.join(limits, F.col(f"`{lang_col}`").eqNullSafe(F.col("_lang")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_source")), "left")
+    if "_v" in (c.lower() for c in counted.columns):
+        raise ValueError("the column _v is taken")
+    limits, lang, source = (free_name(counted, c) for c in ("_limits", "_lang", "_source"))
+    fenced = saved(fences(sketches(counted, lang_col, source_col)).toDF(lang, source, limits))
+    if fenced.count() <= BROADCAST_GROUPS:
+        fenced = F.broadcast(fenced)
+    held = counted.join(fenced, F.col(f"`{lang_col}`").eqNullSafe(F.col(lang)) & F.col(f"`{source_col}`").eqNullSafe(F.col(source)), "left")
     m = measures()
-    beyond = F.coalesce(*[F.when(m[k] > F.element_at("limits", k), k) for k in LEAST_SPREAD])
+    beyond = F.coalesce(*[F.when(m[k] > F.element_at(limits, k), k) for k in LEAST_SPREAD])
     reason = F.when(base_failed(), "base").otherwise(beyond)
     verdict = F.struct(base_failed().alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"))
-    return held.withColumn("_v", verdict).drop("limits", "_lang", "_source")
+    return held.withColumn("_v", verdict).drop(limits, lang, source)
 
 
 def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -173,11 +179,11 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that pass, columns as they were.
+    """The documents that pass, columns as they were, whatever they are called.
 
-    The counts are computed twice, once for the sketches and once to judge:
-    cheaper than to store or shuffle the texts.
+    The documents are saved once with their counts: counting takes ten times
+    as long as writing and reading them.
     """
-    row = free_name(docs, "_row")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_l0"), F.col(f"`{source_col}`").alias("_s0"))
-    return judged(packed, "_text", "_l0", "_s0").filter("_v.kept").select(f"{row}.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"))
+    counted = saved(with_counts(packed).drop("text"))
+    return judged(packed, "text", "lang", "source", counted).filter("_v.kept").select("row.*")

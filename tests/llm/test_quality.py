@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from histarium.llm import quality
-from histarium.llm.quality import fences, keep_good, quality_table, sketches, with_counts
+from histarium.llm.quality import fences, judged, keep_good, quality_table, sketches, with_counts
 
-SCHEMA = "doc_id long, text string, lang string, source string, _w int, limits string, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, _words int, _limits string, _h string, row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -26,7 +28,7 @@ def cases():
     docs = [(i, text(rng.randrange(20, 90)), rng.choice(["de", "en", None]), rng.choice(["s0", "s1", None])) for i in range(300)]
     docs += [(400 + i, " ".join(w + "***" for w in text(40).split()), "de", "s0") for i in range(10)]
     docs += [(500, None, "en", None), (501, "", None, "s1"), (502, "x y z " * 3000, "de", "s1"), (503, "same line here\n" * 30, "en", "s0"), (504, " \t\n ", "en", "s0"), (5, docs[5][1], docs[5][2], docs[5][3])]
-    return [(*d, 1, "l", "n") for d in docs]
+    return [(*d, 1, "l", "h", "n") for d in docs]
 
 
 def test_counts_equal_brute_force_and_junk_goes(spark):
@@ -43,7 +45,7 @@ def test_counts_equal_brute_force_and_junk_goes(spark):
 
 
 def test_sketches_merge_in_any_order(spark):
-    df = with_counts(spark.createDataFrame(cases(), SCHEMA).drop("_w", "limits", "n"))
+    df = with_counts(spark.createDataFrame(cases(), SCHEMA))
     whole = Counter({tuple(r)[:4]: r.n for r in sketches(df, "lang", "source").collect()})
     parts = Counter()
     for k in range(3):
@@ -52,7 +54,7 @@ def test_sketches_merge_in_any_order(spark):
 
 
 def test_small_groups_take_merged_thresholds(spark):
-    df = with_counts(spark.createDataFrame(cases(), SCHEMA).drop("_w", "limits", "n"))
+    df = with_counts(spark.createDataFrame(cases(), SCHEMA))
     limits = {(r.lang, r.source): r.limits for r in fences(sketches(df, "lang", "source"), min_group=10_000).collect()}
     assert len({str(sorted(v.items())) for v in limits.values()}) == 1
     assert set(next(iter(limits.values()))) == set(quality.LEAST_SPREAD)
@@ -61,3 +63,18 @@ def test_small_groups_take_merged_thresholds(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert quality_table(none).count() == 0 and keep_good(none).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_extra_columns_and_both_joins(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", most)
+    df = spark.createDataFrame(cases(), SCHEMA)
+    out = judged(df)
+    assert out.columns == [*df.columns, "_q", "_v"]
+    assert {r._h for r in out.collect()} == {"h"} and {r._limits for r in out.collect()} == {"l"}
+    assert sorted(r.doc_id for r in out.filter("_v.kept").collect()) == sorted(r.doc_id for r in keep_good(df).collect())
+
+
+def test_taken_names_are_an_error(spark):
+    with pytest.raises(ValueError):
+        with_counts(spark.createDataFrame([("x", 1)], "text string, _Q int"))
