@@ -20,38 +20,41 @@ WEIGHTS = (5, 2, 1)
 SHARE, REPEATS = 1.5, 2
 
 
-def fair_targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> dict[str | None, float]:
-    """Words to take from each source: by weight, none over ``repeats`` times its size.
-
-    What a full source cannot take is shared by weight among the others.
+def fair_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> tuple[DataFrame, int]:
+    """``source, source_size, target``, the words to take from each source, and the budget.
+
+    sizes: ``source, size``. Words go by weight, none over ``repeats`` times its
+    size; what a full source cannot take is shared by weight among the others:
+    in the order of size over weight, sources are full until one is not at the
+    level that the full ones leave. Sources may be very many (hosts, say); the
+    driver gets sums only.
     """
-    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    budget, left = share * sum(sizes.values()), sum(weight.values())
-    level, full = 0.0, 0
-    for s in sorted(names, key=lambda s: (repeats * sizes[s] / weight[s], s is None, (s or "").encode())):
-        level = (budget - full) / left
-        if repeats * sizes[s] / weight[s] >= level:
-            break
-        full, left = full + repeats * sizes[s], left - weight[s]
-    else:
-        level = float("inf")
-    return {s: float(min(repeats * sizes[s], weight[s] * level)) for s in names}
+    ranked = running_sums(sizes.withColumn("no_source", F.col("source").isNull()), ["no_source", "source"], "size")
+    cycle = F.array(*[F.lit(int(w)) for w in weights])
+    weighed = saved(ranked.select("no_source", "source", "size", F.element_at(cycle, (F.col("_index") % len(weights) + 1).cast("int")).alias("weight")))
+    total = weighed.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget, full = share * (total["size"] or 0), F.col("size") * repeats
+    ratio = full.cast("double") / F.col("weight")
+    ahead = running_sums(weighed.withColumn("full", full).withColumn("ratio", ratio), ["ratio", "no_source", "source"], ["full", "weight"])
+    level = (F.lit(budget) - F.col("_before_full")) / (F.lit(total["weight"]) - F.col("_before_weight"))
+    first = ahead.filter(F.col("ratio") >= level).agg(F.min_by(level, "_index")).first()[0]
+    target = F.least(full.cast("double"), F.col("weight") * F.lit(float("inf") if first is None else first))
+    return saved(weighed.select("source", F.col("size").alias("source_size"), target.alias("target"))), int(budget)
 
 
 def _queued(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     """Adds nothing but the operator's own columns; the queue's order is (key, tie)."""
     return docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        n_words(F.col(text_col)).alias("size"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        n_words(F.col(f"`{text_col}`")).alias("size"),
         *_order(id_col, text_col, seed),
     )
 
 
 def _order(id_col: str, text_col: str, seed: str) -> list[F.Column]:
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":" + seed)))
-    return [key.alias("key"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("tie")]
+    key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(":" + seed)))
+    return [key.alias("key"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tie")]
 
 
 def mix_table(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
@@ -59,8 +62,8 @@ def mix_table(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: i
 
     Null text has size 0 and nothing is taken of it; null sources are one
     source, the last; rows of equal id and text stand together in the queue and
-    count one by one; an empty table gives no rows. Only ids, sources and sizes
-    are sorted. The driver gets one total for each source.
+    count one by one; an empty table gives no rows; ids may be of any type. Only
+    ids, sources and sizes are sorted.
     """
     queue = saved(_queued(docs, id_col, text_col, source_col, seed))
     mixed = _taken(queue, weights, share, repeats)
@@ -71,18 +74,18 @@ def _finish(epoch: int) -> F.Column:
     return (F.col("source_size") * epoch + F.col("sent")) / F.when(F.col("target") > 0, F.col("target"))
 
 
+def _same(a: str, b: str) -> F.Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def _taken(queue: DataFrame, weights, share: float, repeats: int) -> DataFrame:
     """The queue with ``source_size``, ``target`` and ``taken``."""
-    spark = queue.sparkSession
-    sizes = {r.source: r.size for r in queue.groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    targets = fair_targets(sizes, weights, share, repeats)
-    totals = [(s, sizes[s], targets[s]) for s in sizes]
-    budget = int(sum(sizes.values()) * share)
+    targets, budget = fair_targets(queue.groupBy("source").agg(F.sum("size").alias("size")), weights, share, repeats)
     queue = queue.withColumn("no_source", F.col("source").isNull())
     sent = running_sums(queue, ["no_source", "source", "key", "tie"], "size", "source")
-    told = spark.createDataFrame(totals, "source_ string, source_size long, target double")
     sent = sent.withColumn("sent", F.col("_before") + F.col("size")).withColumnRenamed("_index", "place").drop("_before")
-    sent = saved(sent.join(F.broadcast(told), F.col("source").eqNullSafe(F.col("source_"))).drop("source_"))
+    # Both sides are tables: Spark broadcasts targets of a small size and splits hot sources otherwise.
+    sent = saved(saved(sent).join(targets.withColumnRenamed("source", "source_"), _same("source", "source_")).drop("source_"))
     # A source that fills its target in one pass is not sent twice.
     times = F.array(*[F.struct(F.lit(e).alias("epoch"), _finish(e).alias("finish")) for e in range(repeats)])
     copies = sent.filter("size > 0").select("no_source", "source", "place", "size", F.explode(times).alias("t")).select("*", "t.*").drop("t").filter(F.col("finish").isNotNull())
@@ -103,17 +106,15 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat
     """The documents of the mix themselves, all columns kept, repeats as rows of their own.
 
     A source's queue is taken from its head, so one border for each source and
-    pass decides, and no text is moved: the table of borders, a row for each
-    source, is joined to the documents. Rows equal in id and text share a place
-    at the border and go in together.
+    pass decides, and the table of borders is joined to the documents: while it
+    is small, Spark broadcasts it and moves no text. Rows equal in id and text
+    share a place at the border and go in together.
     """
     queue = saved(_queued(docs, id_col, text_col, source_col, seed))
     taken = _taken(queue, weights, share, repeats)
-    borders = taken.filter("size > 0").groupBy("source").agg(*[F.max(F.when(F.col("taken") >= e * F.col("size"), F.struct("key", "tie"))).alias(f"border{e}") for e in range(1, repeats + 1)]).withColumnRenamed("source", "source_")
-    borders = docs.sparkSession.createDataFrame(borders.collect(), borders.schema)  # a row for each source
-    if borders.isEmpty():
-        return docs.limit(0)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("source_own"), n_words(F.col(text_col)).alias("size"), F.struct(*_order(id_col, text_col, seed)).alias("place"))
-    held = own.join(F.broadcast(borders), F.col("source_own").eqNullSafe(F.col("source_")))
+    borders = taken.filter("size > 0").groupBy("source").agg(*[F.max(F.when(F.col("taken") >= e * F.col("size"), F.struct("key", "tie"))).alias(f"border{e}") for e in range(1, repeats + 1)])
+    borders = saved(borders.withColumnRenamed("source", "source_"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source_own"), n_words(F.col(f"`{text_col}`")).alias("size"), F.struct(*_order(id_col, text_col, seed)).alias("place"))
+    held = own.join(borders, _same("source_own", "source_"))
     times = sum((F.when((F.col("size") > 0) & (F.col("place") <= F.col(f"border{e}")), 1).otherwise(0) for e in range(1, repeats + 1)), F.lit(0))
     return held.withColumn("times", times).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

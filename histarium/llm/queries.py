@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from .common import table
 from .decontaminate import contamination_table
 from .hmm import score_documents
@@ -64,7 +62,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": corpus_pipeline.run,
     "op1_hmm_score": op1_hmm_score,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secrets": op3_secrets,

@@ -5,8 +5,10 @@ from hashlib import md5
 
 import pytest
 
-from histarium.llm.mixing import fair_targets, mix_documents, mix_table
+from histarium.llm import mixing
+from histarium.llm.mixing import mix_documents, mix_table
 from histarium.llm.sharding import assign_shards, write_shards
+from plain import fair_targets
 
 SCHEMA = "doc_id long, text string, source string, size int, target string"
 
@@ -17,11 +19,12 @@ def cases():
     return docs + [(900, None, "a", 0, None), (901, "", "zero", 0, None), (None, "x y", "b", 0, None), (5, docs[5][1], docs[5][2], 7, "x"), (902, "long " * 4000, "b", 0, None)]
 
 
-def test_targets_fill_and_share():
-    t = fair_targets({"a": 100, "b": 100, "c": 100, None: 0})
-    assert t == {"a": 200.0, "b": pytest.approx(450 - 200 - t["c"]), "c": pytest.approx((450 - 200) / 3), None: 0.0}
-    assert sum(fair_targets({"a": 10, "b": 0}).values()) == 15
-    assert fair_targets({}) == {}
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100, None: 0}, {"a": 10, "b": 0}, {}, {f"h{i:03}": (i * 37) % 101 for i in range(200)} | {None: 9}])
+def test_targets_fill_and_share(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(3)
+    targets, budget = mixing.fair_targets(df)
+    got = {r.source: r.target for r in targets.collect()}
+    assert got == pytest.approx(fair_targets(sizes)) and budget == int(1.5 * sum(sizes.values()))
 
 
 def test_mix_equals_fair_queueing(spark):

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from histarium.llm.mixing import fair_targets
+from plain import fair_targets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
