@@ -5,13 +5,17 @@ split into full rows and a rest. The pieces of a pool, longest first, each go to
 the open row with the least room that holds them; a segment tree over capacities
 finds that room in as many steps as the row length has bits. A task packs its
 own documents pool by pool: nothing is shuffled and memory is bounded by a pool.
+
+Which documents share a row, and the numbers of rows, therefore follow from how
+the input is dealt into partitions; what each document's pieces are does not.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from itertools import chain
+from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -20,35 +24,107 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_id
+from .words import Words, buffers
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenizer of that vocabulary, and its free id, which ends a text. Fixed values.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 LENGTH, POOL_TOKENS = 2048, 4_000_000
-#: Strings whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Stretches whose ids a worker remembers, and bytes of text encoded at a time.
+REMEMBERED, SLICE_BYTES = 1_000_000, 1 << 22
 
-#: No pre-token goes from a visible character to white space after it, so texts whose only
-#: white space is spaces and line feeds can be encoded in stretches of these.
-STRETCH, OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: No pre-token goes from a visible character to white space after it, so texts whose only white
+#: space is spaces and line feeds can be encoded in stretches, [ \n]*[^ \n]+ or [ \n]+ at the end.
+OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: Bytes that such other white space begins with: control characters, and leads of non-ASCII spaces.
+SUSPECT = np.zeros(256, bool)
+SUSPECT[[*range(0x09, 0x0A), *range(0x0B, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-class Encoder(dict):
-    """Ids of texts; frequent stretches are remembered."""
+class Encoder:
+    """Ids of texts. Stretches are told apart by 64-bit hashes and lengths, each is
+    encoded once, and the ids of a slice of texts are then gathered with numpy."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
         self.encode_ordinary = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, stretch: str) -> list[int]:
-        ids = self.encode_ordinary(stretch)
-        if len(self) < REMEMBERED:
-            self[stretch] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        if OTHER_SPACE.search(text):
-            return self.encode_ordinary(text)
-        return list(chain.from_iterable(map(self.__getitem__, STRETCH.findall(text))))
+        self.width = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.width[list(ranks.values())] = [len(t) for t in ranks]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, keys: np.ndarray, stretches: list[bytes]) -> None:
+        # Stretches from white space to a visible character do not mix when they follow each
+        # other, so they are encoded in one call and told apart by the bytes of their tokens.
+        joint = np.array([s[0] in b" \n" and s[-1] not in b" \n" for s in stretches])
+        new: list[np.ndarray] = []
+        tokens = np.array(self.encode_ordinary(b"".join([s for s, j in zip(stretches, joint.tolist(), strict=True) if j]).decode()), np.int32)
+        size = np.cumsum([len(s) for s, j in zip(stretches, joint.tolist(), strict=True) if j])
+        ends = np.searchsorted(np.cumsum(self.width[tokens]), size) + 1 if len(size) else size
+        n = np.zeros(len(keys), np.int64)
+        n[joint] = np.diff(ends, prepend=0)
+        for i in np.flatnonzero(~joint).tolist():
+            new.append(np.array(self.encode_ordinary(stretches[i].decode()), np.int32))
+            n[i] = len(new[-1])
+        order = np.r_[np.flatnonzero(joint), np.flatnonzero(~joint)]  # as their tokens stand
+        self.ids = np.concatenate([self.ids, tokens, *new])
+        at = np.r_[self.at, len(self.first) - 1 + np.arange(len(keys))]
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum(n[order])]
+        known = np.r_[self.known, keys[order]]
+        by = np.argsort(known, kind="stable")
+        self.known, self.at = known[by], at[by]
+
+    def _numbers(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Place in ``first`` of each stretch; those met for the first time are encoded."""
+        distinct, one, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if len(self.known) + new.sum() > REMEMBERED:
+            self._forget()
+            new[:] = True
+        if new.any():
+            self._learn(distinct[new], [data[starts[i] : ends[i]].tobytes() for i in one[new].tolist()])
+        return self.at[np.searchsorted(self.known, distinct)][inverse]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; the bytes of all are handled at once."""
+        edges = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+        odd = np.diff(np.r_[0, np.cumsum(SUSPECT[np.frombuffer(b"".join(texts), np.uint8)])][edges])
+        whole = {i: np.array(self.encode_ordinary(texts[i].decode()), np.int32) for i in np.flatnonzero(odd).tolist() if OTHER_SPACE.search(texts[i].decode())}
+        plain = iter(self._encode([t for i, t in enumerate(texts) if i not in whole]))
+        return [whole[i] if i in whole else next(plain) for i in range(len(texts))]
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(data):
+            return [np.zeros(0, np.int32)] * len(texts)
+        edges = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+        white = (data == 0x20) | (data == 0x0A)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[1:-1] = white[1:] & ~white[:-1]
+        begins[edges] = True
+        starts = np.flatnonzero(begins[:-1])
+        ends, first = np.r_[starts[1:], len(data)], np.searchsorted(starts, edges)
+        # With the length in the key, a clash needs equal hashes of equally long stretches.
+        keys = Words(data, starts, ends, first).hashes() ^ (ends - starts).astype(np.uint64)
+        number = self._numbers(keys, starts, ends, data)
+        n = np.diff(self.first)[number]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = self.ids[np.repeat(self.first[number] - upto[:-1], n) + np.arange(upto[-1])]
+        return [ids[a:b] for a, b in zip(upto[first[:-1]], upto[first[1:]], strict=True)]
+
+    def slices(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column, in order; nulls count as empty."""
+        data, offsets = buffers(column)
+        lo, n = 0, len(offsets) - 1
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, side="right")) - 1)
+            yield from self.encode([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)])
+            lo = hi
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +132,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: The encoder of this worker, by vocabulary: later tasks go on with what earlier ones taught it.
+_kept: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, ranks) -> Encoder:
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Encoder(ranks.value)
+    return _kept[name]
+
+
 class Capacities:
     """Open rows by the room they have left; the least room that suffices is found by descent."""
 
@@ -116,15 +203,16 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LE
     with. ``cu_seqlens``: where segments begin, and where the last ends.
     ``resets``: places at which positions start from 0 again, the filling
     included. Every document has its end token, so null and empty texts have
-    one token; null ids stay null; repeated rows are packed each; an empty
-    table gives no rows. The ranks of the tokenizer are read on the driver and
+    one token; ids are whole numbers; null ids stay null; repeated rows are
+    packed each; an empty table gives no rows. The ranks of the tokenizer are read on the driver and
     broadcast; their number is fixed.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
+    name = sha256(repr(sorted(ranks.value.items())).encode()).hexdigest()
     width = np.dtype("<u2" if max(end, *ranks.value.values()) < 1 << 16 else "<u4")
 
     def pack(batches):
-        encoder, number, pid = Encoder(ranks.value), 0, TaskContext.get().partitionId()
+        encoder, number, pid = _encoder(name, ranks), 0, TaskContext.get().partitionId()
         pieces: list[tuple[int | None, int, np.ndarray]] = []
         held = 0
 
@@ -149,8 +237,8 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LE
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), types, strict=True)], names=list(out))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = np.array([*encoder.encode(text.as_py() or ""), end], width)
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.slices(batch.column(1)), strict=True):
+                tokens = np.append(ids, end).astype(width)
                 pieces += [(doc, i, tokens[i : i + length]) for i in range(0, len(tokens), length)]
                 held += len(tokens)
                 if held >= pool_tokens:
@@ -160,7 +248,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LE
             yield packed()
 
     shape = "pack_id string, ids binary, n_tokens int, doc_ids array<long>, offsets array<long>, cu_seqlens array<int>, resets array<int>"
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pack, shape)
+    return docs.select(whole_id(docs, id_col), F.col(f"`{text_col}`")).mapInArrow(pack, shape)
 
 
 def write_packs(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,15 @@ ENCODER = Encoder(RANKS)
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'st 12.,é日\n\t  \x1c !"), max_size=40))
 def test_stretches_encode_as_whole_texts(text):
-    assert ENCODER.encode(text) == PLAIN.encode_ordinary(text)
+    assert ENCODER.encode([text.encode()])[0].tolist() == PLAIN.encode_ordinary(text)
+
+
+def test_many_texts_at_once_and_little_memory(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    rng, encoder = random.Random(1), Encoder(RANKS)
+    for _ in range(40):
+        texts = [" ".join(rng.choices([f"w{i}" for i in range(90)] + ["", "\n", "é", "tab\t", "\u3000x"], k=rng.randrange(30))) for _ in range(9)]
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [PLAIN.encode_ordinary(t) for t in texts]
 
 
 @settings(max_examples=100, deadline=None)
@@ -36,8 +45,8 @@ def test_best_fit_decreasing_equals_search(sizes):
 
 def test_round_trip(spark, tmp_path):
     rng = random.Random(4)
-    docs = [(i, " ".join(rng.choices(["alpha", "béta", "x1", "\n", "  "], k=rng.choice([1, 9, 200, 900])))) for i in range(60)] + [(90, None), (91, ""), (92, "long " * 9000), (93, "tab\there")]
-    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, ids string")
+    docs = [(i, " ".join(rng.choices(["alpha", "béta", "x1", "\n", "  "], k=rng.choice([1, 9, 200, 900])))) for i in range(60)] + [(90, None), (91, ""), (92, "long " * 9000), (93, "tab\there"), (None, "no number")]
+    df = spark.createDataFrame([(d, t, "x", 0) for d, t in docs], "doc_id long, text string, ids string, pack_id int")
     rows = write_packs(df, str(tmp_path / "packs"), length=256, pool_tokens=5000).collect()
     pieces = {}
     for r, ids in zip(rows, id_matrix(rows), strict=True):
@@ -55,3 +64,15 @@ def test_empty_table_and_full_rows(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert position_ids([0], 4).tolist() == [0, 1, 2, 3]
     assert packing.Capacities(8).take(3) is None
+
+
+def test_repeated_rows_and_ids_are_packed_each(spark):
+    rows = [(7, "one two"), (7, "one two"), (None, "one two"), (None, None), (7, "other")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(str(d) for r in got for d in r.doc_ids) == ["7", "7", "7", "None", "None"]
+    assert sum(r.n_tokens for r in got) == sum(len(PLAIN.encode_ordinary(t or "")) + 1 for _, t in rows)
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        pack_documents(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
