@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, tasks, text_bytes, whole_id
 from .words import U64, covered, mix, window_hashes, words
 
 #: Words of a window. Fixed value of the data contract.
@@ -90,7 +90,7 @@ def _cut(keys: np.ndarray) -> zip:
     return zip(keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True) if len(keys) else zip([], [], [], strict=True)
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, n_buckets: int, n_groups: int, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, n_buckets: int, n_groups: int, n_tasks: int, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``at, kind, ids, data``: for each group of documents, hashes of windows
     (``_GLOBAL``, one for each id) or first and last words of stretches
     (``_LOCAL``, two numbers for each id) to remove."""
@@ -161,8 +161,8 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, n_
         ids, hashes, group = ids[by], hashes[by], group[by]
         return pa.Table.from_batches([_sent([(k, _GLOBAL, _pack(ids[i:j]), hashes[i:j].tobytes()) for k, i, j in _cut(group)])])
 
-    found = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(send, _SENT)
-    return found.groupBy("at").applyInArrow(settle, _SENT)
+    found = docs.select(whole_id(docs, id_col), F.col(f"`{text_col}`")).mapInArrow(send, _SENT)
+    return found.repartition(n_tasks, "at").groupBy("at").applyInArrow(settle, _SENT)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_text: bool = False) -> DataFrame:
@@ -171,13 +171,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window over it also starts in a document of smaller id.
     Null and empty texts have no words; texts shorter than a window stay; null
     ids count as larger than all; rows that share an id do not remove each
-    other's words, but what goes from one goes from each that has it. An empty
-    table gives no rows.
+    other's words, but what goes from one goes from each that has it. Ids are
+    whole numbers. An empty table gives no rows.
     """
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = partitions(docs.sparkSession)
+    size = text_bytes(docs, text_col)
+    n, n_tasks = partitions(docs.sparkSession), tasks(docs.sparkSession, size)
     n_groups = max(2 * n, size // GROUP_BYTES)
-    lost = repeated_windows(docs, id_col, text_col, width, max(2 * n, size // 6 // BUCKET_WINDOWS), n_groups)
+    lost = repeated_windows(docs, id_col, text_col, width, max(2 * n, size // 6 // BUCKET_WINDOWS), n_groups, n_tasks)
 
     def texts(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -237,5 +237,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
 
     shape = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    rows = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(texts, _SENT)
-    return rows.unionByName(lost).groupBy("at").applyInArrow(finish, shape)
+    rows = docs.select(whole_id(docs, id_col), F.col(f"`{text_col}`")).mapInArrow(texts, _SENT)
+    return rows.unionByName(lost).repartition(n_tasks, "at").groupBy("at").applyInArrow(finish, shape)

@@ -3,6 +3,7 @@ import re
 from hashlib import sha256
 
 import numpy as np
+import pytest
 
 from histarium.llm import substrings
 from histarium.llm.substrings import _Buckets, remove_repeats
@@ -74,3 +75,11 @@ def test_hashes_survive_their_buckets():
         for k in np.unique(of)[:50]:
             own = h[of == k]
             assert (b.full(int(k), b.low(own)) == own).all()
+
+
+def test_extra_columns_and_wrong_ids(spark):
+    docs = cases()
+    df = spark.createDataFrame([(*d, 1, b"x", "y") for d in docs], "doc_id long, text string, kind int, ids binary, n_words string")
+    assert sorted((tuple(r) for r in remove_repeats(df).collect()), key=str) == brute(docs)
+    with pytest.raises(TypeError):
+        remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
