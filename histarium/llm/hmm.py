@@ -11,8 +11,10 @@ forward and backward recursions over its texts, many side by side, and adds up
 expected counts; Spark sums those of all tasks by symbol, and the driver divides.
 
 Word counts, of which there are as many as distinct words, stay distributed: in
-the scoring pass, blocks of texts send their rarer words to the bucket of their
-hash, get the counts back, and so finish base and model score.
+the scoring pass, a block of texts sends each of its rarer words once to the
+bucket of its hash, whatever its number of places, gets the counts back, and so
+finishes base and model score. A bucket holds a range of hashes, so a word that
+stands in all texts costs it one number for each block.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import partitions, saved, tasks, text_bytes, whole_id
 from .words import U64, Words, mix, words
 
 #: Folds and smoothing. Fixed values of the data contract.
@@ -44,7 +46,7 @@ END = U64(0x454E440000000000)
 
 
 def word_ids(w: Words) -> np.ndarray:
-    """64-bit id of each word: its hash, with the class in the low bits."""
+    """Id of each word: 58 bits of its hash, and its class (of the last two bytes) in the low six."""
     last = w.data[w.ends - 1].astype(U64)
     second = np.where(w.ends - w.starts > 1, w.data[w.ends - 2], 0).astype(U64)
     kind = mix(last * U64(256) + second) & U64(CLASSES - 1)
@@ -82,10 +84,10 @@ def _unzip(data: bytes, kind) -> np.ndarray:
 
 def held_out(id_col: str) -> F.Column:
     """Whether a document is left out of training; null ids are not."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def count_words(train: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
+def count_words(train: DataFrame, text_col: str, n_buckets: int, n_tasks: int = 1) -> DataFrame:
     """``bucket, ids, counts``: sorted ids of a bucket's words, with their counts, packed."""
 
     def rows(ids, counts):
@@ -118,7 +120,7 @@ def count_words(train: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
         return pa.Table.from_batches([rows(ids[starts], np.add.reduceat(counts, starts))])
 
     shape = "bucket int, ids binary, counts binary"
-    return train.select(text_col).mapInArrow(count, shape).groupBy("bucket").applyInArrow(add, shape)
+    return train.select(text_col).mapInArrow(count, shape).repartition(max(n_tasks, partitions(train.sparkSession)), "bucket").groupBy("bucket").applyInArrow(add, shape)
 
 
 @dataclass
@@ -346,26 +348,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased (ASCII); tokens are the words between white space and
     one end. ``base_score``: sum of log10((c + 0.5) / (N + 0.5 * (V + 1))).
     ``score``: log10 of the text's probability under the hidden Markov model.
-    Null and empty texts are one end; rows with a null id are trained on;
+    Ids are whole numbers. Null and empty texts are one end; rows with a null id are trained on;
     repeated rows are counted and scored each; without any training text all
     counts are 0. ``docs`` must give the same rows in the same order when a task
     is run again, as files and checkpoints do; a mismatch is an error, not a
     wrong score.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_buckets = max(2 * partitions(spark), size // 6 // BUCKET_WORDS)
-    data = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
+    size = text_bytes(docs, text_col)
+    n_tasks, n_buckets = tasks(spark, size), max(2 * partitions(spark), size // 6 // BUCKET_WORDS)
+    data = docs.select(whole_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col).alias("held_out"))
     train = data.filter(~F.col("held_out"))
-    counted = saved(count_words(train, "text", n_buckets))
+    counted = saved(count_words(train, "text", n_buckets, n_tasks))
     lex = lexicon(counted, vocabulary)
     model = first_model(lex, states)
     for _ in range(rounds):
         model = train_round(train, "text", lex, model)
-    return _score(data, counted, lex, model, n_buckets).withColumnRenamed("id", id_col)
+    return _score(data, counted, lex, model, n_buckets, n_tasks).withColumnRenamed("id", id_col)
 
 
-def _score(data: DataFrame, counted: DataFrame, lex: Lexicon, model: Model, n_buckets: int) -> DataFrame:
+def _score(data: DataFrame, counted: DataFrame, lex: Lexicon, model: Model, n_buckets: int, n_tasks: int) -> DataFrame:
     sent = data.sparkSession.sparkContext.broadcast((lex, model))
     n_groups = max(n_buckets, 1)
 
@@ -400,12 +402,11 @@ def _score(data: DataFrame, counted: DataFrame, lex: Lexicon, model: Model, n_bu
                 check = zlib.crc32(meta.tobytes())
                 block = f"{pid}-{number}-{check}"
                 number += 1
-                ids, text = ids[rare], text[rare]
-                bucket = bucket_of(ids, n_buckets)
-                by = np.argsort(bucket, kind="stable")
-                ids, text, bucket = ids[by], text[by].astype(np.int32), bucket[by]
-                asked = [(-1 - k, _ASK, block, ids[i:j].tobytes(), _zip(np.diff(text[i:j], prepend=np.int32(0))), b"") for k, i, j in _stretches(bucket)]
-                yield _rows([(zlib.crc32(block.encode()) % n_groups, _META, block, _zip(meta), np.stack([base, likely, of_class]).tobytes(), np.array([len(ids)], np.int64).tobytes()), *asked])
+                own, which = np.unique(ids[rare], return_inverse=True)
+                text = text[rare]
+                places = np.r_[len(own), len(text), np.diff(text, prepend=0), which].astype(np.int32)
+                asked = [(-1 - k, _ASK, block, own[i:j].tobytes(), b"", b"") for k, i, j in _stretches(bucket_of(own, n_buckets))]
+                yield _rows([(zlib.crc32(block.encode()) % n_groups, _META, block, _zip(meta), np.stack([base, likely, of_class]).tobytes(), _zip(places)), *asked])
 
     def answer(key, table):
         bucket = -1 - key[0].as_py()
@@ -424,7 +425,7 @@ def _score(data: DataFrame, counted: DataFrame, lex: Lexicon, model: Model, n_bu
             if len(ids):
                 at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
                 found = np.where(ids[at] == asked, counts[at], 0)
-            out.append((zlib.crc32(block.encode()) % n_groups, _ASK, block, _zip(found), b[i].as_py(), b""))
+            out.append((zlib.crc32(block.encode()) % n_groups, _ASK, block, _zip(found), np.array([bucket], np.int64).tobytes(), b""))
         return pa.Table.from_batches([_rows(out)])
 
     lex_total, base_unit = lex.total, float(np.log10(lex.total + ADD * (lex.distinct + 1)))
@@ -441,14 +442,14 @@ def _score(data: DataFrame, counted: DataFrame, lex: Lexicon, model: Model, n_bu
                 raise RuntimeError(f"block {block} came {len(heads)} times: the input changed between runs of a task")
             n_tokens, n_known, out, has_id, doc = _unzip(a[heads[0]].as_py(), np.int64).reshape(5, -1)
             base, likely, of_class = np.frombuffer(b[heads[0]].as_py()).reshape(3, -1)
-            n_known, rare, asked = n_known.copy(), np.zeros(len(base)), 0
-            for i in sorted((i for i in own if kinds[i] == _ASK), key=lambda i: b[i].as_py()):
-                counts, text = _unzip(a[i].as_py(), np.int64), np.cumsum(_unzip(b[i].as_py(), np.int32))
-                rare += np.bincount(text, np.log10(counts + ADD), minlength=len(base))
-                n_known += np.bincount(text[counts > 0], minlength=len(base))
-                asked += len(counts)
-            if asked != np.frombuffer(c[heads[0]].as_py(), np.int64)[0]:
+            asked = sorted((int(np.frombuffer(b[i].as_py(), np.int64)[0]), i) for i in own if kinds[i] == _ASK)
+            counts = np.concatenate([np.zeros(0, np.int64), *[_unzip(a[i].as_py(), np.int64) for _, i in asked]])
+            places = _unzip(c[heads[0]].as_py(), np.int32)
+            if len(counts) != places[0]:
                 raise RuntimeError(f"block {block} misses counts: the input changed between runs of a task")
+            text, which = np.cumsum(places[2 : 2 + places[1]]), places[2 + places[1] :]
+            rare = np.bincount(text, np.log10(counts + ADD)[which], minlength=len(base))
+            n_known = n_known + np.bincount(text[counts[which] > 0], minlength=len(base))
             parts.append(
                 pa.Table.from_arrays(
                     [pa.array(doc, mask=has_id == 0), pa.array(out != 0), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(doc), lex_total)), pa.array(base + rare - n_tokens * base_unit), pa.array(likely + rare - of_class)],
@@ -458,6 +459,6 @@ def _score(data: DataFrame, counted: DataFrame, lex: Lexicon, model: Model, n_bu
         return pa.concat_tables(parts)
 
     told = counted.select((-1 - F.col("bucket")).alias("at"), F.lit(_COUNTS).alias("kind"), F.lit("").alias("block"), F.col("ids").alias("a"), F.col("counts").alias("b"), F.lit(b"").alias("c"))
-    answered = data.mapInArrow(send, _ROW).unionByName(told).groupBy("at").applyInArrow(answer, _ROW)
+    answered = data.mapInArrow(send, _ROW).unionByName(told).repartition(n_tasks, "at").groupBy("at").applyInArrow(answer, _ROW)
     shape = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answered.groupBy("at").applyInArrow(finish, shape)
+    return answered.repartition(n_tasks, "at").groupBy("at").applyInArrow(finish, shape)

@@ -119,3 +119,23 @@ def test_lattice_keeps_every_word_once():
     first = np.array([0, 4, 5, 9, 11])
     lattice = Lattice(np.arange(11), first, np.array([0, 2, 3, 1]))
     assert sorted(lattice.symbols.tolist()) == list(range(11))
+
+
+def test_extra_columns_and_wrong_ids(spark):
+    docs = cases()
+    plain = score_documents(spark.createDataFrame(docs, SCHEMA), vocabulary=8, states=2, rounds=1)
+    more = spark.createDataFrame([(*d, 1, "x", 2.0) for d in docs], SCHEMA + ", id int, at string, score double")
+    got = score_documents(more, vocabulary=8, states=2, rounds=1)
+    assert got.columns == plain.columns
+    assert sorted(str(r[:5]) for r in got.collect()) == sorted(str(r[:5]) for r in plain.collect())
+    with pytest.raises(TypeError):
+        score_documents(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_small_blocks_give_the_same_scores(spark, monkeypatch):
+    df = spark.createDataFrame(cases(), SCHEMA)
+    want = {str(r[0]): r for r in score_documents(df, vocabulary=8, states=2, rounds=1).collect()}
+    monkeypatch.setattr(hmm, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(hmm, "BUCKET_WORDS", 20)
+    for r in score_documents(df, vocabulary=8, states=2, rounds=1).collect():
+        assert tuple(r[1:5]) == tuple(want[str(r[0])][1:5]) and np.allclose(r[5:], want[str(r[0])][5:])
