@@ -7,14 +7,18 @@ longest run that ends there and also stands in an item. Whenever that run is at
 least a window long, or a whole short item ends there, those words are hit.
 
 A word that no item has resets the automaton, so stretches of known words that
-are shorter than any window are passed over unread. Documents are not shuffled;
-the automaton is broadcast, and building refuses benchmarks of over
-``MAX_ITEM_BYTES``, which bounds it.
+are shorter than any window are passed over unread. The automaton is broadcast
+and documents are not shuffled. A benchmark of more than ``PART_WORDS`` words is
+dealt out to several automata of about that size, one pass over the documents
+for each, and what they hit is united: the size of what the driver and a worker
+hold is bounded, the benchmark's is not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -23,97 +27,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, free_name, saved
 from .words import ALNUM, Words, covered, words
 
 #: Words of a window. Fixed value of the data contract.
 WINDOW = 10
 #: Documents of which more than this share of the words is hit go as a whole.
 MAX_COVERAGE = 0.5
-#: Bound of what is collected and broadcast: bytes of all items' texts.
-MAX_ITEM_BYTES = 256 << 20
+#: Words of the items of one automaton, about 100 bytes each in memory, and of one piece of a long item.
+PART_WORDS, PIECE_WORDS = 1_000_000, 100_000
+#: The token of a word that no item has.
+UNKNOWN = -2
 
 
 class SuffixAutomaton:
-    """All runs of tokens of some sequences, each run with the sequences it stands in."""
+    """All runs of tokens of some sequences, each run with the sequences it stands in.
+
+    Most states have one way out, kept in two arrays; ``more`` has the others.
+    """
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        paths = [(name, [self.ids.setdefault(w, len(self.ids)) for w in tokens]) for name, tokens in items if tokens]
-        self.shortest = min((len(p) for _, p in paths), default=window)
-        ends = []
-        for _, path in paths:
+        self.token, self.target, self.more = array("q", [-1]), array("q", [0]), {}
+        self.link, self.length = array("q", [-1]), array("q", [0])
+        of: dict[tuple[int, ...], list[int]] = {}
+        self.names: list[str] = []
+        for name, tokens in items:
+            if tokens:
+                of.setdefault(tuple(self.ids.setdefault(w, len(self.ids)) for w in tokens), []).append(len(self.names))
+                self.names.append(name)
+        self.shortest = min(map(len, of), default=window)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for path, named in of.items():
             last = 0
             for token in path:
                 last = self._extend(last, token)
-            ends.append(last)
-        order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+            if len(path) < window:
+                own.setdefault(last, []).extend((len(path), i) for i in named)
         #: The state that holds the last ``window`` tokens of a state's runs.
-        self.tail = [0] * len(self.link)
+        self.tail = array("q", bytes(8 * len(self.link)))
         #: (length, item) of the short items that end where a state's runs end.
-        self.whole: list[tuple[tuple[int, str], ...]] = [()] * len(self.link)
-        own: dict[int, list[tuple[int, str]]] = {}
-        for (name, path), end in zip(paths, ends, strict=True):
-            if len(path) < window:
-                own.setdefault(end, []).append((len(path), name))
-        for s in order:
+        self.whole: dict[int, tuple[tuple[int, int], ...]] = {}
+        length = np.frombuffer(self.length, np.int64)
+        for s in np.argsort(length, kind="stable")[1:].tolist():
             up = self.link[s]
             self.tail[s] = s if self.length[up] < window <= self.length[s] else self.tail[up]
-            self.whole[s] = (*own.get(s, ()), *self.whole[up])
-        #: Items in which the window of a tail state stands.
-        self.items: dict[int, set[str]] = {}
-        for name, path in paths:
+            above = self.whole.get(up, ())
+            if s in own or above:
+                self.whole[s] = (*own[s], *above) if s in own else above
+        #: Items in which the window of a tail state stands: the first, and sets where there are several.
+        self.item, self.several = array("q", [-1]) * len(self.link), {}
+        for path, named in of.items():
             state = 0
             for i, token in enumerate(path):
-                state = self.next[state][token]
+                state = self._next(state, token)
                 if i + 1 >= window:
-                    self.items.setdefault(self.tail[state], set()).add(name)
+                    at = self.tail[state]
+                    if self.item[at] < 0:
+                        self.item[at] = named[0]
+                    if len(named) > 1 or self.item[at] != named[0]:
+                        self.several.setdefault(at, {self.item[at]}).update(named)
+
+    def _next(self, state: int, token: int) -> int:
+        """The state after a token, or -1."""
+        if self.token[state] == token:
+            return self.target[state]
+        return self.more[state].get(token, -1) if state in self.more else -1
+
+    def _lead(self, state: int, token: int, to: int) -> None:
+        if self.token[state] in (-1, token):
+            self.token[state], self.target[state] = token, to
+        else:
+            self.more.setdefault(state, {})[token] = to
 
-    def _add(self, length: int, link: int, follow: dict[int, int]) -> int:
-        self.next.append(follow)
+    def _add(self, length: int, link: int, like: int = -1) -> int:
+        """A new state, with the ways out of state ``like``."""
+        new = len(self.link)
         self.link.append(link)
         self.length.append(length)
-        return len(self.link) - 1
+        self.token.append(-1 if like < 0 else self.token[like])
+        self.target.append(0 if like < 0 else self.target[like])
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
+        return new
 
     def _extend(self, last: int, token: int) -> int:
         """The state of the run of state ``last``, longest form, with ``token`` after it."""
-        known = self.next[last].get(token)
-        if known is not None and self.length[known] == self.length[last] + 1:
-            return known
-        if known is not None:
-            return self._split(last, token, known)
-        new, p = self._add(self.length[last] + 1, 0, {}), last
-        while p != -1 and token not in self.next[p]:
-            self.next[p][token] = new
+        known = self._next(last, token)
+        if known >= 0:
+            return known if self.length[known] == self.length[last] + 1 else self._split(last, token, known)
+        new, p = self._add(self.length[last] + 1, 0), last
+        while p != -1 and (q := self._next(p, token)) < 0:
+            self._lead(p, token, new)
             p = self.link[p]
         if p != -1:
-            q = self.next[p][token]
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, token, q)
         return new
 
     def _split(self, p: int, token: int, q: int) -> int:
         """A state for those runs of ``q`` that are no longer than ``p``'s and the token."""
-        half = self._add(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        half = self._add(self.length[p] + 1, self.link[q], q)
         self.link[q] = half
-        while p != -1 and self.next[p].get(token) == q:
-            self.next[p][token] = half
+        while p != -1 and self._next(p, token) == q:
+            self._lead(p, token, half)
             p = self.link[p]
         return half
 
-    def scan(self, tokens: list[int | None]) -> tuple[list[int], list[int], set[str], int]:
+    def scan(self, tokens: list[int]) -> tuple[list[int], list[int], set[str], int]:
         """(places, widths) of the hit runs, the items met, and the longest match."""
         at, width, met, longest = [], [], set(), 0
         state = size = 0
-        next_, link, length, tail, whole, window = self.next, self.link, self.length, self.tail, self.whole, self.window
+        only, target, more, link, length, whole, window = self.token, self.target, self.more, self.link, self.length, self.whole, self.window
         for i, token in enumerate(tokens):
-            follow = next_[state].get(token)
-            while follow is None and state:
+            while True:
+                follow = target[state] if only[state] == token else more[state].get(token, -1) if state in more else -1
+                if follow >= 0 or not state:
+                    break
                 state = link[state]
                 size = length[state]
-                follow = next_[state].get(token)
-            if follow is None:
+            if follow < 0:
                 continue
             state, size = follow, size + 1
             if size > longest:
@@ -121,13 +154,18 @@ class SuffixAutomaton:
             if size >= window:
                 at.append(i - window + 1)
                 width.append(window)
-                met |= self.items[tail[state]]
-            for n, name in whole[state]:
+                tail = self.tail[state]
+                met.update(self.several.get(tail, (self.item[tail],)))
+            for n, item in whole.get(state, ()):
                 if n <= size:
                     at.append(i - n + 1)
                     width.append(n)
-                    met.add(name)
-        return at, width, met, longest
+                    met.add(item)
+        return at, width, {self.names[m] for m in met}, longest
+
+
+#: Of a text: hit or not for each of its words, items met, longest match; None: nothing.
+Found = tuple[np.ndarray, set[str], int] | None
 
 
 class Scanner:
@@ -139,9 +177,8 @@ class Scanner:
         found = [w.hashes() for _, _, w in words(column, ALNUM)]
         self.known = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
-    def scan(self, w: Words) -> list[tuple[np.ndarray, set[str], int] | None]:
-        """For each text: hit or not for each of its words, items met, longest match; None: nothing."""
-        out: list[tuple[np.ndarray, set[str], int] | None] = [None] * (len(w.first) - 1)
+    def scan(self, w: Words) -> list[Found]:
+        out: list[Found] = [None] * (len(w.first) - 1)
         if not len(self.known) or not len(w.starts):
             return out
         hashes = w.hashes()
@@ -156,7 +193,7 @@ class Scanner:
         use = known[begins] & (stops - begins >= least)
         text = np.searchsorted(w.first, begins[use], side="right") - 1
         for t, a, b in zip(text, begins[use], stops[use], strict=True):
-            places, widths, met, longest = self.automaton.scan([self.automaton.ids.get(w.word(i)) for i in range(a, b)])
+            places, widths, met, longest = self.automaton.scan([self.automaton.ids.get(w.word(i), UNKNOWN) for i in range(a, b)])
             hit, had, most = out[t] or (np.zeros(w.first[t + 1] - w.first[t], bool), set(), 0)
             if places:
                 hit[a - w.first[t] : b - w.first[t]] |= covered(b - a, np.array(places), np.array(widths))
@@ -164,56 +201,133 @@ class Scanner:
         return out
 
 
-def build_scanner(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES) -> Scanner:
-    """Collects the items, whose size is checked first, and builds the automaton.
+def item_pieces(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> tuple[DataFrame, int]:
+    """``part, item, text`` and the number of parts: normalised items, long ones in
+    pieces that overlap by a window less one word, dealt out by their text.
 
     Items without words never match; equal items all count; a null id reads ``null``.
     """
-    size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; the automaton is built for {max_bytes} at most")
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")).collect()
-    items = []
-    for lo, _, w in words(pa.array([r.text for r in rows], pa.string()), ALNUM, lower=True):
-        for t in range(len(w.first) - 1):
-            items.append((rows[lo + t].item, [w.word(i) for i in range(w.first[t], w.first[t + 1])]))
-    return Scanner(SuffixAutomaton(items, window))
-
-
-def contamination_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``id_col, n_words, n_hit, n_items, items_sha256, contaminated, longest``, a row for each document.
+    most = max(min(PIECE_WORDS, part_words), 2 * window)
+
+    def cut(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for lo, _, w in words(batch.column(1), ALNUM, lower=True):
+                rows = []
+                for t in range(len(w.first) - 1):
+                    own = [w.word(i) for i in range(w.first[t], w.first[t + 1])]
+                    at = range(0, len(own) - window + 1, most - window + 1) if len(own) > most else [0]
+                    rows += [{"item": names[lo + t], "text": b" ".join(own[i : i + most]).decode(), "n": len(own[i : i + most])} for i in at if own]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.string()), ("text", pa.string()), ("n", pa.int64())]))
+
+    item = F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null"))
+    pieces = saved(benchmark.select(item.alias("item"), F.col(f"`{text_col}`").alias("text")).mapInArrow(cut, "item string, text string, n long"))
+    n_parts = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // part_words))
+    return pieces.select(F.pmod(F.xxhash64("text"), F.lit(n_parts)).cast("int").alias("part"), "item", "text"), n_parts
+
+
+def build_scanner(pieces: DataFrame, part: int, window: int = WINDOW) -> Scanner:
+    """The automaton of one part, whose items the driver collects."""
+    rows = pieces.filter(F.col("part") == part).select("item", "text").collect()
+    return Scanner(SuffixAutomaton(((r.item, r.text.encode().split(b" ")) for r in rows), window))
 
-    ``longest`` is the longest run of words shared with an item, as far as runs
-    of at least the shortest window were read. Null and empty texts have no
-    words; repeated rows give repeated rows; an empty benchmark hits nothing.
-    """
-    scanner = docs.sparkSession.sparkContext.broadcast(build_scanner(benchmark, item_col, item_text_col, window))
-    none = sha256(b"").hexdigest()
+
+def _keys(text: str) -> list[F.Column]:
+    return [F.xxhash64(F.col(f"`{text}`")), F.xxhash64(F.lit(1), F.col(f"`{text}`"), F.lit(2))]
+
+
+def _hits(docs: DataFrame, text_col: str, scanner: Scanner) -> DataFrame:
+    """``k1, k2, edges, items, longest`` of the texts that one automaton hits, each once;
+    ``edges``: where runs of hit words begin and end."""
+    sent = docs.sparkSession.sparkContext.broadcast(scanner)
 
     def scan(batches):
         for batch in batches:
-            for lo, hi, w in words(batch.column(1), ALNUM, lower=True):
-                found = scanner.value.scan(w)
-                n_hit = np.array([0 if f is None else int(f[0].sum()) for f in found], np.int64)
+            for lo, hi, w in words(batch.column(2), ALNUM, lower=True):
+                found = sent.value.scan(w)
+                at = [t for t, f in enumerate(found) if f is not None]
+                hit = [found[t] for t in at]
+                edges = [np.flatnonzero(np.diff(np.r_[False, f[0], False].astype(np.int8))) for f in hit]
+                own = batch.slice(lo, hi - lo).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(w.counts(), pa.int64()),
-                        pa.array(n_hit),
-                        pa.array([0 if f is None else len(f[1]) for f in found], pa.int64()),
-                        pa.array([none if f is None else sha256(",".join(sorted(f[1])).encode()).hexdigest() for f in found], pa.string()),
-                        pa.array(n_hit > 0),
-                        pa.array([0 if f is None else f[2] for f in found], pa.int64()),
-                    ],
-                    names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
+                    [own.column(0), own.column(1), pa.array(edges, pa.list_(pa.int64())), pa.array([sorted(f[1]) for f in hit], pa.list_(pa.string())), pa.array([f[2] for f in hit], pa.int64())],
+                    names=["k1", "k2", "edges", "items", "longest"],
                 )
 
+    k1, k2 = _keys(text_col)
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text_col}`")).mapInArrow(scan, "k1 long, k2 long, edges array<long>, items array<string>, longest long").dropDuplicates(["k1", "k2"])
+
+
+def _mark(n: int, edges: list[list[int]]) -> np.ndarray:
+    hit = np.zeros(n, bool)
+    for part in edges:
+        for a, b in zip(part[::2], part[1::2], strict=True):
+            hit[a:b] = True
+    return hit
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, part_words: int, act: Callable[[pa.RecordBatch, Words, list[Found]], Iterator[pa.RecordBatch]], shape) -> DataFrame:
+    """What ``act`` makes of each stretch of rows, their words and what the items hit in them."""
+    pieces, n_parts = item_pieces(benchmark, item_col, item_text_col, window, part_words)
+    where, context = docs.columns.index(text_col), docs.sparkSession.sparkContext
+    if n_parts == 1:
+        sent = context.broadcast(build_scanner(pieces, 0, window))
+
+        def scan(batches):
+            for batch in batches:
+                for lo, hi, w in words(batch.column(where), ALNUM, lower=True):
+                    yield from act(batch.slice(lo, hi - lo), w, sent.value.scan(w))
+
+        return docs.mapInArrow(scan, shape)
+    parts = [saved(_hits(docs, text_col, build_scanner(pieces, p, window))) for p in range(n_parts)]
+    united = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(F.collect_list("edges").alias("edges"), F.collect_list("items").alias("items"), F.max("longest").alias("longest"))
+    hits = saved(united)
+    discard(*parts)
+    k1, k2, hit = (free_name(docs, c) for c in ("_k1", "_k2", "_hit"))
+    keyed = docs.withColumns(dict(zip((k1, k2), _keys(text_col), strict=True)))
+    held = keyed.join(hits.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.struct("edges", "items", "longest").alias(hit)), [k1, k2], "left").select(*[F.col(f"`{c}`") for c in docs.columns], hit)
+
+    def look(batches):
+        for batch in batches:
+            for lo, hi, w in words(batch.column(where), ALNUM, lower=True):
+                told, n = batch.column(hit).slice(lo, hi - lo).to_pylist(), w.counts().tolist()
+                found = [None if h is None else (_mark(m, h["edges"]), set().union(*h["items"]), h["longest"]) for h, m in zip(told, n, strict=True)]
+                yield from act(batch.slice(lo, hi - lo).select(list(range(len(batch.columns) - 1))), w, found)
+
+    return held.mapInArrow(look, shape)
+
+
+def contamination_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """``id_col, n_words, n_hit, n_items, items_sha256, contaminated, longest``, a row for each document.
+
+    ``longest`` is the longest run of words shared with an item (a piece of it,
+    if it is cut), as far as runs of at least the shortest window were read.
+    Null and empty texts have no words; ids are of any type, null ones stay;
+    repeated rows give repeated rows; an empty benchmark hits nothing.
+    """
+    none = sha256(b"").hexdigest()
+
+    def tell(batch, w, found):
+        n_hit = np.array([0 if f is None else int(f[0].sum()) for f in found], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(w.counts(), pa.int64()),
+                pa.array(n_hit),
+                pa.array([0 if f is None else len(f[1]) for f in found], pa.int64()),
+                pa.array([none if f is None else sha256(",".join(sorted(f[1])).encode()).hexdigest() for f in found], pa.string()),
+                pa.array(n_hit > 0),
+                pa.array([0 if f is None else f[2] for f in found], pa.int64()),
+            ],
+            names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
+        )
+
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
-    return docs.select(id_col, text_col).mapInArrow(scan, shape)
+    return _scanned(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), benchmark, text_col, item_col, item_text_col, window, part_words, tell, shape)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, part_words: int = PART_WORDS) -> DataFrame:
     """The documents with hit spans cut out, columns as they were.
 
     Each run of hit words goes with what stands between them. A document of
@@ -221,39 +335,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     other documents stay as they are, nulls too. ``length_col``: a column with
     the text's length in characters, set anew where text was cut.
     """
-    scanner = docs.sparkSession.sparkContext.broadcast(build_scanner(benchmark, item_col, item_text_col, window))
     where = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col else None
 
-    def cut(batches):
-        for batch in batches:
-            for lo, hi, w in words(batch.column(where), ALNUM, lower=True):
-                part = batch.slice(lo, hi - lo)
-                found = scanner.value.scan(w)
-                if not any(f is not None and f[0].any() for f in found):
-                    yield part
-                    continue
-                texts, keep = part.column(where).to_pylist(), np.ones(hi - lo, bool)
-                lengths = part.column(length).to_pylist() if length is not None else None
-                starts = np.r_[0, np.cumsum([len((t or "").encode()) for t in texts])]
-                for t, f in enumerate(found):
-                    if f is None or not f[0].any():
-                        continue
-                    if f[0].sum() > max_coverage * len(f[0]):
-                        keep[t] = False
-                        continue
-                    raw, kept, at = texts[t].encode(), [], 0
-                    edges = np.flatnonzero(np.diff(np.r_[False, f[0], False].astype(np.int8)))
-                    for a, b in zip(edges[::2], edges[1::2], strict=True):
-                        kept.append(raw[at : w.starts[w.first[t] + a] - starts[t]])
-                        at = w.ends[w.first[t] + b - 1] - starts[t]
-                    texts[t] = b"".join([*kept, raw[at:]]).decode()
-                    if lengths is not None:
-                        lengths[t] = len(texts[t])
-                columns = part.columns
-                columns[where] = pa.array(texts, part.schema.field(where).type)
-                if lengths is not None:
-                    columns[length] = pa.array(lengths, part.schema.field(length).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(cut, T.StructType(docs.schema.fields))
+    def cut(part, w, found):
+        if not any(f is not None and f[0].any() for f in found):
+            yield part
+            return
+        texts, keep = part.column(where).to_pylist(), np.ones(part.num_rows, bool)
+        lengths = part.column(length).to_pylist() if length is not None else None
+        starts = np.r_[0, np.cumsum([len((t or "").encode()) for t in texts])]
+        for t, f in enumerate(found):
+            if f is None or not f[0].any():
+                continue
+            if f[0].sum() > max_coverage * len(f[0]):
+                keep[t] = False
+                continue
+            raw, kept, at = texts[t].encode(), [], 0
+            edges = np.flatnonzero(np.diff(np.r_[False, f[0], False].astype(np.int8)))
+            for a, b in zip(edges[::2], edges[1::2], strict=True):
+                kept.append(raw[at : w.starts[w.first[t] + a] - starts[t]])
+                at = w.ends[w.first[t] + b - 1] - starts[t]
+            texts[t] = b"".join([*kept, raw[at:]]).decode()
+            if lengths is not None:
+                lengths[t] = len(texts[t])
+        columns = part.columns
+        columns[where] = pa.array(texts, part.schema.field(where).type)
+        if lengths is not None:
+            columns[length] = pa.array(lengths, part.schema.field(length).type)
+        yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
+
+    return _scanned(docs, benchmark, text_col, item_col, item_text_col, window, part_words, cut, T.StructType(docs.schema.fields))
