@@ -2,20 +2,27 @@
 
 Besides the base patterns, long mixed strings near words such as ``key`` or
 ``auth`` are candidates. Each is measured by the bytes that it adds when zstd,
-primed with a dictionary of usual identifiers, compresses the text around it:
-the compressed size of the surroundings with the candidate, less that of the
+primed with a dictionary of identifiers, compresses the text around it: the
+compressed size of the surroundings with the candidate, less that of the
 surroundings alone. Identifiers, words and repeated values cost little; what
 costs most of its own length is reported as ``novel``.
+
+The dictionary is the corpus' own: names that look like code are counted in
+Spark by the documents that have them, and the most frequent follow a short list
+of usual ones. They are of letters and underscores, so no candidate, which needs
+a digit, is ever among them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from hashlib import sha256
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Base patterns and least lengths. Fixed values of the data contract.
@@ -36,6 +43,11 @@ IDENTIFIER, BEHIND = re.compile(r"(?a)\w*+"), re.compile(r"[+/.-]++")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Added bytes for each byte of a candidate from which it counts as incompressible. Random hex adds about 0.55.
 NOVELTY = 0.45
+#: Names that look like code: of several parts, or right before what assigns, calls or indexes.
+NAME = r"(?<![A-Za-z0-9_])(?:[A-Za-z]{2,24}_[A-Za-z_]{1,40}|[a-z]{2,24}[A-Z][A-Za-z]{1,40}|[A-Za-z]{4,32}(?=[=:(\[]))(?![A-Za-z0-9_])"
+#: Names in the dictionary at most, and documents that must have one. Names are under 70 bytes, so the dictionary is small.
+MOST_NAMES, LEAST_DOCUMENTS = 2000, 3
+#: Usual names, for corpora that have few.
 IDENTIFIERS = """
 access_key access_token accountId algorithm api_key apikey application/json args async authorization Authorization: Basic
 aws_access_key_id aws_secret_access_key base64 Bearer boolean certificate class client_id client_secret client const
@@ -48,11 +60,22 @@ undefined user_id username utf-8 value version void www.example.com xml yaml con
 """
 
 
+def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = MOST_NAMES) -> list[str]:
+    """The names that most documents have, the most frequent last, where they prime best.
+
+    Counted over all documents; the driver gets ``most`` rows.
+    """
+    names = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(NAME), F.lit(0)))).alias("name"))
+    counted = names.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS)
+    return [r.name for r in counted.orderBy(F.desc("n"), "name").limit(most).collect()][::-1]
+
+
 class Novelty:
     """Marginal compressed bytes of a string in its surroundings."""
 
-    def __init__(self) -> None:
-        words = zstandard.ZstdCompressionDict(" ".join(IDENTIFIERS.split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, identifiers: Sequence[str] = ()) -> None:
+        words = zstandard.ZstdCompressionDict(" ".join([*IDENTIFIERS.split(), *identifiers]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=9)
         self.zip = zstandard.ZstdCompressor(level=9, dict_data=words)
 
     def added(self, text: str, start: int, end: int) -> float:
@@ -113,16 +136,18 @@ def _told(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def secrets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: Sequence[str] | None = None) -> DataFrame:
     """``id_col, n_assign, n_access, n_hex, n_novel, base_sha256, spans``, a row for each row of ``docs``.
 
     Null and empty texts have no spans (``spans`` is then an empty string);
     a span found by two base patterns is told twice; repeated rows give repeated
-    rows; texts are scanned whole, whatever their length.
+    rows; ids are of any type; texts are scanned whole, whatever their length.
+    ``identifiers``: for the dictionary, those of ``docs`` unless given.
     """
+    identifiers = corpus_identifiers(docs, text_col) if identifiers is None else identifiers
 
     def scan(batches):
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         for batch in batches:
             found = [find_secrets(t, novelty) for t in batch.column(1).to_pylist()]
             base = [[s for s in f if s[1] < 3] for f in found]
@@ -133,15 +158,16 @@ def secrets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(scan, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", identifiers: Sequence[str] | None = None) -> DataFrame:
     """The documents with each span, or run of spans that overlap, replaced by ``mark``."""
     where = docs.columns.index(text_col)
+    identifiers = corpus_identifiers(docs, text_col) if identifiers is None else identifiers
 
     def redact(batches):
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         for batch in batches:
             texts = batch.column(where).to_pylist()
             for t, text in enumerate(texts):

@@ -1,11 +1,13 @@
 import random
 import re
 import string
+import time
+from collections import Counter
 from hashlib import sha256
 
 import pytest
 
-from histarium.llm.secrets import Novelty, find_secrets, redact_secrets, secrets_table
+from histarium.llm.secrets import NAME, Novelty, corpus_identifiers, find_secrets, redact_secrets, secrets_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -84,3 +86,84 @@ def test_long_strings_are_whole(spark, size):
     assert (a, 3, a + size) in find_secrets(text, Novelty())
     df = spark.createDataFrame([(text,)], "text string")
     assert redact_secrets(df).first().text == 'private_key: "[secret]" end'
+
+
+def plain_candidates(text):
+    """Each place of the text is tried by itself."""
+    inside = lambda p: p < len(text) and re.match(r"(?a)[\w+/.-]", text[p]) is not None
+
+    def end_of(p):
+        while inside(p):
+            p += 1
+        for n in (2, 1):
+            if text[p : p + n] == "=" * n and not (inside(p + n) or text[p + n : p + n + 1] == "="):
+                return p + n
+        return p
+
+    found, behind = set(), {}
+    for m in re.finditer(r"(?ai)key|secret|token|passw|passwd|pwd|auth|bearer|credential|private|access|signature|session|cookie", text):
+        for p in range(m.end(), min(len(text), m.end() + 49)):
+            if not (p and inside(p - 1)) and all(inside(p + i) for i in range(14)):
+                found.add((p, end_of(p)))
+        name = m.end()
+        while name < len(text) and re.match(r"(?a)\w", text[name]):
+            name += 1
+        start = name
+        while start < len(text) and text[start] in "+/.-":
+            start += 1
+        if start > name and inside(start):
+            behind.setdefault(end_of(start), set()).add(start)
+    found |= {(f(starts), end) for end, starts in behind.items() for f in (min, max)}
+    return sorted((a, b) for a, b in found if b - a >= 16 and re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b]))
+
+
+def plain_spans(text, novelty):
+    held = [(a, b) for a, b in ((int(s.split(":")[1]), int(s.split(":")[2])) for s in base(text))]
+    novel = []
+    for a, b in plain_candidates(text):
+        if all(not (x < b and y > a) for x, y in held + novel):
+            around = text[max(0, a - 1024) : a].encode() + text[b : b + 1024].encode()
+            added = len(novelty.zip.compress(around + text[a:b].encode())) - len(novelty.zip.compress(around))
+            if added >= 0.45 * (b - a):
+                novel.append((a, b))
+    return novel
+
+
+def config(rng):
+    value = lambda n: "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n))
+    names = ["api_key", "dbPassword", "authToken", "session_id", "max_retries", "loadConfig", "private.key", "access-key", "the key of", "cookie/"]
+    line = lambda: rng.choice(names) + rng.choice([" = ", "=", ": ", "('", "-", " ", "/"]) + rng.choice([value(rng.randrange(10, 50)), "true", "client_secret_access_key_1234", "a1" * 12, "=", value(20) + "=="])
+    return rng.choice(["\n", " ", ";\n"]).join(line() for _ in range(rng.randrange(1, 12)))
+
+
+def test_novel_spans_equal_a_plain_version(spark):
+    rng = random.Random(17)
+    texts = [config(rng) for _ in range(150)] + ["getThing(x) myKeyName=1"] * 4 + TEXTS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = corpus_identifiers(df)
+    code = re.compile(NAME)
+    counts = Counter(n for t in texts for n in {m[0] for m in code.finditer(t or "")})
+    assert names == sorted((n for n in counts if counts[n] >= 3), key=lambda n: (counts[n], [-ord(c) for c in n] + [1]))
+    assert {"getThing", "myKeyName", "dbPassword"} <= set(names)
+    novelty = Novelty(names)
+    for r in secrets_table(df).collect():
+        got = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("novel")]
+        assert got == plain_spans(texts[r.doc_id] or "", novelty), texts[r.doc_id]
+
+
+def test_names_of_the_corpus_are_no_secrets(spark):
+    name = "Xq_Zv_Wk_Jy_Bf_Gh_Tn_Rm_Pd_Lc"  # looks random, but the corpus is full of it
+    value = f"{name}_77"
+    assert find_secrets(f"auth {value} end", Novelty())
+    df = spark.createDataFrame([(i, f"call {name}(x{i})") for i in range(5)] + [(9, f"auth {value} end")], "doc_id long, text string")
+    assert [r.n_novel for r in secrets_table(df).collect()] == [0] * 6
+
+
+def test_very_many_keys_take_linear_time():
+    texts = ["\n".join(f"key{i} = {i:040x} auth_{i}: v{i}x{i * i:018d}" for i in range(n)) for n in (2_500, 10_000)]
+    seconds = []
+    for t in texts:
+        at = time.process_time()
+        spans = find_secrets(t, Novelty())
+        seconds.append(time.process_time() - at)
+    assert sum(k == 2 for _, k, _ in spans) == 10_000 and seconds[1] < 12 * seconds[0] + 1
