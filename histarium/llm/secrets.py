@@ -44,7 +44,7 @@ DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Added bytes for each byte of a candidate from which it counts as incompressible. Random hex adds about 0.55.
 NOVELTY = 0.45
 #: Names that look like code: of several parts, or right before what assigns, calls or indexes.
-NAME = r"(?<![A-Za-z0-9_])(?:[A-Za-z]{2,24}_[A-Za-z_]{1,40}|[a-z]{2,24}[A-Z][A-Za-z]{1,40}|[A-Za-z]{4,32}(?=[=:(\[]))(?![A-Za-z0-9_])"
+NAME = r"(?<![A-Za-z0-9_])(?:[A-Za-z]{2,24}+_[A-Za-z_]{1,40}+|[a-z]{2,24}+[A-Z][A-Za-z]{1,40}+|[A-Za-z]{4,32}+(?=[=:(\[]))(?![A-Za-z0-9_])"
 #: Names in the dictionary at most, and documents that must have one. Names are under 70 bytes, so the dictionary is small.
 MOST_NAMES, LEAST_DOCUMENTS = 2000, 3
 #: Usual names, for corpora that have few.
