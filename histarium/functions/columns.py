@@ -23,15 +23,26 @@ def numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def feature_columns(df: DataFrame, mode: str = "all", include_morphology: bool = True, include_centroids: bool = False) -> list[str]:
-    """Columns to cluster on. ``all``: numeric, no ids; ``suffix``: intensity
-    statistics and shapes; ``numeric``: every numeric column but ids."""
-    found = [c for c in numeric(df) if c not in IDS and (include_centroids or c not in CENTROIDS)]
+#: What each rule of ``feature_columns`` leaves out. Fixed values.
+NOT_CLUSTERED = ["label", "acquisition_id", "acquisition_name", "acquisition_label", "well", "cluster", "cell_id", "source_file", "source_well"]
+NOT_PLOTTED = ["cluster", "__group__", "cluster_phenotype", "manual_phenotype"]
+
+
+def feature_columns(df: DataFrame, mode: str = "all", include_morphology: bool = True, include_centroids: bool = True) -> list[str]:
+    """Numeric columns to work on, by one of three rules.
+
+    ``all``: all but ids and labels, to cluster on; ``suffix``: intensity
+    statistics and shapes, by name; ``numeric``: all but labels, ids and
+    centroids among them, to plot.
+    """
+    found = numeric(df)
     if mode == "suffix":
-        found = [c for c in found if statistic(c) or c in MORPHOLOGY]
-    elif mode not in ("all", "numeric"):
+        found = sorted(c for c in found if statistic(c) or c in MORPHOLOGY)
+    elif mode in ("all", "numeric"):
+        found = [c for c in found if c not in (NOT_CLUSTERED if mode == "all" else NOT_PLOTTED)]
+    else:
         raise ValueError(f"unknown mode {mode!r}")
-    return found if include_morphology else [c for c in found if c not in MORPHOLOGY]
+    return [c for c in found if (include_morphology or c not in MORPHOLOGY) and (include_centroids or c not in CENTROIDS)]
 
 
 def statistic(name: str) -> str | None:

@@ -7,23 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import average_rank
 from ..functions.scalar import finite
 from ..functions.tails import t_two_sided
 from .features import in_cells
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, to: str = "rank") -> DataFrame:
-    """Adds ranks in each group, ties sharing their mean rank.
-
-    Values are counted before they are ranked, so a group sorts its distinct
-    values only, and a value shared by many rows is one row.
-    """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy(value)) - F.col("_n")
-    ranked = counts.select(*by, value, (below + (F.col("_n") + 1) / 2).alias(to))
-    return df.join(ranked, [*by, value])
-
-
 def _pairs(pixels: DataFrame, mask: DataFrame | None) -> DataFrame:
     """Pixels of each two channels of an acquisition, where both are finite."""
     held = pixels.withColumn("value", finite(F.col("value"))).filter("value is not null")

@@ -53,7 +53,7 @@ def morphology(mask: DataFrame, pixel_size_um: float = 1.0) -> DataFrame:
 def touches_border(mask: DataFrame, acquisitions: DataFrame) -> DataFrame:
     """``acq_id, cell_id, touches_border``; acquisitions: ``acq_id, height, width``."""
     edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("width") - 1) | (F.col("y") == F.col("height") - 1)
-    return mask.filter("cell_id > 0").join(F.broadcast(acquisitions), "acq_id").groupBy(*CELL).agg(F.max(edge).alias("touches_border"))
+    return mask.filter("cell_id > 0").join(acquisitions, "acq_id").groupBy(*CELL).agg(F.max(edge).alias("touches_border"))
 
 
 def _shifts(offsets) -> F.Column:
@@ -160,11 +160,3 @@ def intensity_wide(long: DataFrame, channels: list[str], cofactor: float | None
         long = long.withColumns({s: arcsinh(F.col(s), cofactor) for s in names if s != "frac_pos"})
     wide = long.groupBy(*CELL).pivot("channel", channels).agg(*[F.first(s).alias(s) for s in names])
     return wide if len(names) > 1 else wide.select(*CELL, *[F.col(f"`{c}`").alias(f"{c}_{names[0]}") for c in channels])
-
-
-def extract_features(pixels: DataFrame, mask: DataFrame, channels: list[str], cofactor: float | None = 10.0, pixel_size_um: float = 1.0, shapes: bool = True) -> DataFrame:
-    """Shapes and intensities of all cells of all acquisitions, in one job."""
-    wide = intensity_wide(intensity_long(in_cells(pixels.filter(F.col("channel").isin(channels)), mask)), channels, cofactor)
-    if not shapes:
-        return wide
-    return morphology(mask, pixel_size_um).join(perimeter(mask), CELL).join(solidity(mask), CELL).join(wide, CELL)

@@ -1,9 +1,10 @@
-"""Neighbour joins: on the plane by grid buckets, in feature space by blocks.
+"""Neighbour joins: on the plane by grid buckets, in feature space by pivots.
 
-Planar joins are equality joins on grid cells: a radius join looks into 3 x 3
-cells of the radius' size; a nearest-neighbour join begins with cells that hold
-about k points and goes on, for the points that are not yet sure, with cells
-twice as wide. A point is sure when its k-th neighbour is no farther than a cell.
+A radius join is an equality join on grid cells of the radius' size, 3 x 3 of
+them. A nearest-neighbour join deals points to tiles, split where points are
+dense until a tile has few, and searches a tile and those around it as arrays; a
+point is sure when its k-th neighbour is no farther than what that reaches. The
+few that are not go on with a join on cells twice as wide in each round.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.lineage import saved
+from ..functions.lineage import discard, saved
 
 
 def _around() -> Column:
@@ -26,36 +28,140 @@ def _distance(ax: str = "x", ay: str = "y", bx: str = "x_", by: str = "y_") -> C
     return F.sqrt(F.pow(F.col(ax) - F.col(bx), 2) + F.pow(F.col(ay) - F.col(by), 2))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str], id_col: str = "cell_id", max_rounds: int = 30) -> DataFrame:
+#: Points of a tile, more or less, and levels of splitting at most: points still together then are at one place.
+TILE, LEVELS = 512, 30
+
+
+def _cell(x: str, x0: str, level: Column) -> Column:
+    """Number of the tile along an axis; the box is cut into 2^level."""
+    return F.floor((F.col(x) - F.col(x0)) / F.col("side") * F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _leaves(lefts: DataFrame, rights: DataFrame, on: list[str]) -> DataFrame:
+    """``on, level, cx, cy`` of tiles with left points that hold few, and few right ones
+    in them and around them. Where there are more, the next level is tried."""
+    leaves, pending, tile, most = None, lefts.select(*on, "tx", "ty", "x0", "y0", "side", "level"), [*on, "level", "cx", "cy"], 4 * TILE
+    for _ in range(LEVELS):
+        level = F.col("level")
+        keyed = pending.withColumn("cx", _cell("tx", "x0", level)).withColumn("cy", _cell("ty", "y0", level))
+        near = rights.groupBy(*on, "level", _cell("x", "x0", level).alias("cx"), _cell("y", "y0", level).alias("cy")).agg(F.count("*").alias("n"))
+        around = near.withColumn("d", _around()).select(*on, "level", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), "n").groupBy(*tile).agg(F.sum("n").alias("near"))
+        counts = saved(keyed.groupBy(*tile).agg(F.count("*").alias("n")).join(around, tile, "left"))
+        heavy = (F.col("n") > most) | (F.coalesce("near", F.lit(0)) > 9 * most)
+        small, rest = counts.filter(~heavy).select(*tile), counts.filter(heavy).select(*tile)
+        leaves = small if leaves is None else leaves.unionByName(small)
+        if rest.isEmpty():
+            return leaves
+        pending = saved(keyed.join(rest, tile, "left_semi").drop("cx", "cy").withColumn("level", level + 1))
+        rights = rights.withColumn("level", level + 1)
+    return leaves.unionByName(rest)
+
+
+def _search(k: int, on: list[str], kinds: pa.Schema):
+    """Nearest right points of each left point of a tile, among those of the tile and around it."""
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"id": [], "other": [], "distance": [], "place": [], "sure": []}
+        x, y, ids = (left.column(c).to_numpy() for c in ("x", "y", "id"))
+        if right.num_rows:
+            rx, ry, others = (right.column(c).to_numpy() for c in ("x_", "y_", "other"))
+            order = np.argsort(others, kind="stable")
+            rx, ry, others = rx[order], ry[order], others[order]
+        else:
+            rx, ry, others = np.zeros(0), np.zeros(0), ids[:0]
+        reach, covers = left.column("reach").to_numpy(), left.column("covers").to_numpy(zero_copy_only=False)
+        step = max(1, 2_000_000 // max(len(others), 1))
+        for lo in range(0, len(ids), step):
+            own = slice(lo, lo + step)
+            d = np.sqrt((x[own, None] - rx[None]) ** 2 + (y[own, None] - ry[None]) ** 2)
+            d[ids[own, None] == others[None]] = np.inf
+            n = min(k, d.shape[1])
+            if n == 0:
+                near = np.zeros((d.shape[0], 0), np.int64)
+            elif n < d.shape[1]:
+                # ties at the k-th distance go to the smaller id, so all of them are looked at
+                bound = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                most = int((d <= bound).sum(1).max())
+                some = np.sort(np.argpartition(np.where(d <= bound, d, np.inf), most - 1, axis=1)[:, :most], axis=1)
+                by = np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable")[:, :n]
+                near = np.take_along_axis(some, by, 1)
+            else:
+                near = np.argsort(d, axis=1, kind="stable")
+            dist = np.take_along_axis(d, near, 1)
+            found = np.isfinite(dist)
+            far = np.where(found.sum(1) == k, dist[:, -1] if n else np.inf, np.inf)
+            sure = covers[own] | (far < reach[own])
+            rows, places = np.nonzero(found)
+            none = np.flatnonzero(~found.any(1))  # told too, so that nothing is lost
+            out["id"] += [ids[own][rows], ids[own][none]]
+            out["other"] += [others[near][rows, places] if n else others[:0], ids[own][none]]
+            out["distance"] += [dist[rows, places], np.full(len(none), np.nan)]
+            out["place"] += [places + 1, np.zeros(len(none), np.int64)]
+            out["sure"] += [sure[rows], sure[none]]
+        columns = {c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}
+        keys = [pa.array([left.column(c)[0].as_py()] * len(columns["id"]), kinds.field(c).type) if left.num_rows else pa.array([], kinds.field(c).type) for c in on]
+        return pa.table([*keys, pa.array(columns["id"], kinds.field("id").type), pa.array(columns["other"], kinds.field("id").type), pa.array(columns["distance"], pa.float64()), pa.array(columns["place"], pa.int32()), pa.array(columns["sure"].astype(bool))], names=[*on, "id", "other", "distance", "place", "sure"])
+
+    return search
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str], id_col: str = "cell_id", max_rounds: int = 40) -> DataFrame:
     """``on, id_col, other, distance, place``: the k nearest of ``right`` for each of ``left``.
 
     Both: ``on, id_col, x, y``. Points with the same id are the same point and no
     neighbours; ties go to the smaller id. Groups with fewer points give fewer rows.
     """
     on = list(on)
+    point = lambda df: df.select(*on, F.col(id_col).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
+    left, right = point(left), point(right)
     box = right.groupBy(*on).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    size = F.greatest(F.sqrt(w * h * k / F.col("n")), F.greatest(w, h) * k / F.col("n"), F.lit(1e-9))
-    box = saved(box.select(*on, "x0", "y0", "x1", "y1", size.alias("size")))
-    points = saved(right.select(*on, F.col(id_col).alias("other"), F.col("x").alias("x_"), F.col("y").alias("y_")).join(box.select(*on, "x0", "y0", "size"), on))
-    pending = saved(left.select(*on, id_col, "x", "y").join(box, on))
-    found = None
-    near = Window.partitionBy(*on, id_col).orderBy("distance", "other")
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)) * (1 + 1e-9)
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("n") / TILE, F.lit(1.0))) / 2), F.lit(0)).cast("int")
+    box = saved(box.select(*on, "x0", "y0", side.alias("side"), level.alias("level")))
+    rights = saved(right.join(box, on))
+    inside = lambda c, c0: F.least(F.greatest(F.col(c), F.col(c0)), F.col(c0) + F.col("side") * (1 - 1e-9))
+    lefts = saved(left.join(box, on).withColumn("tx", inside("x", "x0")).withColumn("ty", inside("y", "y0")))
+    leaves = saved(_leaves(lefts, rights, on))
+    levels = [r.level for r in leaves.select("level").distinct().collect()]  # one for each depth of splitting
+    each = F.explode(F.array(*[F.lit(i) for i in sorted(levels)])).alias("level")
+    tile = [*on, "level", "cx", "cy"]
+    put = rights.select(*on, "id", "x", "y", "x0", "y0", "side", each).withColumn("cx", _cell("x", "x0", F.col("level"))).withColumn("cy", _cell("y", "y0", F.col("level"))).withColumn("d", _around())
+    put = put.select(*on, "level", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), F.col("id").alias("other"), F.col("x").alias("x_"), F.col("y").alias("y_")).join(leaves, tile, "left_semi")
+    asked = lefts.drop("level").select("*", each).withColumn("cx", _cell("tx", "x0", F.col("level"))).withColumn("cy", _cell("ty", "y0", F.col("level"))).join(leaves, tile, "left_semi")
+    size = F.col("side") / F.pow(F.lit(2.0), F.col("level"))
+    gap = lambda c, c0, n: F.least(F.col(c) - F.col(c0) - (F.col(n) - 1) * size, (F.col(n) + 2) * size - F.col(c) + F.col(c0))
+    # What the 3 x 3 tiles reach around the point, and whether they hold the whole box.
+    asked = asked.withColumn("reach", F.least(gap("x", "x0", "cx"), gap("y", "y0", "cy"))).withColumn("covers", (F.col("cx") <= 1) & (F.col("cy") <= 1) & (F.pow(F.lit(2.0), F.col("level")) <= F.greatest(F.lit(1), F.least("cx", "cy") + 2)))
+    kinds = to_arrow_schema(lefts.select(*on, "id").schema)
+    shape = ", ".join(f"`{c}` {lefts.schema[c].dataType.simpleString()}" for c in [*on, "id"]) + f", other {lefts.schema['id'].dataType.simpleString()}, distance double, place int, sure boolean"
+    met = saved(asked.select(*tile, "id", "x", "y", "reach", "covers").groupBy(*tile).cogroup(put.groupBy(*tile)).applyInArrow(_search(k, on, kinds), shape))
+    found = met.filter("sure and place > 0").drop("sure")
+    pending = lefts.join(met.filter("not sure").select(*on, "id").distinct(), [*on, "id"], "left_semi")
+    rest = _knn_rest(saved(pending), rights, k, on, max_rounds)
+    found = found if rest is None else found.unionByName(rest)
+    return found.withColumnRenamed("id", id_col)
+
+
+def _knn_rest(pending: DataFrame, rights: DataFrame, k: int, on: list[str], max_rounds: int) -> DataFrame | None:
+    """The nearest of points that a tile and those around it could not settle, by joins
+    on cells that are twice as wide in each round."""
+    found, near = None, Window.partitionBy(*on, "id").orderBy("distance", "other")
     for r in range(max_rounds):
-        step = F.col("size") * float(2**r)
-        bucket = lambda x, o: F.floor((F.col(x) - F.col(o)) / step).cast("long")  # noqa: E731, B023
-        put = points.select(*on, "other", "x_", "y_", bucket("x_", "x0").alias("bx"), bucket("y_", "y0").alias("by"))
-        look = pending.withColumn("cx", bucket("x", "x0")).withColumn("cy", bucket("y", "y0")).withColumn("step", step)
-        covers = (F.col("cx") <= 1) & (F.col("cy") <= 1) & (F.col("cx") + 1 >= bucket("x1", "x0")) & (F.col("cy") + 1 >= bucket("y1", "y0")) & (F.col("cx") >= -1) & (F.col("cy") >= -1)
-        asked = look.withColumn("covers", covers).withColumn("d", _around()).select(*on, id_col, "x", "y", "step", "covers", (F.col("cx") + F.col("d.i")).alias("bx"), (F.col("cy") + F.col("d.j")).alias("by"))
-        met = asked.join(put, [*on, "bx", "by"]).filter(F.col(id_col) != F.col("other")).withColumn("distance", _distance()).withColumn("place", F.row_number().over(near)).filter(F.col("place") <= k)
-        sure = met.groupBy(*on, id_col).agg(((F.max("place") == k) & (F.max("distance") <= F.first("step")) | F.first("covers")).alias("sure"))
-        met = saved(met.join(sure.filter("sure"), [*on, id_col]).select(*on, id_col, "other", "distance", "place"))
-        found = met if found is None else found.unionByName(met)
-        none = look.filter(covers).select(*on, id_col)  # looked everywhere: fewer than k points, or none, are there
-        pending = saved(pending.join(met.select(*on, id_col).unionByName(none).distinct(), [*on, id_col], "left_anti"))
         if pending.isEmpty():
             return found
+        level = F.col("level") - r
+        put = rights.select(*on, F.col("id").alias("other"), F.col("x").alias("x_"), F.col("y").alias("y_"), _cell("x", "x0", level).alias("bx"), _cell("y", "y0", level).alias("by"))
+        look = pending.withColumn("cx", _cell("x", "x0", level)).withColumn("cy", _cell("y", "y0", level)).withColumn("step", F.col("side") / F.pow(F.lit(2.0), level))
+        last = F.greatest(F.floor(F.pow(F.lit(2.0), level) * (1 - 1e-9)), F.lit(0))
+        look = look.withColumn("covers", (F.greatest("cx", "cy") <= 1) & (F.least("cx", "cy") + 1 >= last))
+        cells = look.withColumn("d", _around()).select(*on, "id", "x", "y", "step", "covers", (F.col("cx") + F.col("d.i")).alias("bx"), (F.col("cy") + F.col("d.j")).alias("by"))
+        met = cells.join(put, [*on, "bx", "by"]).filter(F.col("id") != F.col("other")).withColumn("distance", _distance()).withColumn("place", F.row_number().over(near)).filter(F.col("place") <= k)
+        sure = met.groupBy(*on, "id").agg(((F.max("place") == k) & (F.max("distance") < F.first("step")) | F.first("covers")).alias("sure"))
+        met = saved(met.join(sure.filter("sure"), [*on, "id"]).select(*on, "id", "other", "distance", F.col("place").cast("int").alias("place")))
+        found = met if found is None else found.unionByName(met)
+        none = look.filter("covers").select(*on, "id")  # looked everywhere: fewer than k points, or none, are there
+        before, pending = pending, saved(pending.join(met.select(*on, "id").unionByName(none).distinct(), [*on, "id"], "left_anti"))
+        discard(before)
     raise RuntimeError(f"neighbours not found in {max_rounds} rounds")
 
 
@@ -115,7 +221,7 @@ def nearest_by_cluster(cells: DataFrame, cluster: str = "cluster") -> DataFrame:
     nearest cell of each cluster of its region, itself left out."""
     right = cells.select("roi_id", F.col(cluster).alias("target"), "cell_id", "x", "y").filter("target is not null")
     targets = right.select("roi_id", "target").distinct()
-    left = cells.select("roi_id", "cell_id", "x", "y").join(F.broadcast(targets), "roi_id")
+    left = cells.select("roi_id", "cell_id", "x", "y").join(targets, "roi_id")
     found = knn_join(left, right, 1, ["roi_id", "target"])
     return found.join(cells.select("roi_id", "cell_id", F.col(cluster).alias("cluster")), ["roi_id", "cell_id"]).select("roi_id", "cell_id", "cluster", "target", F.col("other").alias("nearest"), "distance")
 
@@ -132,53 +238,141 @@ def match_centroids(a: DataFrame, b: DataFrame, label: str, tolerance: float = 5
 
 
 METRICS = ("euclidean", "manhattan", "cosine")
+#: Pivots at most: a bounded sample of rows, broadcast; rows of a block.
+PIVOTS, BLOCK_ROWS = 1024, 4096
+
+
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(x.shape[1], 1), dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
 
 
-def knn_features(df: DataFrame, key: str, cols: Sequence[str], k: int = 15, metric: str = "euclidean", block_rows: int = 4096) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "manhattan":
+        return np.stack([np.abs(y - row).sum(1) for row in x]) if len(x) else np.zeros((0, len(y)))
+    if x.shape[1] <= 8:
+        return np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, for which half the squared distance is one less the cosine;
+    rows of zeros get a direction of their own."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    zero = length[:, 0] < 1e-12
+    out = np.where(zero[:, None], 0.0, x / np.maximum(length, 1e-12))
+    return np.column_stack([out, zero.astype(float)])
+
+
+def _nearest(x, ids, y, others, k: int, metric: str):
+    """(row, other, distance) of the k nearest others of each row of x among y; equal distances by id."""
+    rows, found, far = [], [], []
+    order = np.argsort(others, kind="stable")
+    y, others = y[order], others[order]
+    for lo in range(0, len(x), 256):
+        d = _distances(x[lo : lo + 256], y, metric)
+        d[ids[lo : lo + 256, None] == others[None]] = np.inf
+        n = min(k, len(others))
+        if n < len(others):  # what ties with the k-th is looked at too
+            bound = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+            most = int((d <= bound).sum(1).max())
+            some = np.sort(np.argpartition(d, most - 1, axis=1)[:, :most], axis=1)
+            near = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable")[:, :n], 1)
+        else:
+            near = np.argsort(d, axis=1, kind="stable")
+        dist = np.take_along_axis(d, near, 1)
+        i, j = np.nonzero(np.isfinite(dist))
+        rows.append(i + lo)
+        found.append(others[near[i, j]])
+        far.append(dist[i, j])
+    return (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (rows, found, far))
+
+
+def knn_features(df: DataFrame, key: str, cols: Sequence[str], k: int = 15, metric: str = "euclidean", probes: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``key, other, distance, weight``: the k - 1 nearest others of each row in feature space.
 
-    As k counts the point itself. Exact: rows are dealt into blocks, each two
-    blocks meet in one task that keeps each row's nearest in that block, and the
-    nearest of all are kept then. The work is quadratic in rows; weight is 1/(1+d).
+    As k counts the point itself; weight is 1/(1+d). Rows are dealt to the nearest
+    of some pivots, a sample of ``PIVOTS`` rows at most, and in blocks of bounded
+    size within it. A row's own block gives a bound on its k-th distance; then the
+    row meets the blocks of those pivots whose ball reaches into that bound, so the
+    result is exact. ``probes``: only the blocks of so many nearest pivots are
+    met, which is approximate and takes a time in proportion to the rows.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    vectors = df.select(F.col(key).alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("v"))
-    blocks = max(1, -(-vectors.count() // block_rows))
-    dealt = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked, put = dealt.select(F.col("b").alias("i"), every.alias("j"), "id", "v"), dealt.select(every.alias("i"), F.col("b").alias("j"), "id", "v")
-
-    def meet(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "other": [], "distance": []})
-        x, y = np.stack(a["v"]), np.stack(b["v"])
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        out = []
-        for lo in range(0, len(x), 256):
-            d = _distances(x[lo : lo + 256], y, metric)
-            d[ids[lo : lo + 256, None] == others[None]] = np.inf
-            n = min(k - 1, len(others))
-            order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :n]
-            out.append(pd.DataFrame({"id": np.repeat(ids[lo : lo + 256], n), "other": others[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
-
-    kind = df.schema[key].dataType.simpleString()
-    met = asked.groupBy("i", "j").cogroup(put.groupBy("i", "j")).applyInPandas(meet, f"id {kind}, other {kind}, distance double")
+    spark, kind, dims = df.sparkSession, df.schema[key].dataType.simpleString(), len(cols) + (metric == "cosine")
+    way = "euclidean" if metric == "cosine" else metric
+    vectors = df.select(F.col(f"`{key}`").alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("v"))
+    n = vectors.count()
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(int(min(PIVOTS, max(1, n**0.5 // 2)))).collect()
+    if not sample:
+        return df.select(F.col(f"`{key}`").alias(key), F.col(f"`{key}`").alias("other"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("weight")).limit(0)
+    pivots = np.array([r.v for r in sample], float)
+    pivots = np.unique(_unit(pivots) if metric == "cosine" else pivots, axis=0)
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def deal(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1), len(cols))
+            x = _unit(x) if metric == "cosine" else x
+            at, near = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for lo in range(0, len(x), 1024):
+                d = _distances(x[lo : lo + 1024], sent.value, way)
+                at[lo : lo + 1024], near[lo : lo + 1024] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(x), pa.array(at.astype(np.int32)), pa.array(near)], names=["id", "v", "pivot", "near"])
+
+    dealt = saved(vectors.mapInArrow(deal, f"id {kind}, v array<double>, pivot int, near double"))
+    balls = {r.pivot: (r.n, r.radius) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("near").alias("radius")).collect()}
+    size, radius = np.array([balls.get(p, (0, -np.inf)) for p in range(len(pivots))]).reshape(-1, 2).T
+    blocks = np.maximum(np.ceil(size / block_rows), 1).astype(int)
+    of_pivot = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("pivot") + 1)
+    dealt = dealt.drop("near").withColumn("block", F.pmod(F.xxhash64("id"), of_pivot(blocks)).cast("int"))
+
+    def bound(table: pa.Table) -> pa.Table:
+        x, ids, visit = _matrix(table.column("v"), dims), table.column("id").to_numpy(), []
+        rows, _, far = _nearest(x, ids, x, ids, k - 1, way)
+        own = np.full(len(x), np.inf)
+        full = np.bincount(rows, minlength=len(x)) == k - 1
+        last = np.zeros(len(x))
+        np.maximum.at(last, rows, far)
+        own[full] = last[full]
+        for lo in range(0, len(x), 1024):
+            d = _distances(x[lo : lo + 1024], sent.value, way)
+            if probes is not None:
+                visit += list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32))
+                continue
+            sure = np.where(size >= k, d + radius, np.inf).min(1)  # a ball with k rows holds k - 1 others
+            reach = np.minimum(own[lo : lo + 1024], sure)
+            close = (d - radius <= reach[:, None] * (1 + 1e-9) + 1e-9) & (size > 0)
+            visit += [np.flatnonzero(row).astype(np.int32) for row in close]
+        return pa.table([table.column("id"), table.column("v"), pa.array(visit, pa.list_(pa.int32()))], names=["id", "v", "visit"])
+
+    if k < 2:
+        return df.select(F.col(f"`{key}`").alias(key), F.col(f"`{key}`").alias("other"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("weight")).limit(0)
+    asking = saved(dealt.groupBy("pivot", "block").applyInArrow(bound, f"id {kind}, v array<double>, visit array<int>"))
+    visits = asking.select("id", "v", F.explode("visit").alias("pivot"))
+    wanted = {r.pivot: r.n for r in asking.select(F.explode("visit").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+    shares = [-(-wanted.get(p, 1) // block_rows) for p in range(len(pivots))]
+    upto = lambda values, name: F.explode(F.sequence(F.lit(0), of_pivot(values) - 1)).alias(name)
+    asked = visits.select("id", "v", "pivot", F.pmod(F.xxhash64(F.lit(1), "id"), of_pivot(shares)).cast("int").alias("share"), upto(blocks, "block"))
+    put = dealt.select("id", "v", "pivot", "block", upto(shares, "share"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y, ids, others = _matrix(a.column("v"), dims), _matrix(b.column("v"), dims), a.column("id").to_numpy(), b.column("id").to_numpy()
+        rows, other, far = _nearest(x, ids, y, others, k - 1, way) if len(x) and len(y) else (np.zeros(0, np.int64), others[:0], np.zeros(0))
+        kinds = a.schema.field("id").type
+        return pa.table([pa.array(ids[rows], kinds), pa.array(other, kinds), pa.array(far * far / 2 if metric == "cosine" else far)], names=["id", "other", "distance"])
+
+    by = ["pivot", "block", "share"]
+    met = asked.groupBy(*by).cogroup(put.groupBy(*by)).applyInArrow(meet, f"id {kind}, other {kind}, distance double")
     best = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).filter(F.col("place") < k)
     return best.select(F.col("id").alias(key), "other", "distance", (1 / (1 + F.col("distance"))).alias("weight"))
 
 
-def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "manhattan":
-        return np.abs(x[:, None] - y[None]).sum(2)
-    if metric == "cosine":
-        norm = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        return np.maximum(1 - norm(x) @ norm(y).T, 0)
-    return np.sqrt(np.maximum((x[:, None] - y[None]) ** 2, 0).sum(2)) if x.shape[1] <= 8 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
-
-
 def symmetric_union(neighbours: DataFrame, key: str) -> DataFrame:
     """``src, dst, weight``: each undirected pair once, with the larger weight."""
     return neighbours.groupBy(F.least(key, "other").alias("src"), F.greatest(key, "other").alias("dst")).agg(F.max("weight").alias("weight"))

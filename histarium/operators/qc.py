@@ -4,24 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import in_cells, outside_cells
 
 IMAGE = ["acq_id", "channel"]
 
 
-def otsu(pixels: DataFrame, bins: int = 256, by=IMAGE) -> DataFrame:
+def otsu(pixels: DataFrame, bins: int | None = 256, by=IMAGE) -> DataFrame:
     """``acq_id, channel, threshold``: the bin centre that parts an image's values
     with the greatest variance between the classes; flat images: their value.
 
-    Histograms are counted in Spark, a row for each image and used bin.
+    A column of whole numbers (or ``bins=None``) has one bin for each value, as a
+    column of doubles has ``bins`` of equal width. Histograms are counted in
+    Spark, a row for each image and used bin.
     """
     by = list(by)
     ends = pixels.groupBy(*by).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    width = (F.col("b") - F.col("a")) / bins
-    number = F.least(F.floor((F.col("value") - F.col("a")) / width), F.lit(bins - 1)).cast("int")
-    hist = pixels.join(ends.filter("b > a"), by).select(*by, "a", width.alias("w"), number.alias("bin")).groupBy(*by, "a", "w", "bin").agg(F.count("*").alias("n"))
-    hist = hist.withColumn("centre", F.col("a") + (F.col("bin") + 0.5) * F.col("w"))
+    held = pixels.join(ends.filter("b > a"), by)
+    if bins is None or isinstance(pixels.schema["value"].dataType, T.IntegralType):
+        hist = held.groupBy(*by, F.col("value").alias("bin")).agg(F.count("*").alias("n")).withColumn("centre", F.col("bin").cast("double"))
+    else:
+        width = (F.col("b") - F.col("a")) / bins
+        number = F.least(F.floor((F.col("value") - F.col("a")) / width), F.lit(bins - 1)).cast("int")
+        hist = held.select(*by, "a", width.alias("w"), number.alias("bin")).groupBy(*by, "a", "w", "bin").agg(F.count("*").alias("n"))
+        hist = hist.withColumn("centre", F.col("a") + (F.col("bin") + 0.5) * F.col("w"))
     up = Window.partitionBy(*by).orderBy("bin")
     whole = Window.partitionBy(*by)
     moment = F.col("n") * F.col("centre")

@@ -1,8 +1,10 @@
 """Imputation, scaling and intensity ranges, of cells and of pixels.
 
-Cell tables are wide; their whole-column statistics are one aggregate row, which
-is broadcast. Pixel tables are long (``acq_id, y, x, channel, value``); their
-statistics are a row for each image channel and are joined by key.
+Cell tables are wide; their whole-column statistics are one row, which is
+broadcast. Pixel tables are long (``acq_id, y, x, channel, value``); their
+statistics are a row for each image channel and are joined by key. Exact
+quantiles come from a range sort of the distinct values, so that no task holds a
+column; ``exact=False`` takes approximate ones in one pass.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import quantiles
 from ..functions.scalar import finite
 
 IMAGE = ["acq_id", "channel"]
@@ -21,18 +24,24 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _quantile(value: Column, q, exact: bool) -> Column:
-    return F.percentile(value, q) if exact else F.percentile_approx(value, q)
+def melted(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``keep, feature, value``: a row for each row and feature."""
+    wide = df.select(*keep, *[_col(f).cast("double").alias(f) for f in features])
+    return wide.unpivot(list(keep), list(features), "feature", "value")
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """NaN, infinities and nulls become the column's median over the finite values.
+def _medians(df: DataFrame, cols: Sequence[str], prefix: str, exact: bool) -> DataFrame:
+    """One row with the median of each of some columns, ``{prefix}0`` and so on; null for an empty one."""
+    if not exact:
+        return df.agg(*[F.percentile_approx(_col(c), 0.5).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
+    found = quantiles(melted(df, cols, []), ["feature"], "value", [0.5])
+    return found.agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
 
-    ``exact=False`` takes approximate medians, for columns with very many distinct values.
-    """
+
+def impute_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+    """NaN, infinities and nulls become the column's median over the finite values."""
     clean = df.select("*", *[finite(_col(c).cast("double")).alias(f"_f{i}") for i, c in enumerate(cols)])
-    medians = clean.agg(*[_quantile(F.col(f"_f{i}"), 0.5, exact).alias(f"_m{i}") for i in range(len(cols))])
-    filled = clean.crossJoin(F.broadcast(medians))
+    filled = clean.crossJoin(F.broadcast(_medians(clean, [f"_f{i}" for i in range(len(cols))], "_m", exact)))
     return filled.select(*[F.coalesce(f"_f{cols.index(c)}", f"_m{cols.index(c)}").alias(c) if c in cols else _col(c) for c in df.columns])
 
 
@@ -64,9 +73,9 @@ def scale_zscore(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def scale_mad(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """(x - median) / median absolute deviation, unscaled; zero deviation gives 0."""
-    centre = df.agg(*[_quantile(_col(c), 0.5, exact).alias(f"_a{i}") for i, c in enumerate(cols)])
-    spread = df.crossJoin(F.broadcast(centre)).agg(*[_quantile(F.abs(_col(c) - F.col(f"_a{i}")), 0.5, exact).alias(f"_s{i}") for i, c in enumerate(cols)])
-    return _scaled(df, cols, centre.crossJoin(spread))
+    centre = _medians(df, cols, "_a", exact)
+    apart = df.crossJoin(F.broadcast(centre)).select(*[F.abs(_col(c) - F.col(f"_a{i}")).alias(f"_d{i}") for i, c in enumerate(cols)])
+    return _scaled(df, cols, centre.crossJoin(_medians(apart, [f"_d{i}" for i in range(len(cols))], "_s", exact)))
 
 
 def _scaled(df: DataFrame, cols: Sequence[str], stats: DataFrame) -> DataFrame:
@@ -88,7 +97,9 @@ def percentile_clip(pixels: DataFrame, lo: float = 1.0, hi: float = 99.0, flat:
 
     ``flat``: where both are equal, ``zero`` gives 0; ``widen`` takes hi = lo + 1e-6.
     """
-    held = _with_image_stats(pixels, _quantile(F.col("value"), F.array(F.lit(lo / 100), F.lit(hi / 100)) if exact else [lo / 100, hi / 100], exact).alias("_q"))
+    shares = [lo / 100, hi / 100]
+    ends = quantiles(pixels, IMAGE, "value", shares, "_q") if exact else pixels.groupBy(*IMAGE).agg(F.percentile_approx("value", shares).alias("_q"))
+    held = pixels.join(ends, IMAGE)
     a, b = F.col("_q")[0], F.col("_q")[1]
     b = F.when(b <= a, a + 1e-6).otherwise(b) if flat == "widen" else b
     scaled = (F.least(F.greatest("value", a), b) - a) / (b - a)
@@ -152,10 +163,11 @@ def auto_range(pixels: DataFrame, linked: bool = False, contrast: bool = False)
     """``acq_id, channel, lo, hi``: display range, by extremes or the percentiles 1 and 99.
 
     ``linked``: one range for each channel over all images (``acq_id`` is null).
-    Both come from one pass with grouping sets.
     """
-    both = pixels.groupingSets([["acq_id", "channel"], ["channel"]], "acq_id", "channel").agg(
-        F.grouping("acq_id").alias("pooled"), F.min("value").alias("a"), F.max("value").alias("b"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q")
-    )
-    lo, hi = (F.col("q")[0], F.col("q")[1]) if contrast else (F.col("a"), F.col("b"))
-    return both.filter(F.col("pooled") == int(linked)).select("acq_id", "channel", lo.alias("lo"), hi.alias("hi"))
+    by = ["channel"] if linked else IMAGE
+    if contrast:
+        held = quantiles(pixels, by, "value", [0.01, 0.99]).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    else:
+        held = pixels.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    image = F.lit(None).cast(pixels.schema["acq_id"].dataType) if linked else F.col("acq_id")
+    return held.select(image.alias("acq_id"), "channel", "lo", "hi")

@@ -9,12 +9,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import saved
+from ..functions.prefix import quantiles
+from ..functions.scalar import finite
 from ..functions.tails import normal_upper
 from .neighbours import knn_join, nearest_by_cluster, radius_pairs
-from .statistics import melted
+
+
+#: Edges of a region for which its permutations are shared out to another task.
+EDGES_OF_A_TASK = 1_000_000
 
 
 def with_labels(edges: DataFrame, cells: DataFrame, column: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -39,25 +48,46 @@ def _pairs_of(sizes: DataFrame) -> DataFrame:
     return sizes.select("roi_id", F.col("c").alias("a"), F.col("n").alias("n_a")).join(sizes.select("roi_id", F.col("c").alias("b"), F.col("n").alias("n_b")), "roi_id").filter("a <= b")
 
 
-def permuted_labels(cells: DataFrame, cluster: str, n_permutations: int, seed: int) -> DataFrame:
-    """``perm, roi_id, cell_id, c``: labels of each region dealt out anew, in hashed order.
+def pair_counts(cells: DataFrame, edges: DataFrame, cluster: str, n_permutations: int, seed: int) -> DataFrame:
+    """``perm, roi_id, a, b, n``: edges between clusters a <= b under each labelling.
 
-    The same for any partitioning. Permutation 0 is the observed labelling.
+    Permutation 0 is the observed labelling; in the others the labels of a region
+    are dealt out anew. A region's cells and edges meet once, as arrays, and all
+    permutations are counted there; the permutations of regions with very many
+    edges are shared out to several tasks. The same for any partitioning: cells
+    stand in the order of their ids, and each permutation has a seed of its own.
     """
     own = cells.select("roi_id", "cell_id", F.col(cluster).alias("c")).filter("c is not null")
-    place = F.row_number().over(Window.partitionBy("roi_id").orderBy("cell_id"))
-    labels = own.withColumn("place", place).select("roi_id", "place", "c")
-    perms = own.select("roi_id", "cell_id", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("perm"))
-    shuffled = perms.withColumn("place", F.row_number().over(Window.partitionBy("roi_id", "perm").orderBy(F.xxhash64(F.lit(seed), "perm", "roi_id", "cell_id"), "cell_id")))
-    return shuffled.join(labels, ["roi_id", "place"]).select("perm", "roi_id", "cell_id", "c").unionByName(own.select(F.lit(0).alias("perm"), "roi_id", "cell_id", "c"))
-
-
-def pair_counts(cells: DataFrame, edges: DataFrame, cluster: str, n_permutations: int, seed: int) -> DataFrame:
-    """``perm, roi_id, a, b, n``: edges between clusters a <= b under each labelling."""
-    labels = permuted_labels(cells, cluster, n_permutations, seed)
-    src = edges.select("roi_id", "src", "dst").join(labels.select("perm", "roi_id", F.col("cell_id").alias("src"), F.col("c").alias("c1")), ["roi_id", "src"])
-    both = src.join(labels.select("perm", "roi_id", F.col("cell_id").alias("dst"), F.col("c").alias("c2")), ["perm", "roi_id", "dst"])
-    return both.groupBy("perm", "roi_id", F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).agg(F.count("*").alias("n"))
+    ends = edges.select("roi_id", "src", "dst")
+    size = ends.groupBy("roi_id").agg(F.least(F.ceil(F.count("*") / EDGES_OF_A_TASK), F.lit(n_permutations + 1)).cast("int").alias("shares"))
+    size = saved(size).select("roi_id", "shares", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    by = ["roi_id", "share"]
+
+    def count(key, left, right):
+        roi, share = (k.as_py() for k in key)
+        names, columns = ["perm", "roi_id", "a", "b", "n"], [[], [], [], [], []]
+        order = np.argsort(left.column("cell_id").to_numpy())
+        ids, labels = left.column("cell_id").to_numpy()[order], left.column("c").combine_chunks().dictionary_encode().take(pa.array(order))
+        kinds = sorted(labels.dictionary.to_pylist())
+        rank = np.array([kinds.index(x) for x in labels.dictionary.to_pylist()], np.int64)
+        label = rank[labels.indices.to_numpy()] if len(ids) else np.zeros(0, np.int64)
+        at = [np.searchsorted(ids, right.column(c).to_numpy()) for c in ("src", "dst")]
+        known = np.logical_and.reduce([(i < len(ids)) & (ids[np.minimum(i, max(len(ids) - 1, 0))] == right.column(c).to_numpy()) for i, c in zip(at, ("src", "dst"), strict=True)]) if len(ids) else np.zeros(right.num_rows, bool)
+        src, dst = (i[known] for i in at)
+        shares = right.column("shares")[0].as_py() if right.num_rows else 1
+        name = xxhash.xxh3_64_intdigest(str(roi))
+        for perm in range(share, n_permutations + 1, shares):
+            dealt = label if perm == 0 else np.random.default_rng([seed, perm, name]).permutation(label)
+            x, y = dealt[src], dealt[dst]
+            n = np.bincount(np.minimum(x, y) * len(kinds) + np.maximum(x, y), minlength=len(kinds) ** 2)
+            for pair in np.flatnonzero(n).tolist():
+                for c, v in zip(columns, (perm, roi, kinds[pair // len(kinds)], kinds[pair % len(kinds)], int(n[pair])), strict=True):
+                    c.append(v)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), left.schema.field("roi_id").type, left.schema.field("c").type, left.schema.field("c").type, pa.int64()), strict=True)], names=names)
+
+    kind = {c: own.schema[c].dataType.simpleString() for c in ("roi_id", "c")}
+    shared = lambda df: df.join(size.toDF("roi_id", "shares", "share"), "roi_id")
+    return shared(own).groupBy(*by).cogroup(shared(ends).groupBy(*by)).applyInArrow(count, f"perm int, roi_id {kind['roi_id']}, a {kind['c']}, b {kind['c']}, n long")
 
 
 def enrichment(cells: DataFrame, edges: DataFrame, cluster: str = "cluster", n_permutations: int = 100, seed: int = 42, expected: str = "reference", two_sided: bool = False) -> DataFrame:
@@ -113,7 +143,11 @@ def edge_distances(cells: DataFrame, edges: DataFrame, cluster: str = "cluster")
 
 def nearest_distances(cells: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Summary of each cell's distance to the nearest cell of each cluster, per pair of clusters."""
-    return nearest_by_cluster(cells, cluster).filter("cluster is not null").groupBy("cluster", "target").agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.percentile("distance", 0.5).alias("median"), F.min("distance").alias("min"), F.max("distance").alias("max"))
+    near = saved(nearest_by_cluster(cells, cluster).filter("cluster is not null").select("cluster", "target", "distance"))
+    by = ["cluster", "target"]
+    middle = quantiles(near, by, "distance", [0.5]).select(*by, F.col("q")[0].alias("median"))
+    held = near.groupBy(*by).agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.min("distance").alias("min"), F.max("distance").alias("max"))
+    return held.join(middle, by).select(*by, "n", "mean", "median", "min", "max")
 
 
 def neighborhood_composition(cells: DataFrame, edges: DataFrame, clusters: Sequence, cluster: str = "cluster") -> DataFrame:
@@ -145,18 +179,58 @@ def ripley_kl(cells: DataFrame, radii: Sequence[float], area: float, cluster: st
     return held.withColumn("e", each).select("roi_id", F.col("c").alias("cluster"), F.col("e.radius").alias("radius"), k.alias("k"), (F.sqrt(k / math.pi) - F.col("e.radius")).alias("l"))
 
 
+def hull_areas(cells: DataFrame) -> DataFrame:
+    """``roi_id, area`` of the convex hull of each region's cells.
+
+    Tasks reduce what they hold of a region to the corners of its own hull; the
+    hull of all those corners is the region's.
+    """
+
+    def corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        order = np.lexsort((y, x))
+        points = list(dict.fromkeys(zip(x[order].tolist(), y[order].tolist(), strict=True)))
+
+        def chain(sequence):
+            out: list[tuple[float, float]] = []
+            for p in sequence:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                    out.pop()
+                out.append(p)
+            return out[:-1] if len(out) > 1 else out
+
+        return np.array(chain(points) + (chain(points[::-1]) if len(points) > 1 else [])).reshape(-1, 2)
+
+    kind = cells.schema["roi_id"].dataType.simpleString()
+
+    def reduce(batches):
+        for batch in batches:
+            codes = batch.column("roi_id").dictionary_encode(null_encoding="encode")
+            own, x, y = codes.indices.to_numpy(), batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            for k in np.unique(own).tolist():
+                found = corners(x[own == k], y[own == k])
+                yield pa.RecordBatch.from_arrays([pa.array([codes.dictionary[k].as_py()] * len(found), batch.column("roi_id").type), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["roi_id", "x", "y"])
+
+    def area(table):
+        p = corners(table.column("x").to_numpy(), table.column("y").to_numpy())
+        twice = (p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]).sum()
+        return pa.table({"roi_id": table.column("roi_id")[:1], "area": [abs(float(twice)) / 2]})
+
+    points = cells.select("roi_id", F.col("x").cast("double"), F.col("y").cast("double")).filter("x is not null and y is not null")
+    return points.mapInArrow(reduce, f"roi_id {kind}, x double, y double").groupBy("roi_id").applyInArrow(area, f"roi_id {kind}, area double")
+
+
 def ripley(cells: DataFrame, mode: str = "L", max_dist: float = 50.0, n_steps: int = 50, cluster: str = "cluster", grid: int = 10) -> DataFrame:
     """``roi_id, cluster, distance, value, expected``: Ripley's L, or the distribution
     of distances G (cell to nearest of its cluster) or F (grid point to nearest).
 
-    Area is that of the region's bounding box. Clusters of one cell are left out.
+    Area is that of the convex hull of the region's cells; F's grid points lie in
+    their bounding box. Clusters of one cell are left out.
     """
     own = cells.select("roi_id", F.col(cluster).alias("c"), "cell_id", "x", "y").filter("c is not null")
     sizes = own.groupBy("roi_id", "c").agg(F.count("*").alias("n")).filter("n >= 2")
     box = cells.groupBy("roi_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     steps = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_steps)), lambda i: i * F.lit(max_dist / n_steps))).alias("d")
-    every = sizes.join(box.select("roi_id", area.alias("area"), "x0", "x1", "y0", "y1"), "roi_id")
+    every = sizes.join(box, "roi_id").join(hull_areas(cells), "roi_id")
     if mode == "L":
         number = F.ceil(F.col("distance") / (max_dist / n_steps) - 1e-9).cast("int")
         hist = _pairs_within(cells, cluster, max_dist).groupBy("roi_id", "c", number.alias("step")).agg(F.count("*").alias("m"))
@@ -225,21 +299,28 @@ def co_occurrence(cells: DataFrame, edges_of: Sequence[float], cluster: str = "c
 
 def morans_i(cells: DataFrame, edges: DataFrame, markers: Sequence[str], how: str | None = None) -> DataFrame:
     """``roi_id, feature, i, p``: Moran's I with row-normalised weights and its one-sided
-    normal p; ``how`` (``mean``, ``sum``): I over regions, with the mean p."""
-    ends = both_ways(edges.select("roi_id", "src", "dst")).distinct()
-    degree = ends.groupBy("roi_id", "src").agg((1 / F.count("*")).alias("w"))
-    weights = ends.join(degree, ["roi_id", "src"])
-    back = weights.select("roi_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("w_back"))
-    sums = weights.join(back, ["roi_id", "src", "dst"]).groupBy("roi_id").agg(F.sum("w").alias("s0"), (F.sum(F.pow(F.col("w") + F.col("w_back"), 2)) / 2).alias("s1"))
-    column = weights.groupBy("roi_id", F.col("dst").alias("cell_id")).agg(F.sum("w").alias("c"))
+    normal p; ``how`` (``mean``, ``sum``): I over regions, with the mean p.
+
+    An edge weighs 1/degree either way, so each edge is met once, with degrees and
+    all markers of both ends. Missing values are left out by marker.
+    """
+    once = edges.select("roi_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src != dst").distinct()
+    degree = both_ways(once).groupBy("roi_id", F.col("src").alias("cell_id")).agg((1 / F.count("*")).alias("w"))
+    values = cells.select("roi_id", "cell_id", *[finite(F.col(f"`{m}`").cast("double")).alias(f"m{i}") for i, m in enumerate(markers)])
+    means = values.groupBy("roi_id").agg(F.array(*[F.avg(f"m{i}") for i in range(len(markers))]).alias("means"))
+    z = values.join(means, "roi_id").select("roi_id", "cell_id", F.array(*[F.col(f"m{i}") - F.col("means")[i] for i in range(len(markers))]).alias("z"))
+    node = saved(z.join(degree, ["roi_id", "cell_id"], "full"))
+    for end, side in (("src", "a"), ("dst", "b")):
+        once = once.join(node.select("roi_id", F.col("cell_id").alias(end), F.col("w").alias(f"w{side}"), F.col("z").alias(f"z{side}")), ["roi_id", end])
+    met = saved(once)
+    both = F.col("wa") + F.col("wb")
+    numbers = range(len(markers))
+    cross = met.groupBy("roi_id").agg(F.sum(both * both).alias("s1"), F.array(*[F.sum(both * F.col("za")[i] * F.col("zb")[i]) for i in numbers]).alias("wzz"))
+    square = node.groupBy("roi_id").agg(F.sum(F.when(F.col("w").isNotNull(), 1.0)).alias("s0"), F.array(*[F.sum(F.col("z")[i] * F.col("z")[i]) for i in numbers]).alias("zz"), F.array(*[F.count(F.col("z")[i]) for i in numbers]).alias("n"))
+    column = met.select("roi_id", F.col("src").alias("cell_id"), F.col("wb").alias("w")).unionByName(met.select("roi_id", F.col("dst").alias("cell_id"), F.col("wa").alias("w"))).groupBy("roi_id", "cell_id").agg(F.sum("w").alias("c"))
     s2 = column.groupBy("roi_id").agg(F.sum(F.pow(F.col("c") + 1, 2)).alias("s2"))
-    long = melted(cells, markers, ["roi_id", "cell_id"]).filter("value is not null")
-    mean = Window.partitionBy("roi_id", "feature")
-    z = long.withColumn("z", F.col("value") - F.avg("value").over(mean)).select("roi_id", "feature", "cell_id", "z")
-    square = z.groupBy("roi_id", "feature").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count("*").alias("n"))
-    cross = weights.join(z.select("roi_id", F.col("cell_id").alias("src"), "feature", F.col("z").alias("za")), ["roi_id", "src"]).join(z.select("roi_id", F.col("cell_id").alias("dst"), "feature", F.col("z").alias("zb")), ["roi_id", "dst", "feature"])
-    moran = cross.groupBy("roi_id", "feature").agg(F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("wzz"))
-    held = square.join(moran, ["roi_id", "feature"]).join(sums, "roi_id").join(s2, "roi_id")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("feature"), F.col("n")[i].alias("n"), F.col("zz")[i].alias("zz"), F.col("wzz")[i].alias("wzz")) for i, m in enumerate(markers)])).alias("e")
+    held = square.join(cross, "roi_id").join(s2, "roi_id").select("roi_id", "s0", "s1", "s2", each).select("roi_id", "s0", "s1", "s2", "e.*").filter("n > 0 and wzz is not null")
     n, s0 = F.col("n"), F.col("s0")
     i, e = F.when(F.col("zz") > 0, n / s0 * F.col("wzz") / F.col("zz")), F.try_divide(F.lit(-1), n - 1)
     var = F.try_divide(n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0, (n * n - 1) * s0 * s0) - e * e

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import counted, quantiles
 from ..functions.scalar import arcsinh, isotope_mass, isotope_metal
 
 #: Masses of the isotopes of the metals in use. Fixed values.
@@ -69,7 +70,7 @@ def infer_donor(acqs: DataFrame, channels: DataFrame, explicit: DataFrame) -> Da
     only one whose metal does; else null.
     """
     keyed = acqs.select("acq_id", F.posexplode(F.array(F.col("idx").cast("string"), F.col("acq_id"), F.col("name"), F.col("well"))).alias("rank", "key"))
-    told = keyed.join(F.broadcast(explicit), "key").groupBy("acq_id").agg(F.min_by("donor", "rank").alias("told"))
+    told = keyed.join(explicit, "key").groupBy("acq_id").agg(F.min_by("donor", "rank").alias("told"))
     where = F.lower(F.coalesce(F.nullif("well", F.lit("")), F.col("name")))
     metal = F.regexp_extract(F.lower("channel"), "^([a-z]+)", 1)
     met = acqs.select("acq_id", where.alias("where")).crossJoin(F.broadcast(channels.select("channel").distinct()))
@@ -82,7 +83,7 @@ def infer_donor(acqs: DataFrame, channels: DataFrame, explicit: DataFrame) -> Da
 def spill_rows(pixels: DataFrame, donors: DataFrame, cap: float = 0.3, p_low: float = 90.0, p_high: float = 99.9) -> DataFrame:
     """``acq_id, emitter, receiver, coeff, pixels``: slopes through the origin on the
     donor's foreground, the pixels between two percentiles; none below 0 or over ``cap``."""
-    own = pixels.join(F.broadcast(donors), "acq_id")
+    own = pixels.join(donors, "acq_id")
     donor = own.filter("channel = donor").select("acq_id", "y", "x", F.col("value").alias("d"))
     range_ = donor.groupBy("acq_id").agg(F.percentile("d", F.array(F.lit(p_low / 100), F.lit(p_high / 100))).alias("q"))
     front = donor.join(range_, "acq_id").filter("d >= q[0] and d <= q[1]").drop("q")
@@ -110,11 +111,14 @@ def spill_qc(rows: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def _trimmed(df: DataFrame, by: Sequence[str], trim: float, to: str) -> DataFrame:
-    """Mean of the values left when a share is cut at either end."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy("value")) - 1).withColumn("_n", F.count("*").over(w))
-    lo, hi = F.floor(F.lit(trim) * F.col("_n")), F.ceil(F.lit(1 - trim) * F.col("_n"))
-    return ranked.filter((hi <= lo) | ((F.col("_i") >= lo) & (F.col("_i") < hi))).groupBy(*by).agg(F.avg("value").alias(to))
+    """Mean of the values left when a share is cut at either end; distinct values are ranked by a range sort."""
+    steps = counted(df.filter("value is not null").select(*by, "value"), by, "value")
+    sizes = steps.groupBy(*by).agg(F.max(F.col("_before") + F.col("_n")).alias("_all"))
+    lo, hi = F.floor(F.lit(trim) * F.col("_all")), F.ceil(F.lit(1 - trim) * F.col("_all"))
+    whole = hi <= lo
+    lo, hi = F.when(whole, 0).otherwise(lo), F.when(whole, F.col("_all")).otherwise(hi)
+    left = F.greatest(F.least(F.col("_before") + F.col("_n"), hi) - F.greatest("_before", lo), F.lit(0))
+    return steps.join(sizes, list(by)).groupBy(*by).agg((F.sum(F.col("value") * left) / F.sum(left)).alias(to))
 
 
 def compute_spillmat(events: DataFrame, channels: DataFrame, method: str = "default", trim: float = 0.5, threshold: float = 1e-5, interactions: str = "default", isotopes: dict[str, list[int]] | None = None) -> DataFrame:
@@ -133,14 +137,14 @@ def compute_spillmat(events: DataFrame, channels: DataFrame, method: str = "defa
     spills: dict[str, set[str]] = {}
     for r in near.collect():
         spills.setdefault(r.emitter, set()).add(r.receiver)
-    donors = {r.bc_id for r in events.select("bc_id").distinct().collect()} - {0}
+    donors = {r.bc_id for r in events.select("bc_id").filter(F.col("bc_id").isin(list(mass.values()))).distinct().collect()} - {0}  # masses of the panel
     rows = []
     for r in pairs.collect():
         if mass[r.emitter] in donors:
             out_i = {0, mass[r.emitter], *(mass[c] for c in spills.get(r.emitter, ()))}
             rows.append((r.emitter, r.receiver, mass[r.emitter], sorted(out_i), sorted(out_i | {mass[r.receiver]} | {mass[c] for c in spills.get(r.receiver, ())})))
     spark = events.sparkSession
-    plan = F.broadcast(spark.createDataFrame(rows, "emitter string, receiver string, donor int, out_i array<int>, out_j array<int>"))
+    plan = F.broadcast(spark.createDataFrame(rows, "emitter string, receiver string, donor int, out_i array<int>, out_j array<int>"))  # pairs of a panel
     by = ["emitter", "receiver"]
     share = 0.1 if method == "default" else trim
     neg_i = _trimmed(events.join(plan, F.col("channel") == F.col("emitter")).filter(~F.array_contains("out_i", F.col("bc_id").cast("int"))), by, share, "bg_i")
@@ -156,7 +160,7 @@ def compute_spillmat(events: DataFrame, channels: DataFrame, method: str = "defa
         b = pos.filter("channel = receiver").select(*by, "event_id", F.col("value").alias("vj"))
         held = a.join(b, [*by, "event_id"]).join(neg_i, by, "left").join(neg_j, by, "left").fillna(0.0, ["bg_i", "bg_j"])
         ratio = F.greatest(F.col("vj") - F.col("bg_j"), F.lit(0.0)) / F.greatest(F.col("vi") - F.col("bg_i"), F.lit(1e-12))
-        found = held.groupBy(*by).agg(F.percentile(ratio, 0.5).alias("c"))
+        found = quantiles(held.select(*by, ratio.alias("value")), by, "value", [0.5]).select(*by, F.col("q")[0].alias("c"))
     full = names.select(F.col("channel").alias("emitter")).crossJoin(names.select(F.col("channel").alias("receiver"))).join(found, by, "left")
     return full.select(*by, F.when(F.col("emitter") == F.col("receiver"), 1.0).when(F.col("c") >= threshold, F.col("c")).otherwise(0.0).alias("coeff"))
 
@@ -191,53 +195,75 @@ def unmix(y: np.ndarray, s: np.ndarray, steps: int = 300, tolerance: float = 1e-
 
 
 def exact_unmix(y: np.ndarray, s: np.ndarray, orientation: str = "reference") -> np.ndarray:
-    """The same minimum by active sets (Lawson and Hanson), row by row."""
+    """The same minimum by active sets (Lawson and Hanson). Rows with the same set are solved at once."""
     s = s if orientation == "reference" else s.T
-    out = np.zeros_like(y, dtype=float)
-    for r, row in enumerate(y):
-        z, on = np.zeros(len(s)), np.zeros(len(s), bool)
-        for _ in range(10 * len(s)):
-            gain = s.T @ (row - s @ z)
-            gain[on] = -np.inf
-            if gain.max() <= 1e-10 * max(1.0, np.abs(row).max()):
-                break
-            on[gain.argmax()] = True
-            while True:
-                t = np.zeros(len(s))
-                t[on] = np.linalg.lstsq(s[:, on], row, rcond=None)[0]
-                if (t[on] > 0).all():
-                    z = t
-                    break
-                bad = on & (t <= 0)
-                step = (z[bad] / np.maximum(z[bad] - t[bad], 1e-300)).min()
-                z = z + step * (t - z)
-                on &= z > 1e-12
-                z[~on] = 0
-        out[r] = z
-    return out
+    z, on = np.zeros(y.shape), np.zeros(y.shape, bool)
+    enough = 1e-10 * np.maximum(1.0, np.abs(y).max(axis=1, initial=0))
 
+    def solved(rows: np.ndarray) -> np.ndarray:
+        t = np.zeros((len(rows), len(s)))
+        sets, of = np.unique(on[rows], axis=0, return_inverse=True)
+        for k, own in enumerate(sets):
+            some = np.flatnonzero(of.ravel() == k)
+            t[np.ix_(some, own)] = y[rows[some]] @ np.linalg.pinv(s[:, own]).T
+        return t
 
-def compensate(cells: DataFrame, spill: DataFrame, columns: dict[str, str], method: str = "pgd", cofactor: float | None = None, orientation: str = "reference", steps: int = 300) -> DataFrame:
-    """``cells`` with unmixed columns; ``columns``: column -> channel, for those the matrix has.
+    live = np.arange(len(y))
+    for _ in range(10 * len(s)):
+        gain = (y[live] - z[live] @ s.T) @ s
+        gain[on[live]] = -np.inf
+        best = gain.argmax(axis=1)
+        more = gain[np.arange(len(live)), best] > enough[live]
+        live = live[more]
+        if not len(live):
+            break
+        on[live, best[more]] = True
+        inner = live
+        while len(inner):
+            t = solved(inner)
+            good = ((t > 0) | ~on[inner]).all(axis=1)
+            z[inner[good]] = t[good]
+            inner, t = inner[~good], t[~good]
+            now = z[inner]
+            bad = on[inner] & (t <= 0)
+            step = np.where(bad, now / np.maximum(now - t, 1e-300), np.inf).min(axis=1, initial=np.inf)
+            now = now + step[:, None] * (t - now)
+            on[inner] &= now > 1e-12
+            z[inner] = np.where(on[inner], now, 0)
+    return z
 
-    Other columns are unchanged; rows with a missing value among the columns stay
-    as they are; ``cofactor`` adds ``{column}_arcsinh``. Rows are unmixed in Arrow batches.
+
+def compensate_sets(cells: DataFrame, spill: DataFrame, sets: Sequence[dict[str, str]], method: str = "pgd", orientation: str = "reference", steps: int = 300) -> DataFrame:
+    """``cells`` with several sets of columns unmixed, each with the one matrix, in one pass over Arrow batches.
+
+    A set: column -> channel; those of which the matrix has the channel are
+    unmixed. Rows with a missing value in a set keep that set as it is.
     """
-    pairs = align_channels(list(columns), spill, columns)
-    matrix = matrix_of(spill, [c for _, c in pairs])
-    names = [f for f, _ in pairs]
-    solve = {"pgd": lambda y: unmix(y, matrix, steps, orientation=orientation), "nnls": lambda y: exact_unmix(y, matrix, orientation)}[method]
-    plain = cells.withColumns({f: F.col(f"`{f}`").cast("double") for f in names})
+    pairs = [align_channels(list(columns), spill, columns) for columns in sets]
+    solve = {"pgd": lambda y, m: unmix(y, m, steps, orientation=orientation), "nnls": lambda y, m: exact_unmix(y, m, orientation)}[method]
+    work = [([f for f, _ in p], matrix_of(spill, [c for _, c in p])) for p in pairs if p]
+    plain = cells.withColumns({f: F.col(f"`{f}`").cast("double") for names, _ in work for f in names})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            y = part[names].to_numpy(float)
-            ok = np.isfinite(y).all(axis=1)
-            y[ok] = solve(y[ok])
-            part[names] = y
+            for names, matrix in work:
+                y = part[names].to_numpy(float)
+                ok = np.isfinite(y).all(axis=1)
+                y[ok] = solve(y[ok], matrix)
+                part[names] = y
             yield part
 
-    out = plain.mapInPandas(run, plain.schema)
+    return plain.mapInPandas(run, plain.schema)
+
+
+def compensate(cells: DataFrame, spill: DataFrame, columns: dict[str, str], method: str = "pgd", cofactor: float | None = None, orientation: str = "reference", steps: int = 300) -> DataFrame:
+    """``cells`` with unmixed columns; ``columns``: column -> channel, for those the matrix has.
+
+    Other columns are unchanged; rows with a missing value among the columns stay
+    as they are; ``cofactor`` adds ``{column}_arcsinh``. Rows are unmixed in Arrow batches.
+    """
+    names = [f for f, _ in align_channels(list(columns), spill, columns)]
+    out = compensate_sets(cells, spill, [columns], method, orientation, steps)
     return out if cofactor is None else out.withColumns({f"{f}_arcsinh": arcsinh(F.col(f"`{f}`"), cofactor) for f in names})
 
 

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import counted, quantiles, running_sums
 from ..functions.scalar import marker_name, stars
 from ..functions.tails import normal_two_sided
-from .correlation import adjust_p, average_rank
-from .scaling import scale_mad, scale_zscore
+from .correlation import adjust_p
+from .scaling import melted, scale_mad, scale_zscore
 
 #: Markers that tell no cell type: DNA and membrane stains, by part of the name. Fixed values.
 NO_PHENOTYPE = ("DNA", "Ir191", "Ir193", "ICSK", "membrane")
 
 
-def melted(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """``keep, feature, value``: a row for each row and feature."""
-    wide = df.select(*keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    return wide.unpivot(list(keep), list(features), "feature", "value")
-
-
 def cluster_means(df: DataFrame, features: Sequence[str], cluster: str = "cluster", only: Sequence | None = None, scale: str | None = None) -> DataFrame:
     """Mean of each feature per cluster, by cluster; ``only``: shown groups;
     ``scale``: ``zscore`` or ``mad`` over the shown cells."""
@@ -50,11 +48,16 @@ def marker_stats(df: DataFrame, features: Sequence[str], cluster: str = "cluster
     outside, and range; with ``top_k``, the most raised and lowered of each cluster."""
     used = [f for f in features if not any(x.lower() in f.lower() for x in NO_PHENOTYPE)]
     long = melted(df, used, [cluster]).filter("value is not null")
-    ranked = average_rank(long, ["feature"], "value")
+    # Values are counted by cluster, then ranked: each distinct value is met once.
+    held = long.groupBy(cluster, "feature", "value").agg(F.count("*").alias("c"))
+    steps = counted(long, ["feature"], "value").select("feature", "value", (F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
+    ranked = held.join(steps, ["feature", "value"])
     inside = ranked.groupBy(cluster, "feature").agg(
-        F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.count("*").alias("n"), F.count_if(F.col("value") > 0).alias("pos"), F.sum("rank").alias("ranks"),
+        (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.sum("c").alias("n"), F.sum(F.when(F.col("value") > 0, F.col("c")).otherwise(0)).alias("pos"), F.sum(F.col("rank") * F.col("c")).alias("ranks"),
     )
+    middle = quantiles(long.filter(F.col(cluster).isNotNull()), [cluster, "feature"], "value", [0.5]).select(cluster, "feature", F.col("q")[0].alias("median"))
+    inside = inside.join(middle, [cluster, "feature"], "left")
     over = Window.partitionBy("feature")
     n_all, pos_all, k = F.sum("n").over(over), F.sum("pos").over(over), F.count("*").over(over)
     sd = F.stddev_samp("mean").over(over)
@@ -89,37 +92,73 @@ def phenotype_reply(replies: DataFrame, column: str = "reply") -> DataFrame:
     return parsed.withColumn("valid", F.col("cluster").isNotNull() & (F.coalesce(F.trim("phenotype"), F.lit("")) != ""))
 
 
+#: Up to so many values in the smaller sample, and without ties, p is exact.
+EXACT = 8
+
+
 def mann_whitney(df: DataFrame, features: Sequence[str], group: str, mode: str = "pairwise", reference=None) -> DataFrame:
     """``feature, group_a, group_b, n_a, n_b, u, p, p_adjusted, stars``.
 
-    Two-sided, normal with tie and continuity correction; ``mode``: ``pairwise``
-    or ``one_vs_rest`` (``reference`` against each other group). Groups of under
-    two values are left out; Benjamini-Hochberg in each feature. Values are
-    counted first, so each pair of groups meets on distinct values, not on cells.
+    Two-sided; exact where a sample has ``EXACT`` values at most and none is
+    tied, otherwise normal with tie and continuity correction. ``mode``:
+    ``pairwise`` or ``one_vs_rest`` (``reference`` against each other group).
+    Groups of under two values are left out; Benjamini-Hochberg in each feature.
+    Values are counted first, so each pair of groups meets on distinct values,
+    not on cells, and ranks come from a range sort.
     """
     long = melted(df, features, [group]).filter("value is not null").groupBy("feature", F.col(group).alias("g"), "value").agg(F.count("*").alias("c"))
     sizes = long.groupBy("feature", "g").agg(F.sum("c").alias("n")).filter("n >= 2")
     pairs = sizes.toDF("feature", "group_a", "n_a").join(sizes.toDF("feature", "group_b", "n_b"), "feature")
     pairs = pairs.filter("group_a < group_b") if mode == "pairwise" else pairs.filter((F.col("group_a") == reference) & (F.col("group_b") != reference))
-    a = pairs.join(long, (pairs["feature"] == long["feature"]) & ((F.col("g") == F.col("group_a")) | (F.col("g") == F.col("group_b")))).select(pairs["feature"], "group_a", "group_b", "n_a", "n_b", "value", F.when(F.col("g") == F.col("group_a"), F.col("c")).otherwise(0).alias("ca"), "c")
-    by = ["feature", "group_a", "group_b", "n_a", "n_b"]
-    values = a.groupBy(*by, "value").agg(F.sum("ca").alias("ca"), F.sum("c").alias("c"))
-    rank = F.sum("c").over(Window.partitionBy(*by).orderBy("value")) - F.col("c") + (F.col("c") + 1) / 2
-    sums = values.withColumn("rank", rank).groupBy(*by).agg(F.sum(F.col("rank") * F.col("ca")).alias("r"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties"))
+    by = ["feature", "group_a", "group_b"]
+    ends = pairs.select("*", F.explode(F.array("group_a", "group_b")).alias("g"))
+    values = ends.join(long, ["feature", "g"]).groupBy(*by, "n_a", "n_b", "value").agg(F.sum(F.when(F.col("g") == F.col("group_a"), F.col("c")).otherwise(0)).alias("ca"), F.sum("c").alias("c"))
+    rank = F.col("_before") + (F.col("c") + 1) / 2
+    ranked = running_sums(values, [*by, "value"], "c", by)
+    sums = ranked.groupBy(*by, "n_a", "n_b").agg(F.sum(rank * F.col("ca")).alias("r"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties"))
     n = F.col("n_a") + F.col("n_b")
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
     mean, var = F.col("n_a") * F.col("n_b") / 2, F.col("n_a") * F.col("n_b") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     z = F.greatest(F.abs(u - mean) - 0.5, F.lit(0.0)) / F.sqrt(var)
-    out = sums.select("feature", "group_a", "group_b", "n_a", "n_b", u.alias("u"), F.when(var > 0, z).alias("z"))
-    out = out.withColumn("p", F.when(F.col("z").isNull(), 1.0).otherwise(normal_two_sided(F.coalesce("z", F.lit(0.0)))))
+    out = sums.select(*by, "n_a", "n_b", u.alias("u"), F.when(var > 0, z).alias("z"), ((F.least("n_a", "n_b") <= EXACT) & (F.col("ties") == 0)).alias("exact"))
+    normal = F.when(F.col("z").isNull(), 1.0).otherwise(normal_two_sided(F.coalesce("z", F.lit(0.0))))
+    out = out.withColumn("p", F.when(F.col("exact"), exact_p(F.col("u"), F.col("n_a"), F.col("n_b"))).otherwise(normal)).drop("exact")
     out = adjust_p(out, "fdr_bh", ["feature"])
     return out.withColumn("stars", stars(F.col("p_adjusted")))
 
 
+def exact_p_value(u: float, n_a: int, n_b: int) -> float:
+    """Two-sided p of a U without ties: twice the share of arrangements with a U at
+    least as far out, 1 at most.
+
+    The numbers of arrangements are the coefficients of a Gaussian binomial: for i
+    from 1 to the smaller sample's size, 1 is multiplied by 1 - q^(n + i), n being
+    the larger one's, and divided by 1 - q^i, as far as the power U.
+    """
+    m, n = sorted((int(n_a), int(n_b)))
+    tail = int(min(u, n_a * n_b - u))
+    ways = np.zeros(tail + 1)
+    ways[0] = 1
+    for i in range(1, m + 1):
+        for r in range(min(i, tail + 1)):
+            ways[r::i] = np.cumsum(ways[r::i])
+        ways[n + i :] -= ways[: max(tail + 1 - n - i, 0)].copy()
+    return min(2 * ways.sum() / math.comb(n + m, m), 1.0)
+
+
+def exact_p(u: Column, n_a: Column, n_b: Column) -> Column:
+    """``exact_p_value`` where a sample is small, else null; a row for each pair of groups and feature."""
+
+    def told(u: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+        return pd.Series([exact_p_value(x, a, b) if min(a, b) <= EXACT and x == int(x) else None for x, a, b in zip(u, n_a, n_b, strict=True)], dtype=float)
+
+    return F.pandas_udf(told, "double")(u, n_a, n_b)
+
+
 def composition(df: DataFrame, group: Sequence[str], cluster: str = "cluster") -> DataFrame:
     """``group, cluster, n, share``: share of each cluster in each group, 0 where absent."""
     counts = df.groupBy(*group, cluster).agg(F.count("*").alias("n"))
-    every = counts.select(*group).distinct().crossJoin(F.broadcast(counts.select(cluster).distinct()))
+    every = counts.select(*group).distinct().crossJoin(counts.select(cluster).distinct())
     held = every.join(counts, [*group, cluster], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy(*group))
     return held.withColumn("share", F.when(total > 0, F.col("n") / total).otherwise(0.0))
@@ -130,9 +169,16 @@ def distribution_long(df: DataFrame, markers: Sequence[str], cluster: str = "clu
 
 
 def five_numbers(df: DataFrame, markers: Sequence[str], cluster: str = "cluster") -> DataFrame:
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    held = distribution_long(df, markers, cluster).groupBy(cluster, "feature").agg(q.alias("q"), F.count("*").alias("n"))
-    return held.select(cluster, "feature", "n", *[F.col("q")[i].alias(n) for i, n in enumerate(("min", "q25", "median", "q75", "max"))])
+    """``cluster, feature, n, min, q25, median, q75, max``; clusters that are null are one group."""
+    long = distribution_long(df, markers, cluster).withColumn("_none", F.col(cluster).isNull())
+    n = long.groupBy(cluster, "_none", "feature").agg(F.count("*").alias("n"))
+    by = ["_none", cluster, "feature"]
+    q = quantiles(long.filter("not _none"), by, "value", [0.0, 0.25, 0.5, 0.75, 1.0])
+    if not long.filter("_none").isEmpty():
+        only = quantiles(long.filter("_none"), ["_none", "feature"], "value", [0.0, 0.25, 0.5, 0.75, 1.0])
+        q = q.unionByName(only.withColumn(cluster, F.lit(None).cast(df.schema[cluster].dataType)))
+    held = n.alias("n").join(q.alias("q"), F.col(f"n.{cluster}").eqNullSafe(F.col(f"q.{cluster}")) & (F.col("n.feature") == F.col("q.feature")))
+    return held.select(F.col(f"n.{cluster}").alias(cluster), F.col("n.feature").alias("feature"), "n.n", *[F.col("q.q")[i].alias(c) for i, c in enumerate(("min", "q25", "median", "q75", "max"))])
 
 
 def annotate(df: DataFrame, names: dict, cluster: str = "cluster", to: str = "cluster_phenotype") -> DataFrame:

@@ -1,19 +1,20 @@
 """Image filters on pixel tables (``acq_id, channel, y, x, value``).
 
-Small footprints: each pixel sends its value to the places it contributes to,
-and a group by place sums up. Large footprints: pixels are copied to all tiles
-whose halo holds them, and tiles are filtered as numpy blocks. At the image
-border ``nearest`` repeats the edge pixel, ``reflect`` mirrors it, ``zero`` is 0.
+Pixels are copied to all tiles whose halo holds them, and tiles are filtered as
+numpy blocks; only halos are read twice. Images are dense: a place without a row
+counts as 0. At the image border ``nearest`` repeats the edge pixel, ``reflect``
+mirrors it, ``zero`` is 0.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import saved
@@ -36,55 +37,53 @@ def with_size(pixels: DataFrame) -> DataFrame:
     return pixels.join(size, "acq_id")
 
 
-def neighbourhood(pixels: DataFrame, offsets: Sequence[tuple[int, int]], weights: Sequence[float] | None = None, border: str = "nearest") -> DataFrame:
-    """``acq_id, channel, y, x, v, w``: for each place, a row for each offset with the value there.
+def _shifted(image: np.ndarray, offsets: Sequence[tuple[int, int]]) -> np.ndarray:
+    """The values at each offset, one image above the other; the frame as wide as the largest offset is lost."""
+    r = max(max(abs(i), abs(j)) for i, j in offsets)
+    h, w = image.shape[0] - 2 * r, image.shape[1] - 2 * r
+    return np.stack([image[r + i : r + i + h, r + j : r + j + w] for i, j in offsets])
 
-    A place beside the border reads beyond it: offsets are pulled back (nearest)
-    or mirrored (reflect) first, so it reads some pixels more than once.
-    """
-    offset = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in zip(offsets, weights or [1.0] * len(offsets), strict=True)]))
-    places = with_size(pixels.select(*PLACE)).withColumn("d", offset)
-
-    def at(c: str, d: str, size: str) -> Column:
-        raw = F.col(c) + F.col(d)
-        if border == "nearest":
-            return F.greatest(F.least(raw, F.col(size) - 1), F.lit(0))
-        if border == "reflect":
-            period = 2 * F.col(size)
-            m = F.pmod(raw, period)
-            return F.when(m >= F.col(size), period - 1 - m).otherwise(m)
-        return raw
 
-    asked = places.select("acq_id", "channel", "y", "x", at("y", "d.i", "_h").alias("sy"), at("x", "d.j", "_w").alias("sx"), F.col("d.w").alias("w"))
-    source = pixels.select("acq_id", "channel", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("value").alias("v"))
-    return asked.join(source, ["acq_id", "channel", "sy", "sx"], "left" if border == "zero" else "inner").select(*PLACE, F.coalesce("v", F.lit(0.0)).alias("v"), "w")
+def _framed(image: np.ndarray, width: int) -> np.ndarray:
+    """The image with a frame that no caller reads, to keep its size."""
+    return np.pad(image, width, mode="edge")
 
 
 def median_filter(pixels: DataFrame, footprint: Sequence[tuple[int, int]] = CROSS, border: str = "nearest") -> DataFrame:
-    return neighbourhood(pixels, footprint, border=border).groupBy(*PLACE).agg(F.percentile("v", 0.5).alias("value"))
+    r = max(max(abs(i), abs(j)) for i, j in footprint)
+    return by_tiles(pixels, lambda im, _: _framed(np.median(_shifted(im, footprint), axis=0), r), r, border)
 
 
 def n_sd_local_median(pixels: DataFrame, n_sd: float = 5.0) -> DataFrame:
     """Values far from their local median replaced by it: farther than ``n_sd`` times
     the root of the 3 x 3 mean of squared differences (1e-8 at least)."""
-    both = pixels.join(median_filter(pixels, SQUARE).withColumnRenamed("value", "m"), PLACE).withColumn("d", F.col("value") - F.col("m"))
-    square = neighbourhood(both.select(*PLACE, (F.col("d") * F.col("d")).alias("value")), SQUARE, border="reflect").groupBy(*PLACE).agg(F.avg("v").alias("q"))
-    return both.join(square, PLACE).select(*PLACE, F.when(F.col("d") > n_sd * F.sqrt(F.greatest("q", F.lit(1e-8))), F.col("m")).otherwise(F.col("value")).alias("value"))
 
+    def run(image: np.ndarray, _) -> np.ndarray:
+        inner = image[1:-1, 1:-1]
+        middle = np.median(_shifted(image, SQUARE), axis=0)
+        apart = inner - middle
+        mean = _shifted(apart * apart, SQUARE).mean(axis=0)
+        far = apart[1:-1, 1:-1] > n_sd * np.sqrt(np.maximum(mean, 1e-8))
+        return _framed(np.where(far, middle[1:-1, 1:-1], inner[1:-1, 1:-1]), 2)
 
-def _weighted(pixels: DataFrame, offsets, weights, border: str) -> DataFrame:
-    return neighbourhood(pixels, offsets, weights, border).groupBy(*PLACE).agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+    # Mirrored by a frame, an image has the medians of one whose edge is repeated.
+    return by_tiles(pixels, run, 2, "reflect")
 
 
 def gaussian_blur(pixels: DataFrame, sigma: float, border: str = "nearest", truncate: float = 4.0) -> DataFrame:
-    """Separable Gaussian: a pass along each axis."""
+    """Separable Gaussian: along one axis, then along the other."""
     if sigma <= 0:
         return pixels.select(*PLACE, "value")
     r = int(truncate * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    w = (w / w.sum()).tolist()
-    along = _weighted(pixels, [(i, 0) for i in range(-r, r + 1)], w, border)
-    return _weighted(along, [(0, i) for i in range(-r, r + 1)], w, border)
+    w /= w.sum()
+
+    def run(image: np.ndarray, _) -> np.ndarray:
+        h, width = image.shape[0] - 2 * r, image.shape[1] - 2 * r
+        along = sum(w[i] * image[i : i + h] for i in range(2 * r + 1))
+        return _framed(sum(w[j] * along[:, j : j + width] for j in range(2 * r + 1)), r)
+
+    return by_tiles(pixels, run, r, border, size=max(256, 2 * r))
 
 
 def tiles(pixels: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
@@ -177,13 +176,19 @@ def rescale_to_max(pixels: DataFrame, original: DataFrame) -> DataFrame:
     return pixels.join(old, IMAGE).join(new, IMAGE).select(*PLACE, F.least(F.greatest(scaled, F.least("a", F.lit(0.0))), F.col("b")).alias("value"))
 
 
-def denoise(pixels: DataFrame, settings: dict[str, dict]) -> DataFrame:
-    """Hot pixels, then speckle, then background, by channel; channels without settings stay.
+STEPS = ("hot", "speckle", "background")
+
+
+def denoise(pixels: DataFrame, settings: dict[str, dict], order: Sequence[str] = STEPS) -> DataFrame:
+    """Hot pixels, speckle and background, by channel, in the given order; channels without settings stay.
 
     ``settings``: channel -> ``{"hot": {"method": "median3" | "n_sd_local_median", "n_sd"},
     "speckle": {"method": "gaussian", "sigma"}, "background": {"method": "white_tophat" |
-    "black_tophat" | "opening", "radius"}}``. The channel's old maximum is kept.
+    "black_tophat" | "opening", "radius"}}``. The background step keeps the channel's old
+    maximum, as it was before the first step.
     """
+    if sorted(order) != sorted(STEPS):
+        raise ValueError(f"order must name each of {STEPS} once")
     plans: dict[str, list[str]] = {}
     for channel, plan in settings.items():
         plans.setdefault(repr(sorted(plan.items(), key=str)), []).append(channel)
@@ -191,33 +196,37 @@ def denoise(pixels: DataFrame, settings: dict[str, dict]) -> DataFrame:
     for channels in plans.values():
         plan, own = settings[channels[0]], pixels.filter(F.col("channel").isin(channels)).select(*PLACE, "value")
         out = own
-        if hot := plan.get("hot"):
-            out = n_sd_local_median(out, hot.get("n_sd", 5.0)) if hot["method"] == "n_sd_local_median" else median_filter(out, CROSS)
-        if speckle := plan.get("speckle"):
-            if speckle["method"] != "gaussian":
-                raise ValueError(f"unknown method {speckle['method']!r}")
-            out = gaussian_blur(out, speckle.get("sigma", 0.8))
-        if background := plan.get("background"):
-            how = {"white_tophat": white_tophat, "black_tophat": black_tophat, "opening": background_opening}[background["method"]]
-            out = rescale_to_max(how(out, background.get("radius", 15)), own)
+        for step in order:
+            if plan.get(step):
+                out = _step(out, own, step, plan[step])
         parts.append(out)
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _step(pixels: DataFrame, original: DataFrame, step: str, how: dict) -> DataFrame:
+    method = how["method"]
+    if step == "hot" and method in ("median3", "n_sd_local_median"):
+        return n_sd_local_median(pixels, how.get("n_sd", 5.0)) if method == "n_sd_local_median" else median_filter(pixels, CROSS)
+    if step == "speckle" and method == "gaussian":
+        return gaussian_blur(pixels, how.get("sigma", 0.8))
+    background = {"white_tophat": white_tophat, "black_tophat": black_tophat, "opening": background_opening}
+    if step == "background" and method in background:
+        return rescale_to_max(background[method](pixels, how.get("radius", 15)), original)
+    raise ValueError(f"unknown method {method!r} for {step}")
 
 
 def gradient_magnitude(pixels: DataFrame, method: str = "sobel") -> DataFrame:
     """Edge strength, rescaled to 0-1 in each image; ``inverse``: 1 minus a rescaled image."""
     if method == "inverse":
         return minmax(pixels).withColumn("value", 1 - F.col("value")).select(*PLACE, "value")
-    side = {"sobel": (1, 2, 1), "scharr": (3, 10, 3)}[method]
-    scale = 2.0 * sum(side)
-    gy = [(i, j) for i in (-1, 1) for j in (-1, 0, 1)]
-    wy = [i * side[j + 1] / scale for i, j in gy]
-    y = _weighted(pixels, gy, wy, "reflect").withColumnRenamed("value", "gy")
-    x = _weighted(pixels, [(j, i) for i, j in gy], wy, "reflect").withColumnRenamed("value", "gx")
-    return minmax(y.join(x, PLACE).select(*PLACE, F.sqrt((F.pow("gx", 2) + F.pow("gy", 2)) / 2).alias("value"))).select(*PLACE, "value")
+    side = np.array({"sobel": (1, 2, 1), "scharr": (3, 10, 3)}[method])
+    weights = np.array([[i * side[j + 1] for i, j in SQUARE], [j * side[i + 1] for i, j in SQUARE]]) / (2.0 * side.sum())
+
+    def run(image: np.ndarray, _) -> np.ndarray:
+        gy, gx = np.tensordot(weights, _shifted(image, SQUARE), axes=1)
+        return _framed(np.sqrt((gy**2 + gx**2) / 2), 1)
+
+    return minmax(by_tiles(pixels, run, 1, "reflect")).select(*PLACE, "value")
 
 
 def label_regions(on: DataFrame) -> DataFrame:

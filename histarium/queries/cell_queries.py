@@ -63,7 +63,7 @@ QUERIES = {
     "p3_filter_sources_and_roi": (lambda s, d: gates.filter_roi(gates.filter_sources(v.cells(s, d), ["file0", "file2"]), "7", ["roi_id", "status"]).select("roi_id", "cell_id", "source_file"), f"WITH {CELLS} SELECT roi_id, cell_id, source_file FROM cells WHERE source_file IN ('file0', 'file2') AND '7' IN (roi_id, status)"),
     "p4_exclude_channels": (lambda s, d: gates.exclude_channels(v.flat(s, d), ["tax", "discount"]).groupBy("channel").agg(F.count("*").alias("n")), f"WITH {v.FLAT} SELECT channel, count(*) AS n FROM flat WHERE channel NOT IN ('tax', 'discount') GROUP BY ALL"),
     "p17_assign_groups": (
-        lambda s, d: gates.assign_groups(v.cells(s, d).withColumn("source_well", F.concat_ws("_", "source_file", "status")), v.read(s, d, "nation").limit(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(g).alias("batch_group")) for k, g in (("file0_F", "A"), ("file1_F", "A"), ("file2_O", "B"), ("gone", "C"))])).alias("k")).select("k.*")).groupBy("batch_group").agg(F.count("*").alias("n")),
+        lambda s, d: gates.assign_groups(v.cells(s, d).withColumn("source_well", F.concat_ws("_", "source_file", "status")), s.createDataFrame([("file0_F", "A"), ("file1_F", "A"), ("file2_O", "B"), ("gone", "C")], "key string, batch_group string")).groupBy("batch_group").agg(F.count("*").alias("n")),
         f"WITH {CELLS} SELECT CASE source_file || '_' || status WHEN 'file0_F' THEN 'A' WHEN 'file1_F' THEN 'A' WHEN 'file2_O' THEN 'B' ELSE '__unassigned__' END AS batch_group, count(*) AS n FROM cells GROUP BY ALL",
     ),
     "p18_source_well": (lambda s, d: v.read(s, d, "customer").select("c_custkey", scalar.source_well(F.concat(F.col("c_name"), F.element_at(F.array(F.lit(".ome.tif"), F.lit(".tif"), F.lit(".mcd"), F.lit(".csv")), (F.col("c_custkey") % 4 + 1).cast("int"))), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("")).alias("source_well")), "SELECT c_custkey, c_name || CASE WHEN c_custkey % 4 = 3 THEN '.csv' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN '_' || c_mktsegment ELSE '' END AS source_well FROM customer"),
@@ -87,7 +87,7 @@ QUERIES = {
     "q8_adjust_p_by": (lambda s, d: rounded(correlation.adjust_p(_tests(s, d), "fdr_by", ["brand"])), "WITH t AS (SELECT p_brand AS brand, p_partkey AS k, p_partkey * 7919 % 10007 / 10007 AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY p) AS i, count(*) OVER (PARTITION BY brand) AS n FROM t), q AS (SELECT *, p * n * list_sum(list_transform(range(1, n + 1), lambda j: 1 / j)) / i AS raw FROM r) SELECT brand, k, round(p, 6) AS p, round(least(min(raw) OVER (PARTITION BY brand ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS p_adjusted FROM q"),
     "q8_adjust_p_bonferroni": (lambda s, d: rounded(correlation.adjust_p(_tests(s, d), "bonferroni", ["brand"])), "SELECT p_brand AS brand, p_partkey AS k, round(p_partkey * 7919 % 10007 / 10007, 6) AS p, round(least(p_partkey * 7919 % 10007 / 10007 * count(*) OVER (PARTITION BY p_brand), 1), 6) AS p_adjusted FROM part"),
     "q9_correlation_by_condition": (lambda s, d: rounded(correlation.correlation_by_condition(_by_condition(s, d))), CONDITION_SQL),
-    "j11_write_back": (lambda s, d: gates.write_back(v.cells(s, d).drop("cluster"), v.cells(s, d).filter("cell_id % 3 = 0").select("roi_id", "cell_id", "cluster"), default="").groupBy("cluster").agg(F.count("*").alias("n")), f"WITH {CELLS} SELECT CASE WHEN cell_id % 3 = 0 THEN cluster ELSE '' END AS cluster, count(*) AS n FROM cells GROUP BY ALL"),
+    "j11_write_back": (lambda s, d: gates.write_back(v.cells(s, d).drop("cluster"), v.cells(s, d).filter("status = 'F'").select("roi_id", "cell_id", "cluster"), default="").groupBy("cluster").agg(F.count("*").alias("n")), f"WITH {CELLS} SELECT CASE WHEN status = 'F' THEN cluster ELSE '' END AS cluster, count(*) AS n FROM cells GROUP BY ALL"),
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import correlation, features, qc, scaling
+from ..operators import correlation, extraction, features, qc, scaling
 from . import views as v
 from .views import FLAT, GRID, MASK, rounded
 
@@ -27,6 +27,34 @@ def _labelled(spark, sf):
     return features.in_cells(v.grid(spark, sf), v.mask(spark, sf))
 
 
+def _acquisitions(spark, sf):
+    """Files and wells of the images, from the labels of their vectors."""
+    size = v.grid(spark, sf).groupBy("acq_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    own = v.read(spark, sf, "embeddings").groupBy(F.expr("vec_id div 4").cast("string").alias("acq_id")).agg(F.min("label").alias("l"))
+    return own.join(size, "acq_id").select("acq_id", F.concat(F.lit("roi "), "acq_id").alias("name"), F.when(F.col("l") > 1, F.concat(F.lit("W"), "l")).alias("well"), F.concat(F.lit("slide"), "l", F.lit(".ome.tif")).alias("source_file"), "height", "width")
+
+
+HOT = {"ch0": {"hot": {"method": "median3"}}, "ch2": {"hot": {"method": "median3"}}}
+
+
+def _whole(spark, sf, **more):
+    return extraction.extract_features(v.grid(spark, sf), v.mask(spark, sf), v.GRID_CHANNELS, denoising=HOT, acquisitions=_acquisitions(spark, sf), **more)
+
+
+def _whole_sql() -> str:
+    """Cross medians of two channels, then all statistics, shapes of the 4 x 4 and 3 x 4 cells, and names."""
+    cross = "(SELECT unnest([0, 0, 0, 1, -1]) AS dy, unnest([0, 1, -1, 0, 0]) AS dx) o"
+    near = f"SELECT g.acq_id, g.channel, g.y, g.x, median(s.value) AS value FROM grid g, {cross} JOIN grid s ON TRUE WHERE s.acq_id = g.acq_id AND s.channel = g.channel AND s.y = greatest(least(g.y + dy, 7), 0) AND s.x = greatest(least(g.x + dx, 7), 0) AND g.channel IN ('ch0', 'ch2') GROUP BY ALL"
+    names = "SELECT (vec_id // 4)::VARCHAR AS acq_id, min(label) AS l FROM embeddings GROUP BY ALL"
+    return f"""WITH {GRID}, {MASK}, clean AS ({near} UNION ALL SELECT acq_id, channel, y, x, value FROM grid WHERE channel NOT IN ('ch0', 'ch2')),
+ labelled AS (SELECT clean.*, cell_id FROM clean JOIN mask USING (acq_id, y, x) WHERE cell_id > 0), wide AS ({_wide_sql("labelled", v.GRID_CHANNELS)}), names AS ({names}),
+ shapes AS (SELECT acq_id, cell_id, count(*)::DOUBLE AS area_um2, round(avg(x), 6) AS centroid_x, round(avg(y), 6) AS centroid_y, 1.0::DOUBLE AS solidity, max(x = 0 OR y = 0 OR x = 7 OR y = 7) AS touches_border FROM mask WHERE cell_id > 0 GROUP BY ALL)
+SELECT wide.* REPLACE (wide.cell_id::BIGINT AS cell_id), area_um2, centroid_x, centroid_y, solidity, touches_border, 'roi ' || acq_id AS acquisition_name, CASE WHEN l > 1 THEN 'W' || l END AS well, 'slide' || l || '.ome.tif' AS source_file, 'slide' || l || CASE WHEN l > 1 THEN '_W' || l ELSE '' END AS source_well
+ FROM wide JOIN shapes USING (acq_id, cell_id) JOIN names USING (acq_id)"""
+
+
+OTHER_SHAPES = ["perimeter_um", "circularity", "equivalent_diameter_um", "extent", "bbox_area_um2", "major_axis_len_um", "minor_axis_len_um", "eccentricity", "aspect_ratio"]
+
 MORPHOLOGY_SQL = f"""WITH {MASK}, m AS (SELECT acq_id, cell_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM mask WHERE cell_id > 0 GROUP BY ALL),
  l AS (SELECT *, (xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS l1, greatest((xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy * xy), 0) AS l2 FROM m)
 SELECT acq_id, cell_id::BIGINT AS cell_id, round(cx, 6) AS centroid_x, round(cy, 6) AS centroid_y, n::DOUBLE AS area_um2, round(sqrt(4 * n / pi()), 6) AS equivalent_diameter_um, round(n / (w * h), 6) AS extent, (w * h)::DOUBLE AS bbox_area_um2,
@@ -43,7 +71,7 @@ QC_PIXEL = f"""WITH {GRID}, {OTSU}, q AS (SELECT acq_id, channel, threshold, avg
 RANKS = "r AS (SELECT acq_id, channel, y, x, rank() OVER (PARTITION BY acq_id, channel ORDER BY value) + (count(*) OVER (PARTITION BY acq_id, channel, value) - 1) / 2 AS v FROM grid)"
 
 QUERIES = {
-    "a11_intensity_features": (lambda s, d: rounded(features.intensity_long(v.flat(s, d)), 4), f"WITH {FLAT} SELECT acq_id, cell_id, channel, {STATS.replace(', 6)', ', 4)')} FROM flat GROUP BY ALL"),
+    "a11_intensity_features": (lambda s, d: rounded(features.intensity_long(v.flat(s, d))), f"WITH {FLAT} SELECT acq_id, cell_id, channel, {STATS} FROM flat GROUP BY ALL"),
     "a15_features_wide_arcsinh": (_flat_features, f"WITH {FLAT} {_wide_sql('flat', v.CHANNELS)}"),
     "a1_morphology": (lambda s, d: rounded(features.morphology(v.mask(s, d))), MORPHOLOGY_SQL),
     "a7_perimeter": (
@@ -61,7 +89,9 @@ SELECT acq_id, cell_id::BIGINT AS cell_id, round(p, 6) AS perimeter_um, round(4
     ),
     "j1_pixels_in_cells": (lambda s, d: rounded(features.in_cells(v.grid(s, d), v.mask(s, d)).select("acq_id", "y", "x", "channel", "value", "cell_id")), f"WITH {GRID}, {MASK} SELECT acq_id, y::BIGINT AS y, x::BIGINT AS x, channel, round(value, 6) AS value, cell_id::BIGINT AS cell_id FROM grid JOIN mask USING (acq_id, y, x) WHERE cell_id > 0"),
     "j1_pixels_outside_cells": (lambda s, d: rounded(features.outside_cells(v.grid(s, d), v.mask(s, d)).select("acq_id", "y", "x", "channel", "value")), f"WITH {GRID}, {MASK} SELECT acq_id, y::BIGINT AS y, x::BIGINT AS x, channel, round(value, 6) AS value FROM grid JOIN mask USING (acq_id, y, x) WHERE cell_id = 0"),
-    "a15_grid_features": (lambda s, d: rounded(features.extract_features(v.grid(s, d), v.mask(s, d), v.GRID_CHANNELS, shapes=False)), f"WITH {GRID}, {MASK}, {LABELLED} {_wide_sql('labelled', v.GRID_CHANNELS).replace('SELECT acq_id, cell_id,', 'SELECT acq_id, cell_id::BIGINT AS cell_id,', 1)}"),
+    "a15_grid_features": (lambda s, d: rounded(extraction.extract_features(v.grid(s, d), v.mask(s, d), v.GRID_CHANNELS, shapes=False)), f"WITH {GRID}, {MASK}, {LABELLED} {_wide_sql('labelled', v.GRID_CHANNELS).replace('SELECT acq_id, cell_id,', 'SELECT acq_id, cell_id::BIGINT AS cell_id,', 1)}"),
+    "a15_extract_features": (lambda s, d: rounded(_whole(s, d).drop(*OTHER_SHAPES)), _whole_sql()),
+    "a15_extract_features_unmixed": (lambda s, d: rounded(_whole(s, d, spill=v.even_spill(s, v.GRID_CHANNELS), method="nnls"), 5), None),
     "p10_percentile_clip": (lambda s, d: rounded(scaling.percentile_clip(v.grid(s, d)).select("acq_id", "channel", "y", "x", "value")), f"WITH {GRID}, q AS (SELECT acq_id, channel, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM grid GROUP BY ALL) SELECT acq_id, channel, y::BIGINT AS y, x::BIGINT AS x, round(CASE WHEN b > a THEN (least(greatest(value, a), b) - a) / (b - a) ELSE 0 END, 6) AS value FROM grid JOIN q USING (acq_id, channel)"),
     "p11_minmax": (lambda s, d: rounded(scaling.minmax(v.grid(s, d)).select("acq_id", "channel", "y", "x", "value")), f"WITH {GRID} SELECT acq_id, channel, y::BIGINT AS y, x::BIGINT AS x, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) AS value FROM grid WINDOW w AS (PARTITION BY acq_id, channel)"),
     "p12_robust_scale": (lambda s, d: rounded(scaling.robust_scale(v.grid(s, d), 2, 98).select("acq_id", "channel", "y", "x", "value")), f"WITH {GRID}, q AS (SELECT acq_id, channel, quantile_cont(value, 0.02) AS a, quantile_cont(value, 0.98) AS b FROM grid GROUP BY ALL) SELECT acq_id, channel, y::BIGINT AS y, x::BIGINT AS x, round((least(greatest(value, a), b) - a) / (b - a), 6) AS value FROM grid JOIN q USING (acq_id, channel)"),

@@ -12,9 +12,8 @@ from .views import CELLS, GRID, rounded
 
 OFFSETS = "o AS (SELECT unnest(range(-1, 2)) AS dy), p AS (SELECT unnest(range(-1, 2)) AS dx)"
 NEAREST = f"{OFFSETS}, n AS (SELECT g.acq_id, g.channel, g.y, g.x, g.value, dy, dx, s.value AS v FROM grid g, o, p, grid s WHERE s.acq_id = g.acq_id AND s.channel = g.channel AND s.y = greatest(least(g.y + dy, 7), 0) AND s.x = greatest(least(g.x + dx, 7), 0))"
-E8 = [f"e{i}" for i in range(8)]
 ALL = [f"e{i}" for i in range(v.DIMS)]
-VECTORS = "vec AS (SELECT vec_id, label, vec_id % 3 AS batch, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)) + " FROM embeddings)"
+VECTORS = "vec AS (SELECT vec_id, label, vec_id % 3 AS batch, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(v.DIMS)) + " FROM embeddings)"
 PLACE = "acq_id, channel, y::BIGINT AS y, x::BIGINT AS x"
 DONORS = "donors AS (SELECT DISTINCT acq_id, 'ch' || (acq_id::INT % 4) AS donor FROM grid)"
 SPILL_ROWS = f"""{DONORS}, d AS (SELECT acq_id, y, x, donor, value AS d FROM grid JOIN donors USING (acq_id) WHERE channel = donor), q AS (SELECT acq_id, quantile_cont(d, 0.9) AS lo, quantile_cont(d, 0.999) AS hi FROM d GROUP BY ALL), f AS (SELECT d.* FROM d JOIN q USING (acq_id) WHERE d >= lo AND d <= hi),
@@ -48,19 +47,18 @@ BARCODES = ["Nd142", "Nd143", "Gd158", "Gd160", "Yb174"]
 def _events(s, d):
     """Stained events from line items: five channels, the barcode from the order's key."""
     masses = F.array(*[F.lit(m) for m in (0, 142, 143, 158, 160, 174)])
-    t = v.read(s, d, "lineitem").select(F.monotonically_increasing_id().alias("event_id"), F.element_at(masses, (F.col("l_orderkey") % 6 + 1).cast("int")).alias("bc_id"), *[(F.col(c) * (1 + (F.col("l_orderkey") % 6 == i + 1).cast("int") * 3)).alias(n) for i, (n, c) in enumerate(zip(BARCODES, ("l_quantity", "l_linenumber", "l_discount", "l_tax", "l_suppkey"), strict=True))])
+    t = v.read(s, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("event_id"), F.element_at(masses, (F.col("l_orderkey") % 6 + 1).cast("int")).alias("bc_id"), *[(F.col(c) * (1 + (F.col("l_orderkey") % 6 == i + 1).cast("int") * 3)).alias(n) for i, (n, c) in enumerate(zip(BARCODES, ("l_quantity", "l_linenumber", "l_discount", "l_tax", "l_suppkey"), strict=True))])
     return t.unpivot(["event_id", "bc_id"], BARCODES, "channel", "value")
 
 
 def _compensated(s, d):
     wide = v.cells(s, d).select("cell_id", *v.MARKERS)
-    names = F.array(*[F.lit(m) for m in v.MARKERS])
-    spill = v.read(s, d, "region").select(F.explode(names).alias("emitter")).distinct().crossJoin(v.read(s, d, "region").select(F.explode(names).alias("receiver")).distinct()).select("emitter", "receiver", F.when(F.col("emitter") == F.col("receiver"), 1.0).otherwise(0.05).alias("coeff"))
+    spill = v.even_spill(s, v.MARKERS)
     return spillover.compensate(wide, spill, {m: m for m in v.MARKERS}, method="nnls", cofactor=5.0)
 
 
 def _knn_sql(metric: str) -> str:
-    d = {"euclidean": "sqrt(" + " + ".join(f"(a.e{i} - b.e{i}) ** 2" for i in range(8)) + ")", "manhattan": " + ".join(f"abs(a.e{i} - b.e{i})" for i in range(8))}[metric]
+    d = {"euclidean": "sqrt(" + " + ".join(f"(a.e{i} - b.e{i}) ** 2" for i in range(v.DIMS)) + ")", "manhattan": " + ".join(f"abs(a.e{i} - b.e{i})" for i in range(v.DIMS))}[metric]
     return f"WITH {VECTORS} SELECT vec_id, other, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS weight FROM (SELECT a.vec_id, b.vec_id AS other, {d} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {d}, b.vec_id) AS p FROM vec a JOIN vec b ON a.vec_id != b.vec_id) WHERE p < 6"
 
 
@@ -100,24 +98,24 @@ QUERIES = {
     "x4_compute_spillmat_classic": (lambda s, d: rounded(spillover.compute_spillmat(_events(s, d), _events(s, d).select("channel"), "classic", 0.1)), None),
     "x5_compensate": (lambda s, d: rounded(_compensated(s, d), 4), None),
     "x6_compensate_pixels": (lambda s, d: rounded(spillover.compensate_pixels(v.grid(s, d), _matrix(s, d), v.GRID_CHANNELS, v.mask(s, d)), 5), None),
-    "x7_adapt_spillmat": (lambda s, d: rounded(spillover.adapt_spillmat(_matrix(s, d), v.grid(s, d).select("channel").union(v.read(s, d, "region").select(F.lit("ch9"))))), f"WITH {GRID}, {SPILL_ROWS}, {SPILL_MATRIX}, c AS (SELECT DISTINCT channel AS c FROM grid UNION SELECT 'ch9') SELECT e.c AS emitter, r.c AS receiver, round(CASE WHEN e.c = r.c THEN 1 ELSE coalesce(coeff, 0) END, 6) AS coeff FROM c e CROSS JOIN c r LEFT JOIN matrix ON emitter = e.c AND receiver = r.c"),
+    "x7_adapt_spillmat": (lambda s, d: rounded(spillover.adapt_spillmat(_matrix(s, d), v.grid(s, d).select("channel").union(s.createDataFrame([("ch9",)], "channel string")))), f"WITH {GRID}, {SPILL_ROWS}, {SPILL_MATRIX}, c AS (SELECT DISTINCT channel AS c FROM grid UNION SELECT 'ch9') SELECT e.c AS emitter, r.c AS receiver, round(CASE WHEN e.c = r.c THEN 1 ELSE coalesce(coeff, 0) END, 6) AS coeff FROM c e CROSS JOIN c r LEFT JOIN matrix ON emitter = e.c AND receiver = r.c"),
     "j12_spill_candidates": (lambda s, d: spillover.spill_candidates(_channels(s, d)), f"WITH {CHANNEL_SQL} SELECT DISTINCT a.metal || a.mass AS emitter, b.metal || b.mass AS receiver FROM ch a JOIN ch b ON b.mass != a.mass AND (b.mass - a.mass IN (-1, 1, 16) OR b.mass IN (SELECT isotope FROM iso WHERE iso.metal = a.metal))"),
     "j14_infer_donor": (
-        lambda s, d: spillover.infer_donor(v.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("acq_id"), F.col("c_custkey").alias("idx"), F.concat(F.lit("roi_"), F.element_at(F.array(F.lit("Yb174"), F.lit("nd"), F.lit("x")), (F.col("c_custkey") % 3 + 1).cast("int"))).alias("name"), F.lit("").alias("well")), v.read(s, d, "region").select(F.explode(F.array(F.lit("Yb174"), F.lit("Nd142"), F.lit("Gd158"))).alias("channel")), v.read(s, d, "region").select(F.lit("5").alias("key"), F.lit("Gd158").alias("donor")).distinct()),
+        lambda s, d: spillover.infer_donor(v.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("acq_id"), F.col("c_custkey").alias("idx"), F.concat(F.lit("roi_"), F.element_at(F.array(F.lit("Yb174"), F.lit("nd"), F.lit("x")), (F.col("c_custkey") % 3 + 1).cast("int"))).alias("name"), F.lit("").alias("well")), s.createDataFrame([("Yb174",), ("Nd142",), ("Gd158",)], "channel string"), s.createDataFrame([("5", "Gd158")], "key string, donor string")),
         "SELECT c_custkey::VARCHAR AS acq_id, CASE WHEN c_custkey = 5 THEN 'Gd158' WHEN c_custkey % 3 = 0 THEN 'Yb174' WHEN c_custkey % 3 = 1 THEN 'Nd142' END AS donor FROM customer",
     ),
-    "j8_knn_features": (lambda s, d: rounded(knn_features(v.vectors(s, d), "vec_id", E8, 6).select("vec_id", "other", "distance", "weight")), _knn_sql("euclidean")),
-    "j8_knn_features_manhattan": (lambda s, d: rounded(knn_features(v.vectors(s, d), "vec_id", E8, 6, "manhattan").select("vec_id", "other", "distance", "weight")), _knn_sql("manhattan")),
-    "b3_combat": (lambda s, d: rounded(batches.combat(v.vectors(s, d, v.DIMS), "batch", ALL, ["label"]), 5), None),
-    "b4_harmony": (lambda s, d: rounded(batches.harmony(v.vectors(s, d), "batch", E8, n_clusters=10, max_iter=3), 4), None),
-    "b5_bbknn_smooth": (lambda s, d: rounded(batches.bbknn_smooth(v.vectors(s, d), "vec_id", "batch", E8), 4), None),
-    "u1_pca": (lambda s, d: rounded(clustering.pca(v.vectors(s, d, v.DIMS), ALL, k=2)[0].select("vec_id", "pc1", "pc2"), 5), None),
-    "u2_kmeans": (lambda s, d: rounded(clustering.kmeans(v.vectors(s, d, v.DIMS), ALL, 5).select("vec_id", "cluster")), None),
-    "u3_louvain": (lambda s, d: rounded(clustering.graph_cluster(v.vectors(s, d), "vec_id", E8, "louvain").select("vec_id", "cluster")), None),
-    "u4_leiden": (lambda s, d: rounded(clustering.graph_cluster(v.vectors(s, d), "vec_id", E8, "leiden").select("vec_id", "cluster")), None),
-    "u5_hierarchical": (lambda s, d: rounded(clustering.hierarchical(v.vectors(s, d), E8, 5, micro=60).select("vec_id", "cluster")), None),
-    "u6_density": (lambda s, d: rounded(clustering.density_clusters(v.vectors(s, d), "vec_id", E8, levels=8).select("vec_id", "cluster")), None),
-    "u7_k_search": (lambda s, d: rounded(clustering.k_search(v.vectors(s, d, v.DIMS), ALL, 2, 5)), None),
+    "j8_knn_features": (lambda s, d: rounded(knn_features(v.vectors(s, d), "vec_id", ALL, 6).select("vec_id", "other", "distance", "weight")), _knn_sql("euclidean")),
+    "j8_knn_features_manhattan": (lambda s, d: rounded(knn_features(v.vectors(s, d), "vec_id", ALL, 6, "manhattan").select("vec_id", "other", "distance", "weight")), _knn_sql("manhattan")),
+    "b3_combat": (lambda s, d: rounded(batches.combat(v.vectors(s, d), "batch", ALL, ["label"]), 5), None),
+    "b4_harmony": (lambda s, d: rounded(batches.harmony(v.vectors(s, d), "batch", ALL), 4), None),
+    "b5_bbknn_smooth": (lambda s, d: rounded(batches.bbknn_smooth(v.vectors(s, d), "vec_id", "batch", ALL), 4), None),
+    "u1_pca": (lambda s, d: rounded(clustering.pca(v.vectors(s, d), ALL, k=2)[0].select("vec_id", "pc1", "pc2"), 5), None),
+    "u2_kmeans": (lambda s, d: rounded(clustering.kmeans(v.vectors(s, d), ALL, 5).select("vec_id", "cluster")), None),
+    "u3_louvain": (lambda s, d: rounded(clustering.graph_cluster(v.vectors(s, d), "vec_id", ALL, "louvain").select("vec_id", "cluster")), None),
+    "u4_leiden": (lambda s, d: rounded(clustering.graph_cluster(v.vectors(s, d), "vec_id", ALL, "leiden").select("vec_id", "cluster")), None),
+    "u5_hierarchical": (lambda s, d: rounded(clustering.hierarchical(v.vectors(s, d), ALL, 5).select("vec_id", "cluster")), None),
+    "u6_density": (lambda s, d: rounded(clustering.density_clusters(v.vectors(s, d), "vec_id", ALL).select("vec_id", "cluster")), None),
+    "u7_k_search": (lambda s, d: rounded(clustering.k_search(v.vectors(s, d), ALL, 2, 5)), None),
     "g1_spatial_communities": (lambda s, d: rounded(clustering.spatial_communities(_spatial_edges(s, d))), None),
     "s5_acquisitions": (lambda s, d: io.acquisitions(v.grid(s, d)).select("acq_id", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), F.array_join("channels", ",").alias("channels")), f"WITH {GRID} SELECT acq_id, (max(y) + 1)::BIGINT AS height, (max(x) + 1)::BIGINT AS width, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM grid GROUP BY ALL"),
     "s5_image_stack": (lambda s, d: rounded(io.image_stack(v.grid(s, d), v.GRID_CHANNELS)), f"WITH {GRID} SELECT acq_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"round(max(value) FILTER (channel = 'ch{i}'), 6) AS ch{i}" for i in range(4)) + " FROM grid GROUP BY ALL"),
@@ -126,8 +124,8 @@ QUERIES = {
         "SELECT p_partkey::VARCHAR AS acq_id, unnest([0, 1, 2])::BIGINT AS idx, unnest([p_type || '_' || p_brand, p_name, 'Channel_2']) AS channel FROM part",
     ),
     "s7_unique_acquisition": (lambda s, d: io.with_unique_ids(v.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("acq_id"), "c_name"), F.col("c_name")), "SELECT c_custkey::VARCHAR || '__file_' || substr(md5(c_name), 1, 8) AS acq_id, c_name FROM customer"),
-    "s8_channel_mismatch": (lambda s, d: io.channel_mismatch(v.read(s, d, "part").filter("p_size % 7 != 0").select(F.col("p_brand").alias("source_file"), F.concat(F.lit("ch"), F.col("p_size") % 12).alias("channel"))), "WITH o AS (SELECT DISTINCT p_brand AS source_file, 'ch' || (p_size % 12) AS channel FROM part WHERE p_size % 7 != 0) SELECT f.source_file, c.channel FROM (SELECT DISTINCT source_file FROM o) f CROSS JOIN (SELECT DISTINCT channel FROM o) c EXCEPT SELECT * FROM o"),
-    "s12_clustering_output": (lambda s, d: io.clustering_output(v.cells(s, d).drop("cluster").select("roi_id", "cell_id"), v.cells(s, d).filter("cell_id % 2 = 0").select("roi_id", "cell_id", "cluster")), f"WITH {CELLS} SELECT roi_id, cell_id, CASE WHEN cell_id % 2 = 0 THEN cluster ELSE '' END AS cluster, '' AS cluster_phenotype, '' AS manual_phenotype FROM cells"),
+    "s8_channel_mismatch": (lambda s, d: io.channel_mismatch(v.read(s, d, "part").select(F.col("p_brand").alias("source_file"), F.concat(F.lit("ch"), "p_size").alias("channel"))), "WITH o AS (SELECT DISTINCT p_brand AS source_file, 'ch' || p_size AS channel FROM part) SELECT f.source_file, c.channel FROM (SELECT DISTINCT source_file FROM o) f CROSS JOIN (SELECT DISTINCT channel FROM o) c EXCEPT SELECT * FROM o"),
+    "s12_clustering_output": (lambda s, d: io.clustering_output(v.cells(s, d).drop("cluster").select("roi_id", "cell_id"), v.cells(s, d).filter("status = 'F'").select("roi_id", "cell_id", "cluster")), f"WITH {CELLS} SELECT roi_id, cell_id, CASE WHEN status = 'F' THEN cluster ELSE '' END AS cluster, '' AS cluster_phenotype, '' AS manual_phenotype FROM cells"),
     "s13_acquisition_list": (lambda s, d: io.acquisition_list(v.cells(s, d).select("source_file", "roi_id", "cell_id", "cluster"), ["source_file", "roi_id"]), f"WITH {CELLS} SELECT source_file, roi_id, min(cell_id) AS cell_id, arg_min(cluster, cell_id) AS cluster FROM cells GROUP BY ALL"),
     "j3_match_masks": (
         lambda s, d: io.match_masks(v.read(s, d, "nation").select(F.concat(F.lit("mask_"), F.lower("n_name"), F.lit(".tif")).alias("mask_file")), v.read(s, d, "nation").select(F.col("n_nationkey").alias("idx"), F.concat(F.lit("id#"), "n_nationkey").alias("acq_id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("well"))),

@@ -47,7 +47,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(m, "cell_id", "left").select("roi_id", "cell_id", "x", "y", "cluster", "source_file", "status", *MARKERS, "area_um2")
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
+def even_spill(spark: SparkSession, channels: list[str], coeff: float = 0.05) -> DataFrame:
+    """A matrix in which every channel spills the same share into every other."""
+    return spark.createDataFrame([(a, b, 1.0 if a == b else coeff) for a in channels for b in channels], "emitter string, receiver string, coeff double")
+
+
+def vectors(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3).alias("batch"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from histarium.functions import columns
 from histarium.functions.tails import incomplete_beta, t_two_sided_value
-from histarium.operators import batches, clustering, components, correlation, features, gates, neighbours, qc, scaling, spatial, spillover, stencils
+from histarium.operators import batches, clustering, correlation, features, gates, neighbours, qc, scaling, spatial, spillover, stencils
 from histarium.operators.components import connected_components
 from histarium.sources import io
 
@@ -127,9 +127,7 @@ def test_spearman_with_gaps_and_perfect_order(spark):
     assert got["p", "q"].r == pytest.approx(1) and got["p", "r"].r == pytest.approx(-1) and got["p", "q"].n == 12 and got["p", "q"].p == 0
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_components_and_chain(spark, monkeypatch, limit):
-    monkeypatch.setattr(components, "SPLIT_EDGES", limit)
+def test_components_and_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (None, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
@@ -222,8 +220,11 @@ def test_combat_and_harmony_bring_batches_together(spark):
 
 def test_column_roles(spark):
     df = spark.createDataFrame([(1, "f", 1.0, 2.0, 3.0, 4.0, 5.0)], "cell_id int, source_file string, centroid_x double, DAPI_mean double, DAPI_std double, area_um2 double, odd double")
-    assert columns.feature_columns(df) == ["DAPI_mean", "DAPI_std", "area_um2", "odd"]
+    assert columns.feature_columns(df) == ["centroid_x", "DAPI_mean", "DAPI_std", "area_um2", "odd"]
+    assert columns.feature_columns(df, include_centroids=False) == ["DAPI_mean", "DAPI_std", "area_um2", "odd"]
+    assert columns.feature_columns(df, "suffix") == ["DAPI_mean", "DAPI_std", "area_um2"]
     assert columns.feature_columns(df, "suffix", include_morphology=False) == ["DAPI_mean", "DAPI_std"]
+    assert columns.feature_columns(df, "numeric") == ["cell_id", "centroid_x", "DAPI_mean", "DAPI_std", "area_um2", "odd"]
     assert columns.classify_columns(df)["other_intensity"] == ["DAPI_std"]
 
 
