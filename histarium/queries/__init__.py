@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cell_queries, pixel_queries, spatial_queries, table_queries
+from . import cell_queries, file_queries, pixel_queries, spatial_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (pixel_queries, cell_queries, spatial_queries, table_queries)
+MODULES = (pixel_queries, cell_queries, spatial_queries, table_queries, file_queries)
 
 
 def queries() -> dict[str, Query]:

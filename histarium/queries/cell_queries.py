@@ -83,7 +83,10 @@ QUERIES = {
     "u13_five_numbers": (lambda s, d: rounded(statistics.five_numbers(v.cells(s, d), M)), f"WITH {CELLS}, {LONG} SELECT cluster, feature, count(value) AS n, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max FROM long GROUP BY ALL"),
     "u14_annotate": (lambda s, d: statistics.annotate(v.cells(s, d), {"1-URGENT": "T cell", "2-HIGH": "B cell"}).groupBy("cluster_phenotype").agg(F.count("*").alias("n")), f"WITH {CELLS} SELECT CASE cluster WHEN '1-URGENT' THEN 'T cell' WHEN '2-HIGH' THEN 'B cell' ELSE '' END AS cluster_phenotype, count(*) AS n FROM cells GROUP BY ALL"),
     "u15_cluster_members": (lambda s, d: rounded(statistics.cluster_members(v.cells(s, d), ["roi_id", "cell_id"])), f"WITH {CELLS}, p AS (SELECT cluster, roi_id, cell_id, row_number() OVER (PARTITION BY cluster ORDER BY roi_id, cell_id) AS place, count(*) OVER (PARTITION BY cluster) AS size FROM cells) SELECT * FROM p WHERE place <= 10"),
-    "u16_phenotype_payload": (lambda s, d: statistics.phenotype_reply(statistics.phenotype_payload(statistics.marker_stats(v.cells(s, d), M)).withColumn("reply", F.concat(F.lit('{"cluster":"'), F.col("cluster"), F.lit('","phenotype":"x"}'))).drop("cluster")).select("cluster", "payload", "valid"), None),
+    "u16_phenotype_payload": (
+        lambda s, d: rounded(_payload(s, d), 3),
+        MARKERS_SQL.replace("SELECT cluster, feature, regexp_replace", ", m AS (SELECT cluster, feature, regexp_replace") + ") SELECT cluster, max(n) OVER (PARTITION BY cluster) AS n_cells, marker, round(z, 3) AS z, round(auroc, 3) AS auroc, round(pct_in, 3) AS pct_in, TRUE AS valid FROM m",
+    ),
     "q8_adjust_p_by": (lambda s, d: rounded(correlation.adjust_p(_tests(s, d), "fdr_by", ["brand"])), "WITH t AS (SELECT p_brand AS brand, p_partkey AS k, p_partkey * 7919 % 10007 / 10007 AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY p) AS i, count(*) OVER (PARTITION BY brand) AS n FROM t), q AS (SELECT *, p * n * list_sum(list_transform(range(1, n + 1), lambda j: 1 / j)) / i AS raw FROM r) SELECT brand, k, round(p, 6) AS p, round(least(min(raw) OVER (PARTITION BY brand ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS p_adjusted FROM q"),
     "q8_adjust_p_bonferroni": (lambda s, d: rounded(correlation.adjust_p(_tests(s, d), "bonferroni", ["brand"])), "SELECT p_brand AS brand, p_partkey AS k, round(p_partkey * 7919 % 10007 / 10007, 6) AS p, round(least(p_partkey * 7919 % 10007 / 10007 * count(*) OVER (PARTITION BY p_brand), 1), 6) AS p_adjusted FROM part"),
     "q9_correlation_by_condition": (lambda s, d: rounded(correlation.correlation_by_condition(_by_condition(s, d))), CONDITION_SQL),
@@ -91,6 +94,16 @@ QUERIES = {
 }
 
 
+def _payload(s, d):
+    """The payloads, read again as an annotator would, and its replies checked."""
+    sent = statistics.phenotype_payload(statistics.marker_stats(v.cells(s, d), M))
+    reply = F.to_json(F.struct(F.get_json_object("payload", "$.cluster").alias("cluster"), F.lit("x").alias("phenotype")))
+    told = statistics.phenotype_reply(sent.select("payload", reply.alias("reply")))
+    parsed = F.from_json("payload", "cluster string, n_cells long, markers array<struct<marker: string, z: double, auroc: double, pct_in: double>>")
+    held = told.select(parsed.alias("p"), "valid").select("p.cluster", "p.n_cells", F.explode("p.markers").alias("m"), "valid")
+    return held.select("cluster", "n_cells", "m.*", "valid")
+
+
 def _channel():
     return F.element_at(F.array(F.lit("DNA1_Ir191"), F.concat(F.lit("Yb"), (F.col("p_partkey") % 90 + 100).cast("string"), F.lit("Di")), F.lit("143Nd"), F.lit("no isotope")), (F.col("p_partkey") % 4 + 1).cast("int"))
 

@@ -48,6 +48,12 @@ MORAN = f"""WITH {CELLS}, {EDGES}, {BOTH}, w AS (SELECT *, 1 / count(*) OVER (PA
 CO = f"""WITH {CELLS}, p AS (SELECT a.roi_id, a.cluster AS ca, b.cluster AS cb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cell_id != b.cell_id), b AS (SELECT roi_id, ca, cb, CASE WHEN d > 0 AND d <= 15 THEN 0 WHEN d > 15 AND d <= 30 THEN 15 WHEN d > 30 AND d <= 45 THEN 30 END AS lo, count(*) AS n FROM p WHERE d > 0 AND d <= 45 GROUP BY ALL)
 SELECT roi_id, ca AS cluster_a, cb AS cluster_b, lo::DOUBLE AS lo, (lo + 15)::DOUBLE AS hi, round((n / sum(n) OVER (PARTITION BY roi_id, lo, ca)) / (sum(n) OVER (PARTITION BY roi_id, lo, cb) / sum(n) OVER (PARTITION BY roi_id, lo)), 6) AS ratio FROM b"""
 
+F_WIDE = f"""WITH {CELLS}, {SIZES}, b AS (SELECT roi_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY ALL),
+ g AS (SELECT roi_id, g, x0 + (g % 10 + 0.5) / 10 * (x1 - x0) AS x, y0 + (g // 10 + 0.5) / 10 * (y1 - y0) AS y FROM b, (SELECT unnest(range(100)) AS g)),
+ n AS (SELECT g.roi_id, c.cluster, g, min(sqrt((g.x - c.x) ** 2 + (g.y - c.y) ** 2)) AS d FROM g JOIN cells c ON c.roi_id = g.roi_id JOIN sizes z ON z.roi_id = c.roi_id AND z.cluster = c.cluster WHERE z.n >= 2 GROUP BY ALL),
+ t AS (SELECT unnest(range(21)) * 5.0 AS t)
+SELECT roi_id, t::DOUBLE AS distance, {", ".join(f"round(count(*) FILTER (cluster = '{c}' AND d <= t + 5e-9) / nullif(count(*) FILTER (cluster = '{c}'), 0), 6) AS \"{c}\"" for c in CLUSTERS)} FROM n, t GROUP BY ALL"""
+
 QUERIES = {
     "j5_knn_edges": (lambda s, d: rounded(neighbours.knn_edges(v.cells(s, d), K)), f"WITH {CELLS}, {KNN} SELECT roi_id, least(cell_id, other) AS src, greatest(cell_id, other) AS dst, round(min(distance), 6) AS distance, round(min(distance), 6) AS distance_um FROM k GROUP BY ALL"),
     "j6_radius_edges": (lambda s, d: rounded(neighbours.radius_edges(v.cells(s, d), radius_um=RADIUS / 2, pixel_size_um=0.5)), f"WITH {CELLS}, {EDGES} SELECT roi_id, src, dst, round(distance, 6) AS distance, round(distance * 0.5, 6) AS distance_um FROM edges"),
@@ -75,7 +81,7 @@ QUERIES = {
     "g8_ripley_kl": (lambda s, d: rounded(spatial.ripley_kl(v.cells(s, d), RADII, 1e6), 4), f"WITH {CELLS}, {SAME}, {SIZES}, r AS (SELECT unnest([{', '.join(map(str, RADII))}])::DOUBLE AS radius), k AS (SELECT z.roi_id, z.cluster, radius, (SELECT count(*) FROM same WHERE same.roi_id = z.roi_id AND same.cluster = z.cluster AND same.distance <= radius) / z.n / (z.n / 1e6) AS k FROM sizes z, r WHERE z.n >= 2) SELECT roi_id, cluster, radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 4) AS l FROM k"),
     "g9_ripley_g": (lambda s, d: rounded(spatial.ripley(v.cells(s, d), "G", 50.0, 10).select("roi_id", "cluster", "distance", "value")), f"WITH {CELLS}, {NEAR}, {SIZES}, o AS (SELECT roi_id, cluster, distance FROM near WHERE cluster = target), t AS (SELECT unnest(range(11)) * 5.0 AS d) SELECT z.roi_id, z.cluster, d::DOUBLE AS distance, round((SELECT count(*) FROM o WHERE o.roi_id = z.roi_id AND o.cluster = z.cluster AND o.distance <= d + 5e-9) / z.n, 6) AS value FROM sizes z, t WHERE z.n >= 2"),
     "g9_ripley_l": (lambda s, d: rounded(spatial.ripley(v.cells(s, d), "L", 50.0, 10)), f"WITH {CELLS}, {SAME}, {SIZES}, {HULL}, t AS (SELECT unnest(range(11)) * 5.0 AS d) SELECT z.roi_id, z.cluster, d::DOUBLE AS distance, round(sqrt(area / n ** 2 * (SELECT count(*) FROM same WHERE same.roi_id = z.roi_id AND same.cluster = z.cluster AND same.distance <= d + 5e-9) / pi()), 6) AS value, d::DOUBLE AS expected FROM sizes z JOIN a ON a.roi_id = z.roi_id, t WHERE z.n >= 2"),
-    "g9_ripley_f_wide": (lambda s, d: rounded(spatial.ripley_wide(spatial.ripley(v.cells(s, d), "F", 100.0, 20), CLUSTERS)), None),
+    "g9_ripley_f_wide": (lambda s, d: rounded(spatial.ripley_wide(spatial.ripley(v.cells(s, d), "F", 100.0, 20), CLUSTERS)), F_WIDE),
     "g10_nhood_enrichment": (lambda s, d: rounded(spatial.nhood_enrichment(v.cells(s, d), _edges(s, d), how="mean")), None),
     "g11_co_occurrence": (lambda s, d: rounded(spatial.co_occurrence(v.cells(s, d), BINS)), CO),
     "g12_morans_i": (lambda s, d: rounded(spatial.morans_i(v.cells(s, d), _edges(s, d), ALL_MARKERS).drop("p")), f"{MORAN} SELECT roi_id, feature, round(i, 6) AS i FROM moran"),
