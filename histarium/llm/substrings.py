@@ -29,7 +29,7 @@ from .words import U64, covered, mix, window_hashes, words
 #: Words of a window. Fixed value of the data contract.
 WIDTH = 13
 #: Windows of a block; a block ends with the slice of text that reaches it.
-BLOCK_WINDOWS = 1_500_000
+BLOCK_WINDOWS = 1_000_000
 #: Mean windows of a bucket and bytes of text of a group of documents: what one task holds at a time.
 BUCKET_WINDOWS, GROUP_BYTES = 500_000, 8 << 20
 #: Null ids count as larger than any other.

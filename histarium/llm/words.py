@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at a time; a longer text is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _BASE, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
 
 
