@@ -128,11 +128,14 @@ COLUMNS = ", ".join(f"round({c}, 6) AS {c}" for c in NUMBERS)
 
 QUERIES = {
     "s1_read_features": (lambda s, d: rounded(_read_features(s, d)), f"WITH {CELLS} SELECT roi_id, cell_id, cluster, {COLUMNS}, 'cells.csv' AS source_file FROM cells"),
-    "s2_read_many": (lambda s, d: rounded(_read_many(s, d)), f"WITH {CELLS} SELECT CASE WHEN status = 'F' THEN 'one' ELSE 'two' END AS source_file, roi_id, count(*) AS n, count(price_mean) FILTER (status = 'F') AS prices, count(tax_mean) FILTER (status != 'F') AS taxes FROM cells GROUP BY ALL"),
-    "s3_read_edges": (lambda s, d: rounded(_read_edges(s, d)), "SELECT o_orderstatus AS roi_id, o_custkey::BIGINT AS src, o_orderkey::BIGINT AS dst, round(o_totalprice::DOUBLE, 6) AS distance, round(o_totalprice::DOUBLE / 2, 6) AS distance_um FROM orders"),
+    "s2_read_many": (lambda s, d: rounded(_read_many(s, d)), f"""WITH {CELLS} SELECT CASE WHEN status = 'F' THEN 'one' ELSE 'two' END AS source_file, roi_id, count(*) AS n, count(price_mean) FILTER (status = 'F')
+  AS prices, count(tax_mean) FILTER (status != 'F') AS taxes FROM cells GROUP BY ALL"""),
+    "s3_read_edges": (lambda s, d: rounded(_read_edges(s, d)), """SELECT o_orderstatus AS roi_id, o_custkey::BIGINT AS src, o_orderkey::BIGINT AS dst, round(o_totalprice::DOUBLE, 6) AS distance,
+  round(o_totalprice::DOUBLE / 2, 6) AS distance_um FROM orders"""),
     "s4_read_spill_matrix": (
         lambda s, d: rounded(_read_matrix(s, d)),
-        "WITH m AS (SELECT o_orderpriority AS p, avg(o_totalprice) AS c FROM orders GROUP BY ALL) SELECT a.p AS emitter, b.p AS receiver, CASE WHEN a.p = b.p THEN round(a.c, 6) ELSE 0 END AS coeff FROM m a CROSS JOIN m b",
+        """WITH m AS (SELECT o_orderpriority AS p, avg(o_totalprice) AS c FROM orders GROUP BY ALL) SELECT a.p AS emitter, b.p AS receiver, CASE WHEN a.p = b.p
+  THEN round(a.c, 6) ELSE 0 END AS coeff FROM m a CROSS JOIN m b""",
     ),
     "s5_read_pixels": (
         lambda s, d: rounded(_pixels(s, d)),
@@ -140,7 +143,8 @@ QUERIES = {
     ),
     "s9_write_table": (lambda s, d: rounded(_write_table(s, d)), f"WITH {CELLS} SELECT roi_id, cell_id, cluster, {COLUMNS} FROM cells"),
     "s10_write_by_roi": (lambda s, d: rounded(_by_roi(s, d)), f"WITH {CELLS} SELECT roi_id, count(*) AS cells, sum(area_um2) AS area, count(*) AS edges FROM cells GROUP BY ALL"),
-    "s11_run_log": (lambda s, d: _run_log(s, d), "SELECT 'cluster' AS type, 'region ' || n_regionkey AS operation, count(*)::VARCHAR AS k, string_agg(n_name, ',' ORDER BY n_name) AS acquisitions FROM nation GROUP BY n_regionkey"),
+    "s11_run_log": (lambda s, d: _run_log(s, d), """SELECT 'cluster' AS type, 'region ' || n_regionkey AS operation, count(*)::VARCHAR AS k, string_agg(n_name, ',' ORDER BY n_name) AS acquisitions FROM
+  nation GROUP BY n_regionkey"""),
     "p1_feature_columns": (lambda s, d: rounded(_chosen(s, d)), _chosen_sql()),
     "p2_classify_columns": (lambda s, d: rounded(_classified(s, d)), f"WITH {CELLS} " + " UNION ALL ".join(f"SELECT '{'mean' if c in v.MARKERS else 'morphology'}' AS role, '{c}' AS feature, round(max({c}), 6) AS max FROM cells" for c in NUMBERS)),
     "j13_align_channels": (lambda s, d: rounded(_aligned(s, d, False)), _aligned_sql({"quantity_mean": "q", "tax_mean": "t"})),

@@ -52,21 +52,28 @@ BLACK = f"""WITH {GRID}, {opened("c", "grid", 2, "max", "min")}
 SELECT {PLACE}, round(c.value - grid.value, 6) AS value FROM c JOIN grid USING (acq_id, channel, y, x)"""
 
 DENOISE = f"""WITH {GRID}, a0 AS (SELECT * FROM grid WHERE channel = 'ch0'), a1 AS (SELECT * FROM grid WHERE channel = 'ch1'),
- {near("m", "a0", SQUARE, "median(s.value)")}, d AS (SELECT acq_id, channel, y, x, (a0.value - m.value) ** 2 AS value FROM a0 JOIN m USING (acq_id, channel, y, x)),
+ {near("m", "a0", SQUARE, "median(s.value)")}, d AS (SELECT acq_id, channel, y, x, (a0.value - m.value) ** 2 AS value FROM a0 JOIN m USING (acq_id,
+  channel, y, x)),
  {near("q", "d", SQUARE, "avg(s.value)", "reflect")},
- hot AS (SELECT acq_id, channel, y, x, CASE WHEN a0.value - m.value > 3 * sqrt(greatest(q.value, 1e-8)) THEN m.value ELSE a0.value END AS value FROM a0 JOIN m USING (acq_id, channel, y, x) JOIN q USING (acq_id, channel, y, x)),
+ hot AS (SELECT acq_id, channel, y, x, CASE WHEN a0.value - m.value > 3 * sqrt(greatest(q.value, 1e-8)) THEN m.value ELSE a0.value END AS value FROM
+  a0 JOIN m USING (acq_id, channel, y, x) JOIN q USING (acq_id, channel, y, x)),
  {gaussian("b", "hot", 0.8)},
  {near("h", "a1", CROSS, "median(s.value)")}, {opened("o", "h", 3)},
  n AS (SELECT acq_id, channel, y, x, greatest(h.value - o.value, 0) AS value FROM h JOIN o USING (acq_id, channel, y, x)),
  k AS (SELECT acq_id, min(value) AS a, max(value) AS b FROM a1 GROUP BY ALL), t AS (SELECT acq_id, max(value) AS m FROM n GROUP BY ALL),
- r AS (SELECT acq_id, channel, y, x, least(greatest(CASE WHEN m > 0 THEN value * b / m ELSE value END, least(a, 0)), b) AS value FROM n JOIN k USING (acq_id) JOIN t USING (acq_id)),
+ r AS (SELECT acq_id, channel, y, x, least(greatest(CASE WHEN m > 0 THEN value * b / m ELSE value END, least(a, 0)), b) AS value FROM n JOIN k USING
+  (acq_id) JOIN t USING (acq_id)),
  whole AS (SELECT * FROM b UNION ALL SELECT * FROM r UNION ALL SELECT acq_id, channel, y, x, value FROM grid WHERE channel NOT IN ('ch0', 'ch1'))
 SELECT {PLACE}, round(value, 6) AS value FROM whole"""
 
-SEGMENT = f"""WITH RECURSIVE {GRID.replace("grid AS", "raw AS", 1)}, k AS (SELECT acq_id, channel, min(value) AS a, max(value) AS b FROM raw WHERE channel IN ('ch0', 'ch1') GROUP BY ALL),
+SEGMENT = f"""WITH RECURSIVE {GRID.replace("grid AS", "raw AS", 1)}, k AS (SELECT acq_id, channel, min(value) AS a, max(value) AS b FROM raw WHERE channel IN
+  ('ch0', 'ch1') GROUP BY ALL),
  f AS (SELECT acq_id, y, x, avg((value - a) / (b - a)) AS v FROM raw JOIN k USING (acq_id, channel) GROUP BY ALL),
- grid AS (SELECT acq_id, 'fused' AS channel, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS value FROM f WINDOW w AS (PARTITION BY acq_id)), {OTSU},
+ grid AS (SELECT acq_id, 'fused' AS channel, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS value FROM f WINDOW w AS (PARTITION BY
+  acq_id)), {OTSU},
  hit AS (SELECT acq_id, y, x, y * 8 + x AS p FROM grid JOIN otsu USING (acq_id, channel) WHERE value > threshold),
- r AS (SELECT acq_id, p AS root, p, y, x FROM hit UNION SELECT h.acq_id, r.root, h.p, h.y, h.x FROM r JOIN hit h ON h.acq_id = r.acq_id AND abs(h.y - r.y) + abs(h.x - r.x) = 1),
- g AS (SELECT acq_id, y, x, p, min(root) AS region FROM r GROUP BY ALL), s AS (SELECT acq_id, region, row_number() OVER (PARTITION BY acq_id ORDER BY region) AS cell_id FROM g GROUP BY acq_id, region HAVING count(*) BETWEEN 3 AND 10000)
+ r AS (SELECT acq_id, p AS root, p, y, x FROM hit UNION SELECT h.acq_id, r.root, h.p, h.y, h.x FROM r JOIN hit h ON h.acq_id = r.acq_id AND abs(h.y -
+  r.y) + abs(h.x - r.x) = 1),
+ g AS (SELECT acq_id, y, x, p, min(root) AS region FROM r GROUP BY ALL), s AS (SELECT acq_id, region, row_number() OVER (PARTITION BY acq_id ORDER BY
+  region) AS cell_id FROM g GROUP BY acq_id, region HAVING count(*) BETWEEN 3 AND 10000)
 SELECT acq_id, y::BIGINT AS y, x::BIGINT AS x, cell_id FROM g JOIN s USING (acq_id, region)"""

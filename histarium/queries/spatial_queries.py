@@ -11,21 +11,31 @@ from . import views as v
 from .views import CELLS, CLUSTERS, rounded
 
 RADIUS, K = 40.0, 4
-EDGES = f"edges AS (SELECT a.roi_id, a.cell_id AS src, b.cell_id AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cell_id < b.cell_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {RADIUS})"
-KNN = f"k AS (SELECT * FROM (SELECT a.roi_id, a.cell_id, b.cell_id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, row_number() OVER (PARTITION BY a.roi_id, a.cell_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell_id) AS p FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cell_id != b.cell_id) WHERE p <= {K})"
-NEAR = "near AS (SELECT * FROM (SELECT a.roi_id, a.cell_id, a.cluster, b.cluster AS target, b.cell_id AS nearest, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, row_number() OVER (PARTITION BY a.roi_id, a.cell_id, b.cluster ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell_id) AS p FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cell_id != b.cell_id) WHERE p = 1)"
+EDGES = f"""edges AS (SELECT a.roi_id, a.cell_id AS src, b.cell_id AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM cells a JOIN cells b ON
+  a.roi_id = b.roi_id AND a.cell_id < b.cell_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {RADIUS})"""
+KNN = f"""k AS (SELECT * FROM (SELECT a.roi_id, a.cell_id, b.cell_id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, row_number() OVER
+  (PARTITION BY a.roi_id, a.cell_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell_id) AS p FROM cells a JOIN cells b ON a.roi_id =
+  b.roi_id AND a.cell_id != b.cell_id) WHERE p <= {K})"""
+NEAR = """near AS (SELECT * FROM (SELECT a.roi_id, a.cell_id, a.cluster, b.cluster AS target, b.cell_id AS nearest, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)
+  AS distance, row_number() OVER (PARTITION BY a.roi_id, a.cell_id, b.cluster ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell_id) AS p
+  FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cell_id != b.cell_id) WHERE p = 1)"""
 BOTH = "both_ AS (SELECT roi_id, src, dst FROM edges UNION ALL SELECT roi_id, dst, src FROM edges)"
-LABELLED = "lab AS (SELECT e.*, least(a.cluster, b.cluster) AS cluster_a, greatest(a.cluster, b.cluster) AS cluster_b FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id = e.src JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst)"
-SAME = "same AS (SELECT a.roi_id, a.cluster, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cluster = b.cluster AND a.cell_id != b.cell_id)"
+LABELLED = """lab AS (SELECT e.*, least(a.cluster, b.cluster) AS cluster_a, greatest(a.cluster, b.cluster) AS cluster_b FROM edges e JOIN cells a ON a.roi_id =
+  e.roi_id AND a.cell_id = e.src JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst)"""
+SAME = """same AS (SELECT a.roi_id, a.cluster, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND
+  a.cluster = b.cluster AND a.cell_id != b.cell_id)"""
 SIZES = "sizes AS (SELECT roi_id, cluster, count(*) AS n FROM cells GROUP BY ALL)"
 RADII = [10.0, 25.0, 60.0]
 ALL_MARKERS = [*v.MARKERS, "area_um2"]
 #: An ordered pair of points is a side of the hull if no point lies to its right; the shoelace over sides is twice the area.
-HULL = """pts AS (SELECT DISTINCT roi_id, x, y FROM cells), dirs AS (SELECT cos(k * pi() / 32) AS u, sin(k * pi() / 32) AS v, k FROM (SELECT unnest(range(64)) AS k)),
- far AS (SELECT roi_id, k, max(x * u + y * v) AS m FROM pts, dirs GROUP BY ALL), ends AS (SELECT DISTINCT p.roi_id, x, y FROM pts p JOIN far f ON f.roi_id = p.roi_id JOIN dirs USING (k) WHERE x * u + y * v >= m - 100),
+HULL = """pts AS (SELECT DISTINCT roi_id, x, y FROM cells), dirs AS (SELECT cos(k * pi() / 32) AS u, sin(k * pi() / 32) AS v, k FROM (SELECT unnest(range(64))
+  AS k)),
+ far AS (SELECT roi_id, k, max(x * u + y * v) AS m FROM pts, dirs GROUP BY ALL), ends AS (SELECT DISTINCT p.roi_id, x, y FROM pts p JOIN far f ON
+  f.roi_id = p.roi_id JOIN dirs USING (k) WHERE x * u + y * v >= m - 100),
  side AS (SELECT a.roi_id, a.x * b.y - b.x * a.y AS c FROM ends a JOIN ends b ON a.roi_id = b.roi_id AND (a.x != b.x OR a.y != b.y)
   WHERE NOT EXISTS (SELECT 1 FROM ends c WHERE c.roi_id = a.roi_id AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-9)
-   AND NOT EXISTS (SELECT 1 FROM ends c WHERE c.roi_id = a.roi_id AND abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 1e-9)),
+   AND NOT EXISTS (SELECT 1 FROM ends c WHERE c.roi_id = a.roi_id AND abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9 AND (c.x -
+  a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 1e-9)),
  a AS (SELECT roi_id, sum(c) / 2 AS area FROM side GROUP BY ALL)"""
 BINS = [0.0, 15.0, 30.0, 45.0]
 
@@ -37,58 +47,94 @@ def _edges(s, d):
 
 def _composition_sql() -> str:
     one = ", ".join(f"round(coalesce(count(*) FILTER (c.cluster = '{c}') / nullif(count(c.cluster), 0), 0), 6) AS \"frac_{c}\"" for c in CLUSTERS)
-    return f"WITH {CELLS}, {EDGES}, {BOTH} SELECT a.roi_id, a.cell_id, {one} FROM cells a LEFT JOIN both_ b ON b.roi_id = a.roi_id AND b.src = a.cell_id LEFT JOIN cells c ON c.roi_id = b.roi_id AND c.cell_id = b.dst GROUP BY ALL"
+    return f"""WITH {CELLS}, {EDGES}, {BOTH} SELECT a.roi_id, a.cell_id, {one} FROM cells a LEFT JOIN both_ b ON b.roi_id = a.roi_id AND b.src = a.cell_id LEFT JOIN
+  cells c ON c.roi_id = b.roi_id AND c.cell_id = b.dst GROUP BY ALL"""
 
 
-MORAN = f"""WITH {CELLS}, {EDGES}, {BOTH}, w AS (SELECT *, 1 / count(*) OVER (PARTITION BY roi_id, src) AS w FROM both_), s AS (SELECT roi_id, sum(w) AS s0 FROM w GROUP BY ALL),
+MORAN = f"""WITH {CELLS}, {EDGES}, {BOTH}, w AS (SELECT *, 1 / count(*) OVER (PARTITION BY roi_id, src) AS w FROM both_), s AS (SELECT roi_id, sum(w) AS s0 FROM
+  w GROUP BY ALL),
  l AS (SELECT roi_id, cell_id, unnest({ALL_MARKERS}) AS feature, unnest([{", ".join(ALL_MARKERS)}]) AS value FROM cells),
- z AS (SELECT roi_id, cell_id, feature, value - avg(value) OVER (PARTITION BY roi_id, feature) AS z FROM l WHERE value IS NOT NULL), q AS (SELECT roi_id, feature, count(*) AS n, sum(z * z) AS zz FROM z GROUP BY ALL),
- c AS (SELECT w.roi_id, a.feature, sum(w.w * a.z * b.z) AS c FROM w JOIN z a ON a.roi_id = w.roi_id AND a.cell_id = w.src JOIN z b ON b.roi_id = w.roi_id AND b.cell_id = w.dst AND b.feature = a.feature GROUP BY ALL),
+ z AS (SELECT roi_id, cell_id, feature, value - avg(value) OVER (PARTITION BY roi_id, feature) AS z FROM l WHERE value IS NOT NULL), q AS (SELECT
+  roi_id, feature, count(*) AS n, sum(z * z) AS zz FROM z GROUP BY ALL),
+ c AS (SELECT w.roi_id, a.feature, sum(w.w * a.z * b.z) AS c FROM w JOIN z a ON a.roi_id = w.roi_id AND a.cell_id = w.src JOIN z b ON b.roi_id =
+  w.roi_id AND b.cell_id = w.dst AND b.feature = a.feature GROUP BY ALL),
  moran AS (SELECT roi_id, feature, n / s0 * c / zz AS i FROM q JOIN s USING (roi_id) JOIN c USING (roi_id, feature))"""
-CO = f"""WITH {CELLS}, p AS (SELECT a.roi_id, a.cluster AS ca, b.cluster AS cb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cell_id != b.cell_id), b AS (SELECT roi_id, ca, cb, CASE WHEN d > 0 AND d <= 15 THEN 0 WHEN d > 15 AND d <= 30 THEN 15 WHEN d > 30 AND d <= 45 THEN 30 END AS lo, count(*) AS n FROM p WHERE d > 0 AND d <= 45 GROUP BY ALL)
-SELECT roi_id, ca AS cluster_a, cb AS cluster_b, lo::DOUBLE AS lo, (lo + 15)::DOUBLE AS hi, round((n / sum(n) OVER (PARTITION BY roi_id, lo, ca)) / (sum(n) OVER (PARTITION BY roi_id, lo, cb) / sum(n) OVER (PARTITION BY roi_id, lo)), 6) AS ratio FROM b"""
+CO = f"""WITH {CELLS}, p AS (SELECT a.roi_id, a.cluster AS ca, b.cluster AS cb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM cells a JOIN cells b ON
+  a.roi_id = b.roi_id AND a.cell_id != b.cell_id), b AS (SELECT roi_id, ca, cb, CASE WHEN d > 0 AND d <= 15 THEN 0 WHEN d > 15 AND d <= 30 THEN 15
+  WHEN d > 30 AND d <= 45 THEN 30 END AS lo, count(*) AS n FROM p WHERE d > 0 AND d <= 45 GROUP BY ALL)
+SELECT roi_id, ca AS cluster_a, cb AS cluster_b, lo::DOUBLE AS lo, (lo + 15)::DOUBLE AS hi, round((n / sum(n) OVER (PARTITION BY roi_id, lo, ca)) /
+  (sum(n) OVER (PARTITION BY roi_id, lo, cb) / sum(n) OVER (PARTITION BY roi_id, lo)), 6) AS ratio FROM b"""
 
 F_WIDE = f"""WITH {CELLS}, {SIZES}, b AS (SELECT roi_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY ALL),
- g AS (SELECT roi_id, g, x0 + (g % 10 + 0.5) / 10 * (x1 - x0) AS x, y0 + (g // 10 + 0.5) / 10 * (y1 - y0) AS y FROM b, (SELECT unnest(range(100)) AS g)),
- n AS (SELECT g.roi_id, c.cluster, g, min(sqrt((g.x - c.x) ** 2 + (g.y - c.y) ** 2)) AS d FROM g JOIN cells c ON c.roi_id = g.roi_id JOIN sizes z ON z.roi_id = c.roi_id AND z.cluster = c.cluster WHERE z.n >= 2 GROUP BY ALL),
+ g AS (SELECT roi_id, g, x0 + (g % 10 + 0.5) / 10 * (x1 - x0) AS x, y0 + (g // 10 + 0.5) / 10 * (y1 - y0) AS y FROM b, (SELECT unnest(range(100)) AS
+  g)),
+ n AS (SELECT g.roi_id, c.cluster, g, min(sqrt((g.x - c.x) ** 2 + (g.y - c.y) ** 2)) AS d FROM g JOIN cells c ON c.roi_id = g.roi_id JOIN sizes z ON
+  z.roi_id = c.roi_id AND z.cluster = c.cluster WHERE z.n >= 2 GROUP BY ALL),
  t AS (SELECT unnest(range(21)) * 5.0 AS t)
-SELECT roi_id, t::DOUBLE AS distance, {", ".join(f"round(count(*) FILTER (cluster = '{c}' AND d <= t + 5e-9) / nullif(count(*) FILTER (cluster = '{c}'), 0), 6) AS \"{c}\"" for c in CLUSTERS)} FROM n, t GROUP BY ALL"""
+SELECT roi_id, t::DOUBLE AS distance,
+  {", ".join(f"round(count(*) FILTER (cluster = '{c}' AND d <= t + 5e-9) / nullif(count(*) FILTER (cluster = '{c}'), 0), 6) AS \"{c}\"" for c in CLUSTERS)}
+  FROM n, t GROUP BY ALL"""
 
 QUERIES = {
-    "j5_knn_edges": (lambda s, d: rounded(neighbours.knn_edges(v.cells(s, d), K)), f"WITH {CELLS}, {KNN} SELECT roi_id, least(cell_id, other) AS src, greatest(cell_id, other) AS dst, round(min(distance), 6) AS distance, round(min(distance), 6) AS distance_um FROM k GROUP BY ALL"),
+    "j5_knn_edges": (lambda s, d: rounded(neighbours.knn_edges(v.cells(s, d), K)), f"""WITH {CELLS}, {KNN} SELECT roi_id, least(cell_id, other) AS src, greatest(cell_id, other) AS dst, round(min(distance), 6) AS distance,
+  round(min(distance), 6) AS distance_um FROM k GROUP BY ALL"""),
     "j6_radius_edges": (lambda s, d: rounded(neighbours.radius_edges(v.cells(s, d), radius_um=RADIUS / 2, pixel_size_um=0.5)), f"WITH {CELLS}, {EDGES} SELECT roi_id, src, dst, round(distance, 6) AS distance, round(distance * 0.5, 6) AS distance_um FROM edges"),
     "j7_gabriel_edges": (
         lambda s, d: rounded(neighbours.gabriel_edges(v.cells(s, d), RADIUS).select("roi_id", "src", "dst", "distance")),
-        f"WITH {CELLS}, {EDGES}, m AS (SELECT e.*, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id = e.src JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst) SELECT roi_id, src, dst, round(distance, 6) AS distance FROM m WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.roi_id = m.roi_id AND c.cell_id NOT IN (m.src, m.dst) AND (c.x - mx) ** 2 + (c.y - my) ** 2 < (distance / 2) ** 2 - 1e-9)",
+        f"""WITH {CELLS}, {EDGES}, m AS (SELECT e.*, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id
+  = e.src JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst) SELECT roi_id, src, dst, round(distance, 6) AS distance FROM m WHERE NOT EXISTS
+  (SELECT 1 FROM cells c WHERE c.roi_id = m.roi_id AND c.cell_id NOT IN (m.src, m.dst) AND (c.x - mx) ** 2 + (c.y - my) ** 2 < (distance / 2) ** 2 -
+  1e-9)""",
     ),
     "j9_nearest_by_cluster": (lambda s, d: rounded(neighbours.nearest_by_cluster(v.cells(s, d))), f"WITH {CELLS}, {NEAR} SELECT roi_id, cell_id, cluster, target, nearest, round(distance, 6) AS distance FROM near"),
-    "j4_edges_with_labels": (lambda s, d: spatial.with_labels(_edges(s, d), v.cells(s, d), "cluster").groupBy("a", "b").agg(F.count("*").alias("n")), f"WITH {CELLS}, {EDGES} SELECT a.cluster AS a, b.cluster AS b, count(*) AS n FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id = e.src JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst GROUP BY ALL"),
+    "j4_edges_with_labels": (lambda s, d: spatial.with_labels(_edges(s, d), v.cells(s, d), "cluster").groupBy("a", "b").agg(F.count("*").alias("n")), f"""WITH {CELLS}, {EDGES} SELECT a.cluster AS a, b.cluster AS b, count(*) AS n FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id = e.src
+  JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst GROUP BY ALL"""),
     "j10_match_centroids": (
         lambda s, d: neighbours.match_centroids(v.cells(s, d).drop("cluster"), v.cells(s, d).filter("status = 'F'").withColumn("x", F.col("x") + 1.0), "cluster", 5.0).select("roi_id", "cell_id", "cluster"),
-        f"WITH {CELLS}, b AS (SELECT roi_id, cell_id, x + 1.0 AS x, y, cluster FROM cells WHERE status = 'F'), m AS (SELECT a.roi_id, a.cell_id, arg_min(b.cluster, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell_id)) AS c FROM cells a JOIN b ON a.roi_id = b.roi_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 5 GROUP BY ALL) SELECT a.roi_id, a.cell_id, coalesce(m.c, b.cluster, 'Unassigned') AS cluster FROM cells a LEFT JOIN m USING (roi_id, cell_id) LEFT JOIN b ON b.roi_id = a.roi_id AND b.cell_id = a.cell_id AND m.c IS NULL",
+        f"""WITH {CELLS}, b AS (SELECT roi_id, cell_id, x + 1.0 AS x, y, cluster FROM cells WHERE status = 'F'), m AS (SELECT a.roi_id, a.cell_id,
+  arg_min(b.cluster, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell_id)) AS c FROM cells a JOIN b ON a.roi_id = b.roi_id AND sqrt((a.x - b.x) **
+  2 + (a.y - b.y) ** 2) <= 5 GROUP BY ALL) SELECT a.roi_id, a.cell_id, coalesce(m.c, b.cluster, 'Unassigned') AS cluster FROM cells a LEFT JOIN m
+  USING (roi_id, cell_id) LEFT JOIN b ON b.roi_id = a.roi_id AND b.cell_id = a.cell_id AND m.c IS NULL""",
     ),
     "g2_enrichment_observed": (
         lambda s, d: rounded(spatial.enrichment(v.cells(s, d), _edges(s, d)).select("roi_id", "cluster_a", "cluster_b", "observed", "expected")),
-        f"WITH {CELLS}, {EDGES}, {LABELLED}, {SIZES}, o AS (SELECT roi_id, cluster_a, cluster_b, count(*) AS n FROM lab GROUP BY ALL), t AS (SELECT roi_id, sum(n) AS cells FROM sizes GROUP BY ALL), e AS (SELECT roi_id, count(*) AS edges FROM edges GROUP BY ALL) SELECT a.roi_id, a.cluster AS cluster_a, b.cluster AS cluster_b, coalesce(o.n, 0) AS observed, round(a.n * b.n / (cells * (cells - 1) / 2) * edges, 6) AS expected FROM sizes a JOIN sizes b ON a.roi_id = b.roi_id AND a.cluster <= b.cluster JOIN t ON t.roi_id = a.roi_id JOIN e ON e.roi_id = a.roi_id LEFT JOIN o ON o.roi_id = a.roi_id AND o.cluster_a = a.cluster AND o.cluster_b = b.cluster",
+        f"""WITH {CELLS}, {EDGES}, {LABELLED}, {SIZES}, o AS (SELECT roi_id, cluster_a, cluster_b, count(*) AS n FROM lab GROUP BY ALL), t AS (SELECT roi_id,
+  sum(n) AS cells FROM sizes GROUP BY ALL), e AS (SELECT roi_id, count(*) AS edges FROM edges GROUP BY ALL) SELECT a.roi_id, a.cluster AS cluster_a,
+  b.cluster AS cluster_b, coalesce(o.n, 0) AS observed, round(a.n * b.n / (cells * (cells - 1) / 2) * edges, 6) AS expected FROM sizes a JOIN sizes b
+  ON a.roi_id = b.roi_id AND a.cluster <= b.cluster JOIN t ON t.roi_id = a.roi_id JOIN e ON e.roi_id = a.roi_id LEFT JOIN o ON o.roi_id = a.roi_id
+  AND o.cluster_a = a.cluster AND o.cluster_b = b.cluster""",
     ),
     "g2_enrichment": (lambda s, d: rounded(spatial.enrichment(v.cells(s, d), _edges(s, d))), None),
     "g3_enrichment_two_sided": (lambda s, d: rounded(spatial.enrichment(v.cells(s, d), _edges(s, d), two_sided=True)), None),
     "g4_enrichment_summary": (lambda s, d: rounded(spatial.enrichment_summary(spatial.enrichment(v.cells(s, d), _edges(s, d)))), None),
-    "g5_edge_distances": (lambda s, d: rounded(spatial.edge_distances(v.cells(s, d), _edges(s, d))), f"WITH {CELLS}, {EDGES}, {LABELLED} SELECT roi_id, cluster_a, cluster_b, count(*) AS n_edges, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std, round(min(distance), 6) AS min, round(max(distance), 6) AS max, round(quantile_cont(distance, 0.25), 6) AS q25, round(median(distance), 6) AS median, round(quantile_cont(distance, 0.75), 6) AS q75 FROM lab GROUP BY ALL"),
-    "j15_edge_distances_over_regions": (lambda s, d: rounded(spatial.over_regions(spatial.edge_distances(v.cells(s, d), _edges(s, d)), ["cluster_a", "cluster_b"], {"mean": "mean", "n_edges": "sum"})), f"WITH {CELLS}, {EDGES}, {LABELLED}, r AS (SELECT roi_id, cluster_a, cluster_b, avg(distance) AS m, count(*) AS n FROM lab GROUP BY ALL) SELECT cluster_a, cluster_b, round(avg(m), 6) AS mean, sum(n)::BIGINT AS n_edges, count(*) AS n_rois FROM r GROUP BY ALL"),
-    "g6_nearest_distances": (lambda s, d: rounded(spatial.nearest_distances(v.cells(s, d))), f"WITH {CELLS}, {NEAR} SELECT cluster, target, count(*) AS n, round(avg(distance), 6) AS mean, round(median(distance), 6) AS median, round(min(distance), 6) AS min, round(max(distance), 6) AS max FROM near GROUP BY ALL"),
+    "g5_edge_distances": (lambda s, d: rounded(spatial.edge_distances(v.cells(s, d), _edges(s, d))), f"""WITH {CELLS}, {EDGES}, {LABELLED} SELECT roi_id, cluster_a, cluster_b, count(*) AS n_edges, round(avg(distance), 6) AS mean,
+  round(stddev_pop(distance), 6) AS std, round(min(distance), 6) AS min, round(max(distance), 6) AS max, round(quantile_cont(distance, 0.25), 6) AS
+  q25, round(median(distance), 6) AS median, round(quantile_cont(distance, 0.75), 6) AS q75 FROM lab GROUP BY ALL"""),
+    "j15_edge_distances_over_regions": (lambda s, d: rounded(spatial.over_regions(spatial.edge_distances(v.cells(s, d), _edges(s, d)), ["cluster_a", "cluster_b"], {"mean": "mean", "n_edges": "sum"})), f"""WITH {CELLS}, {EDGES}, {LABELLED}, r AS (SELECT roi_id, cluster_a, cluster_b, avg(distance) AS m, count(*) AS n FROM lab GROUP BY ALL) SELECT
+  cluster_a, cluster_b, round(avg(m), 6) AS mean, sum(n)::BIGINT AS n_edges, count(*) AS n_rois FROM r GROUP BY ALL"""),
+    "g6_nearest_distances": (lambda s, d: rounded(spatial.nearest_distances(v.cells(s, d))), f"""WITH {CELLS}, {NEAR} SELECT cluster, target, count(*) AS n, round(avg(distance), 6) AS mean, round(median(distance), 6) AS median,
+  round(min(distance), 6) AS min, round(max(distance), 6) AS max FROM near GROUP BY ALL"""),
     "g7_neighborhood_composition": (lambda s, d: rounded(spatial.neighborhood_composition(v.cells(s, d), _edges(s, d), CLUSTERS)), _composition_sql()),
-    "g8_ripley_kl": (lambda s, d: rounded(spatial.ripley_kl(v.cells(s, d), RADII, 1e6), 4), f"WITH {CELLS}, {SAME}, {SIZES}, r AS (SELECT unnest([{', '.join(map(str, RADII))}])::DOUBLE AS radius), k AS (SELECT z.roi_id, z.cluster, radius, (SELECT count(*) FROM same WHERE same.roi_id = z.roi_id AND same.cluster = z.cluster AND same.distance <= radius) / z.n / (z.n / 1e6) AS k FROM sizes z, r WHERE z.n >= 2) SELECT roi_id, cluster, radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 4) AS l FROM k"),
-    "g9_ripley_g": (lambda s, d: rounded(spatial.ripley(v.cells(s, d), "G", 50.0, 10).select("roi_id", "cluster", "distance", "value")), f"WITH {CELLS}, {NEAR}, {SIZES}, o AS (SELECT roi_id, cluster, distance FROM near WHERE cluster = target), t AS (SELECT unnest(range(11)) * 5.0 AS d) SELECT z.roi_id, z.cluster, d::DOUBLE AS distance, round((SELECT count(*) FROM o WHERE o.roi_id = z.roi_id AND o.cluster = z.cluster AND o.distance <= d + 5e-9) / z.n, 6) AS value FROM sizes z, t WHERE z.n >= 2"),
-    "g9_ripley_l": (lambda s, d: rounded(spatial.ripley(v.cells(s, d), "L", 50.0, 10)), f"WITH {CELLS}, {SAME}, {SIZES}, {HULL}, t AS (SELECT unnest(range(11)) * 5.0 AS d) SELECT z.roi_id, z.cluster, d::DOUBLE AS distance, round(sqrt(area / n ** 2 * (SELECT count(*) FROM same WHERE same.roi_id = z.roi_id AND same.cluster = z.cluster AND same.distance <= d + 5e-9) / pi()), 6) AS value, d::DOUBLE AS expected FROM sizes z JOIN a ON a.roi_id = z.roi_id, t WHERE z.n >= 2"),
+    "g8_ripley_kl": (lambda s, d: rounded(spatial.ripley_kl(v.cells(s, d), RADII, 1e6), 4), f"""WITH {CELLS}, {SAME}, {SIZES}, r AS (SELECT unnest([{', '.join(map(str, RADII))}])::DOUBLE AS radius), k AS (SELECT z.roi_id, z.cluster, radius,
+  (SELECT count(*) FROM same WHERE same.roi_id = z.roi_id AND same.cluster = z.cluster AND same.distance <= radius) / z.n / (z.n / 1e6) AS k FROM
+  sizes z, r WHERE z.n >= 2) SELECT roi_id, cluster, radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 4) AS l FROM k"""),
+    "g9_ripley_g": (lambda s, d: rounded(spatial.ripley(v.cells(s, d), "G", 50.0, 10).select("roi_id", "cluster", "distance", "value")), f"""WITH {CELLS}, {NEAR}, {SIZES}, o AS (SELECT roi_id, cluster, distance FROM near WHERE cluster = target), t AS (SELECT unnest(range(11)) * 5.0 AS d)
+  SELECT z.roi_id, z.cluster, d::DOUBLE AS distance, round((SELECT count(*) FROM o WHERE o.roi_id = z.roi_id AND o.cluster = z.cluster AND o.distance
+  <= d + 5e-9) / z.n, 6) AS value FROM sizes z, t WHERE z.n >= 2"""),
+    "g9_ripley_l": (lambda s, d: rounded(spatial.ripley(v.cells(s, d), "L", 50.0, 10)), f"""WITH {CELLS}, {SAME}, {SIZES}, {HULL}, t AS (SELECT unnest(range(11)) * 5.0 AS d) SELECT z.roi_id, z.cluster, d::DOUBLE AS distance, round(sqrt(area
+  / n ** 2 * (SELECT count(*) FROM same WHERE same.roi_id = z.roi_id AND same.cluster = z.cluster AND same.distance <= d + 5e-9) / pi()), 6) AS
+  value, d::DOUBLE AS expected FROM sizes z JOIN a ON a.roi_id = z.roi_id, t WHERE z.n >= 2"""),
     "g9_ripley_f_wide": (lambda s, d: rounded(spatial.ripley_wide(spatial.ripley(v.cells(s, d), "F", 100.0, 20), CLUSTERS)), F_WIDE),
     "g10_nhood_enrichment": (lambda s, d: rounded(spatial.nhood_enrichment(v.cells(s, d), _edges(s, d), how="mean")), None),
     "g11_co_occurrence": (lambda s, d: rounded(spatial.co_occurrence(v.cells(s, d), BINS)), CO),
     "g12_morans_i": (lambda s, d: rounded(spatial.morans_i(v.cells(s, d), _edges(s, d), ALL_MARKERS).drop("p")), f"{MORAN} SELECT roi_id, feature, round(i, 6) AS i FROM moran"),
     "g12_morans_i_top": (lambda s, d: rounded(spatial.top_autocorrelated(spatial.morans_i(v.cells(s, d), _edges(s, d), ALL_MARKERS, how="mean").drop("p"), 3)), f"{MORAN} SELECT feature, round(avg(i), 6) AS i, count(*) AS n_rois FROM moran GROUP BY ALL ORDER BY avg(i) DESC, feature LIMIT 3"),
-    "g13_spatial_layout": (lambda s, d: rounded(spatial.spatial_layout(v.cells(s, d), _edges(s, d), "cluster", 0.5)[1]), f"WITH {CELLS}, {EDGES} SELECT e.roi_id, src, dst, round(a.x * 0.5, 6) AS src_x, round(a.y * 0.5, 6) AS src_y, round(b.x * 0.5, 6) AS dst_x, round(b.y * 0.5, 6) AS dst_y FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id = e.src JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst"),
+    "g13_spatial_layout": (lambda s, d: rounded(spatial.spatial_layout(v.cells(s, d), _edges(s, d), "cluster", 0.5)[1]), f"""WITH {CELLS}, {EDGES} SELECT e.roi_id, src, dst, round(a.x * 0.5, 6) AS src_x, round(a.y * 0.5, 6) AS src_y, round(b.x * 0.5, 6) AS dst_x, round(b.y
+  * 0.5, 6) AS dst_y FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id = e.src JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst"""),
     "graph_components": (
         lambda s, d: connected_components(neighbours.radius_edges(v.cells(s, d), radius_px=12.0).select(F.col("src"), F.col("dst"))).select(F.col("node").alias("cell_id"), "component"),
-        f"WITH RECURSIVE {CELLS}, e AS (SELECT a.cell_id AS s, b.cell_id AS t FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cell_id != b.cell_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 12), r AS (SELECT DISTINCT s AS root, s AS node FROM e UNION SELECT r.root, e.t FROM r JOIN e ON e.s = r.node) SELECT node AS cell_id, min(root) AS component FROM r GROUP BY ALL",
+        f"""WITH RECURSIVE {CELLS}, e AS (SELECT a.cell_id AS s, b.cell_id AS t FROM cells a JOIN cells b ON a.roi_id = b.roi_id AND a.cell_id != b.cell_id AND
+  sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 12), r AS (SELECT DISTINCT s AS root, s AS node FROM e UNION SELECT r.root, e.t FROM r JOIN e ON e.s =
+  r.node) SELECT node AS cell_id, min(root) AS component FROM r GROUP BY ALL""",
     ),
 }

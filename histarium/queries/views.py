@@ -67,8 +67,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[one(f) for f in df.schema.fields])
 
 
-FLAT = "flat AS (SELECT (l_orderkey % 10)::VARCHAR AS acq_id, l_orderkey AS cell_id, unnest(['quantity', 'extendedprice', 'discount', 'tax']) AS channel, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem)"
-GRID = "grid AS (SELECT (vec_id // 4)::VARCHAR AS acq_id, pos // 8 AS y, pos % 8 AS x, 'ch' || (vec_id % 4) AS channel, v::DOUBLE AS value FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings))"
-MASK = "mask AS (SELECT acq_id, pos // 8 AS y, pos % 8 AS x, CASE WHEN pos < 8 THEN 0 ELSE 1 + 2 * (pos // 32) + (pos % 8) // 4 END AS cell_id FROM (SELECT DISTINCT (vec_id // 4)::VARCHAR AS acq_id FROM embeddings), (SELECT unnest(range(64)) AS pos))"
-CELLS = """cells AS (SELECT (o_custkey % 20)::VARCHAR AS roi_id, o_orderkey AS cell_id, o_orderkey * 7919 % 10007 / 10 AS x, o_orderkey * 104729 % 10007 / 10 AS y, o_orderpriority AS cluster, 'file' || (o_orderkey % 3) AS source_file, o_orderstatus AS status, quantity_mean, price_mean, discount_mean, tax_mean, area_um2
-  FROM orders LEFT JOIN (SELECT l_orderkey AS k, avg(l_quantity) AS quantity_mean, avg(l_extendedprice) AS price_mean, avg(l_discount) AS discount_mean, avg(l_tax) AS tax_mean, count(*)::DOUBLE AS area_um2 FROM lineitem GROUP BY 1) ON k = o_orderkey)"""
+FLAT = """flat AS (SELECT (l_orderkey % 10)::VARCHAR AS acq_id, l_orderkey AS cell_id, unnest(['quantity', 'extendedprice', 'discount', 'tax']) AS channel,
+  unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem)"""
+GRID = """grid AS (SELECT (vec_id // 4)::VARCHAR AS acq_id, pos // 8 AS y, pos % 8 AS x, 'ch' || (vec_id % 4) AS channel, v::DOUBLE AS value FROM (SELECT
+  vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings))"""
+MASK = """mask AS (SELECT acq_id, pos // 8 AS y, pos % 8 AS x, CASE WHEN pos < 8 THEN 0 ELSE 1 + 2 * (pos // 32) + (pos % 8) // 4 END AS cell_id FROM (SELECT
+  DISTINCT (vec_id // 4)::VARCHAR AS acq_id FROM embeddings), (SELECT unnest(range(64)) AS pos))"""
+CELLS = """cells AS (SELECT (o_custkey % 20)::VARCHAR AS roi_id, o_orderkey AS cell_id, o_orderkey * 7919 % 10007 / 10 AS x, o_orderkey * 104729 % 10007 / 10 AS
+  y, o_orderpriority AS cluster, 'file' || (o_orderkey % 3) AS source_file, o_orderstatus AS status, quantity_mean, price_mean, discount_mean,
+  tax_mean, area_um2
+  FROM orders LEFT JOIN (SELECT l_orderkey AS k, avg(l_quantity) AS quantity_mean, avg(l_extendedprice) AS price_mean, avg(l_discount) AS
+  discount_mean, avg(l_tax) AS tax_mean, count(*)::DOUBLE AS area_um2 FROM lineitem GROUP BY 1) ON k = o_orderkey)"""
