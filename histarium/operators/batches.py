@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import BATCH_KEYS
 from ..functions.lineage import saved
+from .neighbours import feature_join
 
 
 def detect_batch(df: DataFrame) -> str | None:
@@ -223,8 +224,9 @@ def _moved(parts: Iterator[pd.DataFrame], centres, penalty, shift, sigma: float)
         yield part.assign(_n=list(z - np.einsum("nk,nkd->nd", r, shift.transpose(1, 0, 2)[b])))
 
 
-def bbknn_smooth(df: DataFrame, key: str, batch: str, features: Sequence[str], k: int = 3, n_pcs: int = 50) -> DataFrame:
-    """Principal coordinates averaged over each cell's k nearest in every batch, and back.
+def bbknn_smooth(df: DataFrame, key: str, batch: str, features: Sequence[str], k: int = 3, n_pcs: int = 50, probes: int | None = None) -> DataFrame:
+    """Principal coordinates averaged over each cell's k nearest in every batch, and
+    back; the nearest are approximate with ``probes``.
 
     Weights are 1/(1+d); a cell's own batch counts the cell itself among its k.
     """
@@ -237,34 +239,9 @@ def bbknn_smooth(df: DataFrame, key: str, batch: str, features: Sequence[str], k
     found = None
     cols = [f"p{i}" for i in range(d)]
     for name in names:  # a batch is a handful
-        near = _knn_into(wide, wide.filter(F.col(batch) == name), key, cols, k)
+        near = feature_join(wide, wide.filter(F.col(batch) == name), key, cols, k, probes=probes, itself=True).drop("distance")
         found = near if found is None else found.unionByName(near)
     target = held.select(F.col(key).alias("other"), F.col("_z").alias("_o"))
     mean = [(F.sum(F.col("weight") * F.col("_o")[i]) / F.sum("weight")) for i in range(d)]
     smooth = found.join(target, "other").groupBy(key).agg(F.array(*mean).alias("_n"))
     return unproject(held.join(smooth, key), features, means, axes, "_z", "_n").select(*df.columns)
-
-
-def _knn_into(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str], k: int) -> DataFrame:
-    """k nearest rows of ``right`` for each row of ``left``, itself allowed, by blocks."""
-    blocks = max(1, -(-max(left.count(), right.count()) // 4096))
-    vector = F.array(*[F.col(c) for c in cols])
-    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = left.select(own.alias("i"), every.alias("j"), F.col(key).alias("id"), vector.alias("v"))
-    b = right.select(every.alias("i"), own.alias("j"), F.col(key).alias("id"), vector.alias("v"))
-
-    def meet(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"id": [], "other": [], "distance": []})
-        p, q = np.stack(x["v"]), np.stack(y["v"])
-        dist = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T, 0))
-        n = min(k, len(q))
-        at = np.argsort(dist, axis=1, kind="stable")[:, :n]
-        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), n), "other": y["id"].to_numpy()[at].ravel(), "distance": np.take_along_axis(dist, at, 1).ravel()})
-
-    kind = left.schema[key].dataType.simpleString()
-    met = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(meet, f"id {kind}, other {kind}, distance double")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-    return met.withColumn("place", place).filter(F.col("place") <= k).select(F.col("id").alias(key), "other", (1 / (1 + F.col("distance"))).alias("weight"))
-

@@ -268,14 +268,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.column_stack([out, zero.astype(float)])
 
 
-def _nearest(x, ids, y, others, k: int, metric: str):
-    """(row, other, distance) of the k nearest others of each row of x among y; equal distances by id."""
+def _nearest(x, ids, y, others, k: int, metric: str, itself: bool = False):
+    """(row, other, distance) of the k nearest of each row of x among y; equal distances by id."""
     rows, found, far = [], [], []
     order = np.argsort(others, kind="stable")
     y, others = y[order], others[order]
-    for lo in range(0, len(x), 256):
+    for lo in range(0, len(x) if len(y) else 0, 256):
         d = _distances(x[lo : lo + 256], y, metric)
-        d[ids[lo : lo + 256, None] == others[None]] = np.inf
+        if not itself:
+            d[ids[lo : lo + 256, None] == others[None]] = np.inf
         n = min(k, len(others))
         if n < len(others):  # what ties with the k-th is looked at too
             bound = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
@@ -289,28 +290,30 @@ def _nearest(x, ids, y, others, k: int, metric: str):
         rows.append(i + lo)
         found.append(others[near[i, j]])
         far.append(dist[i, j])
-    return (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (rows, found, far))
+    return (np.concatenate(rows), np.concatenate(found), np.concatenate(far)) if rows else (np.zeros(0, np.int64), others[:0], np.zeros(0))
 
 
-def knn_features(df: DataFrame, key: str, cols: Sequence[str], k: int = 15, metric: str = "euclidean", probes: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``key, other, distance, weight``: the k - 1 nearest others of each row in feature space.
-
-    As k counts the point itself; weight is 1/(1+d). Rows are dealt to the nearest
-    of some pivots, a sample of ``PIVOTS`` rows at most, and in blocks of bounded
-    size within it. A row's own block gives a bound on its k-th distance; then the
-    row meets the blocks of those pivots whose ball reaches into that bound, so the
-    result is exact. ``probes``: only the blocks of so many nearest pivots are
-    met, which is approximate and takes a time in proportion to the rows.
+def feature_join(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str], k: int, metric: str = "euclidean", probes: int | None = None, block_rows: int = BLOCK_ROWS, itself: bool = False) -> DataFrame:
+    """``key, other, distance, weight``: for each row of ``left``, the k nearest rows of
+    ``right`` in feature space; ``itself``: a row with the same key counts too.
+
+    Weight is 1/(1+d). Rows are dealt to the nearest of some pivots, a sample of
+    ``PIVOTS`` rows of ``right`` at most, and in blocks of bounded size there. A
+    block of the nearest pivot gives a bound on the k-th distance; then a row meets
+    the blocks of those pivots whose ball reaches into that bound, so the result is
+    exact. ``probes``: only the blocks of so many nearest pivots are met, which is
+    approximate and takes a time in proportion to the rows.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    spark, kind, dims = df.sparkSession, df.schema[key].dataType.simpleString(), len(cols) + (metric == "cosine")
+    spark, kind, dims = left.sparkSession, left.schema[key].dataType.simpleString(), len(cols) + (metric == "cosine")
     way = "euclidean" if metric == "cosine" else metric
-    vectors = df.select(F.col(f"`{key}`").alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("v"))
-    n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(int(min(PIVOTS, max(1, n**0.5 // 2)))).collect()
-    if not sample:
-        return df.select(F.col(f"`{key}`").alias(key), F.col(f"`{key}`").alias("other"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("weight")).limit(0)
+    vectors = lambda df: df.select(F.col(f"`{key}`").alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("v"))
+    n = right.count()
+    sample = vectors(right).orderBy(F.xxhash64("id"), "id").limit(int(min(PIVOTS, max(1, n**0.5 // 2)))).collect()
+    if not sample or k < 1:
+        own = F.col(f"`{key}`")
+        return left.limit(0).select(own.alias(key), own.alias("other"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("weight"))
     pivots = np.array([r.v for r in sample], float)
     pivots = np.unique(_unit(pivots) if metric == "cosine" else pivots, axis=0)
     sent = spark.sparkContext.broadcast(pivots)
@@ -325,54 +328,60 @@ def knn_features(df: DataFrame, key: str, cols: Sequence[str], k: int = 15, metr
                 at[lo : lo + 1024], near[lo : lo + 1024] = d.argmin(1), d.min(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(x), pa.array(at.astype(np.int32)), pa.array(near)], names=["id", "v", "pivot", "near"])
 
-    dealt = saved(vectors.mapInArrow(deal, f"id {kind}, v array<double>, pivot int, near double"))
-    balls = {r.pivot: (r.n, r.radius) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("near").alias("radius")).collect()}
-    size, radius = np.array([balls.get(p, (0, -np.inf)) for p in range(len(pivots))]).reshape(-1, 2).T
-    blocks = np.maximum(np.ceil(size / block_rows), 1).astype(int)
+    dealt = lambda df: saved(vectors(df).mapInArrow(deal, f"id {kind}, v array<double>, pivot int, near double"))
+    rights = dealt(right)
+    lefts = rights if left is right else dealt(left)
     of_pivot = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("pivot") + 1)
-    dealt = dealt.drop("near").withColumn("block", F.pmod(F.xxhash64("id"), of_pivot(blocks)).cast("int"))
-
-    def bound(table: pa.Table) -> pa.Table:
-        x, ids, visit = _matrix(table.column("v"), dims), table.column("id").to_numpy(), []
-        rows, _, far = _nearest(x, ids, x, ids, k - 1, way)
-        own = np.full(len(x), np.inf)
-        full = np.bincount(rows, minlength=len(x)) == k - 1
+    upto = lambda values, name: F.explode(F.sequence(F.lit(0), of_pivot(values) - 1)).alias(name)
+    count = lambda df: {r.pivot: r for r in df.groupBy("pivot").agg(F.count("*").alias("n"), F.max("near").alias("radius")).collect()}
+    parts = lambda sizes: [max(1, -(-sizes.get(p, 0) // block_rows)) for p in range(len(pivots))]
+    balls = count(rights)
+    size, radius = np.array([(balls[p].n, balls[p].radius) if p in balls else (0, -np.inf) for p in range(len(pivots))]).T
+    blocks, shares = parts({p: r.n for p, r in balls.items()}), parts({p: r.n for p, r in count(lefts).items()})
+    put = rights.select("id", "v", "pivot", F.pmod(F.xxhash64("id"), of_pivot(blocks)).cast("int").alias("block"))
+    need = k if itself else k + 1  # rows of a ball that hold k others for sure
+
+    def bound(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, ids, visit = _matrix(a.column("v"), dims), a.column("id").to_numpy(), []
+        rows, _, far = _nearest(x, ids, _matrix(b.column("v"), dims), b.column("id").to_numpy(), k, way, itself)
         last = np.zeros(len(x))
         np.maximum.at(last, rows, far)
-        own[full] = last[full]
+        own = np.where(np.bincount(rows, minlength=len(x)) == k, last, np.inf)
         for lo in range(0, len(x), 1024):
             d = _distances(x[lo : lo + 1024], sent.value, way)
             if probes is not None:
-                visit += list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32))
+                visit += list(np.argsort(np.where(size > 0, d, np.inf), axis=1, kind="stable")[:, :probes].astype(np.int32))
                 continue
-            sure = np.where(size >= k, d + radius, np.inf).min(1)  # a ball with k rows holds k - 1 others
-            reach = np.minimum(own[lo : lo + 1024], sure)
+            reach = np.minimum(own[lo : lo + 1024], np.where(size >= need, d + radius, np.inf).min(1))
             close = (d - radius <= reach[:, None] * (1 + 1e-9) + 1e-9) & (size > 0)
             visit += [np.flatnonzero(row).astype(np.int32) for row in close]
-        return pa.table([table.column("id"), table.column("v"), pa.array(visit, pa.list_(pa.int32()))], names=["id", "v", "visit"])
+        return pa.table([a.column("id"), a.column("v"), pa.array(visit, pa.list_(pa.int32()))], names=["id", "v", "visit"])
 
-    if k < 2:
-        return df.select(F.col(f"`{key}`").alias(key), F.col(f"`{key}`").alias("other"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("weight")).limit(0)
-    asking = saved(dealt.groupBy("pivot", "block").applyInArrow(bound, f"id {kind}, v array<double>, visit array<int>"))
+    first = put.filter("block = 0").select("id", "v", "pivot", upto(shares, "share")).toDF("id", "v", "pivot", "share")
+    ours = lefts.select("id", "v", "pivot", F.pmod(F.xxhash64(F.lit(1), "id"), of_pivot(shares)).cast("int").alias("share")).toDF("id", "v", "pivot", "share")
+    asking = saved(ours.groupBy("pivot", "share").cogroup(first.groupBy("pivot", "share")).applyInArrow(bound, f"id {kind}, v array<double>, visit array<int>"))
     visits = asking.select("id", "v", F.explode("visit").alias("pivot"))
-    wanted = {r.pivot: r.n for r in asking.select(F.explode("visit").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    shares = [-(-wanted.get(p, 1) // block_rows) for p in range(len(pivots))]
-    upto = lambda values, name: F.explode(F.sequence(F.lit(0), of_pivot(values) - 1)).alias(name)
-    asked = visits.select("id", "v", "pivot", F.pmod(F.xxhash64(F.lit(1), "id"), of_pivot(shares)).cast("int").alias("share"), upto(blocks, "block"))
-    put = dealt.select("id", "v", "pivot", "block", upto(shares, "share"))
+    wanted = parts({r.pivot: r.n for r in asking.select(F.explode("visit").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()})
+    asked = visits.select("id", "v", "pivot", F.pmod(F.xxhash64(F.lit(1), "id"), of_pivot(wanted)).cast("int").alias("share"), upto(blocks, "block"))
+    told = put.select("id", "v", "pivot", "block", upto(wanted, "share"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y, ids, others = _matrix(a.column("v"), dims), _matrix(b.column("v"), dims), a.column("id").to_numpy(), b.column("id").to_numpy()
-        rows, other, far = _nearest(x, ids, y, others, k - 1, way) if len(x) and len(y) else (np.zeros(0, np.int64), others[:0], np.zeros(0))
-        kinds = a.schema.field("id").type
+        ids, kinds = a.column("id").to_numpy(), a.schema.field("id").type
+        rows, other, far = _nearest(_matrix(a.column("v"), dims), ids, _matrix(b.column("v"), dims), b.column("id").to_numpy(), k, way, itself)
         return pa.table([pa.array(ids[rows], kinds), pa.array(other, kinds), pa.array(far * far / 2 if metric == "cosine" else far)], names=["id", "other", "distance"])
 
     by = ["pivot", "block", "share"]
-    met = asked.groupBy(*by).cogroup(put.groupBy(*by)).applyInArrow(meet, f"id {kind}, other {kind}, distance double")
-    best = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).filter(F.col("place") < k)
+    met = asked.groupBy(*by).cogroup(told.groupBy(*by)).applyInArrow(meet, f"id {kind}, other {kind}, distance double")
+    best = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).filter(F.col("place") <= k)
     return best.select(F.col("id").alias(key), "other", "distance", (1 / (1 + F.col("distance"))).alias("weight"))
 
 
+def knn_features(df: DataFrame, key: str, cols: Sequence[str], k: int = 15, metric: str = "euclidean", probes: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``key, other, distance, weight``: the k - 1 nearest others of each row in feature
+    space, as k counts the point itself; see ``feature_join``."""
+    return feature_join(df, df, key, cols, k - 1, metric, probes, block_rows)
+
+
 def symmetric_union(neighbours: DataFrame, key: str) -> DataFrame:
     """``src, dst, weight``: each undirected pair once, with the larger weight."""
     return neighbours.groupBy(F.least(key, "other").alias("src"), F.greatest(key, "other").alias("dst")).agg(F.max("weight").alias("weight"))
