@@ -55,3 +55,29 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def spanning_forest(edges: DataFrame, a: str = "src", b: str = "dst", weight: str = "w", max_rounds: int = 60) -> DataFrame:
+    """``src, dst, w``: a minimum spanning forest, by Boruvka's rounds.
+
+    In each round every component takes its lightest edge to another (ties by the
+    edge's ends, so no circle closes), components that are tied become one, and
+    edges inside one go. So there are at most as many rounds as a component
+    can double, and edges at least halve their components.
+    """
+    u, v = F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+    e = edges.filter(F.col(a) != F.col(b)).groupBy(u, v).agg(F.min(weight).alias("w")).select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"))
+    e, forest = saved(e), None
+    for _ in range(max_rounds):
+        if e.isEmpty():
+            break
+        ends = e.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("w", "u", "v", "cu", "cv").alias("edge"))
+        chosen = saved(ends.groupBy("c").agg(F.min("edge").alias("edge")).select("edge.*").distinct())
+        forest = chosen.select("u", "v", "w") if forest is None else forest.unionByName(chosen.select("u", "v", "w"))
+        now = saved(connected_components(chosen, "cu", "cv"))
+        for c in ("cu", "cv"):
+            e = e.join(now.select(F.col("node").alias(c), F.col("component").alias(f"{c}_")), c).drop(c).withColumnRenamed(f"{c}_", c)
+        e = saved(e.filter("cu != cv"))
+    else:
+        raise RuntimeError(f"the forest did not settle in {max_rounds} rounds")
+    return (e.select("u", "v", "w") if forest is None else forest).toDF("src", "dst", "w")
