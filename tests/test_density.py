@@ -1,6 +1,7 @@
 """Spanning forests and density clusters against plain versions."""
 
 import numpy as np
+import pytest
 
 from histarium.operators import clustering
 from histarium.operators.components import spanning_forest
@@ -30,7 +31,9 @@ def test_forest_equals_kruskal(spark):
     assert spanning_forest(spark.createDataFrame([], "src long, dst long, w double")).count() == 0
 
 
-def test_every_level_equals_a_plain_tree(spark):
+@pytest.mark.parametrize("here", [200_000, 0])
+def test_every_level_equals_a_plain_tree(spark, monkeypatch, here):
+    monkeypatch.setattr(clustering, "LOCAL_EDGES", here)
     rng = np.random.default_rng(11)
     x = np.concatenate([rng.normal(0, 0.3, (7, 2)), rng.normal(4, 0.3, (7, 2)), [[20.0, 20.0]]])
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double")
