@@ -20,6 +20,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .lineage import checkpointed
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit numbers (a fixed permutation)."""
+    x = x.astype(np.uint64, copy=True)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
 def runs(batch: pa.RecordBatch, columns: Sequence[str]) -> list[tuple[tuple, int, int]]:
     """(values, first row, row after the last) of each stretch of rows equal in ``columns``."""
     n = batch.num_rows

@@ -11,19 +11,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lineage import saved
-from ..functions.prefix import quantiles
+from ..functions.prefix import mix, quantiles, running_sums
 from ..functions.scalar import finite
 from ..functions.tails import normal_upper
 from .neighbours import knn_join, nearest_by_cluster, radius_pairs
 
-
-#: Edges of a region for which its permutations are shared out to another task.
-EDGES_OF_A_TASK = 1_000_000
+U64 = np.uint64
 
 
 def with_labels(edges: DataFrame, cells: DataFrame, column: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -48,46 +46,128 @@ def _pairs_of(sizes: DataFrame) -> DataFrame:
     return sizes.select("roi_id", F.col("c").alias("a"), F.col("n").alias("n_a")).join(sizes.select("roi_id", F.col("c").alias("b"), F.col("n").alias("n_b")), "roi_id").filter("a <= b")
 
 
+def _scatter(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where each ``index`` below its ``n`` goes under the permutation of 0 .. n - 1 that ``key`` names.
+
+    A Feistel network over the next power of two (256 at least) whose values
+    beyond n are sent on until they are inside: a place of a permutation of any
+    length, without the others.
+    """
+    bits = np.maximum(np.ceil(np.log2(np.maximum(n, 1).astype(float))).astype(np.uint64), U64(8))
+    low = bits // U64(2)
+    low_mask, high_mask = (U64(1) << low) - U64(1), (U64(1) << (bits - low)) - U64(1)
+
+    def once(at, lows, low_masks, high_masks, keys):
+        left, right = at >> lows, at & low_masks
+        for turn in range(4):
+            left = left ^ (mix(right + keys + U64(2 * turn)) & high_masks)
+            right = right ^ (mix(left + keys + U64(2 * turn + 1)) & low_masks)
+        return left << lows | right
+
+    out = once(index, low, low_mask, high_mask, key)
+    while len(beyond := np.flatnonzero(out >= n)):
+        out[beyond] = once(out[beyond], low[beyond], low_mask[beyond], high_mask[beyond], key[beyond])
+    return out
+
+
+def permuted_labels(cells: DataFrame, cluster: str, n_permutations: int, seed: int) -> tuple[DataFrame, DataFrame, np.dtype]:
+    """``roi_id, cell_id, labels`` and ``roi_id, names``: the labels of each cell as
+    packed numbers of the names of its region, and the type of these numbers.
+
+    Place 0 has the observed label; the others those of permutations of the
+    region's labels, each a keyed permutation of the places of its cells in the
+    order of their ids. A cell finds its own labels from its place and the counts
+    of the region's labels, so a region may be spread over any number of tasks.
+    """
+    own = cells.select("roi_id", "cell_id", F.col(cluster).alias("c")).filter("c is not null")
+    counts = own.groupBy("roi_id", "c").agg(F.count("*").alias("n"))
+    kinds = saved(counts.groupBy("roi_id").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("k")).select("roi_id", F.col("k.c").alias("names"), F.col("k.n").alias("counts")))
+    most = kinds.agg(F.max(F.size("names"))).first()[0] or 1
+    kind = np.dtype(np.uint8 if most <= 1 << 8 else np.uint16 if most <= 1 << 16 else np.uint32)
+    places = running_sums(own.withColumn("one", F.lit(1)), ["roi_id", "cell_id"], "one", "roi_id")
+    held = places.join(kinds, "roi_id").select("roi_id", "cell_id", F.col("_index").alias("place"), (F.array_position("names", F.col("c")) - 1).alias("own"), F.xxhash64("roi_id").alias("region"), "counts")
+    keys = mix(np.arange(1, n_permutations + 1, dtype=np.uint64) + mix(np.array([seed], np.int64).astype(np.uint64)))
+
+    def deal(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                lists = batch.column("counts")
+                first = lists.offsets.to_numpy().astype(np.int64)
+                counts = lists.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(counts)  # of all rows in a row: a row's own stretch begins where the last ended
+                before = np.concatenate([[0], ends])[first[:-1] - first[0]]
+                n = np.concatenate([[0], ends])[first[1:] - first[0]] - before
+                shape = (batch.num_rows, n_permutations)
+                full = [np.broadcast_to(c.astype(np.uint64)[:, None], shape).ravel() for c in (batch.column("place").to_numpy(), n)]
+                key = mix(batch.column("region").to_numpy().astype(np.uint64))[:, None] ^ keys[None, :]
+                place = _scatter(*full, key.ravel()).astype(np.int64).reshape(shape)
+                number = np.searchsorted(ends, place + before[:, None], side="right") - (first[:-1] - first[0])[:, None]
+                labels = np.concatenate([batch.column("own").to_numpy()[:, None], number], axis=1).astype(kind)
+                width = labels.shape[1] * kind.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.arange(0, width * (batch.num_rows + 1), width, dtype=np.int32)), pa.py_buffer(labels.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("roi_id"), batch.column("cell_id"), packed], names=["roi_id", "cell_id", "labels"])
+
+    fields = [own.schema["roi_id"], own.schema["cell_id"], T.StructField("labels", T.BinaryType())]
+    return held.mapInArrow(deal, T.StructType(fields)), kinds.select("roi_id", "names"), kind
+
+
+#: Counts of pairs that a task gathers before it sends them on.
+COUNTS_OF_A_TASK = 1 << 22
+
+
 def pair_counts(cells: DataFrame, edges: DataFrame, cluster: str, n_permutations: int, seed: int) -> DataFrame:
     """``perm, roi_id, a, b, n``: edges between clusters a <= b under each labelling.
 
     Permutation 0 is the observed labelling; in the others the labels of a region
-    are dealt out anew. A region's cells and edges meet once, as arrays, and all
-    permutations are counted there; the permutations of regions with very many
-    edges are shared out to several tasks. The same for any partitioning: cells
-    stand in the order of their ids, and each permutation has a seed of its own.
+    are dealt out anew. Edges meet the packed labels of both their ends by key and
+    add to counts of pairs, so that no task holds a region. The same for any
+    partitioning; edges without a labelled cell at both ends are left out.
     """
-    own = cells.select("roi_id", "cell_id", F.col(cluster).alias("c")).filter("c is not null")
-    ends = edges.select("roi_id", "src", "dst")
-    size = ends.groupBy("roi_id").agg(F.least(F.ceil(F.count("*") / EDGES_OF_A_TASK), F.lit(n_permutations + 1)).cast("int").alias("shares"))
-    size = saved(size).select("roi_id", "shares", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    by = ["roi_id", "share"]
-
-    def count(key, left, right):
-        roi, share = (k.as_py() for k in key)
-        names, columns = ["perm", "roi_id", "a", "b", "n"], [[], [], [], [], []]
-        order = np.argsort(left.column("cell_id").to_numpy())
-        ids, labels = left.column("cell_id").to_numpy()[order], left.column("c").combine_chunks().dictionary_encode().take(pa.array(order))
-        kinds = sorted(labels.dictionary.to_pylist())
-        rank = np.array([kinds.index(x) for x in labels.dictionary.to_pylist()], np.int64)
-        label = rank[labels.indices.to_numpy()] if len(ids) else np.zeros(0, np.int64)
-        at = [np.searchsorted(ids, right.column(c).to_numpy()) for c in ("src", "dst")]
-        known = np.logical_and.reduce([(i < len(ids)) & (ids[np.minimum(i, max(len(ids) - 1, 0))] == right.column(c).to_numpy()) for i, c in zip(at, ("src", "dst"), strict=True)]) if len(ids) else np.zeros(right.num_rows, bool)
-        src, dst = (i[known] for i in at)
-        shares = right.column("shares")[0].as_py() if right.num_rows else 1
-        name = xxhash.xxh3_64_intdigest(str(roi))
-        for perm in range(share, n_permutations + 1, shares):
-            dealt = label if perm == 0 else np.random.default_rng([seed, perm, name]).permutation(label)
-            x, y = dealt[src], dealt[dst]
-            n = np.bincount(np.minimum(x, y) * len(kinds) + np.maximum(x, y), minlength=len(kinds) ** 2)
-            for pair in np.flatnonzero(n).tolist():
-                for c, v in zip(columns, (perm, roi, kinds[pair // len(kinds)], kinds[pair % len(kinds)], int(n[pair])), strict=True):
-                    c.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), left.schema.field("roi_id").type, left.schema.field("c").type, left.schema.field("c").type, pa.int64()), strict=True)], names=names)
-
-    kind = {c: own.schema[c].dataType.simpleString() for c in ("roi_id", "c")}
-    shared = lambda df: df.join(size.toDF("roi_id", "shares", "share"), "roi_id")
-    return shared(own).groupBy(*by).cogroup(shared(ends).groupBy(*by)).applyInArrow(count, f"perm int, roi_id {kind['roi_id']}, a {kind['c']}, b {kind['c']}, n long")
+    labels, names, kind = permuted_labels(cells, cluster, n_permutations, seed)
+    labels = saved(labels)
+    met = edges.select("roi_id", "src", "dst")
+    for end, side in (("src", "left"), ("dst", "right")):
+        met = met.join(labels.toDF("roi_id", end, side), ["roi_id", end])
+    met = met.join(names.select("roi_id", F.size("names").alias("k")), "roi_id").select("roi_id", "k", "left", "right")
+    turns = n_permutations + 1
+    region = met.schema["roi_id"]
+    shape = T.StructType([region, T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("perm", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def count(batches):
+        dense: dict[tuple, np.ndarray] = {}
+
+        def rows(roi, k, at, n):
+            perm, pair = np.divmod(at, k * k)
+            return pa.RecordBatch.from_arrays([pa.array([roi] * len(at), region_type), pa.array((pair // k).astype(np.int32)), pa.array((pair % k).astype(np.int32)), pa.array(perm.astype(np.int32)), pa.array(n.astype(np.int64))], names=shape.names)
+
+        def flush():
+            for (roi, k), n in dense.items():
+                at = np.flatnonzero(n)
+                yield rows(roi, k, at, n[at])
+            dense.clear()
+
+        region_type = pa.string()
+        for batch in batches:
+            region_type = batch.schema.field("roi_id").type
+            codes = batch.column("roi_id").dictionary_encode()
+            own, k = codes.indices.to_numpy(), batch.column("k").to_numpy()
+            ends = [np.stack([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]).astype(np.int64) if batch.num_rows else np.zeros((0, turns), np.int64) for c in ("left", "right")]
+            low, high = np.minimum(*ends), np.maximum(*ends)
+            for code in np.unique(own).tolist():
+                at, roi = own == code, codes.dictionary[code].as_py()
+                size = int(k[at][0])
+                cell = (np.arange(turns) * size * size)[None, :] + low[at] * size + high[at]
+                if turns * size * size > COUNTS_OF_A_TASK:
+                    yield rows(roi, size, *np.unique(cell, return_counts=True))
+                    continue
+                if (roi, size) not in dense and sum(map(len, dense.values())) + turns * size * size > COUNTS_OF_A_TASK:
+                    yield from flush()
+                n = np.bincount(cell.ravel(), minlength=turns * size * size)
+                dense[roi, size] = dense[roi, size] + n if (roi, size) in dense else n
+        yield from flush()
+
+    sums = met.mapInArrow(count, shape).groupBy("roi_id", "x", "y", "perm").agg(F.sum("n").alias("n"))
+    return sums.join(names, "roi_id").select("perm", "roi_id", F.col("names")[F.col("x")].alias("a"), F.col("names")[F.col("y")].alias("b"), "n")
 
 
 def enrichment(cells: DataFrame, edges: DataFrame, cluster: str = "cluster", n_permutations: int = 100, seed: int = 42, expected: str = "reference", two_sided: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from histarium.operators import clustering, qc, spatial, spillover, statistics
+from histarium.operators import clustering, neighbours, qc, spatial, spillover, statistics
 from histarium.operators.statistics import exact_p_value, mann_whitney
 
 
@@ -50,14 +50,48 @@ def test_hull_areas(spark):
     assert got["disk"] == pytest.approx(disk)
 
 
+def test_scatter_is_a_permutation_of_any_length():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 17, 256, 257, 1000, 4097):
+        key = np.full(n, rng.integers(0, 1 << 63), np.uint64)
+        assert sorted(spatial._scatter(np.arange(n, dtype=np.uint64), np.full(n, n, np.uint64), key).tolist()) == list(range(n))
+    keys = rng.integers(0, 1 << 63, 60000).astype(np.uint64)  # places 0, 1, 2 of 60,000 permutations of four
+    at = [spatial._scatter(np.full(60000, i, np.uint64), np.full(60000, 4, np.uint64), keys) for i in range(3)]
+    seen = np.bincount((at[0] * np.uint64(16) + at[1] * np.uint64(4) + at[2]).astype(np.int64), minlength=64)
+    assert (seen > 0).sum() == 24 and (abs(seen[seen > 0] - 2500) < 250).all()  # five deviations
+
+
+def test_enrichment_of_edges_that_are_not_saved(spark):
+    rng = np.random.default_rng(3)
+    rows = [(r, i, float(x), float(y), "AB"[int(i % 3 == 0)]) for r in ("x", "y") for i, (x, y) in enumerate(rng.random((50, 2)) * 40)]
+    cells = spark.createDataFrame(rows, "roi_id string, cell_id long, x double, y double, cluster string")
+    for edges in (neighbours.radius_edges(cells, radius_px=8.0), neighbours.knn_edges(cells, 3)):
+        n = edges.count()
+        assert sum(r.observed for r in spatial.enrichment(cells, edges, n_permutations=9).collect()) == n
+        both = spatial.nhood_enrichment(cells, edges, n_permutations=9).collect()
+        assert sum(r["count"] for r in both) == 2 * n
+
+
+def test_enrichment_finds_neighbours_that_attract(spark):
+    rows = [("x", i, float(i % 20) + (0.2 if i % 2 else 0.0), float(i // 20), "AB"[i // 200]) for i in range(400)]
+    cells = spark.createDataFrame(rows, "roi_id string, cell_id long, x double, y double, cluster string")
+    got = {(r.cluster_a, r.cluster_b): r for r in spatial.nhood_enrichment(cells, neighbours.radius_edges(cells, radius_px=1.5), n_permutations=50).collect()}
+    assert got["A", "A"].z > 5 and got["B", "B"].z > 5 and got["A", "B"].z < -5
+
+
 def test_permuted_counts_keep_sizes_and_split_regions_agree(spark, monkeypatch):
     rng = np.random.default_rng(6)
     cells = spark.createDataFrame([(r, i, "ABC"[rng.integers(0, 3)] if i else None) for r in ("x", "y") for i in range(60)], "roi_id string, cell_id long, cluster string")
     pairs = sorted({tuple(sorted(p)) for p in rng.integers(0, 60, (150, 2)).tolist() if p[0] != p[1]})
     edges = spark.createDataFrame([(r, a, b) for r in ("x", "y") for a, b in pairs], "roi_id string, src long, dst long")
     whole = sorted(map(tuple, spatial.pair_counts(cells, edges, "cluster", 6, 1).collect()))
-    monkeypatch.setattr(spatial, "EDGES_OF_A_TASK", 40)
     assert sorted(map(tuple, spatial.pair_counts(cells.repartition(5), edges, "cluster", 6, 1).collect())) == whole
+    for most in (70, 10):  # counts are sent on region by region, and as they come
+        monkeypatch.setattr(spatial, "COUNTS_OF_A_TASK", most)
+        assert sorted(map(tuple, spatial.pair_counts(cells, edges.repartition(3), "cluster", 6, 1).collect())) == whole
+    few = spatial.permuted_labels(cells, "cluster", 6, 1)[0].collect()
+    sizes = [{r: sorted(x.labels[p] for x in few if x.roi_id == r) for r in "xy"} for p in range(7)]
+    assert all(s == sizes[0] for s in sizes)
     label = {(r.roi_id, r.cell_id): r.cluster for r in cells.collect() if r.cluster}
     want = {}
     for r in ("x", "y"):
