@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .attention import score_quality
 from .common import table
 from .decontaminate import contamination_table
 from .hmm import score_documents
 from .html import extract_text
 from .jaccard import jaccard_classes
+from .merkle import manifest_table
 from .mixing import mix_table
+from .negatives import mine_negatives
 from .packing import pack_documents
 from .quality import quality_table
 from .secrets import secrets_table
@@ -61,6 +64,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 50; where 7 divides it, the label moves on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf_dir, "embeddings"), anchors=F.col("vec_id") % 50 == 0, label=moved)
+
+
+def op12_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_score": op1_hmm_score,
     "op2_jaccard_join": op2_jaccard_join,
@@ -72,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_attention_quality": op12_attention_quality,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
