@@ -90,14 +90,20 @@ def _cut(keys: np.ndarray) -> zip:
     return zip(keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True) if len(keys) else zip([], [], [], strict=True)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Id, text and the text's hash, which tells texts of one id apart."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(whole_id(docs, id_col), text, F.xxhash64(text))
+
+
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, n_buckets: int, n_groups: int, n_tasks: int, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``at, kind, ids, data``: for each group of documents, hashes of windows
     (``_GLOBAL``, one for each id) or first and last words of stretches
-    (``_LOCAL``, two numbers for each id) to remove."""
+    (``_LOCAL``, for each id the text's hash, then two numbers) to remove."""
     buckets = _Buckets(n_buckets)
 
-    def block(hashes, owners, places, ids):
-        """Rows for one block. owners: the text of each window; ids: of each text."""
+    def block(hashes, owners, places, ids, keys):
+        """Rows for one block. owners: the text of each window; ids, keys: of each text."""
         rank = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[rank] = np.arange(len(ids))
@@ -115,10 +121,10 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, n_
             begin = np.r_[True, (owner[1:] != owner[:-1]) | (first[1:] > first[:-1] + width)]
             a = np.flatnonzero(begin)
             b = np.r_[a[1:], len(lost)] - 1
-            of, lo, hi = ids[owner[a]], first[a], first[b] + width
+            of, key, lo, hi = ids[owner[a]], keys[owner[a]], first[a], first[b] + width
             group = _group(of, n_groups)
             by = np.argsort(group, kind="stable")
-            rows += [(k, _LOCAL, _pack(of[by[i:j]]), _pack(np.c_[lo[by[i:j]], hi[by[i:j]]].ravel())) for k, i, j in _cut(group[by])]
+            rows += [(k, _LOCAL, _pack(of[by[i:j]]), key[by[i:j]].tobytes() + _pack(np.c_[lo[by[i:j]], hi[by[i:j]]].ravel())) for k, i, j in _cut(group[by])]
         kept = np.sort(order[new])  # in the order of texts, so that ids pack well
         bucket = buckets.of(hashes[kept])
         by = np.argsort(bucket.astype(np.int32), kind="stable")
@@ -130,11 +136,11 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, n_
     def send(batches):
         held, size, n_texts = [], 0, 0
         for batch in batches:
-            ids = _ids(batch.column(0))
+            ids, keys = _ids(batch.column(0)), batch.column(2).to_numpy()
             for lo, hi, w in words(batch.column(1)):
                 hashes, at = window_hashes(w.hashes(), w.first, width)
                 owner = np.searchsorted(w.first, at, side="right") - 1
-                held.append((hashes, owner + n_texts, at - w.first[owner], ids[lo:hi]))
+                held.append((hashes, owner + n_texts, at - w.first[owner], ids[lo:hi], keys[lo:hi]))
                 size, n_texts = size + len(hashes), n_texts + hi - lo
                 if size >= block_windows:
                     yield block(*map(np.concatenate, zip(*held, strict=True)))
@@ -161,7 +167,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, n_
         ids, hashes, group = ids[by], hashes[by], group[by]
         return pa.Table.from_batches([_sent([(k, _GLOBAL, _pack(ids[i:j]), hashes[i:j].tobytes()) for k, i, j in _cut(group)])])
 
-    found = docs.select(whole_id(docs, id_col), F.col(f"`{text_col}`")).mapInArrow(send, _SENT)
+    found = _keyed(docs, id_col, text_col).mapInArrow(send, _SENT)
     return found.repartition(n_tasks, "at").groupBy("at").applyInArrow(settle, _SENT)
 
 
@@ -171,7 +177,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window over it also starts in a document of smaller id.
     Null and empty texts have no words; texts shorter than a window stay; null
     ids count as larger than all; rows that share an id do not remove each
-    other's words, but what goes from one goes from each that has it. Ids are
+    other's words, and each loses only windows of its own text. Ids are
     whole numbers. An empty table gives no rows.
     """
     size = text_bytes(docs, text_col)
@@ -183,24 +189,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = _ids(batch.column(0))
-            group = _group(ids, n_groups)
+            group, keys = _group(ids, n_groups), batch.column(2).to_numpy()
             values = batch.column(1)
             for i in range(batch.num_rows):
                 if i % 256 == 0:
                     rows = []
                 text = values[i].as_py()
-                rows.append((int(group[i]), _TEXT, ids[i].tobytes(), press.compress((text or "").encode())))
+                rows.append((int(group[i]), _TEXT, ids[i].tobytes() + keys[i].tobytes(), press.compress((text or "").encode())))
                 if i % 256 == 255 or i == batch.num_rows - 1:
                     yield _sent(rows)
 
     def finish(table):
         kinds = table.column("kind").to_numpy()
         ids, data = table.column("ids"), table.column("data")
-        local: dict[int, list[tuple[int, int]]] = {}
+        local: dict[tuple[int, int], list[tuple[int, int]]] = {}
         hashed: dict[int, list[np.ndarray]] = {}
         for i in np.flatnonzero(kinds == _LOCAL):
-            for doc, (a, b) in zip(_unpack(ids[int(i)].as_py()).tolist(), _unpack(data[int(i)].as_py()).reshape(-1, 2).tolist(), strict=True):
-                local.setdefault(doc, []).append((a, b))
+            own, packed = _unpack(ids[int(i)].as_py()).tolist(), data[int(i)].as_py()
+            keys, ends = np.frombuffer(packed[: 8 * len(own)], np.int64), _unpack(packed[8 * len(own) :])
+            for doc, key, (a, b) in zip(own, keys.tolist(), ends.reshape(-1, 2).tolist(), strict=True):
+                local.setdefault((doc, key), []).append((a, b))
         for i in np.flatnonzero(kinds == _GLOBAL):
             own, values = _unpack(ids[int(i)].as_py()), np.frombuffer(data[int(i)].as_py(), U64)
             for doc, a, b in _cut(own):
@@ -210,7 +218,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for lo in range(0, len(at), 512):
             own = [int(i) for i in at[lo : lo + 512]]
-            doc_ids = [int(np.frombuffer(ids[i].as_py(), np.int64)[0]) for i in own]
+            keyed = [tuple(np.frombuffer(ids[i].as_py(), np.int64).tolist()) for i in own]
+            doc_ids = [doc for doc, _ in keyed]
             column = pa.array([unpress.decompress(data[i].as_py()) for i in own], pa.binary())
             for a, b, w in words(column):
                 hashes, places = window_hashes(w.hashes(), w.first, width) if any(d in hashed for d in doc_ids[a:b]) else (None, None)
@@ -222,9 +231,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         i, j = np.searchsorted(places, [first, end])
                         hit = places[i:j][np.isin(hashes[i:j], np.concatenate(hashed[doc]))] - first
                         gone = covered(n_words, hit, width)
-                    if doc in local:
+                    if keyed[a + t] in local:
                         gone = np.zeros(n_words, bool) if gone is None else gone
-                        for x, y in local[doc]:
+                        for x, y in local[keyed[a + t]]:
                             gone[x:y] = True
                     tokens = column[a + t].as_py().split()
                     if gone is not None:
@@ -237,5 +246,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
 
     shape = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    rows = docs.select(whole_id(docs, id_col), F.col(f"`{text_col}`")).mapInArrow(texts, _SENT)
+    rows = _keyed(docs, id_col, text_col).mapInArrow(texts, _SENT)
     return rows.unionByName(lost).repartition(n_tasks, "at").groupBy("at").applyInArrow(finish, shape)

@@ -83,3 +83,11 @@ def test_extra_columns_and_wrong_ids(spark):
     assert sorted((tuple(r) for r in remove_repeats(df).collect()), key=str) == brute(docs)
     with pytest.raises(TypeError):
         remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_texts_under_one_id_lose_their_own_words_only(spark):
+    w, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"o{i}" for i in range(20))
+    docs = [(1, w), (2, w), (2, other), (2, other + " " + w), (3, other), (None, w), (None, other)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        assert sorted((tuple(r) for r in remove_repeats(df).collect()), key=str) == brute(docs)
