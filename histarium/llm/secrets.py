@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and strings that a primed compressor finds novel.
 
-Besides the base patterns, long mixed strings near words such as ``key`` or
-``auth`` are candidates. Each is measured by the bytes that it adds when zstd,
+Besides the base patterns, long strings near words such as ``key`` or ``auth``
+are candidates; of one that base spans cut, what is left of it between them. Each is measured by the bytes that it adds when zstd,
 primed with a dictionary of identifiers, compresses the text around it: the
 compressed size of the surroundings with the candidate, less that of the
 surroundings alone. Identifiers, words and repeated values cost little; what
@@ -9,14 +9,16 @@ costs most of its own length is reported as ``novel``.
 
 The dictionary is the corpus' own: names that look like code are counted in
 Spark by the documents that have them, and the most frequent follow a short list
-of usual ones. They are of letters and underscores, so no candidate, which needs
-a digit, is ever among them.
+of usual ones. They are of letters and underscores. Long names that nobody else uses
+cost much, too: a string of letters alone must cost more than one with digits, and
+change its case as often as random letters do, which names do once in a word.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
 import pyarrow as pa
@@ -35,14 +37,19 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make a context sensitive, and how far ahead of the candidate they may stand.
 SENSITIVE = re.compile(r"(?ai)key|secret|token|passw|passwd|pwd|auth|bearer|credential|private|access|signature|session|cookie")
 REACH, AROUND = 48, 1024
-#: Candidates: letters and digits mixed, of this length at least. "=" may stand before one and pads its end.
+#: Candidates: with a letter, of this length at least. "=" may stand before one and pads its end.
 LEAST_CANDIDATE = 16
 BEGIN = re.compile(r"(?a)(?<![\w+/.-])[\w+/.-]{14}")
 RUN = re.compile(r"(?a)[\w+/.-]++(?:={1,2}(?![\w+/=.-]))?")
 IDENTIFIER, BEHIND = re.compile(r"(?a)\w*+"), re.compile(r"[+/.-]++")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+BETWEEN = "+/.-"  # goes from the end of a candidate at which a base span was cut out
 #: Added bytes for each byte of a candidate from which it counts as incompressible. Random hex adds about 0.55.
 NOVELTY = 0.45
+#: The same for strings without a digit: names of several rare words add 0.5 to 0.75, random letters of both cases 0.75 to 1.
+NOVELTY_LETTERS = 0.65
+#: Words of a name, and the mean length from which a string of letters is taken for one. Those of random letters have 2.7.
+NAME_PART, LEAST_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 4
 #: Names that look like code: of several parts, or right before what assigns, calls or indexes.
 NAME = r"(?<![A-Za-z0-9_])(?:[A-Za-z]{2,24}+_[A-Za-z_]{1,40}+|[a-z]{2,24}+[A-Z][A-Za-z]{1,40}+|[A-Za-z]{4,32}+(?=[=:(\[]))(?![A-Za-z0-9_])"
 #: Names in the dictionary at most, and documents that must have one. Names are under 70 bytes, so the dictionary is small.
@@ -86,7 +93,7 @@ class Novelty:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of mixed strings, whole: those that begin within ``REACH`` after
+    """(start, end) of strings, whole: those that begin within ``REACH`` after
     a sensitive word, and what follows the first and the last sensitive identifier
     inside a string (``key-...``, ``auth/...``). Strings are read once, so this is linear."""
     found: dict[int, int] = {}
@@ -106,7 +113,36 @@ def candidates(text: str) -> list[tuple[int, int]]:
                     inner[upto] = (inner.get(upto, (start,))[0], start)
     for end, starts in inner.items():
         found |= dict.fromkeys(starts, end)
-    return sorted((a, b) for a, b in found.items() if b - a >= LEAST_CANDIDATE and DIGIT.search(text, a, b) and LETTER.search(text, a, b))
+    return sorted((a, b) for a, b in found.items() if b - a >= LEAST_CANDIDATE and LETTER.search(text, a, b))
+
+
+def rests(text: str, start: int, end: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a candidate between ``base`` spans, which are apart and in order, where it can be a candidate still."""
+    i = bisect_right(base, start, key=lambda s: s[1])
+    at, cut = start, False
+    while True:
+        hit = i < len(base) and base[i][0] < end
+        upto = max(at, base[i][0]) if hit else end
+        own = text[at:upto]
+        a, b = at + (len(own) - len(own.lstrip(BETWEEN)) if cut else 0), upto - (len(own) - len(own.rstrip(BETWEEN)) if hit else 0)
+        if b - a >= LEAST_CANDIDATE and LETTER.search(text, a, b):
+            yield a, b
+        if not hit:
+            return
+        at, cut, i = base[i][1], True, i + 1
+        if at >= end:
+            return
+
+
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The places that spans cover, as spans that are apart."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def find_secrets(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
@@ -120,15 +156,16 @@ def find_secrets(text: str | None, novelty: Novelty) -> list[tuple[int, int, int
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text or "")]
     if any(w in low for w in (b"key", b"secret", b"token", b"passw", b"passwd", b"pwd", b"auth", b"bearer", b"credential", b"private", b"access", b"signature", b"session", b"cookie")):
-        base = sorted(spans)
-        at = top = until = 0  # base spans so far, the end of these, and of the last novel string
-        for start, end in candidates(text):  # neither starts nor ends descend
-            while at < len(base) and base[at][0] < end:
-                top = max(top, base[at][2])
-                at += 1
-            if start >= max(top, until) and novelty.added(text, start, end) >= NOVELTY:
-                spans.append((start, 3, end))
-                until = end
+        base, until = _apart(spans), 0  # and the end of the last novel string
+        for whole in candidates(text):  # neither starts nor ends descend
+            for start, end in rests(text, *whole, base):
+                digits = DIGIT.search(text, start, end)
+                if not digits and sum(map(len, parts := NAME_PART.findall(text, start, end))) >= LEAST_PART * len(parts):
+                    continue
+                least = NOVELTY if digits else NOVELTY_LETTERS
+                if start >= until and novelty.added(text, start, end) >= least:
+                    spans.append((start, 3, end))
+                    until = end
     return sorted(spans)
 
 

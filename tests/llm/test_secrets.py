@@ -114,25 +114,49 @@ def plain_candidates(text):
         if start > name and inside(start):
             behind.setdefault(end_of(start), set()).add(start)
     found |= {(f(starts), end) for end, starts in behind.items() for f in (min, max)}
-    return sorted((a, b) for a, b in found if b - a >= 16 and re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b]))
+    return sorted((a, b) for a, b in found if b - a >= 16 and re.search("[A-Za-z]", text[a:b]))
+
+
+def plain_rests(text, start, end, held):
+    """Places outside of all base spans, in runs; separators beside a cut go."""
+    free = [all(not x <= p < y for x, y in held) for p in range(start, end)]
+    p = start
+    while p < end:
+        q = p
+        while q < end and free[q - start]:
+            q += 1
+        a, b = p, q
+        while p > start and a < b and text[a] in "+/.-":
+            a += 1
+        while q < end and b > a and text[b - 1] in "+/.-":
+            b -= 1
+        if b - a >= 16 and re.search("[A-Za-z]", text[a:b]):
+            yield a, b
+        p = q
+        while p < end and not free[p - start]:
+            p += 1
 
 
 def plain_spans(text, novelty):
     held = [(a, b) for a, b in ((int(s.split(":")[1]), int(s.split(":")[2])) for s in base(text))]
     novel = []
-    for a, b in plain_candidates(text):
-        if all(not (x < b and y > a) for x, y in held + novel):
-            around = text[max(0, a - 1024) : a].encode() + text[b : b + 1024].encode()
-            added = len(novelty.zip.compress(around + text[a:b].encode())) - len(novelty.zip.compress(around))
-            if added >= 0.45 * (b - a):
-                novel.append((a, b))
+    for whole in plain_candidates(text):
+        for a, b in plain_rests(text, *whole, held):
+            if all(not (x < b and y > a) for x, y in novel):
+                around = text[max(0, a - 1024) : a].encode() + text[b : b + 1024].encode()
+                added = len(novelty.zip.compress(around + text[a:b].encode())) - len(novelty.zip.compress(around))
+                letters = [c for c in text[a:b] if c.isalpha() and c.isascii()]
+                parts = sum(not (p and p.isalpha() and ((p.islower() and c.islower()) or (p.isupper() and c.isupper()) or (p.isupper() and c.islower() and not (q and q.isupper())))) for q, p, c in zip(["", "", *text[a:b]], ["", *text[a:b]], text[a:b], strict=False) if c.isalpha() and c.isascii())
+                digits = re.search("[0-9]", text[a:b])
+                if added >= (0.45 if digits else 0.65) * (b - a) and (digits or len(letters) < 4 * parts):
+                    novel.append((a, b))
     return novel
 
 
 def config(rng):
     value = lambda n: "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n))
     names = ["api_key", "dbPassword", "authToken", "session_id", "max_retries", "loadConfig", "private.key", "access-key", "the key of", "cookie/"]
-    line = lambda: rng.choice(names) + rng.choice([" = ", "=", ": ", "('", "-", " ", "/"]) + rng.choice([value(rng.randrange(10, 50)), "true", "client_secret_access_key_1234", "a1" * 12, "=", value(20) + "=="])
+    line = lambda: rng.choice(names) + rng.choice([" = ", "=", ": ", "('", "-", " ", "/"]) + rng.choice([value(rng.randrange(10, 50)), "true", "client_secret_access_key_1234", "a1" * 12, "=", value(20) + "==", value(20) + "-" + "0123456789abcdef" * 2 + "/" + value(18), "AKIA" + "Q7" * 8 + "/" + value(30), "".join(rng.choices(string.ascii_letters, k=30)), "provideAuthenticatedConnectionFactory"])
     return rng.choice(["\n", " ", ";\n"]).join(line() for _ in range(rng.randrange(1, 12)))
 
 
@@ -167,3 +191,17 @@ def test_very_many_keys_take_linear_time():
         spans = find_secrets(t, Novelty())
         seconds.append(time.process_time() - at)
     assert sum(k == 2 for _, k, _ in spans) == 10_000 and seconds[1] < 12 * seconds[0] + 1
+
+
+def test_what_is_left_of_a_string_beside_base_spans_is_found(spark):
+    rng = random.Random(8)
+    one, two, three = ("".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(3))
+    hexes = "".join(rng.choices("0123456789abcdef", k=32))
+    texts = [f"auth header {one}-{hexes}-{two} end", f"secret key AKIA{'Q7' * 8}/{three} end", f"auth header {''.join(rng.choices(string.ascii_letters, k=40))} end", "auth handler provideAuthenticatedConnectionFactory end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets_table(df).collect()}
+    at = texts[0].index(one)
+    assert got[0].spans == f"novel:{at}:{at + 40},hex:{at + 41}:{at + 73},novel:{at + 74}:{at + 114}"
+    assert [got[i].n_novel for i in range(4)] == [2, 1, 1, 0]
+    left = {r.doc_id: r.text for r in redact_secrets(df).collect()}
+    assert left[0] == "auth header [secret]-[secret]-[secret] end" and left[1] == "secret key [secret]/[secret] end" and left[2] == "auth header [secret] end" and left[3] == texts[3]
