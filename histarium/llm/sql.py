@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .merkle import COLUMNS, TAMPERED
 from .mixing import REPEATS, SHARE, WEIGHTS
 from .quality import FENCE, LEAST_SPREAD, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS
 
@@ -115,6 +116,46 @@ JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format("coalesce(text,
 SELECT doc_id, coalesce((SELECT min(root) FROM r WHERE node = doc_id), doc_id) AS class_id, (SELECT count(*) FROM l WHERE a = doc_id) AS n_links,
   len(s) AS n_shingles FROM s"""
 
+NEGATIVES = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x:
+  floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x:
+  isfinite(x))) = len(embedding)),
+ p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON
+  a.vec_id != b.vec_id WHERE a.vec_id % 50 = 0),
+ k AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM p WHERE same),
+ n AS (SELECT k.anchor_id, k.id AS positive_id, p.id AS negative_id, k.score AS positive_score, p.score AS negative_score, row_number() OVER
+  (PARTITION BY k.anchor_id, k.id ORDER BY p.score DESC, p.id) AS rank FROM k JOIN p ON p.anchor_id = k.anchor_id AND NOT p.same WHERE k.k <= 5 AND
+  50 * k.score <= 100 * p.score AND 100 * p.score <= 95 * k.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(({c})::VARCHAR))::VARCHAR || ':' || ({c})::VARCHAR END"
+
+
+def _merkle() -> str:
+    leaf = lambda n: f"sha256({' || '.join(_field(c if c != 'n_chars' else n) for c in COLUMNS)})"
+    up = "SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM {0} WHERE n > 1 GROUP BY tree, level, i // 2, n"
+    return f"""WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k)
+  ORDER BY k) AS tab FROM (SELECT unnest(range(256)) AS k)),
+ d AS (SELECT *, {leaf("n_chars")} AS leaf, {leaf("n_chars + 1")} AS changed, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'),
+  lambda h: ('0x' || h)::BIGINT) AS b, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree FROM documents),
+ t AS (SELECT tree, doc_id, leaf, CASE WHEN n_chars IS NOT NULL AND xor(list_reduce(b, lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8),
+  4294967295), 4294967295) % {TAMPERED} = 0 THEN changed ELSE leaf END AS now, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS r FROM d, tab),
+ up AS (SELECT tree, 0 AS level, r AS i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM t UNION ALL {up.format("up")}),
+ s AS (SELECT tree, h AS subroot, level AS depth, row_number() OVER (ORDER BY encode(tree)) - 1 AS r FROM up WHERE n = 1),
+ top AS (SELECT '' AS tree, 0 AS level, r AS i, subroot AS h, count(*) OVER () AS n FROM s UNION ALL {up.format("top")}),
+ w AS (SELECT doc_id, l AS step, r >> l AS i, t.tree, l AS level FROM (SELECT *, unnest(range(depth)) AS l FROM t JOIN (SELECT tree, depth FROM s) USING
+  (tree)) t UNION ALL SELECT doc_id, s.depth + l, s.r >> l, '', l FROM t JOIN s USING (tree), (SELECT unnest(range((SELECT max(level) FROM top))) AS l)),
+ n AS (SELECT * FROM up UNION ALL SELECT * FROM top),
+ g AS (SELECT doc_id, step, w.i & 1 AS is_right, n.h AS sibling FROM w LEFT JOIN n ON n.tree = w.tree AND n.level = w.level AND n.i = xor(w.i, 1)),
+ f AS (SELECT doc_id, 0 AS step, now AS h FROM t UNION ALL SELECT f.doc_id, f.step + 1, sha256(CASE WHEN sibling IS NULL THEN h WHEN is_right = 1 THEN
+  sibling || h ELSE h || sibling END) FROM f JOIN g ON g.doc_id = f.doc_id AND g.step = f.step),
+ o AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM f GROUP BY doc_id), q AS (SELECT doc_id, sha256(coalesce(string_agg(sibling, '' ORDER BY
+  step), '')) AS proof_sha256 FROM t LEFT JOIN g USING (doc_id) GROUP BY doc_id), z AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM t JOIN s USING (tree) JOIN o USING (doc_id) JOIN q
+  USING (doc_id), z"""
+
+
 SQL: dict[str, str] = {
     "op2_jaccard_join": JACCARD,
     "op4_quality_rules": _quality(),
@@ -122,4 +163,6 @@ SQL: dict[str, str] = {
     "op7_decontamination": DECONTAMINATION,
     "op9_substring_dedup": REPEATED,
     "op10_mixing": _mixing(),
+    "op11_hard_negatives": NEGATIVES,
+    "op13_merkle_manifest": _merkle(),
 }

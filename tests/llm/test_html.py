@@ -1,4 +1,6 @@
 import random
+import re
+import time
 from collections import Counter
 from xml.etree import ElementTree
 
@@ -96,6 +98,7 @@ def generated(pages=200):
     sentence = lambda n: " ".join(rng.choices(words, k=n))
     shared = [sentence(12) for _ in range(4)]  # passages that many articles quote; only a marked article keeps them
     rows, want = [], {}
+    ends = [sentence(8) for _ in range(pages)]
     for h, host in enumerate(("marked.example", "loose.example", "plain.example")):
         frame = [sentence(6) for _ in range(4)]
         for i in range(pages):
@@ -104,15 +107,15 @@ def generated(pages=200):
             inner = "".join(f"<p id='{rng.choice(['search', 'menu', 'p1'])}'>{html_escape(b)}</p>\n" for b in blocks)
             inner = inner.replace("wort7 ", "<b>wort7</b> ").replace(" wort9 ", " <a href='/x'>wort9</a>\n ")
             body = {
-                "marked.example": f"<article><div class='related-work'>{inner}</div><div class='share'>{html_escape(frame[3])}</div></article><section class='comments'><p>{html_escape(sentence(5))}</p></section>",
+                "marked.example": f"<div class='comment'><article>{html_escape(sentence(4))}</article></div><article><div class='related-work'>{inner}</div><div class='share'>{html_escape(frame[3])}</div><div class='comment-list'><article>{html_escape(sentence(4))}</article></div></article><section class='comments'><p>{html_escape(sentence(5))}</p></section>",
                 "loose.example": f"<div class='page no-sidebar'><main>{inner}<aside><p>{html_escape(sentence(4))}</p></aside></main></div>",
-                "plain.example": f"<div class='page'><div class='col'><div>{inner}</div></div><div class='box'><p>{html_escape(frame[3])}</p></div></div>",
+                "plain.example": f"<div class='page'><div class='col'><div>{inner}<h2>Conclusion</h2><p>{html_escape(ends[i])}</p></div></div><div class='box'><p>{html_escape(frame[3])}</p></div></div>",
             }[host]
             top = f"<header><p>{html_escape(frame[0])}</p></header><div class='top'><p>{html_escape(frame[1])}</p><p>{i % 7}</p></div>"
             end = f"<div class='end'><p>{html_escape(frame[2])}</p></div><footer>{sentence(3).replace('&', 'and').replace('<', '')}</footer>"
             page = f"<html><head><title>{i}</title></head><body>{top}{body}{end}</body></html>"
             rows.append((1000 * h + i, f"https://{host}/p{i}", page))
-            want[1000 * h + i] = " ".join(" ".join(blocks).split())
+            want[1000 * h + i] = " ".join(" ".join([*blocks, *(["Conclusion", ends[i]] if h == 2 else [])]).split())
     return rows + [(9000 + i, "https://plain.example/copy", rows[-1][2]) for i in range(30)], want | {9000 + i: want[1000 * 2 + pages - 1] for i in range(30)}
 
 
@@ -120,9 +123,21 @@ def html_escape(text):
     return text.replace("&", "&amp;").replace("<", "&lt;")
 
 
+#: The plain version's own lists.
+PLAIN_GONE = {"head", "script", "style", "title", "nav", "header", "footer", "aside", "form", "button", "noscript", "svg"}
+PLAIN_INLINE = {"a", "b", "i", "em", "span", "strong"}
+PLAIN_FLOW = {"p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "pre", "blockquote"}
+PLAIN_NAMES = {"comments", "share", "sidebar", "ad", "comment"}
+
+
 def plain_extract(rows, min_pages=5, min_share=0.02):
     """The rules again, with an XML parser and whole subtrees as strings, all pages of a host in plain lists."""
-    skipped = lambda e: e.tag in html.SKIPPED or (e.tag not in html.FLOW | html.INLINE and bool(html.SKIPPED_WHOLE & set(e.get("class", "").split())))
+
+    def skipped(e):
+        names = e.get("class", "").split()
+        box = e.tag in ("div", "section")
+        return e.tag in PLAIN_GONE or (box and any(n in PLAIN_NAMES or re.fullmatch("(ad|comments?|cookie)-(box|list|item|bar)", n) for n in names))
+
     by_host = {}
     for page, url, text in rows:
         by_host.setdefault(url.split("/")[2], []).append((page, ElementTree.fromstring(text)))
@@ -131,13 +146,20 @@ def plain_extract(rows, min_pages=5, min_share=0.02):
         return f"<{e.tag} {e.get('class', '')} {e.get('id', '')}>{' '.join((e.text or '').split())}" + "".join(key(c) + " ".join((c.tail or "").split()) for c in e) + "</>"
 
     def content(tree):
-        for tag in ("article", "main"):
-            if found := [e for e in tree.iter(tag)]:
-                return found, True
-        return [tree], False
+        found = []
+
+        def walk(e):
+            for c in e:
+                if c.tag in ("article", "main"):
+                    found.append(c)
+                elif not skipped(c):
+                    walk(c)
+
+        walk(tree)
+        return (found, True) if found else ([tree], False)
 
     def may_be(e, marked):
-        return e.tag not in html.INLINE and not (marked and e.tag in html.FLOW)
+        return e.tag not in PLAIN_INLINE and not (marked and e.tag in PLAIN_FLOW)
 
     out = {}
     for pages in by_host.values():
@@ -155,12 +177,14 @@ def plain_extract(rows, min_pages=5, min_share=0.02):
         templates = {k for k, n in count.items() if n >= min_pages and n >= min_share * len(distinct)}
 
         def text_of(e, marked):
-            parts = [e.text or ""]
-            for c in e:
-                gone = skipped(c) or (may_be(c, marked) and key(c) in templates)
-                edge = "" if c.tag in html.INLINE else " "
-                parts += [" " if gone else edge + text_of(c, marked) + edge, c.tail or ""]
-            return "".join(parts)
+            parts, next_stays, children = [], False, list(e)
+            for c in reversed(children):
+                next_stays = next_stays or bool((c.tail or "").strip())
+                gone = skipped(c) or (may_be(c, marked) and key(c) in templates and not (c.tag in ("h1", "h2", "h3") and next_stays))
+                edge = "" if c.tag in PLAIN_INLINE else " "
+                parts.append((" " if gone else edge + text_of(c, marked) + edge) + (c.tail or ""))
+                next_stays = not gone
+            return (e.text or "") + "".join(reversed(parts))
 
         for page, t in pages:
             tops, marked = content(t)
@@ -189,3 +213,42 @@ def test_very_long_pages(spark):
     page = "<main>" + "".join(f"<p>block {i}</p>" for i in range(60_000)) + "</main>"
     r = extract_text(spark.createDataFrame([(1, "http://l.example", page)], "page_id long, url string, html string")).first()
     assert r.n_chars == len(r.text) == len(" ".join(f"block {i}" for i in range(60_000)))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<main><h1>Title</h1><article class='teaser'><p>t</p></article><p>Body of main.</p></main>", "Title t Body of main."),
+        ("<article><p>one</p></article><main><p>two</p></main>", "one two"),
+        ("<div class='comment'><article>reader</article></div><div class='post'><p>Post text</p></div>", "Post text"),
+        ("<article>post<article class='comment even' id='comment-5'>r</article></article>", "post"),
+        ("<article class='comment'>only</article>", ""),
+        ("<aside><main><p>all there is</p></main></aside>", "all there is"),
+        ("<article><p>own</p><section class='comments-section'><div class='comment-item'><p>Great post!</p></div></section></article>", "own"),
+        ("<article>a<div class='ad-wrapper'>x</div><div id='cookie-bar'>x</div><p class='comment'>x</p> b <span class='ad'>x</span></article>", "a b"),
+        ("<article class='post comments-open'><div class='sidebar-right'>a</div><div class='entry-content'>b</div><section id='share-prices'>c</section></article>", "a b c"),
+        ("<div class='commentList'>x</div><ul class='c-comments'><li>x</ul><div class='related-items'>y</div>", "y"),
+        ("<article><div data-u=/a/>one</div> two <p>three</p></article>", "one two three"),
+        ("<div>a<svg><path/>no</div><p>after</p>", "a after"),
+        ("<p>a <b and c", "a <b and c"),
+        ("<p>a <a href=\"x>b</a> c", "a b c"),
+        ("<p title='a > b'>x</p><p title=it's>y</p>", "x y"),
+    ],
+)
+def test_content_and_odd_markup(page, want):
+    assert text(page) == want
+
+
+@pytest.mark.parametrize("part, behind", [("<a ", ""), ("<div>", "</span>"), ("<b>", "<hr>"), ("<a =\"' ", ""), ("<svg>", ""), ("<i a=\"x'>'", ""), ("<span><article>", "<div></span>"), ("<!-- ", ""), ("<p>", "</b>")])
+def test_malformed_pages_take_linear_time(part, behind):
+    n = 1_000_000 // len(part + behind)
+    page = part * n + behind * n
+    at = time.process_time()
+    text(page)
+    assert time.process_time() - at < 6
+
+
+def test_headings_stay_with_their_text(spark):
+    page = lambda i: f"<div><h2>Conclusion</h2><p>Own {i}.</p></div><div><h3>Topics</h3><div>a b c</div></div><div><h2>Last</h2></div>"
+    df = spark.createDataFrame([(i, "http://h.example/x", page(i)) for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in extract_text(df).collect()} == {f"Conclusion Own {i}." for i in range(9)}
