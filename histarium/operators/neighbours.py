@@ -301,14 +301,17 @@ def feature_join(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str
     ``PIVOTS`` rows of ``right`` at most, and in blocks of bounded size there. A
     block of the nearest pivot gives a bound on the k-th distance; then a row meets
     the blocks of those pivots whose ball reaches into that bound, so the result is
-    exact. ``probes``: only the blocks of so many nearest pivots are met, which is
-    approximate and takes a time in proportion to the rows.
+    exact; in many dimensions balls overlap, and little is left out. ``probes``:
+    approximate, by so many leaves of a pivot tree (see ``PivotTree``), in a time
+    that grows as the rows times the logarithm of their number.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     spark, kind, dims = left.sparkSession, left.schema[key].dataType.simpleString(), len(cols) + (metric == "cosine")
     way = "euclidean" if metric == "cosine" else metric
     vectors = lambda df: df.select(F.col(f"`{key}`").alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("v"))
+    if probes is not None and k >= 1:
+        return _tree_join(vectors(left), vectors(right), left is right, key, k, way, probes, metric == "cosine", itself, len(cols))
     n = right.count()
     sample = vectors(right).orderBy(F.xxhash64("id"), "id").limit(int(min(PIVOTS, max(1, n**0.5 // 2)))).collect()
     if not sample or k < 1:
@@ -349,9 +352,6 @@ def feature_join(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str
         own = np.where(np.bincount(rows, minlength=len(x)) == k, last, np.inf)
         for lo in range(0, len(x), 1024):
             d = _distances(x[lo : lo + 1024], sent.value, way)
-            if probes is not None:
-                visit += list(np.argsort(np.where(size > 0, d, np.inf), axis=1, kind="stable")[:, :probes].astype(np.int32))
-                continue
             reach = np.minimum(own[lo : lo + 1024], np.where(size >= need, d + radius, np.inf).min(1))
             close = (d - radius <= reach[:, None] * (1 + 1e-9) + 1e-9) & (size > 0)
             visit += [np.flatnonzero(row).astype(np.int32) for row in close]
@@ -376,6 +376,117 @@ def feature_join(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str
     return best.select(F.col("id").alias(key), "other", "distance", (1 / (1 + F.col("distance"))).alias("weight"))
 
 
+#: Children of a node of a pivot tree, rows of a leaf, and levels at most; rows that meet pivots or a leaf at a time.
+FANOUT, LEAF, DEPTH, SHARE = 32, 1024, 12, 4096
+
+
+class PivotTree:
+    """A tree of pivots over the rows ``id, v``, as tables: a node of more than ``LEAF``
+    rows has up to ``FANOUT`` of them as pivots, and each row goes on with the nearest.
+
+    ``leaves``: ``id, v, node``; ``pivots``: ``node, pivots``, the children being
+    numbered ``node * FANOUT``, ``+ 1`` and so on. A node's rows meet its pivots in
+    shares, so none is too large for a task. Of equal rows only the ``copies``
+    with the smallest ids are kept, as no other is ever among the nearest.
+    """
+
+    def __init__(self, rows: DataFrame, dims: int, way: str, copies: int) -> None:
+        kind = rows.schema["id"].dataType.simpleString()
+        alike = Window.partitionBy("v").orderBy("id")
+        held = saved(rows.withColumn("c", F.row_number().over(alike)).filter(F.col("c") <= copies).select("id", "v", F.lit(1).cast("long").alias("node")))
+        self.dims, self.way, self.depth, self.pivots, self.leaves = dims, way, 0, None, None
+
+        def split(a: pa.Table, b: pa.Table) -> pa.Table:
+            child = _closest(_matrix(a.column("v"), dims), _pivots(b, dims), way, 1)[0][:, 0] if a.num_rows else np.zeros(0, np.int64)
+            return pa.table([a.column("id"), a.column("v"), pa.array(a.column("node").to_numpy() * FANOUT + child)], names=["id", "v", "node"])
+
+        while True:
+            sizes = saved(held.groupBy("node").agg(F.count("*").alias("n")))
+            large = sizes.filter(F.col("n") > LEAF)
+            full = self.depth == DEPTH - 1 or large.isEmpty()
+            done = held if full else held.join(large, "node", "left_anti").select("id", "v", "node")
+            self.leaves = done if self.leaves is None else self.leaves.unionByName(done)
+            if full:
+                return
+            first = Window.partitionBy("node").orderBy(F.xxhash64("id"), "id")
+            some = held.join(large, "node").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= FANOUT)
+            some = some.filter(F.col("place") <= F.greatest(F.ceil(2 * F.col("n") / LEAF), F.lit(2))).groupBy("node").agg(F.array_sort(F.collect_set("v")).alias("pivots"), F.first("n").alias("n"))
+            pivots = saved(some.withColumn("shares", F.ceil(F.col("n") / SHARE).cast("long")).drop("n"))
+            own = held.join(pivots.select("node", "shares"), "node").select("id", "v", "node", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"))
+            told = pivots.select(F.col("node").alias("at"), "pivots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"))
+            held = saved(own.groupBy("node", "share").cogroup(told.groupBy("at", "part")).applyInArrow(split, f"id {kind}, v array<double>, node long"))
+            self.pivots = pivots.drop("shares") if self.pivots is None else self.pivots.unionByName(pivots.drop("shares"))
+            self.depth += 1
+
+    def visits(self, rows: DataFrame, probes: int) -> DataFrame:
+        """``id, node``: the leaves that each row visits, going down by the ``probes`` nearest nodes of a level."""
+        kind, dims, way = rows.schema["id"].dataType.simpleString(), self.dims, self.way
+        front = rows.select("id", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("d"))
+
+        def expand(a: pa.Table, b: pa.Table) -> pa.Table:
+            at, d = _closest(_matrix(a.column("v"), dims), _pivots(b, dims), way, probes)
+            n = at.shape[1]
+            child = (a.column("node").to_numpy()[:, None] * FANOUT + at).ravel()
+            return pa.table([a.column("id").take(pa.array(np.repeat(np.arange(a.num_rows), n))), pa.array(child), pa.array(d.ravel())], names=["id", "node", "d"])
+
+        nearest = Window.partitionBy("id").orderBy("d", "node")
+        for _ in range(self.depth):
+            own = front.join(self.pivots.select("node"), "node", "left_semi")
+            loads = own.groupBy("node").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("shares"))
+            loads = saved(loads)
+            asked = own.join(loads, "node").join(rows, "id").select("id", "v", "node", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("shares")).alias("share"))
+            told = self.pivots.join(loads, "node").select(F.col("node").alias("at"), "pivots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"))
+            below = asked.groupBy("node", "share").cogroup(told.groupBy("at", "part")).applyInArrow(expand, f"id {kind}, node long, d double")
+            both = below.unionByName(front.join(self.pivots.select("node"), "node", "left_anti").select("id", "node", "d"))
+            front = saved(both.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= probes).drop("place"))
+        return front.select("id", "node")
+
+
+def _pivots(table: pa.Table, dims: int) -> np.ndarray:
+    return table.column("pivots").combine_chunks().slice(0, 1).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _closest(x: np.ndarray, pivots: np.ndarray, way: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and distances of the ``most`` nearest pivots of each row."""
+    n = min(most, len(pivots))
+    at, near = np.zeros((len(x), n), np.int64), np.zeros((len(x), n))
+    for lo in range(0, len(x), 1024):
+        d = _distances(x[lo : lo + 1024], pivots, way)
+        at[lo : lo + 1024] = np.argsort(d, axis=1, kind="stable")[:, :n]
+        near[lo : lo + 1024] = np.take_along_axis(d, at[lo : lo + 1024], 1)
+    return at, near
+
+
+def _tree_join(left: DataFrame, right: DataFrame, same: bool, key: str, k: int, way: str, probes: int, cosine: bool, itself: bool, dims: int) -> DataFrame:
+    """``feature_join`` by a pivot tree; left, right: ``id, v``."""
+    kind, own = left.schema["id"].dataType.simpleString(), dims + cosine
+
+    def units(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_unit(_matrix(batch.column(1), dims)))], names=["id", "v"])
+
+    ready = lambda df: saved(df.mapInArrow(units, f"id {kind}, v array<double>") if cosine else df)
+    rights = ready(right)
+    lefts = rights if same else ready(left)
+    tree = PivotTree(rights, own, way, k if itself else k + 1)
+    visits = saved(tree.visits(lefts, probes))
+    loads = saved(visits.groupBy("node").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("shares")))
+    blocks = saved(tree.leaves.groupBy("node").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("blocks")))  # several where a leaf could not be split
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    sized = loads.join(blocks, "node")
+    asked = visits.join(sized, "node").select("id", "node", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("shares")).alias("share"), upto("blocks").alias("block")).join(lefts, "id")
+    told = tree.leaves.join(sized, "node").select("id", "v", F.col("node").alias("at"), upto("shares").alias("part"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("lot")).toDF("other", "w", "at", "part", "lot")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, kinds = a.column("id").to_numpy(), a.schema.field("id").type
+        rows, other, far = _nearest(_matrix(a.column("v"), own), ids, _matrix(b.column("w"), own), b.column("other").to_numpy(), k, way, itself)
+        return pa.table([pa.array(ids[rows], kinds), pa.array(other, kinds), pa.array(far * far / 2 if cosine else far)], names=["id", "other", "distance"])
+
+    met = asked.groupBy("node", "share", "block").cogroup(told.groupBy("at", "part", "lot")).applyInArrow(meet, f"id {kind}, other {kind}, distance double")
+    best = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).filter(F.col("place") <= k)
+    return best.select(F.col("id").alias(key), "other", "distance", (1 / (1 + F.col("distance"))).alias("weight"))
+
+
 def knn_features(df: DataFrame, key: str, cols: Sequence[str], k: int = 15, metric: str = "euclidean", probes: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``key, other, distance, weight``: the k - 1 nearest others of each row in feature
     space, as k counts the point itself; see ``feature_join``."""
