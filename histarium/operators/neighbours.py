@@ -105,13 +105,11 @@ def _search(k: int, on: list[str], kinds: pa.Schema):
     return search
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str], id_col: str = "cell_id", max_rounds: int = 40) -> DataFrame:
-    """``on, id_col, other, distance, place``: the k nearest of ``right`` for each of ``left``.
-
-    Both: ``on, id_col, x, y``. Points with the same id are the same point and no
-    neighbours; ties go to the smaller id. Groups with fewer points give fewer rows.
-    """
-    on = list(on)
+def tiled(left: DataFrame, right: DataFrame, on: list[str], id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
+    """Both sides dealt to tiles: the points themselves (``on, id, x, y`` with their
+    region's box), left points by tile, with what the tiles around reach and whether
+    they hold the whole box, right points by each tile that they lie in or beside, and
+    the columns of a tile."""
     point = lambda df: df.select(*on, F.col(id_col).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
     left, right = point(left), point(right)
     box = right.groupBy(*on).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
@@ -125,13 +123,25 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str], id_co
     levels = [r.level for r in leaves.select("level").distinct().collect()]  # one for each depth of splitting
     each = F.explode(F.array(*[F.lit(i) for i in sorted(levels)])).alias("level")
     tile = [*on, "level", "cx", "cy"]
-    put = rights.select(*on, "id", "x", "y", "x0", "y0", "side", each).withColumn("cx", _cell("x", "x0", F.col("level"))).withColumn("cy", _cell("y", "y0", F.col("level"))).withColumn("d", _around())
-    put = put.select(*on, "level", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), F.col("id").alias("other"), F.col("x").alias("x_"), F.col("y").alias("y_")).join(leaves, tile, "left_semi")
+    beside = leaves.withColumn("d", _around()).select(*tile, (F.col("cx") + F.col("d.i")).alias("bx"), (F.col("cy") + F.col("d.j")).alias("by"))
+    placed = rights.select(*on, "id", "x", "y", "x0", "y0", "side", each).withColumn("bx", _cell("x", "x0", F.col("level"))).withColumn("by", _cell("y", "y0", F.col("level")))
+    put = placed.join(beside, [*on, "level", "bx", "by"]).select(*tile, F.col("id").alias("other"), F.col("x").alias("x_"), F.col("y").alias("y_"))
     asked = lefts.drop("level").select("*", each).withColumn("cx", _cell("tx", "x0", F.col("level"))).withColumn("cy", _cell("ty", "y0", F.col("level"))).join(leaves, tile, "left_semi")
     size = F.col("side") / F.pow(F.lit(2.0), F.col("level"))
     gap = lambda c, c0, n: F.least(F.col(c) - F.col(c0) - (F.col(n) - 1) * size, (F.col(n) + 2) * size - F.col(c) + F.col(c0))
     # What the 3 x 3 tiles reach around the point, and whether they hold the whole box.
     asked = asked.withColumn("reach", F.least(gap("x", "x0", "cx"), gap("y", "y0", "cy"))).withColumn("covers", (F.col("cx") <= 1) & (F.col("cy") <= 1) & (F.pow(F.lit(2.0), F.col("level")) <= F.greatest(F.lit(1), F.least("cx", "cy") + 2)))
+    return lefts, rights, asked, put, tile
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str], id_col: str = "cell_id", max_rounds: int = 40) -> DataFrame:
+    """``on, id_col, other, distance, place``: the k nearest of ``right`` for each of ``left``.
+
+    Both: ``on, id_col, x, y``. Points with the same id are the same point and no
+    neighbours; ties go to the smaller id. Groups with fewer points give fewer rows.
+    """
+    on = list(on)
+    lefts, rights, asked, put, tile = tiled(left, right, on, id_col)
     kinds = to_arrow_schema(lefts.select(*on, "id").schema)
     shape = ", ".join(f"`{c}` {lefts.schema[c].dataType.simpleString()}" for c in [*on, "id"]) + f", other {lefts.schema['id'].dataType.simpleString()}, distance double, place int, sure boolean"
     met = saved(asked.select(*tile, "id", "x", "y", "reach", "covers").groupBy(*tile).cogroup(put.groupBy(*tile)).applyInArrow(_search(k, on, kinds), shape))
@@ -201,21 +211,6 @@ def radius_edges(cells: DataFrame, radius_px: float | None = None, radius_um: fl
     return radius_pairs(cells, cells, radius, on).filter("cell_id < other").select(*on, F.col("cell_id").alias("src"), F.col("other").alias("dst"), "distance", (F.col("distance") * pixel_size_um).alias("distance_um")).drop("_all")
 
 
-def gabriel_edges(cells: DataFrame, max_distance_px: float, on: Sequence[str] = ("roi_id",), pixel_size_um: float = 1.0) -> DataFrame:
-    """Pairs within ``max_distance_px`` whose diameter circle holds no third cell.
-
-    A cell in that circle is nearer to either end than the ends are to each
-    other, so the witnesses of a pair are among the neighbours already found.
-    """
-    cells, on = _keyed(cells, on)
-    pairs = saved(radius_pairs(cells, cells, max_distance_px, on))
-    one = pairs.filter("cell_id < other")
-    third = pairs.select(*on, "cell_id", F.col("other").alias("third"), F.col("x_").alias("x3"), F.col("y_").alias("y3"), F.col("distance").alias("d3"))
-    mid = F.pow((F.col("x") + F.col("x_")) / 2 - F.col("x3"), 2) + F.pow((F.col("y") + F.col("y_")) / 2 - F.col("y3"), 2)
-    held = one.join(third, [*on, "cell_id"]).filter((F.col("third") != F.col("other")) & (F.col("d3") < F.col("distance")) & (mid < F.pow(F.col("distance") / 2, 2) - 1e-9))
-    return canonical(one.join(held.select(*on, "cell_id", "other").distinct(), [*on, "cell_id", "other"], "left_anti"), on, pixel_size_um).drop("_all")
-
-
 def nearest_by_cluster(cells: DataFrame, cluster: str = "cluster") -> DataFrame:
     """``roi_id, cell_id, cluster, target, nearest, distance``: for each cell, the
     nearest cell of each cluster of its region, itself left out."""

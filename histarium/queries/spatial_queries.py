@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import saved
 from ..operators import neighbours, spatial
 from ..operators.components import connected_components
+from ..operators.gabriel import gabriel_edges
 from . import views as v
 from .views import CELLS, CLUSTERS, rounded
 
@@ -37,6 +38,16 @@ HULL = """pts AS (SELECT DISTINCT roi_id, x, y FROM cells), dirs AS (SELECT cos(
    AND NOT EXISTS (SELECT 1 FROM ends c WHERE c.roi_id = a.roi_id AND abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9 AND (c.x -
   a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 1e-9)),
  a AS (SELECT roi_id, sum(c) / 2 AS area FROM side GROUP BY ALL)"""
+#: The nearest few rule most pairs out; what they leave is checked against all cells.
+GABRIEL = f"""WITH {CELLS}, {KNN}, w AS (SELECT k.roi_id, k.cell_id, c.x, c.y FROM k JOIN cells c ON c.roi_id = k.roi_id AND c.cell_id = k.other),
+ n AS (SELECT roi_id, cell_id, list(x) AS wx, list(y) AS wy FROM w GROUP BY ALL),
+ a AS (SELECT c.roi_id, c.cell_id, c.x, c.y, wx, wy FROM cells c LEFT JOIN n USING (roi_id, cell_id)),
+ p AS (SELECT a.roi_id, a.cell_id AS src, b.cell_id AS dst, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS by_ FROM a JOIN cells b ON b.roi_id =
+  a.roi_id AND a.cell_id < b.cell_id WHERE coalesce(list_max(list_transform(range(1, len(wx) + 1), lambda i: (wx[i] - a.x) * (b.x - a.x) + (wy[i] -
+  a.y) * (b.y - a.y) - (wx[i] - a.x) ** 2 - (wy[i] - a.y) ** 2)), 0) <= 1e-9),
+ x AS (SELECT DISTINCT p.roi_id, src, dst FROM p JOIN cells c ON c.roi_id = p.roi_id AND c.cell_id != src AND c.cell_id != dst AND (c.x - ax) * bx +
+  (c.y - ay) * by_ - (c.x - ax) ** 2 - (c.y - ay) ** 2 > 1e-9)
+SELECT roi_id, src, dst, round(sqrt(bx ** 2 + by_ ** 2), 6) AS distance FROM p ANTI JOIN x USING (roi_id, src, dst)"""
 BINS = [0.0, 15.0, 30.0, 45.0]
 
 
@@ -79,13 +90,7 @@ QUERIES = {
     "j5_knn_edges": (lambda s, d: rounded(neighbours.knn_edges(v.cells(s, d), K)), f"""WITH {CELLS}, {KNN} SELECT roi_id, least(cell_id, other) AS src, greatest(cell_id, other) AS dst, round(min(distance), 6) AS distance,
   round(min(distance), 6) AS distance_um FROM k GROUP BY ALL"""),
     "j6_radius_edges": (lambda s, d: rounded(neighbours.radius_edges(v.cells(s, d), radius_um=RADIUS / 2, pixel_size_um=0.5)), f"WITH {CELLS}, {EDGES} SELECT roi_id, src, dst, round(distance, 6) AS distance, round(distance * 0.5, 6) AS distance_um FROM edges"),
-    "j7_gabriel_edges": (
-        lambda s, d: rounded(neighbours.gabriel_edges(v.cells(s, d), RADIUS).select("roi_id", "src", "dst", "distance")),
-        f"""WITH {CELLS}, {EDGES}, m AS (SELECT e.*, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id
-  = e.src JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst) SELECT roi_id, src, dst, round(distance, 6) AS distance FROM m WHERE NOT EXISTS
-  (SELECT 1 FROM cells c WHERE c.roi_id = m.roi_id AND c.cell_id NOT IN (m.src, m.dst) AND (c.x - mx) ** 2 + (c.y - my) ** 2 < (distance / 2) ** 2 -
-  1e-9)""",
-    ),
+    "j7_gabriel_edges": (lambda s, d: rounded(gabriel_edges(v.cells(s, d)).select("roi_id", "src", "dst", "distance")), GABRIEL),
     "j9_nearest_by_cluster": (lambda s, d: rounded(neighbours.nearest_by_cluster(v.cells(s, d))), f"WITH {CELLS}, {NEAR} SELECT roi_id, cell_id, cluster, target, nearest, round(distance, 6) AS distance FROM near"),
     "j4_edges_with_labels": (lambda s, d: spatial.with_labels(_edges(s, d), v.cells(s, d), "cluster").groupBy("a", "b").agg(F.count("*").alias("n")), f"""WITH {CELLS}, {EDGES} SELECT a.cluster AS a, b.cluster AS b, count(*) AS n FROM edges e JOIN cells a ON a.roi_id = e.roi_id AND a.cell_id = e.src
   JOIN cells b ON b.roi_id = e.roi_id AND b.cell_id = e.dst GROUP BY ALL"""),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from histarium.functions import columns
 from histarium.functions.tails import incomplete_beta, t_two_sided_value
+from histarium.operators.gabriel import gabriel_edges
 from histarium.operators import batches, clustering, correlation, features, gates, neighbours, qc, scaling, spatial, spillover, stencils
 from histarium.operators.components import connected_components
 from histarium.sources import io
@@ -158,7 +159,7 @@ def test_spatial_invariants(spark):
     assert sum(r.observed for r in result) == edges.count() and all(0 < r.p_value <= 1 for r in result)
     again = spatial.enrichment(df.repartition(7), edges.repartition(5), n_permutations=19).collect()
     assert sorted(map(tuple, result)) == sorted(map(tuple, again))
-    gabriel = {(r.roi_id, r.src, r.dst) for r in neighbours.gabriel_edges(df, 12.0).collect()}
+    gabriel = {(r.roi_id, r.src, r.dst) for r in gabriel_edges(df).filter("distance <= 12").collect()}
     assert gabriel < {(r.roi_id, r.src, r.dst) for r in edges.collect()}
     assert all(-1.2 < r.i < 1.2 and 0 <= r.p <= 1 for r in spatial.morans_i(df, edges, ["m"]).collect())
 
