@@ -9,15 +9,18 @@ mirrors it, ``zero`` is 0.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.lineage import saved
+from ..functions.prefix import runs
 from .components import connected_components
 from .qc import otsu
 from .scaling import combine_channels, minmax
@@ -97,36 +100,71 @@ def tiles(pixels: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     return pixels.withColumn("ty", own("y")).withColumn("tx", own("x")).withColumn("y0", F.col("ty") * step).withColumn("x0", F.col("tx") * step)
 
 
-def by_tiles(pixels: DataFrame, run: Callable[[np.ndarray, pd.DataFrame], np.ndarray], halo: int, border: str = "reflect", size: int = 256, carry: Sequence[str] = ()) -> DataFrame:
+def _each_group(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each stretch of rows with one key, in rows sorted by it; one is held at a time."""
+    key, held = None, []
+    for batch in batches:
+        for now, lo, hi in runs(batch, keys):
+            if held and now != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _gathered(tables: Iterator[pa.Table], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Small tables as batches of ``rows`` or more."""
+    held, n = [], 0
+    for table in tables:
+        held.append(table)
+        n += table.num_rows
+        if n >= rows:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
+def _sorted_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a key in one task, one key after the other."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def by_tiles(pixels: DataFrame, run: Callable[[np.ndarray, dict[str, float]], np.ndarray], halo: int, border: str = "reflect", size: int = 256, carry: Sequence[str] = ()) -> DataFrame:
     """A numpy filter on blocks of ``size``, each with ``halo`` pixels around it.
 
     Inside an image the halo holds its neighbours' pixels; beyond it, the border
     rule, or with ``none`` nothing: the block ends there. ``run`` also gets the
-    block's rows, with the columns in ``carry``.
+    block's value of each column in ``carry``. A pixel goes to the one to four
+    blocks that need it; a task takes its blocks one after the other.
     """
-    reach = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    if halo > size:
-        size = halo
-    own = with_size(pixels).withColumn("d", reach).withColumn("ty", F.floor(F.col("y") / size) + F.col("d.i")).withColumn("tx", F.floor(F.col("x") / size) + F.col("d.j"))
-    inside = (F.col("y") >= F.col("ty") * size - halo) & (F.col("y") < (F.col("ty") + 1) * size + halo) & (F.col("x") >= F.col("tx") * size - halo) & (F.col("x") < (F.col("tx") + 1) * size + halo)
-    here = (F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") * size < F.col("_h")) & (F.col("tx") * size < F.col("_w"))
-    dealt = own.filter(inside & here).select(*PLACE, "value", "ty", "tx", "_h", "_w", *carry)
+    size = max(size, halo)
+    deal = lambda c, most: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - halo) / size), F.lit(0)), F.least(F.floor((F.col(c) + halo) / size), F.floor((F.col(most) - 1) / size))))
+    keys = [*IMAGE, "ty", "tx"]
+    dealt = with_size(pixels).withColumn("ty", deal("y", "_h")).withColumn("tx", deal("x", "_w")).select(*keys, F.col("y").cast("int"), F.col("x").cast("int"), F.col("value").cast("double"), F.col("_h").cast("int"), F.col("_w").cast("int"), *carry)
     mode = {"reflect": "symmetric", "nearest": "edge", "zero": "constant", "none": None}[border]
+    kinds = to_arrow_schema(pixels.select(*PLACE).schema)
 
-    def block(part: pd.DataFrame) -> pd.DataFrame:
-        ty, tx, h, w = (int(part[c].iloc[0]) for c in ("ty", "tx", "_h", "_w"))
+    def block(key: tuple, part: pa.Table) -> pa.Table:
+        acq, channel, ty, tx = key
+        h, w = part.column("_h")[0].as_py(), part.column("_w")[0].as_py()
         a, b = max(ty * size - halo, 0), max(tx * size - halo, 0)
         c, d = min((ty + 1) * size + halo, h), min((tx + 1) * size + halo, w)
         image = np.zeros((c - a, d - b))
-        image[part["y"].to_numpy() - a, part["x"].to_numpy() - b] = part["value"].to_numpy()
+        image[part.column("y").to_numpy() - a, part.column("x").to_numpy() - b] = part.column("value").to_numpy()
         need = [(halo - (ty * size - a), halo - (c - min((ty + 1) * size, h))), (halo - (tx * size - b), halo - (d - min((tx + 1) * size, w)))]
         i, j = (halo, halo) if mode else (ty * size - a, tx * size - b)
-        out = run(np.pad(image, need, mode=mode) if mode else image, part)[i : i + min((ty + 1) * size, h) - ty * size, j : j + min((tx + 1) * size, w) - tx * size]
+        own = {k: part.column(k)[0].as_py() for k in carry}
+        out = run(np.pad(image, need, mode=mode) if mode else image, own)[i : i + min((ty + 1) * size, h) - ty * size, j : j + min((tx + 1) * size, w) - tx * size]
         y, x = np.indices(out.shape)
-        return pd.DataFrame({"acq_id": part["acq_id"].iloc[0], "channel": part["channel"].iloc[0], "y": (y + ty * size).ravel(), "x": (x + tx * size).ravel(), "value": out.ravel()})
+        columns = [pa.repeat(pa.scalar(acq, kinds.field("acq_id").type), out.size), pa.repeat(pa.scalar(channel, kinds.field("channel").type), out.size)]
+        columns += [pa.array((v + first).ravel()).cast(kinds.field(c).type) for v, first, c in ((y, ty * size, "y"), (x, tx * size, "x"))]
+        return pa.table([*columns, pa.array(out.ravel().astype(float))], names=[*PLACE, "value"])
 
-    kind = ", ".join(f"{c} {pixels.schema[c].dataType.simpleString()}" for c in PLACE)
-    return dealt.groupBy(*IMAGE, "ty", "tx").applyInPandas(block, f"{kind}, value double")
+    shape = T.StructType([*[pixels.schema[c] for c in PLACE], T.StructField("value", T.DoubleType())])
+    return _sorted_by(dealt, keys).mapInArrow(lambda batches: _gathered(block(k, t) for k, t in _each_group(batches, keys)), shape)
 
 
 def _extreme(image: np.ndarray, footprint, how) -> np.ndarray:
@@ -139,15 +177,39 @@ def _extreme(image: np.ndarray, footprint, how) -> np.ndarray:
     return out
 
 
+def disk_extreme(image: np.ndarray, radius: int, how: Callable) -> np.ndarray:
+    """Least or greatest value over a disk around each pixel, the border mirrored.
+
+    A disk is one chord for each row: the extreme of any stretch of pixels is that
+    of two overlapping ones whose length is a power of two, so the work grows with
+    the radius and not with the disk's area.
+    """
+    h, w = image.shape
+    padded = np.pad(image, radius, mode="symmetric")
+    powers = [padded]  # powers[k][:, j]: over 2^k pixels from j on
+    while 2 << len(powers) - 1 <= 2 * radius + 1:
+        last, step = powers[-1], 1 << len(powers) - 1
+        powers.append(how(last[:, : last.shape[1] - step], last[:, step:]))
+    out = None
+    for half in {math.isqrt(radius * radius - i * i) for i in range(radius + 1)}:
+        length = 2 * half + 1
+        k = length.bit_length() - 1
+        first = radius - half
+        chord = how(powers[k][:, first : first + w], powers[k][:, first + length - (1 << k) :][:, :w])
+        for i in range(-radius, radius + 1):
+            if math.isqrt(radius * radius - i * i) == half:
+                rows = chord[radius + i : radius + i + h]
+                out = rows.copy() if out is None else how(out, rows)
+    return out
+
+
 def opening(pixels: DataFrame, radius: int) -> DataFrame:
     """Greatest of the least over a disk."""
-    foot = disk(radius)
-    return by_tiles(pixels, lambda im, _: _extreme(_extreme(im, foot, np.minimum), foot, np.maximum), 2 * radius)
+    return by_tiles(pixels, lambda im, _: disk_extreme(disk_extreme(im, radius, np.minimum), radius, np.maximum), 2 * radius)
 
 
 def closing(pixels: DataFrame, radius: int) -> DataFrame:
-    foot = disk(radius)
-    return by_tiles(pixels, lambda im, _: _extreme(_extreme(im, foot, np.maximum), foot, np.minimum), 2 * radius)
+    return by_tiles(pixels, lambda im, _: disk_extreme(disk_extreme(im, radius, np.maximum), radius, np.minimum), 2 * radius)
 
 
 def _minus(a: DataFrame, b: DataFrame, floor: float | None = None) -> DataFrame:
@@ -229,14 +291,59 @@ def gradient_magnitude(pixels: DataFrame, method: str = "sobel") -> DataFrame:
     return minmax(by_tiles(pixels, run, 1, "reflect")).select(*PLACE, "value")
 
 
-def label_regions(on: DataFrame) -> DataFrame:
-    """``acq_id, y, x, region``: connected pixels (4 neighbours), named by their first pixel."""
-    place = F.struct("acq_id", "y", "x")
-    own = on.select("acq_id", "y", "x", place.alias("node"))
-    sides = own.select("node", F.explode(F.array(*[F.struct(F.col("acq_id"), (F.col("y") + i).alias("y"), (F.col("x") + j).alias("x")) for i, j in ((0, 1), (1, 0))])).alias("side"))
-    edges = sides.join(own.select(F.col("node").alias("side")), "side").select(F.col("node").alias("src"), F.col("side").alias("dst"))
+def tile_regions(on: np.ndarray) -> np.ndarray:
+    """For each pixel of a block that is on, the place (row by row) of the first pixel
+    of its connected part, else -1: rows' runs are tied where they touch."""
+    h, w = on.shape
+    starts = on.copy()
+    starts[:, 1:] &= ~on[:, :-1]
+    run = np.cumsum(starts.ravel()).reshape(h, w) - 1
+    root = np.arange(int(starts.sum()))
+    both = on[1:] & on[:-1]
+    pairs = np.unique(np.stack([run[1:][both], run[:-1][both]], axis=1), axis=0)
+    while len(pairs):
+        a, b = root[pairs[:, 0]], root[pairs[:, 1]]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    first = np.flatnonzero(starts.ravel())
+    return np.where(on, first[root][np.where(on, run, 0)] if len(first) else -1, -1)
+
+
+def label_regions(on: DataFrame, size: int = 256) -> DataFrame:
+    """``acq_id, y, x, region``: connected pixels (4 neighbours), named by their first pixel.
+
+    Parts are found in tiles; only the parts that meet across a border of tiles
+    are tied as a graph.
+    """
+    keys = ["acq_id", "ty", "tx"]
+    kinds = to_arrow_schema(on.select("acq_id", "y", "x").schema)
+
+    def parts(key: tuple, part: pa.Table) -> pa.Table:
+        y, x = (part.column(c).to_numpy() for c in ("y", "x"))
+        y0, x0 = key[1] * size, key[2] * size
+        image = np.zeros((size, size), bool)
+        image[y - y0, x - x0] = True
+        own = tile_regions(image)[y - y0, x - x0]
+        places = [pa.array(v).cast(kinds.field(c).type) for v, c in ((y, "y"), (x, "x"), (own // size + y0, "y"), (own % size + x0, "x"))]
+        return pa.table([part.column("acq_id"), *places], names=["acq_id", "y", "x", "ry", "rx"])
+
+    pixel = on.select("acq_id", "y", "x")
+    fields = [*pixel.schema.fields, T.StructField("ry", pixel.schema["y"].dataType), T.StructField("rx", pixel.schema["x"].dataType)]
+    dealt = pixel.select("acq_id", F.expr(f"y div {size}").alias("ty"), F.expr(f"x div {size}").alias("tx"), "y", "x")
+    held = saved(_sorted_by(dealt, keys).mapInArrow(lambda batches: _gathered(parts(k, t) for k, t in _each_group(batches, keys)), T.StructType(fields)))
+    part = F.struct("acq_id", F.col("ry").alias("y"), F.col("rx").alias("x"))
+    edges = None
+    for c, other in (("y", "x"), ("x", "y")):
+        last = held.filter(F.col(c) % size == size - 1).select("acq_id", (F.col(c) + 1).alias(c), other, part.alias("src"))
+        first = held.filter(F.col(c) % size == 0).select("acq_id", c, other, part.alias("dst"))
+        met = last.join(first, ["acq_id", "y", "x"]).select("src", "dst").distinct()
+        edges = met if edges is None else edges.unionByName(met)
     found = connected_components(edges)
-    return own.join(found, "node", "left").select("acq_id", "y", "x", F.coalesce("component", "node").alias("region"))
+    return held.withColumn("node", part).join(found, "node", "left").select("acq_id", "y", "x", F.coalesce("component", "node").alias("region"))
 
 
 def threshold_segment(pixels: DataFrame, channels: Sequence[str], fuse: str = "mean", threshold: str = "otsu", min_area: int = 100, max_area: int = 10_000) -> DataFrame:
@@ -310,8 +417,8 @@ def richardson_lucy(pixels: DataFrame, x0: float = 7.0, iterations: int = 4, out
     ends = clean.groupBy(*IMAGE).agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
     held = clean.join(ends, IMAGE)
 
-    def run(image: np.ndarray, part: pd.DataFrame) -> np.ndarray:
-        a, b = float(part["_a"].iloc[0]), float(part["_b"].iloc[0])
+    def run(image: np.ndarray, own: dict[str, float]) -> np.ndarray:
+        a, b = float(own["_a"]), float(own["_b"])
         scaled = (image - a) / (b - a) if b > a else image
         out = richardson_lucy_block(np.maximum(scaled, 1e-4), deconvolution_kernel(b, x0), iterations)
         return out * (b - a) + a if b > a else out

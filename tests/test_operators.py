@@ -246,3 +246,34 @@ def test_files_round_trip(spark, tmp_path):
     io.write_by_roi(df, neighbours.radius_edges(df, radius_px=20.0), f"{tmp_path}/rois")
     assert spark.read.parquet(f"{tmp_path}/rois/cells").count() == 30
     assert io.companion("/x/y.csv", "_qc") == "/x/y_qc.csv"
+
+
+@pytest.mark.parametrize("how", [np.minimum, np.maximum])
+def test_extremes_of_chords_equal_all_shifts(how):
+    rng = np.random.default_rng(2)
+    for radius in range(1, 21):
+        image = rng.random((int(rng.integers(radius + 1, 60)), int(rng.integers(radius + 1, 60))))
+        assert (stencils.disk_extreme(image, radius, how) == stencils._extreme(image, stencils.disk(radius), how)).all()
+
+
+def test_regions_across_tiles_equal_a_plain_fill(spark):
+    rng = np.random.default_rng(6)
+    images = {"a": rng.random((23, 31)) < 0.6, "b": np.ones((9, 9), bool), "c": np.zeros((4, 4), bool)}
+    snake = np.zeros((17, 17), bool)
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    images["d"] = snake
+    want = {}
+    for k, on in images.items():
+        for y, x in zip(*np.nonzero(on), strict=True):
+            if (k, y, x) not in want:
+                todo = [(y, x)]
+                while todo:
+                    p = todo.pop()
+                    if 0 <= p[0] < on.shape[0] and 0 <= p[1] < on.shape[1] and on[p] and (k, *p) not in want:
+                        want[(k, *p)] = (y, x)
+                        todo += [(p[0] + i, p[1] + j) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+    df = spark.createDataFrame([(k, int(y), int(x)) for k, on in images.items() for y, x in zip(*np.nonzero(on), strict=True)], "acq_id string, y int, x int")
+    for size in (5, 256):
+        got = {(r.acq_id, r.y, r.x): (r.region.y, r.region.x) for r in stencils.label_regions(df.repartition(3), size).collect()}
+        assert got == {k: (int(v[0]), int(v[1])) for k, v in want.items()}
