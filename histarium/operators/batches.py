@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import BATCH_KEYS
 from ..functions.lineage import saved
@@ -42,44 +44,43 @@ def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
 def combat(df: DataFrame, batch: str, features: Sequence[str], covariates: Sequence[str] = (), rounds: int = 200, tolerance: float = 1e-4) -> DataFrame:
     """Empirical-Bayes location and scale (Johnson, Li, Rabinovic 2007).
 
-    Three aggregations over the cells: normal equations of batches and covariates,
-    residual sums per batch; all else runs on the (batch x feature) table on the
-    driver. Covariates are numbers. Unusable features stay as they are; so do
+    Two passes over the cells, besides the checks, add up sums of each batch in Arrow
+    batches: for the normal equations of batches and covariates, and of residuals; all
+    else runs on the (batch x feature) table on the driver. Covariates are numbers. Unusable features stay as they are; so do
     values whose result is not a number.
     """
     validate_batch(df, batch, features)
     used = usable_features(df, features)
     if not used:
         return df
-    batches = sorted(r[0] for r in df.select(batch).distinct().collect())
-    number = F.array_position(F.array(*[F.lit(b) for b in batches]), F.col(batch)).cast("int") - 1
-    held = df.withColumn("_b", number).withColumn("_y", F.array(*[F.col(f"`{f}`").cast("double") for f in used])).withColumn("_x", F.array(*[F.col(f"`{c}`").cast("double") for c in covariates]).cast("array<double>"))
-    nb, nf, nc = len(batches), len(used), len(covariates)
-    y, x = (lambda i: F.col("_y")[i]), (lambda i: F.col("_x")[i])
-    sums = [F.count("*").alias("n"), *[F.sum(y(i)).alias(f"y{i}") for i in range(nf)], *[F.sum(x(i)).alias(f"x{i}") for i in range(nc)]]
-    sums += [F.sum(x(i) * x(j)).alias(f"x{i}_{j}") for i in range(nc) for j in range(nc)] + [F.sum(x(i) * y(j)).alias(f"xy{i}_{j}") for i in range(nc) for j in range(nf)]
-    by = {r["_b"]: r for r in held.groupBy("_b").agg(*sums).collect()}
-    n = np.array([by[b].n for b in range(nb)], float)
+    rows = df.select(F.col(f"`{batch}`").alias("b"), *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate([*used, *covariates])])
+    nf, nc = len(used), len(covariates)
+    sums = _batch_sums(rows, nf, nc, None, None)
+    batches = sorted(sums)
+    nb = len(batches)
+    n = np.array([sums[b]["n"][0] for b in batches])
     xtx, xty = np.zeros((nb + nc, nb + nc)), np.zeros((nb + nc, nf))
-    for b in range(nb):
-        r = by[b]
-        xtx[b, b], xty[b] = r.n, [r[f"y{i}"] for i in range(nf)]
-        xtx[b, nb:] = xtx[nb:, b] = [r[f"x{i}"] for i in range(nc)]
-        for i in range(nc):
-            xtx[nb + i, nb:] += [r[f"x{i}_{j}"] for j in range(nc)]
-            xty[nb + i] += [r[f"xy{i}_{j}"] for j in range(nf)]
+    for k, b in enumerate(batches):
+        r = sums[b]
+        xtx[k, k], xty[k] = r["n"][0], r["y"]
+        xtx[k, nb:] = xtx[nb:, k] = r["x"]
+        xtx[nb:, nb:] += r["xx"].reshape(nc, nc)
+        xty[nb:] += r["xy"].reshape(nc, nf)
     beta = np.linalg.lstsq(xtx, xty, rcond=None)[0]
     alpha, effect = n @ beta[:nb] / n.sum(), beta[nb:]
-
+    # About the grand mean, of which the residuals about a batch's own mean follow.
+    apart = _batch_sums(rows, nf, nc, alpha, effect)
+    e, e2, ny = (np.array([apart[b][c] for b in batches]) for c in ("y", "yy", "ny"))
+    off = alpha - beta[:nb]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sigma = np.sqrt(np.maximum((e2 + 2 * off * e + ny * off * off).sum(0) / ny.sum(0), 0))
+    sigma[~(sigma > 0)] = 1.0
+    s, q = e / sigma, e2 / sigma**2
+    number = F.array_position(F.array(*[F.lit(b) for b in batches]), F.col(batch)).cast("int") - 1
+    held = df.withColumn("_b", number).withColumn("_y", F.array(*[F.col(f"`{f}`").cast("double") for f in used])).withColumn("_x", F.array(*[F.col(f"`{c}`").cast("double") for c in covariates]).cast("array<double>"))
+    y, x = (lambda i: F.col("_y")[i]), (lambda i: F.col("_x")[i])
     fitted = lambda i, own: F.lit(float(own)) + sum((x(j) * float(effect[j, i]) for j in range(nc)), F.lit(0.0))
-    batch_mean = lambda i: F.array(*[F.lit(float(v)) for v in beta[:nb, i]])[F.col("_b")]
-    residual = held.agg(*[F.avg(F.pow(y(i) - batch_mean(i) - (fitted(i, 0.0)), 2)).alias(f"r{i}") for i in range(nf)]).first()
-    sigma = np.sqrt(np.array([residual[f"r{i}"] for i in range(nf)]))
-    sigma[sigma == 0] = 1.0
     z = lambda i: (y(i) - fitted(i, alpha[i])) / float(sigma[i])
-    stats = {r["_b"]: r for r in held.groupBy("_b").agg(*[a for i in range(nf) for a in (F.sum(z(i)).alias(f"s{i}"), F.sum(z(i) * z(i)).alias(f"q{i}"))]).collect()}
-    s = np.array([[stats[b][f"s{i}"] for i in range(nf)] for b in range(nb)])
-    q = np.array([[stats[b][f"q{i}"] for i in range(nf)] for b in range(nb)])
     shift, scale = np.zeros((nb, nf)), np.ones((nb, nf))
     for b in range(nb):
         shift[b], scale[b] = shrunk(n[b], s[b], q[b], rounds, tolerance)
@@ -88,6 +89,44 @@ def combat(df: DataFrame, batch: str, features: Sequence[str], covariates: Seque
     return held.withColumns({f: F.when(F.isnan(v) | v.isNull(), F.col(f"`{f}`")).otherwise(v) for f, v in new.items()}).select(*df.columns)
 
 
+def _batch_sums(rows: DataFrame, nf: int, nc: int, alpha: np.ndarray | None, effect: np.ndarray | None) -> dict[object, dict[str, np.ndarray]]:
+    """By batch: ``n`` rows, sums ``y, yy`` of the features and of squares, ``ny`` (values there are), ``x, xx, xy``.
+
+    rows: ``b, c0, c1, ...``, features first, then covariates. With ``alpha`` and
+    ``effect``, features less these. Missing values count in no sum.
+    """
+    names = ("n", "y", "yy", "ny", "x", "xx", "xy")
+
+    def add(batches):
+        held: dict[object, dict[str, np.ndarray]] = {}
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            own = codes.indices.to_numpy()
+            values = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(nf + nc)], axis=1).astype(float)
+            y, x = values[:, :nf], values[:, nf:]
+            if alpha is not None:
+                y = y - alpha - x @ effect
+            ok = ~np.isnan(y)
+            y, x0 = np.where(ok, y, 0.0), np.where(np.isnan(x), 0.0, x)
+            for k in np.unique(own).tolist():
+                at = own == k
+                found = {"n": np.array([at.sum()], float), "y": y[at].sum(0), "yy": (y[at] ** 2).sum(0), "ny": ok[at].sum(0).astype(float), "x": x0[at].sum(0), "xx": (x0[at].T @ x0[at]).ravel(), "xy": (x0[at].T @ y[at]).ravel()}
+                before = held.setdefault(codes.dictionary[k].as_py(), {c: np.zeros_like(v) for c, v in found.items()})
+                for c, v in found.items():
+                    before[c] += v
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), rows_type), *[pa.array([v[c].tobytes() for v in held.values()], pa.binary()) for c in names]], names=["b", *names])
+
+    rows_type = to_arrow_schema(rows.select("b").schema).field("b").type
+    shape = T.StructType([rows.schema["b"], *[T.StructField(c, T.BinaryType()) for c in names]])
+    out: dict[object, dict[str, np.ndarray]] = {}
+    for r in rows.mapInArrow(add, shape).collect():  # a row for each batch and task, of fixed size
+        own = out.setdefault(r.b, {c: np.zeros(len(r[c]) // 8) for c in names})
+        for c in names:
+            own[c] = own[c] + np.frombuffer(r[c])
+    return out
+
+
 def shrunk(n: float, s: np.ndarray, q: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Shrunken mean and variance of one batch's features, from counts, sums and squares."""
     g = s / n
