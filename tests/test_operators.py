@@ -207,7 +207,7 @@ def test_clusterings_keep_planted_groups_apart(spark):
     df = planted(spark)
     for found in (clustering.kmeans(df, ["a", "b"], 3, 2), clustering.hierarchical(df, ["a", "b"], 3, micro=30), clustering.graph_cluster(df, "k", ["a", "b"])):
         assert pure(found) and found.count() == 150
-    assert pure(clustering.density_clusters(df, "k", ["a", "b"], levels=6))
+    assert pure(clustering.density_clusters(df, "k", ["a", "b"]))
 
 
 def test_combat_and_harmony_bring_batches_together(spark):
