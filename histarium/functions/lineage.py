@@ -26,9 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
         if context.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        delete_at_end(spark, path)
     if not current.isDefined():
         context.setCheckpointDir(path)
-        _delete_at_end(spark, context._jsc.sc().getCheckpointDir().get())
+        delete_at_end(spark, context._jsc.sc().getCheckpointDir().get())
     return path
 
 
@@ -38,7 +39,7 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
-def _delete_at_end(spark: SparkSession, path: str) -> None:
+def delete_at_end(spark: SparkSession, path: str) -> None:
     files, at = _files(spark, path)
     files.deleteOnExit(at)
 
@@ -53,7 +54,7 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once, as a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
-    _delete_at_end(spark, path)
+    delete_at_end(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._saved_at = path

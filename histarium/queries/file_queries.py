@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from ..functions.lineage import shared_dir
+from ..functions.lineage import delete_at_end, shared_dir
 from ..operators import batches, scaling, spillover
 from ..sources import io
 from . import views as v
@@ -17,8 +17,10 @@ NUMBERS = [*v.MARKERS, "area_um2"]
 
 
 def _place(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
+    """A new path in the folder that driver and executors share, until the application ends."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    return f"{folder}/{name}"
 
 
 def _cells(spark, sf):
