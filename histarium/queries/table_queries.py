@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batches, clustering, spillover, stencils
 from ..operators.neighbours import knn_features, radius_edges
+from ..operators.silhouette import silhouette, within_squares
 from ..sources import io
 from . import filter_sql
 from . import views as v
@@ -186,6 +187,22 @@ QUERIES = {
     "u5_hierarchical": (lambda s, d: rounded(clustering.hierarchical(v.vectors(s, d), ALL, 5).select("vec_id", "cluster")), None),
     "u6_density": (lambda s, d: rounded(clustering.density_clusters(v.vectors(s, d), "vec_id", ALL).select("vec_id", "cluster")), None),
     "u7_k_search": (lambda s, d: rounded(clustering.k_search(v.vectors(s, d), ALL, 2, 5)), None),
+    "u5_hierarchical_cells": (lambda s, d: rounded(clustering.hierarchical(v.vectors(s, d), ALL, 5, "average", micro=None).select("vec_id", "cluster")), None),
+    "u7_k_search_hierarchical": (lambda s, d: rounded(clustering.k_search(v.vectors(s, d), ALL, 2, 5, method="hierarchical")), None),
+    "u7_silhouette": (
+        lambda s, d: rounded(silhouette(v.vectors(s, d), ALL, "label", noise=())),
+        """WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN
+  embeddings b ON a.vec_id <> b.vec_id AND a.label IS NOT NULL AND b.label IS NOT NULL), m AS (SELECT vec_id, la, lb, avg(d) AS m FROM d GROUP BY ALL),
+  s AS (SELECT vec_id, la, max(m) FILTER (la = lb) AS a, min(m) FILTER (la <> lb) AS b FROM m GROUP BY ALL)
+  SELECT la AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS
+  silhouette FROM s GROUP BY GROUPING SETS ((la), ())""",
+    ),
+    "u7_within_squares": (
+        lambda s, d: rounded(within_squares(v.vectors(s, d), ALL, "label", noise=())),
+        """WITH e AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL),
+  s AS (SELECT label, i, count(*) AS c, count(*) * var_pop(v) AS s FROM e GROUP BY ALL) SELECT label, max(c) AS n, round(sum(s), 6) AS wcss FROM s
+  GROUP BY label""",
+    ),
     "g1_spatial_communities": (lambda s, d: rounded(clustering.spatial_communities(_spatial_edges(s, d))), None),
     "s5_acquisitions": (lambda s, d: io.acquisitions(v.grid(s, d)).select("acq_id", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), F.array_join("channels", ",").alias("channels")), f"""WITH {GRID} SELECT acq_id, (max(y) + 1)::BIGINT AS height, (max(x) + 1)::BIGINT AS width, string_agg(DISTINCT channel, ',' ORDER BY channel) AS
   channels FROM grid GROUP BY ALL"""),
