@@ -7,37 +7,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import average_rank
+from ..functions.lineage import saved
+from ..functions.prefix import counted
 from ..functions.scalar import finite
 from ..functions.tails import t_two_sided
 from .features import in_cells
+from .products import pair_products
 
 
-def _pairs(pixels: DataFrame, mask: DataFrame | None) -> DataFrame:
-    """Pixels of each two channels of an acquisition, where both are finite."""
-    held = pixels.withColumn("value", finite(F.col("value"))).filter("value is not null")
-    held = in_cells(held, mask).drop("cell_id") if mask is not None else held
-    a = held.select("acq_id", "y", "x", F.col("channel").alias("channel_a"), F.col("value").alias("va"))
-    b = held.select("acq_id", "y", "x", F.col("channel").alias("channel_b"), F.col("value").alias("vb"))
-    return a.join(b, ["acq_id", "y", "x"]).filter("channel_a < channel_b")
+def _channels(held: DataFrame, complete: bool) -> DataFrame:
+    """``acq_id, channel, i, c``: channels numbered in an acquisition, and so the patterns of
+    missing values; channels that are finite at the same pixels share one.
+
+    A pattern is told by its number of pixels and two sums (exclusive or) of hashes of them.
+    """
+    at = [F.bit_xor(F.xxhash64(F.lit(seed), "y", "x")) for seed in (1, 2)]
+    seen = held.select("acq_id", "channel").distinct() if complete else held.groupBy("acq_id", "channel").agg(F.count("*").alias("n"), *[x.alias(f"x{i}") for i, x in enumerate(at)])
+    of, by = Window.partitionBy("acq_id"), Window.partitionBy("acq_id", "n", "x0", "x1")  # a row for each channel
+    first = seen.withColumn("first", F.lit("") if complete else F.min("channel").over(by))
+    return first.select("acq_id", "channel", (F.row_number().over(of.orderBy("channel")) - 1).alias("i"), (F.dense_rank().over(of.orderBy("first")) - 1).alias("c"), (F.col("channel") == F.col("first")).alias("leads"))
+
+
+def _centred_ranks(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``rank``, the average rank of ``value`` in its group less the mean rank."""
+    steps = counted(df, by, "value")
+    sizes = steps.groupBy(*by).agg(F.max(F.col("_before") + F.col("_n")).alias("_all"))
+    ranked = steps.join(sizes, list(by)).select(*by, "value", (F.col("_before") + (F.col("_n") - F.col("_all")) / 2).alias("rank"))
+    return df.join(ranked, [*by, "value"])
 
 
 def pixel_correlation(pixels: DataFrame, mask: DataFrame | None = None, complete: bool = False) -> DataFrame:
     """``acq_id, channel_a, channel_b, r, n, p``: Spearman's for each two channels.
 
-    Pairs use the pixels at which both are finite; under three are left out.
-    ``complete``: the caller knows that all channels are finite everywhere, so
-    ranks are taken once for each channel and not for each pair. p is two-sided
-    by Student's t; a perfect correlation has p 0.
+    Pairs use the pixels at which both are finite; under three are left out. Values
+    are ranked once for each channel and pattern of missing values that it meets
+    (once for a channel without gaps), then a pixel's ranks are one vector, and pairs
+    are sums of block products. ``complete``: the caller knows that there are no gaps,
+    so they are not looked for. p is two-sided by Student's t; a perfect correlation has p 0.
     """
-    by = ["acq_id", "channel_a", "channel_b"]
-    if complete:
-        ranked = average_rank(in_cells(pixels, mask).drop("cell_id") if mask is not None else pixels, ["acq_id", "channel"], "value").withColumn("value", F.col("rank")).drop("rank")
-        pairs = _pairs(ranked, None).withColumnsRenamed({"va": "ra", "vb": "rb"})
+    held = pixels.select("acq_id", "y", "x", "channel", finite(F.col("value").cast("double")).alias("value")).filter("value is not null")
+    held = in_cells(held, mask).drop("cell_id") if mask is not None else held
+    channels = saved(_channels(held, complete))
+    patterns = (channels.agg(F.max("c")).first()[0] or 0) + 1
+    coded = held.join(channels.drop("leads"), ["acq_id", "channel"])
+    if patterns > 1:
+        there = held.join(channels.filter("leads"), ["acq_id", "channel"]).select("acq_id", "y", "x", F.col("c").alias("met"))
+        coded = coded.join(there, ["acq_id", "y", "x"])
     else:
-        pairs = average_rank(average_rank(_pairs(pixels, mask), by, "va", "ra"), by, "vb", "rb")
-    r = pairs.groupBy(*by).agg(F.corr("ra", "rb").alias("r"), F.count("*").alias("n")).filter("n >= 3")
-    r = r.withColumn("r", F.when(~F.isnan("r"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
+        coded = coded.withColumn("met", F.lit(0))
+    coded = coded.select("acq_id", "y", "x", (F.col("i") * patterns + F.col("met")).cast("int").alias("code"), "value")
+    sums = saved(pair_products(_centred_ranks(coded, ["acq_id", "code"]), "acq_id", ["y", "x"], "code", "rank"))
+    own = sums.filter("a = b")
+    both = sums.filter(F.expr(f"a div {patterns} < b div {patterns}"))
+    for end, other in (("a", "b"), ("b", "a")):  # ranks of an end are those under the other's pattern
+        named = channels.select("acq_id", F.col("channel").alias(f"channel_{end}"), F.col("i").alias(f"i{end}"), F.col("c").alias(f"c{end}"))
+        both = both.withColumn(f"i{end}", F.expr(f"cast({end} div {patterns} as int)")).join(named, ["acq_id", f"i{end}"])
+        both = both.join(own.select("acq_id", F.col("a").alias(end), F.col("s").alias(f"s{end}")), ["acq_id", end])
+    met = F.expr(f"a % {patterns} = cb and b % {patterns} = ca")
+    r = both.filter(met & (F.col("n") >= 3)).select("acq_id", "channel_a", "channel_b", F.try_divide("s", F.sqrt("sa") * F.sqrt("sb")).alias("r"), "n")
+    r = r.withColumn("r", F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
     t = F.abs("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     return r.withColumn("p", F.when(F.abs("r") >= 1, 0.0).when(F.col("r").isNotNull(), t_two_sided(t, (F.col("n") - 2).cast("double"))))
 

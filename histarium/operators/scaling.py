@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import saved
 from ..functions.prefix import quantiles
 from ..functions.scalar import finite
+from .products import pair_products
 
 IMAGE = ["acq_id", "channel"]
 
@@ -143,19 +145,19 @@ def _first_component(pixels: DataFrame) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    means = pixels.groupBy("acq_id", "channel").agg(F.avg("value").alias("m"))
-    centred = pixels.join(means, ["acq_id", "channel"]).select("acq_id", "y", "x", "channel", (F.col("value") - F.col("m")).alias("v"))
-    other = centred.select("acq_id", "y", "x", F.col("channel").alias("channel2"), F.col("v").alias("v2"))
-    covariance = centred.join(other, ["acq_id", "y", "x"]).groupBy("acq_id", "channel", "channel2").agg(F.avg(F.col("v") * F.col("v2")).alias("c"))
+    number = F.row_number().over(Window.partitionBy("acq_id").orderBy("channel")) - 1  # a row for each channel
+    means = saved(pixels.groupBy("acq_id", "channel").agg(F.avg("value").alias("m")).withColumn("i", number))
+    centred = pixels.join(means, ["acq_id", "channel"]).select("acq_id", "y", "x", "channel", "i", (F.col("value") - F.col("m")).alias("v"))
+    covariance = pair_products(centred.filter("v is not null"), "acq_id", ["y", "x"], "i", "v").select("acq_id", "a", "b", (F.col("s") / F.col("n")).alias("c"))
 
     def loadings(part: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(part["channel"].unique())
-        matrix = part.pivot(index="channel", columns="channel2", values="c").loc[names, names].to_numpy()
-        vector = np.linalg.eigh(matrix)[1][:, -1]
-        return pd.DataFrame({"acq_id": part["acq_id"].iloc[0], "channel": names, "w": vector * np.sign(vector[np.abs(vector).argmax()])})
+        at, matrix = np.unique(part[["a", "b"]]), np.zeros((int(part["b"].max()) + 1,) * 2)
+        matrix[part["b"], part["a"]] = part["c"]  # the lower half is read
+        vector = np.linalg.eigh(matrix[np.ix_(at, at)])[1][:, -1]
+        return pd.DataFrame({"acq_id": part["acq_id"].iloc[0], "i": at, "w": vector * np.sign(vector[np.abs(vector).argmax()])})
 
-    shape = f"acq_id {pixels.schema['acq_id'].dataType.simpleString()}, channel string, w double"
-    scores = centred.join(covariance.groupBy("acq_id").applyInPandas(loadings, shape), ["acq_id", "channel"]).groupBy("acq_id", "y", "x").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+    shape = f"acq_id {pixels.schema['acq_id'].dataType.simpleString()}, i int, w double"
+    scores = centred.join(covariance.groupBy("acq_id").applyInPandas(loadings, shape), ["acq_id", "i"]).groupBy("acq_id", "y", "x").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
     return minmax(scores.withColumn("channel", F.lit("pca1"))).drop("channel")
 
 

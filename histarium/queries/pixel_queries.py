@@ -87,6 +87,8 @@ QC_PIXEL = f"""WITH {GRID}, {OTSU}, q AS (SELECT acq_id, channel, threshold, avg
 RANKS = """r AS (SELECT acq_id, channel, y, x, rank() OVER (PARTITION BY acq_id, channel ORDER BY value) + (count(*) OVER (PARTITION BY acq_id, channel, value)
   - 1) / 2 AS v FROM grid)"""
 
+GAP = "(channel = 'ch1' AND (x + y) % 5 = 0) OR (channel = 'ch2' AND x = 7) OR (channel = 'ch3' AND x = 7)"
+
 QUERIES = {
     "a11_intensity_features": (lambda s, d: rounded(features.intensity_long(v.flat(s, d))), f"WITH {FLAT} SELECT acq_id, cell_id, channel, {STATS} FROM flat GROUP BY ALL"),
     "a15_features_wide_arcsinh": (_flat_features, f"WITH {FLAT} {_wide_sql('flat', v.CHANNELS)}"),
@@ -158,6 +160,14 @@ SELECT acq_id, channel, round((s - bm) / greatest(bs, abs(bm) * 0.001, 1e-6, (mx
     "q7_pixel_correlation": (lambda s, d: rounded(correlation.pixel_correlation(v.grid(s, d)).drop("p")), f"""WITH {GRID}, {RANKS} SELECT a.acq_id, a.channel AS channel_a, b.channel AS channel_b, round(corr(a.v, b.v), 6) AS r, count(*) AS n FROM r a JOIN r b
   USING (acq_id, y, x) WHERE a.channel < b.channel GROUP BY ALL"""),
     "q7_pixel_correlation_p": (lambda s, d: rounded(correlation.adjust_p(correlation.pixel_correlation(v.grid(s, d), v.mask(s, d), complete=True), "fdr_bh", ["acq_id"])), None),
+    "q7_pixel_correlation_gaps": (
+        lambda s, d: rounded(correlation.pixel_correlation(v.grid(s, d).withColumn("value", F.when(F.expr(GAP), F.lit(float("nan"))).otherwise(F.col("value")))).drop("p")),
+        f"""WITH {GRID}, g AS (SELECT * FROM grid WHERE NOT ({GAP})), p AS (SELECT a.acq_id, a.channel AS channel_a, b.channel AS channel_b, a.value AS va, b.value AS vb
+  FROM g a JOIN g b USING (acq_id, y, x) WHERE a.channel < b.channel), k AS (SELECT acq_id, channel_a, channel_b,
+  rank() OVER (PARTITION BY acq_id, channel_a, channel_b ORDER BY va) + (count(*) OVER (PARTITION BY acq_id, channel_a, channel_b, va) - 1) / 2 AS ra,
+  rank() OVER (PARTITION BY acq_id, channel_a, channel_b ORDER BY vb) + (count(*) OVER (PARTITION BY acq_id, channel_a, channel_b, vb) - 1) / 2 AS rb FROM p)
+  SELECT acq_id, channel_a, channel_b, round(corr(ra, rb), 6) AS r, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 3""",
+    ),
     "q10_correlation_matrix": (
         lambda s, d: rounded(correlation.correlation_matrix(correlation.pixel_correlation(v.grid(s, d), complete=True).groupBy("channel_a", "channel_b").agg(F.avg("r").alias("r")), v.GRID_CHANNELS)),
         f"""WITH {GRID}, {RANKS}, c AS (SELECT ca, cb, avg(r) AS r FROM (SELECT a.acq_id, a.channel AS ca, b.channel AS cb, corr(a.v, b.v) AS r FROM r a JOIN r b

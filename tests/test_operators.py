@@ -128,6 +128,45 @@ def test_spearman_with_gaps_and_perfect_order(spark):
     assert got["p", "q"].r == pytest.approx(1) and got["p", "r"].r == pytest.approx(-1) and got["p", "q"].n == 12 and got["p", "q"].p == 0
 
 
+def plain_rank(v):
+    return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+
+def test_spearman_of_every_pattern_of_gaps(spark):
+    rng = np.random.default_rng(5)
+    image = {(a, c): np.where(rng.random(80) < gone, np.nan, rng.integers(0, 9, 80) * 1.0) for a in ("a", "b", "lone") for c, gone in zip("pqrst", (0, 0, 0.2, 0.5, 0.99), strict=True) if a != "lone" or c == "p"}
+    image["a", "u"] = np.full(80, 4.0)
+    rows = [(a, c, i // 10, i % 10, float(x)) for (a, c), v in image.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "acq_id string, channel string, y int, x int, value double")
+    got = {(r.acq_id, r.channel_a, r.channel_b): (r.n, r.r, r.p) for r in correlation.pixel_correlation(df).collect()}
+    want = {}
+    for (a, c), v in image.items():
+        for (a2, c2), w in image.items():
+            held = np.isfinite(v) & np.isfinite(w)
+            if a == a2 and c < c2 and held.sum() >= 3:
+                s, t = plain_rank(v[held]), plain_rank(w[held])
+                want[a, c, c2] = held.sum(), np.corrcoef(s, t)[0, 1] if s.std() and t.std() else None
+    assert got.keys() == want.keys() and any(r is None for _, r in want.values())
+    for k, (n, r) in want.items():
+        assert got[k][0] == n and (got[k][1:] == (None, None) if r is None else got[k][1] == pytest.approx(r) and 0 <= got[k][2] <= 1), k
+    whole = df.filter("channel in ('p', 'q')")
+    assert correlation.pixel_correlation(whole).collect() == correlation.pixel_correlation(whole, complete=True).collect()
+    assert correlation.pixel_correlation(df.limit(0)).count() == 0
+
+
+def test_first_component_equals_plain(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3)) @ np.array([[2.0, 1.0, 0.1], [0, 1, 0.3], [0, 0, 0.2]])
+    rows = [("a", f"c{j}", i // 10, i % 10, float(x[i, j])) for i in range(60) for j in range(3)] + [("b", "c1", 0, i, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "acq_id string, channel string, y int, x int, value double")
+    got = {(r.acq_id, r.y * 10 + r.x): r.value for r in scaling.combine_channels(df, "pca1").collect()}
+    centred = x - x.mean(0)
+    axis = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+    score = centred @ (axis * np.sign(axis[np.abs(axis).argmax()]))
+    score = (score - score.min()) / np.ptp(score)
+    assert all(got["a", i] == pytest.approx(score[i]) for i in range(60)) and [got["b", i] for i in range(5)] == [0, 0.25, 0.5, 0.75, 1]
+
+
 def test_components_and_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (None, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
