@@ -73,7 +73,7 @@ def infer_donor(acqs: DataFrame, channels: DataFrame, explicit: DataFrame) -> Da
     told = keyed.join(explicit, "key").groupBy("acq_id").agg(F.min_by("donor", "rank").alias("told"))
     where = F.lower(F.coalesce(F.nullif("well", F.lit("")), F.col("name")))
     metal = F.regexp_extract(F.lower("channel"), "^([a-z]+)", 1)
-    met = acqs.select("acq_id", where.alias("where")).crossJoin(F.broadcast(channels.select("channel").distinct()))
+    met = acqs.select("acq_id", where.alias("where")).crossJoin(channels.select("channel").distinct())
     met = met.withColumn("whole", F.contains("where", F.lower("channel"))).withColumn("part", (metal != "") & F.contains("where", metal))
     guess = met.groupBy("acq_id").agg(F.count_if("whole").alias("n1"), F.max(F.when(F.col("whole"), F.col("channel"))).alias("c1"), F.count_if("part").alias("n2"), F.max(F.when(F.col("part"), F.col("channel"))).alias("c2"))
     donor = F.coalesce("told", F.when(F.col("n1") == 1, F.col("c1")), F.when((F.col("n1") == 0) & (F.col("n2") == 1), F.col("c2")))

@@ -89,7 +89,7 @@ def with_unique_ids(acqs: DataFrame, path: F.Column) -> DataFrame:
 def channel_mismatch(channels: DataFrame) -> DataFrame:
     """``source_file, channel``: channels that other files have and the file lacks."""
     own = channels.select("source_file", "channel").distinct()
-    every = own.select("source_file").distinct().crossJoin(F.broadcast(own.select("channel").distinct()))
+    every = own.select("source_file").distinct().crossJoin(own.select("channel").distinct())
     return every.join(own, ["source_file", "channel"], "left_anti")
 
 
@@ -97,13 +97,13 @@ def match_masks(masks: DataFrame, acqs: DataFrame) -> DataFrame:
     """``mask_file, acq_id``: the acquisition whose well, else name or id, stands in the
     file's name; the first by ``idx`` wins. A single mask file goes to all acquisitions.
 
-    masks and acqs are lists of files: the smaller is broadcast.
+    masks and acqs are lists of files: Spark broadcasts one if its size allows.
     """
     if masks.limit(2).count() == 1:
         return masks.crossJoin(acqs.select("acq_id")).select("mask_file", "acq_id")
     file = F.lower("mask_file")
     rank = F.when((F.coalesce("well", F.lit("")) != "") & F.contains(file, F.lower("well")), 1).when(F.contains(file, F.lower("name")) | F.contains(file, F.lower("acq_id")), 2)
-    met = masks.crossJoin(F.broadcast(acqs)).withColumn("rank", rank).filter("rank is not null")
+    met = masks.crossJoin(acqs).withColumn("rank", rank).filter("rank is not null")
     return met.groupBy("mask_file").agg(F.min_by("acq_id", F.struct("rank", "idx")).alias("acq_id"))
 
 
