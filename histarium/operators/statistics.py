@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import saved
 from ..functions.prefix import counted, quantiles, running_sums
 from ..functions.scalar import marker_name, stars
 from ..functions.tails import normal_two_sided
@@ -47,7 +48,8 @@ def marker_stats(df: DataFrame, features: Sequence[str], cluster: str = "cluster
     against the mean of the other clusters' means, AUROC, shares above 0 inside and
     outside, and range; with ``top_k``, the most raised and lowered of each cluster."""
     used = [f for f in features if not any(x.lower() in f.lower() for x in NO_PHENOTYPE)]
-    long = melted(df, used, [cluster]).filter("value is not null")
+    # Saved, as means computed twice can differ in their last bits, and then find no rank.
+    long = saved(melted(df, used, [cluster]).filter("value is not null"))
     # Values are counted by cluster, then ranked: each distinct value is met once.
     held = long.groupBy(cluster, "feature", "value").agg(F.count("*").alias("c"))
     steps = counted(long, ["feature"], "value").select("feature", "value", (F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))

@@ -132,3 +132,14 @@ def test_five_numbers_of_null_clusters(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None)], "cluster string, v double")
     got = {r.cluster: (r.n, r.min, r.median, r.max) for r in statistics.five_numbers(df, ["v"]).collect()}
     assert got == {None: (2, 1.0, 2.0, 3.0), "a": (1, 5.0, 5.0, 5.0)}
+
+
+def test_markers_of_values_that_differ_when_computed_again(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    shaken = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    df = spark.range(300).select(F.concat(F.lit("c"), F.col("id") % 3).alias("cluster"), shaken(F.col("id") * 7 % 101 + 1.0).alias("m"))
+    got = statistics.marker_stats(df, ["m"]).collect()
+    assert [r.n for r in got] == [100] * 3 and all(r.auroc is not None for r in got)
