@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import BATCH_KEYS
+from ..functions.joins import large
 from ..functions.lineage import saved
 from .neighbours import feature_join
 
@@ -151,13 +152,12 @@ def shrunk(n: float, s: np.ndarray, q: np.ndarray, rounds: int, tolerance: float
 def principal_axes(df: DataFrame, features: Sequence[str], share: float | None = 0.9, k: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(means, axes as columns, variances): the fewest that reach the share, or k.
 
-    Covariances of the features are one aggregate row; signs: largest loading positive.
+    Covariances are sums of block products; signs: largest loading positive.
     """
     n = len(features)
-    c = [F.col(f"`{f}`").cast("double") for f in features]
-    r = df.agg(*[F.avg(c[i]).alias(f"m{i}") for i in range(n)], *[F.covar_samp(c[i], c[j]).alias(f"c{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+    r = df.agg(*[F.avg(F.col(f"`{f}`").cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
     means = np.array([r[f"m{i}"] for i in range(n)])
-    cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+    cov = _covariances(df, features, means)
     values, vectors = np.linalg.eigh(cov)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(n)])
@@ -167,16 +167,63 @@ def principal_axes(df: DataFrame, features: Sequence[str], share: float | None =
     return means, vectors[:, :k], values[:k]
 
 
+def _covariances(df: DataFrame, features: Sequence[str], means: np.ndarray) -> np.ndarray:
+    """Sample covariances; each pair of features over the rows where neither is null."""
+    n = len(features)
+
+    def add(batches):
+        sums = np.zeros((3, n, n))
+        for batch in batches:
+            x, there = _numbers(batch.column(0), n)
+            x, there = np.where(there, x - means, 0.0), there.astype(float)
+            sums += np.stack([there.T @ there, x.T @ there, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    rows = _rows(df, features).mapInArrow(add, "sums binary").toLocalIterator()  # a row for each task, of fixed size
+    count, own, both = sum((np.frombuffer(r.sums).reshape(3, n, n) for r in rows), np.zeros((3, n, n)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (both - own * own.T / count) / (count - 1)
+
+
+def _rows(df: DataFrame, features: Sequence[str], *others: str) -> DataFrame:
+    return df.select(F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_row"), *others)
+
+
+def _numbers(lists: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of ``n`` columns, and where it is not null."""
+    flat = lists.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, n), flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
 def project(df: DataFrame, features: Sequence[str], means: np.ndarray, axes: np.ndarray, to: str) -> DataFrame:
-    """Adds the principal coordinates as an array column."""
-    c = [F.col(f"`{f}`").cast("double") - float(m) for f, m in zip(features, means, strict=True)]
-    return df.withColumn(to, F.array(*[sum((x * float(w) for x, w in zip(c, axis, strict=True)), F.lit(0.0)) for axis in axes.T]))
+    """Adds the principal coordinates as an array column; those of a row with a null are null."""
+    (n, k), columns = axes.shape, list(df.columns)
+
+    def put(batches):
+        for batch in batches:
+            x, there = _numbers(batch.column(0), n)
+            z = pa.array(((x - means) @ axes).ravel(), pa.float64(), mask=np.repeat(~there.all(1), k))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(z) + 1, k, dtype=np.int32)), z)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*columns, to])
+
+    return _rows(df, features, "*").mapInArrow(put, T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.DoubleType()))]))
 
 
 def unproject(df: DataFrame, features: Sequence[str], means: np.ndarray, axes: np.ndarray, old: str, new: str) -> DataFrame:
     """Features moved by what their principal coordinates moved; what no axis holds stays."""
-    moved = lambda k: F.col(new)[k] - F.col(old)[k]
-    return df.withColumns({f: F.col(f"`{f}`").cast("double") + sum((moved(k) * float(axes[i, k]) for k in range(axes.shape[1])), F.lit(0.0)) for i, f in enumerate(features)})
+    (n, k), columns = axes.shape, list(df.columns)
+    place = {c: i for i, c in enumerate(features)}
+
+    def put(batches):
+        for batch in batches:
+            x, there = _numbers(batch.column(0), n)
+            (before, a), (after, b) = (_numbers(batch.column(c), k) for c in (old, new))
+            moved, lost = x + (after - before) @ axes.T, ~(a & b).all(1)
+            own = [pa.array(moved[:, place[c]], pa.float64(), mask=~there[:, place[c]] | lost) if c in place else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(own, names=columns)
+
+    shape = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in place else f for f in df.schema.fields])
+    return _rows(df, features, "*").mapInArrow(put, shape)
 
 
 def harmony(df: DataFrame, batch: str, features: Sequence[str], n_clusters: int = 30, sigma: float = 0.1, theta: float = 2.0, ridge: float = 1.0, max_iter: int = 10, share: float = 0.9, seed: int = 0, tolerance: float = 1e-4) -> DataFrame:
@@ -282,5 +329,5 @@ def bbknn_smooth(df: DataFrame, key: str, batch: str, features: Sequence[str], k
         found = near if found is None else found.unionByName(near)
     target = held.select(F.col(key).alias("other"), F.col("_z").alias("_o"))
     mean = [(F.sum(F.col("weight") * F.col("_o")[i]) / F.sum("weight")) for i in range(d)]
-    smooth = found.join(target, "other").groupBy(key).agg(F.array(*mean).alias("_n"))
-    return unproject(held.join(smooth, key), features, means, axes, "_z", "_n").select(*df.columns)
+    smooth = found.join(large(target), "other").groupBy(key).agg(F.array(*mean).alias("_n"))
+    return unproject(held.join(large(smooth), key), features, means, axes, "_z", "_n").select(*df.columns)

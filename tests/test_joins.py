@@ -1,6 +1,9 @@
 """Joins whose sides grow with the cells are dealt by key, however small their files look."""
 
-from histarium.operators import neighbours, spatial
+import numpy as np
+import pytest
+
+from histarium.operators import batches, neighbours, spatial
 
 
 def test_cells_are_not_broadcast(spark, tmp_path):
@@ -20,3 +23,23 @@ def test_cells_are_not_broadcast(spark, tmp_path):
     for df in joined:
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         assert df.count() > 0
+
+
+def test_axes_do_not_grow_the_plan(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 12)) @ rng.normal(size=(12, 12)) + 5
+    names = [f"e{i}" for i in range(12)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, " + ", ".join(f"{c} double" for c in names))
+    means, axes, values = batches.principal_axes(df, names, None, 12)
+    assert means == pytest.approx(x.mean(0)) and values == pytest.approx(np.linalg.eigvalsh(np.cov(x.T))[::-1])
+    held = batches.project(df, names, means, axes, "_z")
+    back = batches.unproject(held.selectExpr("*", "transform(_z, z -> 2 * z) as _n"), names, means, axes, "_z", "_n").select(*df.columns)
+    assert np.array([r[1:] for r in back.orderBy("k").collect()]) == pytest.approx(2 * x - x.mean(0))
+    assert len(back._jdf.queryExecution().analyzed().toString()) < 12_000
+    gaps = df.selectExpr("k", "if(k = 3, null, e0) as e0", "e1")
+    z = batches.project(gaps, ["e0", "e1"], np.zeros(2), np.eye(2), "_z").filter("k = 3").first()._z
+    cov = batches.principal_axes(gaps, ["e0", "e1"], None, 2)[2]
+    own = np.delete(x[:, :2], 3, 0)
+    full = np.cov(own.T)
+    full[1, 1] = x[:, 1].var(ddof=1)
+    assert z == [None, None] and cov == pytest.approx(np.linalg.eigvalsh(full)[::-1])
