@@ -143,3 +143,20 @@ def test_markers_of_values_that_differ_when_computed_again(spark):
     df = spark.range(300).select(F.concat(F.lit("c"), F.col("id") % 3).alias("cluster"), shaken(F.col("id") * 7 % 101 + 1.0).alias("m"))
     got = statistics.marker_stats(df, ["m"]).collect()
     assert [r.n for r in got] == [100] * 3 and all(r.auroc is not None for r in got)
+
+
+def test_fdr_by_sums_once_a_group(spark):
+    from pyspark.sql import functions as F
+
+    from histarium.operators import correlation
+
+    for n in (1, 2, 1000, 1001, 30_000):
+        assert spark.range(1).select(correlation.harmonic(F.lit(n))).first()[0] == pytest.approx(sum(1 / i for i in range(1, n + 1)), rel=1e-13)
+    p = np.random.default_rng(5).random(1500)
+    df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(p)] + [("b", 0, 0.01), ("b", 1, None), ("c", 0, None)], "g string, k long, p double")
+    got = {(r.g, r.k): r.p_adjusted for r in correlation.adjust_p(df, "fdr_by", ["g"]).collect()}
+    order = np.argsort(p)
+    raw = p[order] * 1500 * sum(1 / i for i in range(1, 1501)) / np.arange(1, 1501)
+    want = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1)
+    assert [got["a", int(i)] for i in order] == pytest.approx(want)
+    assert got["b", 0] == pytest.approx(0.01) and got["b", 1] is None and got["c", 0] is None
