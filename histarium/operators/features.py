@@ -142,7 +142,8 @@ def intensity_long(labelled: DataFrame, exact: bool = True, positive: float = 0.
     """
     by = [*CELL, "channel"]
     q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))) if exact else F.percentile_approx("value", [0.1, 0.5, 0.9])
-    stats = labelled.groupBy(*by).agg(
+    # Pixels go to their cell as they are: the states that collect values are wider than the values.
+    stats = labelled.select(*by, "value").repartition(*CELL).groupBy(*by).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("q"), F.sum("value").alias("integrated"),
         F.avg((F.col("value") > positive).cast("double")).alias("frac_pos"), F.collect_list("value").alias("values"),
     )

@@ -316,3 +316,13 @@ def test_regions_across_tiles_equal_a_plain_fill(spark):
     for size in (5, 256):
         got = {(r.acq_id, r.y, r.x): (r.region.y, r.region.x) for r in stencils.label_regions(df.repartition(3), size).collect()}
         assert got == {k: (int(v[0]), int(v[1])) for k, v in want.items()}
+
+
+def test_pixels_are_dealt_to_cells_once(spark):
+    from histarium.operators import features
+
+    df = spark.createDataFrame([("a", 1, "c", 1.0), ("a", 1, "d", 2.0), ("a", 2, "c", 3.0)], "acq_id string, cell_id long, channel string, value double")
+    wide = features.intensity_wide(features.intensity_long(df), ["c", "d"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r.cell_id, r.c_mean, r.d_mean) for r in wide.collect()} == {(1, 1.0, 2.0), (2, 3.0, None)}
