@@ -7,11 +7,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.lineage import saved
-from ..functions.prefix import counted, quantiles, running_sums
+from ..functions.prefix import changes, counted, quantiles, runs
 from ..functions.scalar import marker_name, stars
 from ..functions.tails import normal_two_sided
 from .correlation import adjust_p
@@ -94,6 +99,8 @@ def phenotype_reply(replies: DataFrame, column: str = "reply") -> DataFrame:
     return parsed.withColumn("valid", F.col("cluster").isNotNull() & (F.coalesce(F.trim("phenotype"), F.lit("")) != ""))
 
 
+#: Numbers of an array that a task makes of its rows and all groups.
+SHARE = 1 << 20
 #: Up to so many values in the smaller sample, and without ties, p is exact.
 EXACT = 8
 
@@ -105,30 +112,104 @@ def mann_whitney(df: DataFrame, features: Sequence[str], group: str, mode: str =
     tied, otherwise normal with tie and continuity correction. ``mode``:
     ``pairwise`` or ``one_vs_rest`` (``reference`` against each other group).
     Groups of under two values are left out; Benjamini-Hochberg in each feature.
-    Values are counted first, so each pair of groups meets on distinct values,
-    not on cells, and ranks come from a range sort.
+    Values are counted first and dealt out by a range sort; a task adds up what its
+    range tells of all pairs of groups, so no pair gets rows of its own.
     """
-    long = melted(df, features, [group]).filter("value is not null").groupBy("feature", F.col(group).alias("g"), "value").agg(F.count("*").alias("c"))
-    sizes = long.groupBy("feature", "g").agg(F.sum("c").alias("n")).filter("n >= 2")
-    pairs = sizes.toDF("feature", "group_a", "n_a").join(sizes.toDF("feature", "group_b", "n_b"), "feature")
-    pairs = pairs.filter("group_a < group_b") if mode == "pairwise" else pairs.filter((F.col("group_a") == reference) & (F.col("group_b") != reference))
     by = ["feature", "group_a", "group_b"]
-    ends = pairs.select("*", F.explode(F.array("group_a", "group_b")).alias("g"))
-    values = ends.join(long, ["feature", "g"]).groupBy(*by, "n_a", "n_b", "value").agg(F.sum(F.when(F.col("g") == F.col("group_a"), F.col("c")).otherwise(0)).alias("ca"), F.sum("c").alias("c"))
-    rank = F.col("_before") + (F.col("c") + 1) / 2
-    ranked = running_sums(values, [*by, "value"], "c", by)
-    sums = ranked.groupBy(*by, "n_a", "n_b").agg(F.sum(rank * F.col("ca")).alias("r"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties"))
+    long = melted(df, features, [group]).filter(F.col("value").isNotNull() & F.col(group).isNotNull()).groupBy("feature", F.col(group).alias("g"), "value").agg(F.count("*").alias("c"))
+    met = saved(_met_by_range(long, df.select(F.col(group).alias("g")).filter("g is not null").distinct().collect()))  # the names of the groups
+    totals = met.filter("group_b is null").select("pid", "feature", F.col("group_a").alias("g"), "n", "ties")
+    sizes = totals.groupBy("feature", "g").agg(F.sum("n").alias("n"), F.sum("ties").alias("t")).filter("n >= 2")
+    pairs = sizes.toDF("feature", "group_a", "n_a", "t_a").join(sizes.toDF("feature", "group_b", "n_b", "t_b"), "feature")
+    pairs = pairs.filter("group_a < group_b") if mode == "pairwise" else pairs.filter((F.col("group_a") == reference) & (F.col("group_b") != reference))
+    # Values of the second group in earlier ranges are below all of the first's in a range.
+    every = totals.select("feature", "pid").distinct().join(sizes.select("feature", "g"), "feature").join(totals.select("feature", "pid", "g", "n"), ["feature", "pid", "g"], "left")
+    earlier = Window.partitionBy("feature", "g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    below = every.select("feature", "pid", F.col("g").alias("group_b"), F.sum("n").over(earlier).alias("m")).filter("m > 0")
+    ahead = totals.select("feature", "pid", F.col("g").alias("group_a"), "n").join(below, ["feature", "pid"]).groupBy(*by).agg(F.sum(2 * F.col("n") * F.col("m")).alias("outer"))
+    near = met.filter("group_b is not null").groupBy(*by).agg(F.sum("n").alias("inner"), F.sum("ties").alias("ties"))
+    sums = pairs.join(near, by, "left").join(ahead, by, "left").select(
+        *by, "n_a", "n_b", ((F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))) / 2).alias("u"), (F.col("t_a") + F.col("t_b") + F.coalesce("ties", F.lit(0.0))).alias("ties")
+    )
     n = F.col("n_a") + F.col("n_b")
-    u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
+    u = F.col("u")
     mean, var = F.col("n_a") * F.col("n_b") / 2, F.col("n_a") * F.col("n_b") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     z = F.greatest(F.abs(u - mean) - 0.5, F.lit(0.0)) / F.sqrt(var)
-    out = sums.select(*by, "n_a", "n_b", u.alias("u"), F.when(var > 0, z).alias("z"), ((F.least("n_a", "n_b") <= EXACT) & (F.col("ties") == 0)).alias("exact"))
+    out = sums.select(*by, "n_a", "n_b", "u", F.when(var > 0, z).alias("z"), ((F.least("n_a", "n_b") <= EXACT) & (F.col("ties") == 0)).alias("exact"))
     normal = F.when(F.col("z").isNull(), 1.0).otherwise(normal_two_sided(F.coalesce("z", F.lit(0.0))))
     out = out.withColumn("p", F.when(F.col("exact"), exact_p(F.col("u"), F.col("n_a"), F.col("n_b"))).otherwise(normal)).drop("exact")
     out = adjust_p(out, "fdr_bh", ["feature"])
     return out.withColumn("stars", stars(F.col("p_adjusted")))
 
 
+def _met_by_range(long: DataFrame, names: list) -> DataFrame:
+    """``pid, feature, group_a, group_b, n, ties`` of each range ``pid`` of ``long`` (``feature, g, value, c``).
+
+    Of two groups, ``n`` is twice the first's U within the range, and ``ties`` what
+    their common values add to the sum of c^3 - c; of one (``group_b`` null), its
+    number of values and that sum.
+    """
+    kind = long.schema["g"].dataType
+    shape = T.StructType([T.StructField("pid", T.IntegerType()), long.schema["feature"], T.StructField("group_a", kind), T.StructField("group_b", kind), T.StructField("n", T.LongType()), T.StructField("ties", T.DoubleType())])
+    schema, k = to_arrow_schema(shape), len(names)
+    groups = pa.array([r["g"] for r in names], schema.field("group_a").type)
+
+    def add(state: tuple, g: np.ndarray, value: np.ndarray, c: np.ndarray) -> None:
+        """Rows of whole values: group, number of the value from 0, count."""
+        below, pairs, common, alone = state
+        here = np.zeros((int(value[-1]) + 1, k), np.int64)
+        here[value, g] = c
+        ahead = np.cumsum(here, 0) - here + below
+        below += here.sum(0)
+        np.add.at(alone, g, c.astype(float) ** 3 - c)
+        order = np.argsort(g, kind="stable")
+        g, value, c = g[order], value[order], c[order, None]
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        pairs[g[first]] += np.add.reduceat(c * (2 * ahead[value] + here[value]), first, 0)
+        common[g[first]] += np.add.reduceat(3.0 * c * here[value] * (c + here[value]), first, 0)
+
+    def told(pid: int, feature: str, state: tuple) -> pa.RecordBatch:
+        below, pairs, common, alone = state
+        a, b = np.nonzero((pairs != 0) | (common != 0))
+        held = np.flatnonzero(below)
+        n = len(a) + len(held)
+        second = pa.concat_arrays([groups.take(pa.array(b)), pa.nulls(len(held), groups.type)])
+        columns = [np.full(n, pid), [feature] * n, groups.take(pa.array(np.r_[a, held])), second, np.r_[pairs[a, b], below[held]], np.r_[common[a, b], alone[held]]]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def whole(batches):
+        """Batches that end with a value's last row."""
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            last = np.flatnonzero(changes(batch, ["feature", "value"]))[-1:].sum()
+            rest = batch.slice(last)
+            if last:
+                yield batch.slice(0, last)
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    def meet(batches):
+        pid, feature, state = TaskContext.get().partitionId(), None, None
+        for batch in whole(batches):
+            g, c = pc.index_in(batch.column("g"), groups).to_numpy(zero_copy_only=False), batch.column("c").to_numpy()
+            new = changes(batch, ["feature", "value"])
+            for key, lo, hi in runs(batch, ["feature"]):
+                if state is None or key != feature:
+                    if state is not None:
+                        yield told(pid, feature[0], state)
+                    feature, state = key, (np.zeros(k, np.int64), np.zeros((k, k), np.int64), np.zeros((k, k)), np.zeros(k))
+                starts = lo + np.flatnonzero(new[lo:hi])
+                cuts = np.unique(starts[np.searchsorted(starts, np.arange(lo, hi, max(SHARE // k, 1)), "right") - 1])
+                for i, j in zip(cuts, [*cuts[1:], hi], strict=True):
+                    add(state, g[i:j], np.cumsum(new[i:j]) - 1, c[i:j])
+        if state is not None:
+            yield told(pid, feature[0], state)
+
+    n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return long.repartitionByRange(n, "feature", "value").sortWithinPartitions("feature", "value").mapInArrow(meet, shape)
+
+
 def exact_p_value(u: float, n_a: int, n_b: int) -> float:
     """Two-sided p of a U without ties: twice the share of arrangements with a U at
     least as far out, 1 at most.

@@ -1,6 +1,7 @@
 """Exact small-sample p, permutations, hulls and missing values against plain versions."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -29,6 +30,31 @@ def test_small_samples_without_ties_are_exact(spark):
     assert 0 < mann_whitney(spark.createDataFrame(wide, "g string, v double"), ["v"], "g").first().p < 1e-3
 
 
+def test_mann_whitney_pairs_get_no_rows_of_their_own(spark):
+    rng = np.random.default_rng(11)
+    groups = [f"g{i}" for i in range(12)]
+    rows = [(groups[int(g)], float(v), float(w)) for g, v, w in zip(rng.integers(0, 12, 1500), rng.integers(0, 90, 1500), rng.normal(size=1500), strict=True)]
+    df = spark.createDataFrame([*rows, ("lone", 1.0, 1.0), (None, 2.0, 2.0), ("g0", None, float("nan")), ("g1", 3.0, float("nan"))], "g string, v double, w double")
+    # Values meet once, by range, and reach the pairs of groups as sums.
+    seen = []
+    real = statistics.saved
+    statistics.saved = lambda x: seen.append(x) or real(x)
+    try:
+        got = {(r.feature, r.group_a, r.group_b): r for r in mann_whitney(df, ["v", "w"], "g").collect()}
+    finally:
+        statistics.saved = real
+    assert len(seen) == 1 and len(got) == 2 * 66
+    of = {g: [r[1] for r in [*rows, ("g1", 3.0)] if r[0] == g] for g in groups}
+    for a, b in itertools.combinations(sorted(groups), 2):
+        r, x, y = got["v", a, b], np.array(of[a]), np.array(of[b])
+        assert (r.n_a, r.n_b, r.u) == (len(x), len(y), (x[:, None] > y).sum() + (x[:, None] == y).sum() / 2)
+        c = np.unique(np.r_[x, y], return_counts=True)[1].astype(float)
+        n = len(x) + len(y)
+        sd = math.sqrt(len(x) * len(y) / 12 * (n + 1 - (c**3 - c).sum() / (n * (n - 1))))
+        z = max(abs(r.u - len(x) * len(y) / 2) - 0.5, 0) / sd
+        assert r.p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6)
+
+
 def test_rows_with_nan_get_no_cluster(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(i % 2 * 50 + rng.normal()), float(rng.normal())) for i in range(40)] + [(90, float("nan"), 1.0), (91, None, 1.0), (92, float("inf"), 1.0)]
