@@ -7,9 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.prefix import changes
 from ..functions.scalar import arcsinh
 
 CELL = ["acq_id", "cell_id"]
@@ -56,8 +60,8 @@ def touches_border(mask: DataFrame, acquisitions: DataFrame) -> DataFrame:
     return mask.filter("cell_id > 0").join(acquisitions, "acq_id").groupBy(*CELL).agg(F.max(edge).alias("touches_border"))
 
 
-def _shifts(offsets) -> F.Column:
-    return F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets]))
+#: Side of the squares in which borders are traced.
+TILE = 256
 
 
 def perimeter(mask: DataFrame) -> DataFrame:
@@ -65,25 +69,57 @@ def perimeter(mask: DataFrame) -> DataFrame:
 
     A border pixel has a side neighbour outside its cell. Its code is 1, plus 2
     for each border pixel of the cell at its sides and 10 at its corners; the
-    code gives its length. Neighbours meet by equality joins on shifted places.
+    code gives its length. Pixels go to the squares that they lie in or are at most two
+    pixels from, so a cell's part in a square is told there; parts are counts, which add up.
     """
-    cell = mask.filter("cell_id > 0").select(*CELL, "y", "x")
-    place = [*CELL, "y", "x"]
-    sides = cell.select("*", _shifts(SIDES).alias("d")).select(*CELL, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    met = sides.join(cell, place).groupBy(*place).agg(F.count("*").alias("n"))
-    border = cell.join(met, place, "left").filter(F.coalesce("n", F.lit(0)) < 4).select(*place)
-    weights = [(*d, 2) for d in SIDES] + [(*d, 10) for d in CORNERS]
-    sent = border.select("*", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in weights])).alias("d")).select(
-        *CELL, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("d.w").alias("w")
-    )
-    code = border.join(sent.groupBy(*place).agg(F.sum("w").alias("w")), place, "left").withColumn("code", 1 + F.coalesce("w", F.lit(0)))
-    length = F.lit(0.0)
-    for value, codes in PERIMETER.items():
-        length = F.when(F.col("code").isin(*codes), F.lit(value)).otherwise(length)
-    total = code.groupBy(*CELL).agg(F.sum(length).alias("perimeter_um"))
-    area = cell.groupBy(*CELL).agg(F.count("*").alias("n"))
-    out = area.join(total, CELL, "left").withColumn("perimeter_um", F.coalesce("perimeter_um", F.lit(0.0)))
-    return out.select(*CELL, "perimeter_um", (4 * math.pi * F.col("n") / F.pow(F.greatest("perimeter_um", F.lit(1e-6)), 2)).alias("circularity"))
+    part = [*CELL, "ty", "tx"]
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2) / TILE), F.floor((F.col(c) + 2) / TILE)))
+    dealt = mask.filter("cell_id > 0").select(*CELL, "y", "x").withColumn("ty", near("y")).withColumn("tx", near("x"))
+    dealt = dealt.select(*part, (F.col("y") - F.col("ty") * TILE).cast("int").alias("y"), (F.col("x") - F.col("tx") * TILE).cast("int").alias("x"))
+    n = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [f"_{i}" for i in range(len(PERIMETER))]
+    shape = T.StructType([*[mask.schema[c] for c in CELL], *[T.StructField(c, T.LongType()) for c in ("n", *kinds)]])
+    schema = to_arrow_schema(shape)
+
+    def told(held: pa.RecordBatch) -> pa.RecordBatch:
+        new = changes(held, part)
+        own, y, x = np.cumsum(new) - 1, held.column("y").to_numpy(), held.column("x").to_numpy()
+        side = TILE + 8
+        places = np.unique((own * side + y + 4) * side + x + 4)
+
+        def among(at: np.ndarray, all_: np.ndarray) -> np.ndarray:
+            return all_[np.minimum(np.searchsorted(all_, at), len(all_) - 1)] == at
+
+        step = lambda d: d[0] * side + d[1]
+        border = places[~np.logical_and.reduce([among(places + step(d), places) for d in SIDES])]
+        inside = (border // side % side >= 4) & (border // side % side < TILE + 4) & (border % side >= 4) & (border % side < TILE + 4)
+        mine = border[inside]
+        code = np.ones(len(mine), int)
+        for d, w in [*((d, 2) for d in SIDES), *((d, 10) for d in CORNERS)]:
+            if len(mine):
+                code += w * among(mine + step(d), border)
+        size, to = int(new.sum()), mine // side // side
+        counts = [np.bincount(to[np.isin(code, codes)], minlength=size) for codes in PERIMETER.values()]
+        area = np.bincount(own[(y >= 0) & (y < TILE) & (x >= 0) & (x < TILE)], minlength=size)
+        names = held.select(CELL).take(pa.array(np.flatnonzero(new)))
+        return pa.RecordBatch.from_arrays([*[names.column(c).cast(schema.field(c).type) for c in CELL], *[pa.array(v, pa.int64()) for v in (area, *counts)]], schema=schema)
+
+    def trace(batches):
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            last = np.flatnonzero(changes(batch, part))[-1:].sum()
+            rest = batch.slice(last)
+            if last:
+                yield told(batch.slice(0, last))
+        if rest is not None and rest.num_rows:
+            yield told(rest)
+
+    # Each pixel is dealt out before anything is counted: the mask may be made by few tasks.
+    parts = dealt.repartition(n, *part).sortWithinPartitions(*part).mapInArrow(trace, shape)
+    cells = parts.groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in ("n", *kinds)])
+    length = sum((F.col(c) * F.lit(v) for c, v in zip(kinds, PERIMETER, strict=True)), F.lit(0.0))
+    return cells.filter("n > 0").withColumn("perimeter_um", length).select(*CELL, "perimeter_um", (4 * math.pi * F.col("n") / F.pow(F.greatest("perimeter_um", F.lit(1e-6)), 2)).alias("circularity"))
 
 
 def hull_pixels(y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> int:

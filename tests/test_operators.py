@@ -47,6 +47,28 @@ def test_square_perimeter(mask):
     assert r.perimeter_um == pytest.approx(76) and r.circularity == pytest.approx(4 * math.pi * 400 / 76**2)
 
 
+def test_perimeter_of_cells_across_squares(spark):
+    rng = np.random.default_rng(5)
+    cells = np.kron(rng.integers(0, 4, (15, 15)), np.ones((20, 20), int)) * (rng.random((300, 300)) < 0.97)
+    rows = [("a", int(y), int(x), int(cells[y, x])) for y, x in np.argwhere(cells > 0)]
+    found = features.perimeter(spark.createDataFrame([*rows, ("b", 0, 0, 1)], "acq_id string, y int, x int, cell_id int"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # pixels are dealt out once
+    got = {(r.acq_id, r.cell_id): r.perimeter_um for r in found.collect()}
+    assert got.pop(("b", 1)) == 0.0 and len(got) == 3
+    for c in (1, 2, 3):
+        own = np.pad(cells == c, 1)
+        at = lambda im, d: np.roll(im, (-d[0], -d[1]), (0, 1))
+        border = own & ~np.logical_and.reduce([at(own, d) for d in features.SIDES])
+        code = 1 + sum(2 * at(border, d).astype(int) for d in features.SIDES) + sum(10 * at(border, d).astype(int) for d in features.CORNERS)
+        assert got["a", c] == pytest.approx(sum(v * (border & np.isin(code, k)).sum() for v, k in features.PERIMETER.items()))
+
+
+def test_masks_of_the_queries_are_made_by_all_tasks(spark):
+    from histarium.queries import views
+
+    assert views.mask(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_hull_of_an_l_shape(spark):
     cells = [("a", y, 0, 1) for y in range(5)] + [("a", 4, x, 1) for x in range(1, 5)]
     r = features.solidity(spark.createDataFrame(cells, "acq_id string, y int, x int, cell_id int")).first()
