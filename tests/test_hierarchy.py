@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histarium.operators import clustering
-from histarium.operators.silhouette import silhouette, within_squares
+from histarium.operators.silhouette import _first_hashes, silhouette, within_squares
 
 
 def merge_one_by_one(points, sizes, n_clusters, linkage):
@@ -99,6 +99,26 @@ def test_silhouette_and_squares(spark):
     assert silhouette(df.limit(0), cols).filter("cluster is null and silhouette is not null").count() == 0
 
 
+def test_sample_of_hashes_does_not_come_from_each_task(spark):
+    df = spark.range(0, 40_000, 1, 40).select(F.struct(F.xxhash64(F.lit(3), "id").alias("h"), F.col("id").alias("_id")).alias("_h"))
+    want = sorted(tuple(r["_h"]) for r in df.collect())
+    for sample in (500, 39_990, 50_000):
+        assert [tuple(r["_h"]) for r in _first_hashes(df, sample)] == want[:sample]
+    asked = []
+
+    class Asked:
+        count = staticmethod(df.count)
+
+        def filter(self, which):
+            asked.append(df.filter(which).count())
+            return df.filter(which)
+
+    _first_hashes(Asked(), 500)
+    assert len(asked) == 1 and asked[0] < 1000  # not 500 of each of 40 tasks
+    same = df.select(F.struct(F.lit(2**62).alias("h"), F.col("_h._id").alias("_id")).alias("_h"))
+    assert [r["_h"]["_id"] for r in _first_hashes(same, 3)] == [0, 1, 2]
+
+
 @pytest.mark.parametrize("method", ["kmeans", "hierarchical"])
 @pytest.mark.parametrize("metric", ["euclidean", "squared"])
 def test_k_search_finds_planted_number(spark, method, metric):
