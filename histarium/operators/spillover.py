@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prefix import counted, quantiles
+from ..functions.lineage import saved
+from ..functions.prefix import quantiles, running_sums
 from ..functions.scalar import arcsinh, isotope_mass, isotope_metal
 
 #: Masses of the isotopes of the metals in use. Fixed values.
@@ -110,9 +111,11 @@ def spill_qc(rows: DataFrame, matrix: DataFrame) -> DataFrame:
     return off.join(used, "donor", "left").select("donor", F.coalesce("n", F.lit(0)).alias("n_acqs"), "offdiag_sum", "offdiag_max", F.when(F.col("offdiag_max") > 0, F.col("r")).alias("offdiag_max_recipient"), F.coalesce("p", F.lit(0.0)).cast("long").alias("pixels_used_median"))
 
 
-def _trimmed(df: DataFrame, by: Sequence[str], trim: float, to: str) -> DataFrame:
-    """Mean of the values left when a share is cut at either end; distinct values are ranked by a range sort."""
-    steps = counted(df.filter("value is not null").select(*by, "value"), by, "value")
+def _trimmed(counts: DataFrame, by: Sequence[str], trim: float, to: str) -> DataFrame:
+    """Mean of the values left when a share is cut at either end, of values with their
+    numbers ``n``; distinct values are ranked by a range sort."""
+    distinct = counts.groupBy(*by, "value").agg(F.sum("n").alias("_n"))
+    steps = running_sums(distinct, [*by, "value"], "_n", by).drop("_index")
     sizes = steps.groupBy(*by).agg(F.max(F.col("_before") + F.col("_n")).alias("_all"))
     lo, hi = F.floor(F.lit(trim) * F.col("_all")), F.ceil(F.lit(1 - trim) * F.col("_all"))
     whole = hi <= lo
@@ -129,36 +132,43 @@ def compute_spillmat(events: DataFrame, channels: DataFrame, method: str = "defa
     donors that the channel or the donor spills into. ``default``: median of the
     events' background-free ratios; ``classic``: ratio of trimmed means.
     """
-    near = spill_candidates(channels, isotopes)
-    names = with_isotopes(channels.select("channel").distinct()).filter("mass is not null")
+    spark = events.sparkSession
+    panel = spark.createDataFrame(channels.select("channel").distinct().collect(), "channel string")
+    near = spill_candidates(panel, isotopes)
+    names = with_isotopes(panel).filter("mass is not null")
     every = names.select(F.col("channel").alias("emitter")).crossJoin(names.select(F.col("channel").alias("receiver"))).filter("emitter != receiver")
     pairs = near if interactions == "default" else every
     mass = {r.channel: r.mass for r in names.collect()}  # a panel's channels
     spills: dict[str, set[str]] = {}
     for r in near.collect():
         spills.setdefault(r.emitter, set()).add(r.receiver)
-    donors = {r.bc_id for r in events.select("bc_id").filter(F.col("bc_id").isin(list(mass.values()))).distinct().collect()} - {0}  # masses of the panel
+    # Events are counted by barcode and value before they meet the pairs: those are many to an event.
+    counts = saved(events.filter(F.col("value").isNotNull() | F.col("bc_id").isin(list(mass.values()))).groupBy("channel", "bc_id", "value").agg(F.count("*").alias("n")))
+    donors = {r.bc_id for r in counts.select("bc_id").filter(F.col("bc_id").isin(list(mass.values()))).distinct().collect()} - {0}  # masses of the panel
+    counts = counts.filter("value is not null")
     rows = []
     for r in pairs.collect():
         if mass[r.emitter] in donors:
             out_i = {0, mass[r.emitter], *(mass[c] for c in spills.get(r.emitter, ()))}
             rows.append((r.emitter, r.receiver, mass[r.emitter], sorted(out_i), sorted(out_i | {mass[r.receiver]} | {mass[c] for c in spills.get(r.receiver, ())})))
-    spark = events.sparkSession
     plan = F.broadcast(spark.createDataFrame(rows, "emitter string, receiver string, donor int, out_i array<int>, out_j array<int>"))  # pairs of a panel
     by = ["emitter", "receiver"]
     share = 0.1 if method == "default" else trim
-    neg_i = _trimmed(events.join(plan, F.col("channel") == F.col("emitter")).filter(~F.array_contains("out_i", F.col("bc_id").cast("int"))), by, share, "bg_i")
-    neg_j = _trimmed(events.join(plan, F.col("channel") == F.col("receiver")).filter(~F.array_contains("out_j", F.col("bc_id").cast("int"))), by, share, "bg_j")
-    pos = events.join(plan.select(*by, "donor"), F.col("bc_id") == F.col("donor"))
+    neg_i = _trimmed(counts.join(plan, F.col("channel") == F.col("emitter")).filter(~F.array_contains("out_i", F.col("bc_id").cast("int"))), by, share, "bg_i")
+    neg_j = _trimmed(counts.join(plan, F.col("channel") == F.col("receiver")).filter(~F.array_contains("out_j", F.col("bc_id").cast("int"))), by, share, "bg_j")
     if method == "classic":
+        pos = counts.join(plan.select(*by, "donor"), F.col("bc_id") == F.col("donor"))
         pos_i, pos_j = _trimmed(pos.filter("channel = emitter"), by, trim, "m_i"), _trimmed(pos.filter("channel = receiver"), by, trim, "m_j")
         held = pos_i.join(pos_j, by).join(neg_i, by, "left").join(neg_j, by, "left").fillna(0.0, ["bg_i", "bg_j"])
         spill, receive = F.greatest(F.col("m_i") - F.col("bg_i"), F.lit(0.0)), F.greatest(F.col("m_j") - F.col("bg_j"), F.lit(0.0))
         found = held.select(*by, F.when(spill > 0, receive / spill).otherwise(0.0).alias("c"))
     else:
-        a = pos.filter("channel = emitter").select(*by, "event_id", F.col("value").alias("vi"))
-        b = pos.filter("channel = receiver").select(*by, "event_id", F.col("value").alias("vj"))
-        held = a.join(b, [*by, "event_id"]).join(neg_i, by, "left").join(neg_j, by, "left").fillna(0.0, ["bg_i", "bg_j"])
+        # A stained event is brought together once, and makes its pairs where it is.
+        stained = events.filter(F.col("bc_id").isin(sorted(donors)) & F.col("event_id").isNotNull()).groupBy("event_id", F.col("bc_id").alias("donor")).agg(F.collect_list(F.struct("channel", F.col("value").alias("v"))).alias("held"))
+        value = lambda end: F.explode(F.transform(F.filter("held", lambda x: x["channel"] == F.col(end)), lambda x: x["v"]))
+        met = stained.join(plan.select(*by, "donor"), "donor").select("*", value("emitter").alias("vi")).select(*by, "vi", value("receiver").alias("vj"))
+        # A row for each pair of a panel: were events dealt by pair, few tasks would have them all.
+        held = met.join(F.broadcast(neg_i), by, "left").join(F.broadcast(neg_j), by, "left").fillna(0.0, ["bg_i", "bg_j"])
         ratio = F.greatest(F.col("vj") - F.col("bg_j"), F.lit(0.0)) / F.greatest(F.col("vi") - F.col("bg_i"), F.lit(1e-12))
         found = quantiles(held.select(*by, ratio.alias("value")), by, "value", [0.5]).select(*by, F.col("q")[0].alias("c"))
     full = names.select(F.col("channel").alias("emitter")).crossJoin(names.select(F.col("channel").alias("receiver"))).join(found, by, "left")

@@ -348,3 +348,20 @@ def test_pixels_are_dealt_to_cells_once(spark):
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert {(r.cell_id, r.c_mean, r.d_mean) for r in wide.collect()} == {(1, 1.0, 2.0), (2, 3.0, None)}
+
+
+def test_spillmat_measures_events_few_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(v):
+        seen.add(1)
+        return v
+
+    masses, rng = {"Nd142": 142, "Nd143": 143, "Gd158": 158, "Yb174": 174}, np.random.default_rng(9)
+    rows = [(i, b, c, float(rng.integers(0, 50) + 200 * (m == b))) for i, b in enumerate([0, 142, 143, 158, 174] * 60) for c, m in masses.items()]
+    events = spark.createDataFrame(rows, "event_id int, bc_id int, channel string, value double")
+    want = {(r.emitter, r.receiver): r.coeff for r in spillover.compute_spillmat(events, events.select("channel")).collect()}
+    counting = events.withColumn("value", F.udf(told, "double")("value"))
+    got = {(r.emitter, r.receiver): r.coeff for r in spillover.compute_spillmat(counting, events.select("channel")).collect()}
+    assert got == pytest.approx(want)
+    assert seen.value <= 3 * len(rows), seen.value / len(rows)
