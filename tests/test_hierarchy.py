@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from histarium.operators import clustering
+from histarium.operators import clustering, hierarchy, rounds
 from histarium.operators.silhouette import _first_hashes, silhouette, within_squares
 
 
@@ -65,6 +65,33 @@ def test_ties_chains_and_few_points(spark):
         clustering.hierarchical(same, ["a"], 1, "single")
 
 
+@pytest.mark.parametrize("linkage", ["ward", "complete", "average"])
+@pytest.mark.parametrize("k, table, near", [(5, 150, 1e4), (60, 40, 0.0)])
+def test_more_cells_than_a_table_holds(spark, monkeypatch, linkage, k, table, near):
+    monkeypatch.setattr(hierarchy, "TABLE", table)
+    monkeypatch.setattr(rounds, "BLOCK", 160)  # clusters of over 20 cells are cut
+    monkeypatch.setattr(rounds, "STRIP", 30)
+    rng = np.random.default_rng(k)
+    points = np.r_[rng.normal(size=(150, 3)) * 0.05, rng.normal(size=(450, 3)) * rng.uniform(0.2, 3, size=(450, 1))] + near
+    points[-4:] += [[900, 0, 0], [910, 0, 0], [0, 700, 0], [0, 705, 0]]  # merge early, and highest
+    again = rng.integers(0, 600, 300)
+    df = spark.createDataFrame([(int(i), *map(float, points[i])) for i in (*range(600), *again)] + [(-1, None, 1.0, 1.0)], "k long, a double, b double, c double")
+    got = {r.k: r.cluster for r in clustering.hierarchical(df, ["a", "b", "c"], k, linkage, micro=None).collect()}
+    assert got.pop(-1) == 0
+    assert parts([got[i] for i in range(600)]) == parts(merge_one_by_one(points, 1 + np.bincount(again, minlength=600), k, linkage))
+    first = [got[i] for i in np.lexsort(points.T[::-1])]
+    assert sorted(set(first)) == list(range(1, k + 1)) == sorted(set(first), key=first.index)
+
+
+def test_far_ties_and_cuts_at_several_numbers(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "TABLE", 10)
+    monkeypatch.setattr(rounds, "BLOCK", 16)
+    grid = spark.createDataFrame([(float(x), float(y)) for x in range(8) for y in range(8)], "a double, b double")
+    found = clustering._cuts(grid, ["a", "b"], [2, 4, 30], "average", None, 0)
+    assert {k: found[k].select("cluster").distinct().count() for k in found} == {2: 2, 4: 4, 30: 30}
+    assert found[4].count() == 64
+
+
 def plain_silhouette(x, labels):
     out = np.zeros(len(x))
     for i in range(len(x)):
