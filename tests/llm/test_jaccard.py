@@ -146,6 +146,23 @@ def test_links_in_a_loose_family(spark, monkeypatch):
     assert sum(f and n for f, n in zip(found, near)) >= 0.99 * sum(near)
 
 
+@pytest.mark.parametrize("met", [1024, 3])
+def test_similar_nodes_between_unlike_ones_of_a_bucket(spark, monkeypatch, met):
+    """The smallest and the largest node of the bucket are like none of the others; these are pairs."""
+    monkeypatch.setattr(jaccard, "MET", met, raising=False)
+    bands, rows = 4, 6
+    own = np.random.default_rng(3).integers(0, 256, (12, bands * rows), dtype=np.uint8)
+    kind = [0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 6, 7, 8, 8, 9]
+    nodes = [(i, np.full(bands, 7, np.int64).tobytes(), own[g].tobytes()) for i, g in enumerate(kind)]
+    got = jaccard.candidate_groups(spark.createDataFrame(nodes, "node long, bands binary, sig binary"), bands, rows, 0.8).collect()
+    assert sorted((r.node, r.component) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 7), (8, 7), (12, 12), (13, 12)]
+
+
+def test_large_buckets_equal_all_pairs():
+    sig = np.random.default_rng(4).integers(0, 2, (300, 30), dtype=np.uint8)
+    assert (jaccard._alike(sig, 18.2) == ((sig[:, None] == sig[None]).sum(2) >= 18.2)).all()
+
+
 def test_repeated_rows_and_wrong_ids(spark):
     text = " ".join(f"r{i}" for i in range(50))
     rows = [(1, text)] * 40 + [(2, text + " more")] * 3
